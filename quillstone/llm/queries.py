@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import packing, sharding
+from quillstone.llm import packing, quality, sharding, warc
+from quillstone.llm.common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +26,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op7_sharding": op7_sharding}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = materialise(warc.archive(_table(spark, sf_dir, "pages")), "warc")
+    return warc.read_archive(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op2_packing": op2_packing, "op7_sharding": op7_sharding, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {}
