@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, packing, quality, sharding, warc
+from quillstone.llm import decontaminate, packing, quality, sharding, substring, suffix_dedup, warc
 from quillstone.llm.common import materialise
 
 
@@ -26,10 +26,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 50, digests=True)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digests(_table(spark, sf_dir, "documents"), 13)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -40,5 +48,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_decontamination": op5_decontamination, "op7_sharding": op7_sharding, "op9_quality": op9_quality, "op10_warc": op10_warc}
+QUERIES = {"op2_packing": op2_packing, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {}
