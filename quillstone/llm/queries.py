@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, packing, quality, sharding, substring, suffix_dedup, warc
+from quillstone.llm import decontaminate, jaccard, packing, quality, sharding, substring, suffix_dedup, warc
 from quillstone.llm.common import materialise
 
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +52,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc}
+QUERIES = {"op2_packing": op2_packing, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {}
