@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, jaccard, packing, quality, sharding, substring, suffix_dedup, warc
+from quillstone.llm import decontaminate, hash_search, jaccard, maxent, packing, quality, sharding, substring, suffix_dedup, warc
 from quillstone.llm.common import materialise
 
 
@@ -18,10 +19,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hash_search.sign_code(F.col("embedding")).alias("code"))
+    found = hash_search.search(vectors, vectors.where("id % 100 = 0"), k=10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -52,5 +63,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_hash_search": op1_hash_search, "op2_packing": op2_packing, "op3_maxent": op3_maxent, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {
+    "op1_hash_search": """
+        WITH d AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+                   list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] >= 0) <> (v.embedding[i] >= 0) THEN 1 ELSE 0 END))::BIGINT AS distance
+            FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d)
+        SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+    """,
+}
