@@ -1,6 +1,6 @@
 """WARC archives as a chunked record table.
 
-An archive is a table (record_no, chunk_no, data, digest_so_far): the bytes of a record, header, payload and end, are its data
+An archive is a table (record_no, chunk_no, chunks, data, digest_so_far): the bytes of a record, header, payload and end, are its data
 in the order of chunk_no. A payload of any size passes through in pieces of chunk_bytes, both ways; the SHA-1 of the
 payload is carried along, and every row holds its value so far, so that a damaged chunk is found where it lies.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARCHIVE = "record_no long, chunk_no int, data binary, digest_so_far string"
+ARCHIVE = "record_no long, chunk_no int, chunks int, data binary, digest_so_far string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _FLUSH = 4 << 20
 _END = b"\r\n\r\n"
@@ -73,8 +73,8 @@ def _write(chunk_bytes: int) -> Callable:
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["record_no", "chunk_no", "data", "digest_so_far"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["record_no", "chunk_no", "chunks", "data", "digest_so_far"])
 
         for batch in batches:
             cols = [batch[c] for c in ("record_no", "page_id", "url", "payload", "sha1", "payload_bytes", "refers_to")]
@@ -82,13 +82,14 @@ def _write(chunk_bytes: int) -> Callable:
                 no, page, url, payload, sha1, size, refers = (c[i].as_buffer() if k == 3 else c[i].as_py() for k, c in enumerate(cols))
                 body = memoryview(payload) if refers is None else memoryview(b"")
                 ahead, digest, chunk_no, at = header(page, url, sha1, size, refers, no), hashlib.sha1(usedforsecurity=False), 0, 0
+                total = max(1, -(-(len(ahead) + len(body)) // chunk_bytes))
                 while True:
                     piece = body[at : at + max(1, chunk_bytes - len(ahead))]
                     at += len(piece)
                     digest.update(piece)
                     last = at >= len(body)
                     data = b"".join((ahead, piece, _END if last else b""))
-                    rows.append((no, chunk_no, data, base32(digest.digest())))
+                    rows.append((no, chunk_no, total, data, base32(digest.digest())))
                     held, chunk_no, ahead = held + len(data), chunk_no + 1, b""
                     if held >= _FLUSH or len(rows) >= 8192:
                         yield flush()
@@ -180,8 +181,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archive(table: DataFrame) -> DataFrame:
-    """RECORDS of an archive table. Fails on a damaged one: a chunk that lacks, a digest or a length that differs."""
-    return table.repartition("record_no").sortWithinPartitions("record_no", "chunk_no").mapInArrow(_read, RECORDS)
+    """RECORDS of an archive table; only records of more than one chunk are shuffled, to meet their chunks. Fails on a damaged one: a chunk that lacks, a digest or a length that differs."""
+    whole = table.where("chunks = 1")
+    long = table.where("chunks > 1").repartition("record_no").sortWithinPartitions("record_no", "chunk_no")
+    return whole.mapInArrow(_read, RECORDS).unionByName(long.mapInArrow(_read, RECORDS))
 
 
 def copy_to(chunks: Iterable, out: BinaryIO) -> int:
