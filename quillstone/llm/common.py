@@ -47,9 +47,18 @@ def in_chunks(docs: DataFrame, n_chunks: int, id_column: str = "doc_id") -> Data
     return docs.withColumn("chunk", F.pmod(F.xxhash64(F.col(id_column)), F.lit(n_chunks)))
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """The rows of a chunk in the order of doc_id and text, so that every pass over it numbers them alike."""
+    ids, texts = table["doc_id"].to_pylist(), table["text"].to_pylist()
+    return table.take(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")))
+
+
+def texts_of(table: pa.Table | pa.RecordBatch) -> list[bytes]:
+    """UTF-8 texts; a null text is empty."""
+    return [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
+
+
 def ordered_texts(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    """Ids and UTF-8 texts of a chunk in the order of id and text; a null text is empty."""
-    ids = table["doc_id"].to_pylist()
-    texts = table["text"].cast(pa.binary()).to_pylist()
-    rows = sorted(zip(ids, (t or b"" for t in texts), strict=True))
-    return [r[0] for r in rows], [r[1] for r in rows]
+    """Ids and texts of a chunk in order."""
+    table = in_order(table)
+    return table["doc_id"].to_pylist(), texts_of(table)

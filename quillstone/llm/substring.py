@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.llm import text as tx
 from quillstone.llm.windows import Tokens, Windows, mark_windows, masks_by_class, named_rows, padded
@@ -68,28 +69,25 @@ def _kept_words(texts: list[bytes], c: Tokens, covered: np.ndarray) -> list[byte
     return [text[i : max(i, j - 1)] for i, j in zip(cuts, cuts[1:])]
 
 
-def _digest(ids: list[int], texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
+def _digest(rows: pa.Table, texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
     kept = _kept_words(texts, c, covered)
     gone = np.append(0, np.cumsum(covered))[c.bounds]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(c.bounds)), "n_removed": pa.array(np.diff(gone)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])})
+    return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(np.diff(c.bounds)), "n_removed": pa.array(np.diff(gone)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])})
 
 
-def _lean(ids: list[int], texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
-    """Texts as they were where nothing goes, else their kept words."""
+def _lean(rows: pa.Table, texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
+    """Rows with texts as they were where nothing goes, else their kept words (a null text becomes empty)."""
     gone = np.diff(np.append(0, np.cumsum(covered))[c.bounds])
     kept = _kept_words(texts, c, covered)
     out = [(k if g else t).decode() for k, g, t in zip(kept, gone, texts, strict=True)]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(out, pa.string()), "n_removed": pa.array(gone)})
+    rest = {c: rows[c] for c in rows.column_names if c == "rest"}
+    return pa.table({"doc_id": rows["doc_id"], "text": pa.array(out, pa.string()), "n_removed": pa.array(gone)} | rest)
 
 
 def _windows(width: int) -> Windows:
     return Windows(width, max(1, (2 * width) // 5, width - 63))
 
 
-def _run(docs: DataFrame, width: int, finish: Callable, schema: str) -> DataFrame:
-    return mark_windows(named_rows(docs), _windows(width), word_tokens, _seed_bucket, mark_extended, "<u8", finish, schema)
-
-
 def removal_digests(docs: DataFrame, width: int = 13) -> DataFrame:
     """SCHEMA: each document's words, those removed, and the SHA-256 of the words kept, joined by one space.
 
@@ -98,18 +96,20 @@ def removal_digests(docs: DataFrame, width: int = 13) -> DataFrame:
     text has no words. Rows that repeat a doc_id don't lose words to each other. Texts may have any length, an empty table gives an
     empty result, and other columns are not read.
     """
-    return _run(docs, width, _digest, SCHEMA)
+    return mark_windows(named_rows(docs), _windows(width), word_tokens, _seed_bucket, mark_extended, "<u8", _digest, SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, text, n_removed of each document, its repeated words removed as in removal_digests. Untouched texts stay as they are."""
-    return _run(docs, width, _lean, "doc_id long, text string, n_removed long")
+    """The rows of docs, in its columns, without their repeated words as in removal_digests, and n_chars to match.
 
-
-def apply_to(docs: DataFrame, width: int = 50) -> DataFrame:
-    """The rows of docs, in its columns, with lean texts and n_chars to match; a text that is all repeats becomes empty. Ids must be unique."""
-    lean = remove_repeats(docs, width).select(F.col("doc_id").alias("_lean_id"), F.col("text").alias("_lean"), F.col("n_removed").alias("_gone")).where("_gone > 0")
-    joined = docs.join(lean, docs["doc_id"] == lean["_lean_id"], "left")
-    text = F.when(F.col("_gone") > 0, F.col("_lean")).otherwise(docs["text"])
-    new = {"text": text.alias("text")} | ({"n_chars": F.when(F.col("_gone") > 0, F.length("_lean").cast("long")).otherwise(docs["n_chars"]).alias("n_chars")} if "n_chars" in docs.columns else {})
-    return joined.select(*(new.get(c, docs[c]) for c in docs.columns))
+    What is kept of a text is joined by single spaces; texts that lose nothing stay as they are, one that is all repeats becomes empty. Rows
+    with a null doc_id stay as they are. Other columns may have any names.
+    """
+    typed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    rows = named_rows(typed, "rest")
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("n_removed", T.LongType()), *rows.schema.fields[2:]])
+    lean = mark_windows(rows, _windows(width), word_tokens, _seed_bucket, mark_extended, "<u8", _lean, schema)
+    columns = {c: F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(columns["n_chars"])
+    return lean.select(*(v.alias(c) for c, v in columns.items())).unionByName(typed.where("doc_id IS NULL"))

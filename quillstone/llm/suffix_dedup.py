@@ -108,9 +108,9 @@ def _range_bucket(sample: np.ndarray) -> Callable:
     return bucket
 
 
-def _digest(ids: list[int], texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
+def _digest(rows: pa.Table, texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
     out = []
-    for i, doc in enumerate(ids):
+    for i, doc in enumerate(c.ids):
         a, b = c.bounds[i], c.bounds[i + 1]
         gone = covered[a:b]
         kept = texts[i] if not gone.any() else c.tokens[a:b][~gone].tobytes()
@@ -120,9 +120,9 @@ def _digest(ids: list[int], texts: list[bytes], c: Tokens, covered: np.ndarray)
     return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _kept(ids: list[int], texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
+def _kept(rows: pa.Table, texts: list[bytes], c: Tokens, covered: np.ndarray) -> pa.Table:
     kept = [c.tokens[a:b][~covered[a:b]].tobytes() for a, b in zip(c.bounds, c.bounds[1:])]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.binary())})
+    return pa.table({"doc_id": rows["doc_id"], "kept": pa.array(kept, pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, digests: bool = False) -> DataFrame:

@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.llm import text as tx
-from quillstone.llm.common import chunk_count, in_chunks, ordered_texts
+from quillstone.llm.common import chunk_count, in_chunks, in_order, texts_of
 from quillstone.llm.exchange import tally, values
 
 _SLAB = 1 << 19
@@ -140,11 +141,11 @@ def mark_windows(
     bucket_for: Callable[[Tokens, np.ndarray, np.ndarray, int], np.ndarray],
     mark: Callable[[Windows, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray],
     token_type: str,
-    finish: Callable[[list[int], list[bytes], Tokens, np.ndarray], pa.Table],
-    schema: str,
+    finish: Callable[[pa.Table, list[bytes], Tokens, np.ndarray], pa.Table],
+    schema: str | T.StructType,
     chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """finish(ids, texts, tokens, covered) of each chunk of docs (doc_id, text), as rows of `schema`.
+    """finish(rows, texts, tokens, covered) of each chunk of docs (doc_id, text and columns that finish uses), as rows of `schema`.
 
     bucket_for(tokens, anchors, seeds, n) deals anchors to n buckets by what follows them; mark(win, doc, before, count, content) gives, for
     blocks of a bucket, 64-bit masks of their windows that start in a document with a smaller id.
@@ -153,9 +154,10 @@ def mark_windows(
     n_buckets = n_chunks
     chunks = in_chunks(docs, n_chunks)
 
-    def load(table: pa.Table) -> tuple[list[int], list[bytes], Tokens]:
-        ids, texts = ordered_texts(table)
-        return ids, texts, tokens_of(ids, texts)
+    def load(table: pa.Table) -> tuple[pa.Table, list[bytes], Tokens]:
+        table = in_order(table)
+        texts = texts_of(table)
+        return table, texts, tokens_of(table["doc_id"].to_pylist(), texts)
 
     def seeds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, _, c = load(table)
@@ -209,7 +211,7 @@ def mark_windows(
         return _blob_table(out).drop_columns(["bucket"])
 
     def cover(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, c = load(left)
+        rows, texts, c = load(left)
         diff = np.zeros(len(c.tokens) + 1, np.int64)
         masks = {}
         occurrences = None
@@ -232,7 +234,7 @@ def mark_windows(
                 s = start[(mask >> np.uint64(j) & np.uint64(1)) == 1] + j
                 np.add.at(diff, s, 1)
                 np.add.at(diff, s + win.width, -1)
-        return finish(ids, texts, c, np.cumsum(diff[:-1]) > 0)
+        return finish(rows, texts, c, np.cumsum(diff[:-1]) > 0)
 
     answers = tally(chunks, seeds, n_buckets, lambda total: np.minimum(total, 2).astype(np.uint8), "<u4")
     grouped = chunks.groupBy("chunk")
@@ -270,6 +272,8 @@ def masks_by_class(win: Windows, doc: np.ndarray, before: np.ndarray, count: np.
     return masks
 
 
-def named_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, without rows whose id is null: those name no document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+def named_rows(docs: DataFrame, rest: str | None = None) -> DataFrame:
+    """doc_id and text, and all other columns as a struct `rest` if it's named; without rows whose id is null: those name no document."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if rest else []
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*others).alias(rest)] if others else []))
+    return named.where("doc_id IS NOT NULL")
