@@ -7,6 +7,7 @@ padded. Training takes batches from one length bucket at a time (`length` is the
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,36 +17,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm import text as tx
+from quillstone.llm.common import in_parts
+
 LONGEST, END_ID = 4096, 2
 
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+#: A word of plain letters (ASCII, Latin-1), which stay letters when they're composed and put in lower case, and a run of ASCII marks after them.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
 
 
-class WordCache(dict):
-    """Ids (little-endian unsigned 32-bit) of white-space-delimited words.
+class Encoder:
+    """Token ids of many texts at once, by way of their distinct words.
 
     The vocabulary's pre-tokenizer drops white space and never joins what it separates, and its normalizer (composition,
-    lower case) doesn't look across it, so a text's ids are its words' ids one after another. Emptied when it holds `most` words.
+    lower case) doesn't look across it, so a text's ids are its words' ids one after another. It also cuts between letters and marks,
+    so plain words are encoded by their letters, many in one call: each run of letters ends with a token that ends a word. The ids of
+    letters and marks are kept for later texts, in tables that are emptied when they hold more than `most` entries. Words of a
+    batch are told apart by 64-bit hashes.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def encode(self, text: str) -> np.ndarray:
-        words = _SPACES.split(text)
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self[w] = np.asarray(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+        self.light = Tokenizer.from_file(path)  # for runs of lower-case letters between spaces, which its own rules leave as they are
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        parts = (words[i : i + 4096] for i in range(0, len(words), 4096))
+        return [np.asarray(e.ids, "<u4").tobytes() for part in parts for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+
+    def _learn_letters(self, runs: set[str]) -> None:
+        new = runs - self.letters.keys()
+        if len(self.letters) + len(new) > self.most:
+            self.letters.clear()
+            new = runs
+        new = list(new)
+        groups = [new[i : i + 512] for i in range(0, len(new), 512)]
+        for group, e in zip(groups, self.light.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.letters.update(zip(group, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+
+    def _learn_marks(self, runs: set[str]) -> None:
+        new = runs - self.marks.keys()
+        if len(self.marks) + len(new) > self.most:
+            self.marks = {"": b""}
+            new = runs - {""}
+        self.marks.update(zip(new, self._alone(list(new)), strict=True))
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids, little-endian unsigned 32-bit, of each word."""
+        plain = [m.groups() if m else None for m in map(_PLAIN.fullmatch, words)]
+        runs = [p[0].lower() if p else "" for p in plain]
+        self._learn_letters({r for r in runs if r})
+        self._learn_marks({p[1] for p in plain if p})
+        other = iter(self._alone([w for w, p in zip(words, plain, strict=True) if not p]))
+        letters, marks = self.letters, self.marks
+        return [letters[r] + marks[p[1]] if p else next(other) for r, p in zip(runs, plain, strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
+        buf, bounds = tx.joined(texts)
+        a, b = tx.word_spans(buf)
+        if not len(a):
+            return [np.zeros(0, "<u4")] * len(texts)
+        _, first, at = np.unique(tx.span_hashes(buf, a, b), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        known = self.words([raw[i:j].decode() for i, j in zip(a[first].tolist(), b[first].tolist())])
+        pool = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        each = size[at]
+        ids = pool[tx.gather((np.cumsum(size) - size)[at], each)]
+        cuts = np.append(0, np.cumsum(each))[np.searchsorted(a, bounds)]
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each file and Python process, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -53,29 +116,23 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << i for i in range(longest.bit_length() - 2, -1, -1) if n % longest >> i & 1]
 
 
-def _pack(encode: Callable[[], WordCache], end_id: int | None, longest: int, ids: bool) -> Callable:
+def _pack(path: str, end_id: int | None, longest: int, with_ids: bool) -> Callable:
+    end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+
+    def rows(doc: int | None, raw: bytes) -> Iterator[tuple]:
+        start, total = 0, len(raw) // 4
+        for n in lengths(total, longest):
+            piece = raw[4 * start : 4 * (start + n)]
+            yield (doc, start, n, zlib.crc32(piece), total, *([np.frombuffer(piece, "<u4").tolist()] if with_ids else []))
+            start += n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = None
-        for batch in batches:
-            cache = cache or encode()
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else []))}
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    tokens = cache.encode(text or "")
-                    if end_id is not None:
-                        tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
-                    raw, start = tokens.tobytes(), 0
-                    for n in lengths(len(tokens), longest):
-                        piece = raw[4 * start : 4 * (start + n)]
-                        row = {"doc_id": doc, "start": start, "length": n, "ids_crc32": zlib.crc32(piece), "doc_tokens": len(tokens)}
-                        for k, v in row.items():
-                            out[k].append(v)
-                        if ids:
-                            out["ids"].append(tokens[start : start + n].tolist())
-                        start += n
-                types = {k: pa.int64() for k in out} | ({"ids": pa.list_(pa.int32())} if ids else {})
-                yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], names=list(out))
+        types = [pa.int64()] * 5 + ([pa.list_(pa.int32())] if with_ids else [])
+        for docs, texts, _ in in_parts(batches, 8 << 20):
+            out = [r for doc, ids in zip(docs, encoder(path).encode(texts), strict=True) for r in rows(doc, ids.tobytes() + end)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
 
@@ -92,5 +149,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID, long
         raise ValueError("longest must be a power of two")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = rows.mapInArrow(_pack(lambda: WordCache(tokenizer_path), end_id, longest, with_ids), schema)
+    pieces = rows.mapInArrow(_pack(tokenizer_path, end_id, longest, with_ids), schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

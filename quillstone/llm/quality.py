@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import text as tx
+from quillstone.llm.common import in_parts
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "sd_word", "upper", "digit", "symbol", "bang", "pipe", "stop", "comma", "lines", "beyond_ascii",
@@ -151,21 +152,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     return Trees(feature, threshold, leaf, base)
 
 
-def _in_parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[list, list[bytes], pa.RecordBatch]]:
-    """Parts of a batch with about `most` bytes of text."""
-    for batch in batches:
-        texts = [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
-        at = held = 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= most or i == len(texts) - 1:
-                yield batch["doc_id"].slice(at, i + 1 - at).to_pylist(), texts[at : i + 1], batch.slice(at, i + 1 - at)
-                at, held = i + 1, 0
-
-
 def _score(model: Trees) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, part in _in_parts(batches):
+        for _, texts, part in in_parts(batches):
             rest = [part.column(i) for i in range(part.num_columns)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(model.score(statistics(texts)))], names=[*part.schema.names, "score"])
 
@@ -173,7 +162,7 @@ def _score(model: Trees) -> Callable:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts, part in _in_parts(batches):
+    for _, texts, part in in_parts(batches):
         x = statistics(texts)
         yield pa.RecordBatch.from_arrays([part["quality"], pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
@@ -216,7 +205,7 @@ def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
     kind = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, part in _in_parts(batches):
+        for _, texts, part in in_parts(batches):
             yield part.filter(pa.array(model.score(statistics(texts)) >= 0.5))
 
     return kind.mapInArrow(run, kind.schema)
