@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,20 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches hold `most` bytes at most, unless the session sets a limit: ten thousand long texts would not fit a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > 1 << 28:
+        spark.conf.set(key, str(most))
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: workers live on from task to task, and so would the peaks of each."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -37,9 +54,9 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def chunk_count(docs: DataFrame, column: str, chunk_bytes: int) -> int:
-    """Chunks of about chunk_bytes of text, and at least twice as many as shuffle partitions, for even tasks."""
-    return max(2 * partitions(docs.sparkSession), math.ceil(text_bytes(docs, column) / chunk_bytes))
+def chunk_count(docs: DataFrame, column: str, chunk_bytes: int, least: int = 2) -> int:
+    """Chunks of about chunk_bytes of text, and at least `least` times as many as shuffle partitions, for even tasks."""
+    return max(least * partitions(docs.sparkSession), math.ceil(text_bytes(docs, column) / chunk_bytes))
 
 
 def in_chunks(docs: DataFrame, n_chunks: int, id_column: str = "doc_id") -> DataFrame:
@@ -62,3 +79,17 @@ def ordered_texts(table: pa.Table) -> tuple[list[int], list[bytes]]:
     """Ids and texts of a chunk in order."""
     table = in_order(table)
     return table["doc_id"].to_pylist(), texts_of(table)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[list, list[bytes], pa.RecordBatch]]:
+    """Ids, texts and rows of parts of the batches, each with about `most` bytes of text, or one longer text."""
+    for batch in batches:
+        texts, at, held = texts_of(batch), 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= most or i == len(texts) - 1:
+                part = batch.slice(at, i + 1 - at)
+                yield part["doc_id"].to_pylist(), texts[at : i + 1], part
+                at, held = i + 1, 0
+        del texts
+        release_memory()

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillstone.llm.common import release_memory
+
 ANSWER = "chunk long, bucket int, payload binary"
 
 
@@ -39,6 +41,7 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
         used = np.flatnonzero(np.diff(cuts))
         kind = np.min_scalar_type(int(counts.max())) if len(counts) else np.dtype("u1")
         small, counts = keys.astype(key_type), counts.astype(kind)
+        release_memory()
         part = lambda a: [a[cuts[b] : cuts[b + 1]].tobytes() for b in used]
         same = lambda v, t: pa.array([v] * len(used), t)
         return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": same(table["chunk"][0].as_py(), pa.int64()), "width": same(kind.itemsize, pa.int32()), "keys": pa.array(part(small), pa.binary()), "counts": pa.array(part(counts), pa.binary())})

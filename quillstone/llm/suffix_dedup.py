@@ -21,9 +21,11 @@ from quillstone.llm import text as tx
 from quillstone.llm.windows import Tokens, Windows, blocks_of, mark_windows, masks_by_class, named_rows, padded
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Ranges for each bucket of the shuffle.
+RANGES = 1
 #: Documents that the splitters are sampled from, and suffixes of each, at most.
 SAMPLE_DOCS, SAMPLE_SUFFIXES = 2_000, 32
-_LEAD = 8
+_LEAD = 16
 
 
 def byte_tokens(ids: list[int], texts: list[bytes]) -> Tokens:
@@ -32,13 +34,11 @@ def byte_tokens(ids: list[int], texts: list[bytes]) -> Tokens:
     return Tokens(ids, np.unique(np.asarray(ids, np.int64), return_inverse=True)[1], np.frombuffer(b"".join(texts), np.uint8), bounds)
 
 
-def leads(tokens: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """The first eight bytes of suffixes as numbers in the bytes' order; zeros beyond the end."""
-    out = np.zeros(len(anchors), np.uint64)
-    for i in range(_LEAD):
-        at = anchors + i
-        out = out << np.uint64(8) | np.where(at < len(tokens), tokens[np.minimum(at, len(tokens) - 1)], 0).astype(np.uint64)
-    return out
+def leads(tokens: np.ndarray, anchors: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes of suffixes, which compare as bytes; no more than a seed's, as those are equal wherever windows are."""
+    at = anchors[:, None] + np.arange(n)
+    rows = tokens[at]
+    return np.ascontiguousarray(rows).view(f"S{n}").ravel()
 
 
 def multikey_sort(words: np.ndarray) -> np.ndarray:
@@ -94,16 +94,16 @@ def sample_splitters(docs: DataFrame, win: Windows) -> np.ndarray:
                 c = byte_tokens([0], [text or b""])
                 b = blocks_of(c, win)
                 some = b.anchor[np.argsort(b.seed)[:SAMPLE_SUFFIXES]]
-                yield pa.RecordBatch.from_arrays([pa.array(leads(c.tokens, some).view(np.int64))], names=["lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(leads(c.tokens, some, min(_LEAD, win.seed)).tolist(), pa.binary())], names=["lead"])
 
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(4 * SAMPLE_DOCS)
-    return np.sort(np.array(few.mapInArrow(sample, "lead long").toArrow()["lead"].to_numpy()).view(np.uint64))
+    return np.sort(np.array(few.mapInArrow(sample, "lead binary").toArrow()["lead"].to_pylist(), f"S{_LEAD}"))
 
 
-def _range_bucket(sample: np.ndarray) -> Callable:
+def _range_bucket(sample: np.ndarray, win: Windows) -> Callable:
     def bucket(c: Tokens, anchors: np.ndarray, _: np.ndarray, n: int) -> np.ndarray:
-        cuts = np.unique(sample[np.linspace(0, len(sample) - 1, n + 1).astype(int)[1:-1]]) if len(sample) else sample
-        return np.searchsorted(cuts, leads(c.tokens, anchors), "right")
+        cuts = np.unique(sample[np.linspace(0, len(sample) - 1, RANGES * n + 1).astype(int)[1:-1]]) if len(sample) else sample
+        return np.searchsorted(cuts, leads(c.tokens, anchors, min(_LEAD, win.seed)), "right")
 
     return bucket
 
@@ -134,6 +134,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, digests: bool = False) -> D
     """
     win = Windows(width, max(1, width // 2 - 1))
     docs = named_rows(docs)
-    bucket = _range_bucket(sample_splitters(docs, win))
+    bucket = _range_bucket(sample_splitters(docs, win), win)
     finish, schema = (_digest, SCHEMA) if digests else (_kept, "doc_id long, kept binary")
     return mark_windows(docs, win, byte_tokens, bucket, mark_sorted, "u1", finish, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm import text as tx
-from quillstone.llm.common import chunk_count, in_chunks, in_order, texts_of
+from quillstone.llm.common import bound_batches, chunk_count, in_chunks, in_order, release_memory, texts_of
 from quillstone.llm.exchange import tally, values
 
 _SLAB = 1 << 19
@@ -150,11 +150,13 @@ def mark_windows(
     bucket_for(tokens, anchors, seeds, n) deals anchors to n buckets by what follows them; mark(win, doc, before, count, content) gives, for
     blocks of a bucket, 64-bit masks of their windows that start in a document with a smaller id.
     """
+    bound_batches(docs.sparkSession)
     n_chunks = chunk_count(docs, "text", chunk_bytes)
     n_buckets = n_chunks
     chunks = in_chunks(docs, n_chunks)
 
     def load(table: pa.Table) -> tuple[pa.Table, list[bytes], Tokens]:
+        release_memory()  # of the chunk before
         table = in_order(table)
         texts = texts_of(table)
         return table, texts, tokens_of(table["doc_id"].to_pylist(), texts)
@@ -192,14 +194,17 @@ def mark_windows(
         for lo, hi in zip(cuts, np.append(cuts[1:], len(by))):
             n = by[lo:hi]
             f = first[n]
-            rows.append((int(bucket[n[0]]), chunk, 1, n.astype("<u4").tobytes(), ids[doc[f]].astype("<i8").tobytes(), (anchor - start)[f].astype("u1").tobytes(), count[f].astype("u1").tobytes(), c.tokens[tx.gather(start[f], size[f])].astype(token_type).tobytes()))
+            rows.append((int(bucket[n[0]]), chunk, 1, n.astype("<u4").tobytes(), ids[doc[f]].astype("<i8").tobytes(), (anchor - start)[f].astype("u1").tobytes(), count[f].astype("u1").tobytes(), pa.compress(c.tokens[tx.gather(start[f], size[f])].astype(token_type).tobytes(), "zstd", asbytes=True)))
         return _blob_table(rows)
 
     def resolve(table: pa.Table) -> pa.Table:
         if table["kind"][0].as_py() == 0:
             return table.drop_columns(["bucket"])
         col = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        number, doc, before, count, content = (col(*x) for x in (("number", "<u4"), ("doc", "<i8"), ("before", "u1"), ("count", "u1"), ("content", token_type)))
+        number, doc, before, count = (col(*x) for x in (("number", "<u4"), ("doc", "<i8"), ("before", "u1"), ("count", "u1")))
+        tokens = [int(c.sum(dtype=np.int64)) + len(c) * (win.width - 1) for c in count]
+        packed = zip(table["content"].to_pylist(), tokens, strict=True)
+        content = [np.frombuffer(pa.decompress(x, n * np.dtype(token_type).itemsize, "zstd", asbytes=True), token_type) for x, n in packed]
         masks = mark(win, np.concatenate(doc), np.concatenate(before).astype(np.int64), np.concatenate(count).astype(np.int64), np.concatenate(content))
         out, at = [], 0
         for chunk, n in zip(table["chunk"].to_pylist(), number):
