@@ -1 +1 @@
-"""TODO"""
+"""Column functions and fixed values."""

@@ -1 +1 @@
-"""TODO"""
+"""Operators on DataFrames."""

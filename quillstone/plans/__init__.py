@@ -1 +1 @@
-"""TODO"""
+"""Whole jobs, records and exports."""

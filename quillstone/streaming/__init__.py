@@ -1 +1 @@
-"""TODO"""
+"""Structured Streaming over arriving batches."""
