@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import bound_batches, materialise, release_memory
+
 #: Errors allowed: this share of an item's characters. Items under LEAST characters are too short to tell and match nothing.
 ERROR_RATE, LEAST = 0.08, 32
 #: Characters of test items in one automaton; more items than that are matched in blocks, one pass over the documents each.
@@ -117,6 +119,7 @@ def _find(items: list[tuple[int, str]], error_rate: float, least: int) -> Callab
             if found:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "errors", "allowed", "end"])
+            release_memory()
 
     return run
 
@@ -143,8 +146,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     null id or text, and items shorter than `least`, match nothing. Rows that repeat an id: a document repeats its matches, an
     item counts by its closest row. Whole texts of any length are searched; other columns are not read.
     """
-    from quillstone.llm.common import materialise
-
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     parts, last = [], None
     for items in blocks(benchmark, block_chars):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import text as tx
-from quillstone.llm.common import chunk_count, in_chunks, materialise, ordered_texts
+from quillstone.llm.common import bound_batches, chunk_count, in_chunks, materialise, ordered_texts, release_memory
 from quillstone.llm.exchange import tally, values
 from quillstone.llm.graph import components
 from quillstone.llm.windows import named_rows
@@ -65,6 +65,7 @@ SETS = "doc_id long, n long, h1 long, h2 long, tokens array<long>, places array<
 
 def _prefixes(words: int, percent: int, lower: bool):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        release_memory()  # of the chunk before
         ids, texts = ordered_texts(left)
         doc, h = shingle_sets(texts, words, lower)
         n = np.bincount(doc, minlength=len(ids))
@@ -117,14 +118,16 @@ def _whole_sets(words: int, lower: bool):
 
 
 def _linked(percent: int):
+    def links(x: pa.Scalar, y: pa.Scalar) -> bool:
+        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = pa.array([links(x, y) for x, y in zip(batch["x"], batch["y"], strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(keep)
+            release_memory()
 
     return run
 
@@ -175,6 +178,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower
     apart by 64-bit hashes. Rows with a null doc_id name no document and are left out. Rows that share a doc_id are one
     node, linked by any of its texts, and each is returned. An empty table gives an empty result; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     docs = named_rows(docs)
     sets = materialise(prefix_sets(docs, words, percent, lower, chunk_bytes), "jaccard-sets")
     same = ["n", "h1", "h2"]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import text as tx
-from quillstone.llm.common import in_parts
+from quillstone.llm.common import bound_batches, in_parts
 
 LONGEST, END_ID = 4096, 2
 
@@ -36,7 +36,7 @@ class Encoder:
     batch are told apart by 64-bit hashes.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -129,7 +129,7 @@ def _pack(path: str, end_id: int | None, longest: int, with_ids: bool) -> Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + ([pa.list_(pa.int32())] if with_ids else [])
-        for docs, texts, _ in in_parts(batches, 8 << 20):
+        for docs, texts, _ in in_parts(batches, 3 << 20):
             out = [r for doc, ids in zip(docs, encoder(path).encode(texts), strict=True) for r in rows(doc, ids.tobytes() + end)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID, long
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.mapInArrow(_pack(tokenizer_path, end_id, longest, with_ids), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import text as tx
-from quillstone.llm.common import in_parts
+from quillstone.llm.common import bound_batches, in_parts
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "sd_word", "upper", "digit", "symbol", "bang", "pipe", "stop", "comma", "lines", "beyond_ascii",
@@ -177,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **opti
 
     At most most_rows ids are broadcast and as many rows of statistics reach the driver; nothing else does.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("quality"))
     known = known.where(F.col("quality").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
@@ -195,6 +196,7 @@ def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
     A null text counts as empty, an empty text has the score of zero statistics; a null doc_id stays null. Repeated rows get equal
     scores; other columns of docs are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_score(model), "doc_id long, text string, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -202,6 +204,7 @@ def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
     """The rows of docs, with all their columns, that the model doesn't reject."""
+    bound_batches(docs.sparkSession)
     kind = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

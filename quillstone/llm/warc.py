@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import bound_batches
+
 ARCHIVE = "record_no long, chunk_no int, chunks int, data binary, digest_so_far string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _FLUSH = 4 << 20
@@ -110,6 +112,7 @@ def archive(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = 256 << 10
     there is one and is never referred to. Rows repeated with their id are each a record of the same type. Payloads under least_bytes are
     all responses. An empty table gives an empty archive; other columns are not read.
     """
+    bound_batches(pages.sparkSession)
     rows = plan_records(pages, least_bytes).withColumn("record_no", F.monotonically_increasing_id())
     return rows.mapInArrow(_write(chunk_bytes), ARCHIVE)
 
@@ -182,6 +185,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archive(table: DataFrame) -> DataFrame:
     """RECORDS of an archive table; only records of more than one chunk are shuffled, to meet their chunks. Fails on a damaged one: a chunk that lacks, a digest or a length that differs."""
+    bound_batches(table.sparkSession)
     whole = table.where("chunks = 1")
     long = table.where("chunks > 1").repartition("record_no").sortWithinPartitions("record_no", "chunk_no")
     return whole.mapInArrow(_read, RECORDS).unionByName(long.mapInArrow(_read, RECORDS))
