@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import fixed
 from quillstone.functions import text as t
 from quillstone.operators import spans as sp
+from quillstone.operators.detect import all_rule_spans, find_spans
 
 MAPPING = "batch_id, surface, canonical, token, kind"
 
@@ -17,18 +18,13 @@ def detect(batches: DataFrame, detected: DataFrame | None = None, passages: bool
 
     detected: (batch_id, start, end, kind) of a model's valid suggestions; they are gathered by batch, which is bounded by its text.
     """
-    text = F.col("text")
-    parts = [sp.rule_spans(text)]
-    if "additional" in batches.columns:
-        parts.append(sp.additional_spans(text, F.col("additional")))
-    if detected is not None:
-        span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
-        found = detected.groupBy("batch_id").agg(F.collect_list(span).alias("_detected"))
-        batches = batches.join(found, "batch_id", "left")
-        parts.append(F.coalesce(F.col("_detected"), F.array().cast(f"array<{t.SPAN}>")))
-    first = batches.withColumn("_found", F.concat(*parts))
-    out = first.withColumn("spans", t.let(F.col("_found"), lambda found: sp.resolve(sp.propagate(text, found)))).drop("_found")
-    return out.drop("_detected") if detected is not None else out
+    listed = F.col("additional") if "additional" in batches.columns else None
+    if detected is None:
+        return batches.withColumn("spans", find_spans(F.col("text"), listed, propagate=True))
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
+    found = detected.groupBy("batch_id").agg(F.collect_list(span).alias("_detected"))
+    joined = batches.join(found, "batch_id", "left")
+    return joined.withColumn("spans", find_spans(F.col("text"), listed, F.col("_detected"), propagate=True)).drop("_detected")
 
 
 def assign_tokens(found: DataFrame) -> DataFrame:
@@ -67,7 +63,7 @@ def count_kinds(spans: Column) -> Column:
 
 def residual(text: Column) -> Column:
     """map<kind, count> of rule matches in a text that should have none."""
-    return count_kinds(sp.rule_spans(text))
+    return count_kinds(all_rule_spans(text))
 
 
 def pseudonymise(batches: DataFrame, detected: DataFrame | None = None) -> DataFrame:
@@ -82,7 +78,8 @@ def pseudonymise(batches: DataFrame, detected: DataFrame | None = None) -> DataF
     rows = found.join(tokens, "batch_id", "left").withColumns({"_tokens": F.coalesce("_tokens", none), "_kinds": F.coalesce("_kinds", none)})
     surface = F.array_distinct(F.transform("spans", lambda s: t.piece(F.col("text"), s["start"], s["end"])))
     mapping = F.transform(surface, lambda v: F.struct(v.alias("surface"), F.col("_tokens")[F.lower(v)].alias("token"), F.col("_kinds")[F.lower(v)].alias("kind")))
-    done = rows.select("batch_id", replace_spans(F.col("text"), F.col("spans"), F.col("_tokens")).alias("text"), count_kinds(F.col("spans")).alias("phi_hits"), mapping.alias("mapping"))
+    mapped = rows.withColumns({"mapping": mapping, "phi_hits": count_kinds(F.col("spans"))})  # before `text` is a new column: a lambda would take that one
+    done = mapped.select("batch_id", replace_spans(F.col("text"), F.col("spans"), F.col("_tokens")).alias("text"), "phi_hits", "mapping")
     return done.withColumn("residual_flags", residual(F.col("text")))
 
 

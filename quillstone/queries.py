@@ -12,6 +12,7 @@ from quillstone.functions import fixed
 from quillstone.functions import text as t
 from quillstone.operators import codebook, evidence, planning, pseudonym, readings
 from quillstone.operators import spans as sp
+from quillstone.operators.detect import find_spans
 from quillstone.plans import records
 from quillstone.sources import corpus, files, payload
 
@@ -83,13 +84,13 @@ def email_tokens(spark, sf_dir):
 
 @query(f"SELECT note_id, kind, start, start + length(value) AS stop, value FROM ({_SPANS})")
 def rule_spans(spark, sf_dir):
-    notes = corpus.notes(spark, sf_dir).select("note_id", "text", sp.resolve(sp.rule_spans(F.col("text"))).alias("spans"))
+    notes = corpus.notes(spark, sf_dir).select("note_id", "text", find_spans(F.col("text")).alias("spans"))
     return sp.explode_spans(notes, "spans", "text").select("note_id", "kind", long("start").alias("start"), long("end").alias("stop"), "value")
 
 
 @query(f"SELECT kind, count(*) AS hits FROM ({_SPANS}) GROUP BY kind")
 def phi_hits_by_kind(spark, sf_dir):
-    notes = corpus.notes(spark, sf_dir).select(F.explode(sp.resolve(sp.rule_spans(F.col("text")))).alias("s"))
+    notes = corpus.notes(spark, sf_dir).select(F.explode(find_spans(F.col("text"))).alias("s"))
     return notes.groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("hits"))
 
 
