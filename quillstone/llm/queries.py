@@ -64,6 +64,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_hash_search": op1_hash_search, "op2_packing": op2_packing, "op3_maxent": op3_maxent, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc}
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_CHAR = "substr('" + _BASE32 + "', 1 + CAST((v >> {shift}) & 31 AS INT), 1)"
+
 ORACLES: dict[str, str] = {
     "op1_hash_search": """
         WITH d AS (
@@ -73,4 +78,43 @@ ORACLES: dict[str, str] = {
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d)
         SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
     """,
+    "op4_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.o >= 90 * (x.n + y.n - o.o)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+    "op6_suffix_array": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, unnest(range(1, CAST(length(h) / 2 AS BIGINT) - 48)) AS i, h FROM h),
+        k AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 100)) AS k FROM w),
+        f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+        b AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN f USING (k) WHERE first < doc_id),
+        m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS z FROM b),
+        e AS (SELECT doc_id, p AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM m WHERE z IS NULL OR z > p + 1),
+        t AS (SELECT doc_id, p AS start, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM m WHERE q IS NULL OR q < p - 1),
+        g AS (SELECT t.doc_id, t.n, start, stop, coalesce(lag(stop) OVER (PARTITION BY t.doc_id ORDER BY t.n), 0) AS before, max(stop) OVER (PARTITION BY t.doc_id) AS last FROM t JOIN e ON e.doc_id = t.doc_id AND e.n = t.n),
+        c AS (SELECT h.doc_id, sum(stop - start + 1) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (start - 1 - before)), '' ORDER BY n) || substr(any_value(h), 2 * any_value(last) + 1) AS kept FROM g JOIN h ON h.doc_id = g.doc_id GROUP BY h.doc_id)
+        SELECT h.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(from_hex(coalesce(kept, h))) AS kept_sha256
+        FROM h LEFT JOIN c ON c.doc_id = h.doc_id
+    """,
+    "op8_substring": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+        f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+        b AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (k) WHERE first < doc_id),
+        g AS (SELECT doc_id, count(*) AS gone, list(p) AS p FROM b GROUP BY doc_id),
+        u AS (SELECT w.doc_id, len(w) AS n, coalesce(gone, 0) AS gone, CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE (SELECT coalesce(string_agg(x, ' ' ORDER BY i), '') FROM (SELECT unnest(w) AS x, generate_subscripts(w, 1) AS i) WHERE i NOT IN (SELECT p FROM b WHERE b.doc_id = w.doc_id)) END AS kept
+              FROM w LEFT JOIN g ON g.doc_id = w.doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(gone AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM u
+    """,
+    "op10_warc": f"""
+        WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(list_transform(range(0, 8), lambda k: CAST('0x' || substr(x, CAST(1 + 5 * k AS INT), 5) AS INT)), lambda v: {" || ".join(_CHAR.format(shift=k) for k in (15, 10, 5, 0))}), '') AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d
+    """,
 }
