@@ -586,7 +586,7 @@ def native_ocr_check(spark, sf_dir):
 
 _BOOK = """
     SELECT CAST(c_nationkey AS STRING) AS book_id, CAST(c_custkey AS BIGINT) AS ord, CASE c_custkey % 3 WHEN 0 THEN 'Enhet ' || CAST(c_custkey % 5 AS STRING) WHEN 1 THEN 'Enhet 1' ELSE 'Norra Enhet 1' END AS real,
-           'Kund ' || CAST(c_custkey % 11 AS STRING) || ' Påhittad' AS fake, CASE c_custkey % 2 WHEN 0 THEN 'ORG' ELSE 'PER' END AS type FROM customer
+           'Kund ' || CAST(c_custkey % 11 AS STRING) || ' Påhittad' AS fake, CASE c_custkey % 2 WHEN 0 THEN 'ORG' ELSE 'ADDRESS' END AS type FROM customer
 """
 
 
