@@ -31,7 +31,7 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches hold `most` bytes at most, unless the session sets a limit: ten thousand long texts would not fit a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > 1 << 28:
