@@ -104,7 +104,7 @@ def has_private_use(text: Column) -> Column:
 def strip_thinking(text: Column) -> Column:
     """A model's answer without its reasoning and without a code fence around it."""
     plain = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
-    fenced = plain.startswith("```") & plain.endswith("```") & (F.length(plain) > 3)
+    fenced = plain.startswith("```") & plain.endswith("```")
     lines = F.split(plain, r"\r\n|[\n\r]", -1)
     return F.when(fenced, strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))).otherwise(plain)
 

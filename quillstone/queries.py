@@ -749,3 +749,30 @@ def json_transcriptions(spark, sf_dir):
 def gt_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("patient"))
     return rows.agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.sum("n_chars") / F.sum(F.length("text")), 6).alias("ratio"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN '' ELSE 'Svar ' || o_orderkey END AS answer FROM orders")
+def think_strip(spark, sf_dir):
+    raw = F.expr("CASE o_orderkey % 4 WHEN 0 THEN '<think>a\\nb</think> Svar ' || o_orderkey WHEN 1 THEN '```text\\nSvar ' || o_orderkey || '\\n```' WHEN 2 THEN ' Svar ' || o_orderkey || '\\n' ELSE '```' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.strip_thinking(raw).alias("answer"))
+
+
+@query("SELECT c_custkey, 'A [1] [2], Kund' || c_custkey || 'x [1]' AS text FROM customer")
+def apply_mapping(spark, sf_dir):
+    name = F.concat(F.lit("Kund"), F.col("c_custkey").cast("string"))
+    mapping = F.array(F.struct(name.alias("surface"), F.lit("[1]").alias("token")), F.struct(F.concat(name, F.lit(" Berg")).alias("surface"), F.lit("[2]").alias("token")))
+    text = F.concat(F.lit("A "), name, F.lit(" "), name, F.lit(" Berg, "), name, F.lit("x "), name)
+    return table(spark, sf_dir, "customer").select("c_custkey", pseudonym.apply_mapping(text, mapping).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'a|b|c' ELSE 'b|c' END AS notes FROM orders")
+def review_notes(spark, sf_dir):
+    first = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("a")))
+    notes = records.review_notes(first, F.array(F.lit("b")), F.lit(None).cast("array<string>"), F.array(F.lit("c")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(notes, "|").alias("notes"))
+
+
+@query("SELECT user_id, count(*) AS files FROM (SELECT DISTINCT user_id, event_type, length(props) AS size FROM events) GROUP BY user_id")
+def upload_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), F.length("props").alias("size"), F.lit(0).alias("mtime"))
+    return payload.drop_repeated(rows, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("files"))

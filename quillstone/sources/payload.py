@@ -55,3 +55,13 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     status = F.when(F.col("error") == TOO_MUCH, 413).when(F.col("error").isNotNull(), 400)
     kept = F.transform("_files", lambda f: F.struct(f["filename"].alias("filename"), f["content"].alias("content")))
     return out.select("batch_id", "error", status.alias("status"), "text", kept.alias("files"), ids.alias("additional"), mode.alias("mode"), F.col("_bytes").alias("bytes"))
+
+
+def drop_repeated(uploads: DataFrame, keys: list[str]) -> DataFrame:
+    """One of the files of each request that have the same name, size and time of change."""
+    return uploads.dropDuplicates([*keys, "name", "size", "mtime"])
+
+
+def stored_name(job_id: str, index: int, filename: str) -> str:
+    """The name that a file is kept under: two of one name stay apart by their place."""
+    return f"{job_id}_{index:02d}_{filename}"
