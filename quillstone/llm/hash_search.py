@@ -23,9 +23,10 @@ _SALTS, _BLOCK = 16, 4096
 
 
 def sign_code(vector: Column) -> Column:
-    """64 sign bits of a vector of at most 64 numbers; a missing number counts as negative. Null for a null vector."""
+    """64 sign bits of a vector of at most 64 numbers, more are an error; a missing number counts as negative. Null for a null vector."""
     bit = F.transform(vector, lambda x, i: F.when(F.coalesce(x >= 0, F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a code has {BITS} bits")).cast("long")).otherwise(code)
 
 
 def _smallest_ids(codes: DataFrame, k: int) -> DataFrame:
