@@ -97,5 +97,6 @@ def entity_valid(kind: Column, value: Column, text: Column) -> Column:
 
 def explode_spans(df: DataFrame, spans: str, text: str) -> DataFrame:
     """A row for each span with its start, end, kind and value."""
-    rows = df.select("*", F.posexplode(spans).alias("span_no", "_s")).drop(spans)
-    return rows.select("*", "_s.start", "_s.end", "_s.kind", t.piece(F.col(text), F.col("_s.start"), F.col("_s.end")).alias("value")).drop("_s")
+    valued = t.let(F.col(text), lambda x: F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), t.piece(x, s["start"], s["end"]).alias("value"))))
+    rows = df.withColumn("_valued", valued).drop(spans)  # values first: a text that isn't asked for isn't repeated for each span
+    return rows.select(*(c for c in rows.columns if c != "_valued"), F.posexplode("_valued").alias("span_no", "_s")).select("*", "_s.start", "_s.end", "_s.kind", "_s.value").drop("_s")

@@ -54,7 +54,7 @@ _LABEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.KIND
     SELECT doc_id, CAST(span_no AS BIGINT) AS span_no, value, CAST(length(value) AS BIGINT) AS n_chars FROM e
 """)
 def email_spans(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.contains("text", F.lit("@")))
+    docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text").where(F.contains("text", F.lit("@")))
     rows = sp.explode_spans(docs.withColumn("spans", sp.rule_spans(F.col("text"), ("EMAIL",))), "spans", "text")
     return rows.select("doc_id", long("span_no").alias("span_no"), "value", long(F.col("end") - F.col("start")).alias("n_chars"))
 
@@ -229,13 +229,13 @@ def _chunk_sql(most: int) -> str:
     SELECT doc_id, CAST(n AS BIGINT) AS chunk_no, CAST(pos AS BIGINT) AS start, CAST(stop - pos AS BIGINT) AS n_chars, md5(substr(text, pos + 1, stop - pos)) AS digest FROM c
 """)
 def chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sp.chunks(F.col("text"))).alias("n", "c"))
+    rows = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.posexplode(sp.chunks(F.col("text"))).alias("n", "c"))
     return rows.select("doc_id", long("n").alias("chunk_no"), long("c.start").alias("start"), long(F.length("c.text")).alias("n_chars"), F.md5(F.col("c.text").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE length(text) > 0")
 def chunk_lossless(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("length(text) > 0")
+    rows = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").where("length(text) > 0")
     return rows.select("doc_id", F.array_join(F.transform(sp.chunks(F.col("text")), lambda c: c["text"]), "").alias("text"))
 
 
@@ -346,7 +346,7 @@ def validate_sentences(spark, sf_dir):
         '{"sentences": [{"text": "' + "ord " * 201 + '", "evidence": ["E0001"]}], "uncertainties": []}', '{"sentences": [', good % '"E0002", "E0001"',
     ]
     response = F.element_at(F.array(*map(F.lit, cases)), (F.col("o_orderkey") % 9 + 1).cast("int"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), response.alias("response"))
+    orders = corpus.spread(table(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("batch_id"), response.alias("response"))
     units = orders.select("batch_id", F.explode(F.array(F.lit("E0001"), F.lit("E0002"))).alias("id"))
     out = evidence.validate_responses(orders, units)
     return out.select("batch_id", "error", F.coalesce(long("words"), F.lit(-1)).cast("long").alias("words"), F.coalesce(long(F.size(F.get("sentences", F.lit(0))["evidence"])), F.lit(-1)).cast("long").alias("cited"))
@@ -368,7 +368,7 @@ def anti_placeholder(spark, sf_dir):
     SELECT doc_id, CAST(len(a) + len(b) AS BIGINT) AS tokens, array_to_string(list_sort(list_concat(a, b)), '|') AS sorted FROM h WHERE len(a) + len(b) > 0
 """)
 def critical_tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", t.critical_tokens(F.col("text")).alias("c")).where("size(c) > 0")
+    rows = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", t.critical_tokens(F.col("text")).alias("c")).where("size(c) > 0")
     return rows.select("doc_id", long(F.size("c")).alias("tokens"), F.array_join(F.array_sort("c"), "|").alias("sorted"))
 
 

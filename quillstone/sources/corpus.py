@@ -46,8 +46,14 @@ def expected_spans_sql(dialect: str = "spark") -> list[tuple[str, str, str]]:
     return [(kind, " + ".join(f"length({s})" for _, s in parts[:i]), sql) for i, (kind, sql) in enumerate(parts) if kind]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt out by a key if its table has fewer files than the session has cores: costly work would run in a few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """note_id, batch_id, doc_index, text: a note for each order; a customer's orders, by key, are the documents of a batch."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     index = "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS doc_index"
-    return orders.selectExpr("o_orderkey AS note_id", "o_custkey AS batch_id", index, f"{note_sql()} AS text")
+    return spread(orders, "o_custkey").selectExpr("o_orderkey AS note_id", "o_custkey AS batch_id", index, f"{note_sql()} AS text")
