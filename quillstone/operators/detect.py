@@ -78,6 +78,10 @@ def _found(text: pa.Array, additional: pa.Array, detected: pa.Array, batchwide:
     return _array(rows)
 
 
+#: Marked so that the optimizer neither runs it twice nor moves it below a shuffle, as it does with the filter that it infers for an explode.
+_found = _found.asNondeterministic()
+
+
 def find_spans(text: Column, additional: Column | None = None, detected: Column | None = None, propagate: bool = False) -> Column:
     """Resolved spans of all rules, of listed values and of detected spans; with propagate, of all other places of what was found too.
 
