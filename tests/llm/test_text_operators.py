@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,34 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.exp(logs).sum(1), 1)
 
 
+def test_each_history_has_its_own_weights():
+    words = [[f"w{(i * k) % 9973}" for i in range(1, 9000)] for k in (1, 7)]
+    t = maxent.Text.of(pa.table({"doc_id": [1, 2], "text": [" ".join(w) for w in words]}))
+    histories = []
+    for w in words:
+        w = [None] * 3 + w + ["end"]
+        for i in range(3, len(w)):
+            histories.append([(n, *(w[i - d] for d in f)) for n, f in enumerate(maxent.FEATURES)])
+    keys, at = t.contexts()
+    number = {}
+    want = np.array([[number.setdefault(h, len(number)) for h in x] for x in histories])
+    assert len(keys) == len(number) > 4 * 8192 and at.shape == want.shape
+    assert len(set(zip(at.ravel().tolist(), want.ravel().tolist(), strict=True))) == len(number)
+
+
+def test_weights_are_averaged_over_chunks():
+    keys, r = np.arange(1, 41, dtype=np.uint64) << np.uint64(57), np.random.default_rng(1)
+    uses, rows = r.integers(0, 3, (2, 40)), r.normal(size=(2, 40, 3)).astype(np.float16)
+    sent = [maxent._send(c, keys, uses[c], rows[c], 4) for c in (0, 1)]
+    table = pa.concat_tables(sent)
+    got = {0: [], 1: []}
+    for b in range(4):
+        for x in maxent._average(3)(table.filter(pa.compute.equal(table["bucket"], b))).to_pylist():
+            got[x["chunk"]].append(np.frombuffer(x["payload"], "<f2").reshape(-1, 3))
+    want = (uses[:, :, None] * rows.astype(float)).sum(0) / (uses.sum(0) + maxent._HALF)[:, None]
+    assert np.allclose(np.concatenate(got[0]), want, atol=2e-3) and np.allclose(np.concatenate(got[1]), want, atol=2e-3)
+
+
 def distance(p, t):
     row, best = list(range(len(p) + 1)), len(p)
     for c in t:
