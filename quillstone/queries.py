@@ -382,9 +382,21 @@ def number_tokens(spark, sf_dir):
     return rows.where(F.col("first").rlike(r"^\d{1,9}$"))
 
 
+@query()
+def number_tokens_all(spark, sf_dir):
+    """Every number of every document. Without SQL: DuckDB has no word boundaries of all alphabets and no look-around."""
+    docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", t.number_tokens(F.col("text")).alias("numbers"))
+    return docs.select("doc_id", F.posexplode("numbers").alias("n", "number")).select("doc_id", long("n").alias("n"), "number")
+
+
 _PAIRS = """SELECT a.conv_id, a.turn, a.text AS first, CASE a.turn % 4 WHEN 0 THEN a.text WHEN 1 THEN a.text || ' <5 mg' WHEN 2 THEN reverse(a.text) ELSE substr(a.text, 1, CAST(length(a.text) / 2 AS INT)) END AS second FROM conversations a"""
 
 
+def _pairs(spark, sf_dir) -> DataFrame:
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("_conversations")
+    return spark.sql(_PAIRS.replace("conversations", "_conversations").replace("length(a.text) / 2", "round(length(a.text) / 2 + 0.0000001)"))
+
+
 @query(
     "WITH p AS ("
     + _PAIRS
@@ -392,8 +404,7 @@ _PAIRS = """SELECT a.conv_id, a.turn, a.text AS first, CASE a.turn % 4 WHEN 0 TH
     + f" SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN '{fixed.READERS_DIFFER_CRITICAL}' WHEN wa <> wb THEN '{fixed.READERS_DIFFER_WORDS}' END AS warning, length(second) < length(first) * 0.65 AS short FROM w"
 )
 def reader_disagreement(spark, sf_dir):
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("_conversations")
-    rows = spark.sql(_PAIRS.replace("conversations", "_conversations").replace("length(a.text) / 2", "round(length(a.text) / 2 + 0.0000001)"))
+    rows = _pairs(spark, sf_dir)
     plain = ~F.col("first").rlike(r"(?U)\d") & ~F.lower(F.concat("first", F.lit(" "), F.reverse("first"))).rlike("(ingen|inga|inget|ej|inte|utan|nekar)")
     found = readings.disagreement(F.col("first"), F.col("second"), F.col("second"))
     out = rows.where(plain).select("conv_id", "turn", found.alias("w"))
@@ -401,6 +412,15 @@ def reader_disagreement(spark, sf_dir):
     return out.select("conv_id", "turn", tokens.alias("warning"), F.array_contains("w", fixed.READERS_DIFFER_COVERAGE).alias("short"))
 
 
+@query()
+def reader_disagreement_all(spark, sf_dir):
+    """Every turn, with numbers and negations too. Without SQL: DuckDB has no look-around."""
+    found = readings.disagreement(F.col("first"), F.col("second"), F.col("second"))
+    out = _pairs(spark, sf_dir).select("conv_id", "turn", found.alias("w"))
+    tokens = F.get(F.filter("w", lambda x: x != fixed.READERS_DIFFER_COVERAGE), F.lit(0))
+    return out.select("conv_id", "turn", tokens.alias("warning"), F.array_contains("w", fixed.READERS_DIFFER_COVERAGE).alias("short"))
+
+
 @query("""
     WITH d AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN repeat('Samma rad som upprepas helt' || chr(10), 5) WHEN 1 THEN repeat('Samma rad som upprepas helt' || chr(10), 4) WHEN 2 THEN repeat('kort' || chr(10), 9) WHEN 3 THEN 'x' || repeat('å', 20) ELSE repeat('ab', 30) END AS text FROM orders)
     SELECT o_orderkey, o_orderkey % 5 = 0 AS loop, o_orderkey % 5 = 3 AS degenerate FROM d

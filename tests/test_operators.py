@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -9,6 +10,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillstone import queries
+from quillstone.functions import fixed
 from quillstone.functions import text as t
 from quillstone.operators import codebook, evidence, planning, pseudonym, readings
 from quillstone.operators import spans as sp
@@ -115,6 +118,45 @@ def test_critical_tokens_and_disagreement(spark):
     assert one(spark, readings.disagreement(F.lit("CRP 5"), F.lit("crp 5"), F.lit("crp 5"))) == []
 
 
+def _numbers(text):
+    text, out, i = re.sub(r"\[[A-Z_0-9]+\]", "", text), [], 0
+    word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    run = lambda k: next((j for j in range(k, len(text)) if not text[j].isdecimal()), len(text))
+    while i < len(text):
+        end = 0
+        if text[i].isdecimal() and not word(i - 1):
+            whole = run(i)
+            part = run(whole + 1) if text[whole : whole + 1] in tuple(".,") else whole
+            end = next((e for e in ((part,) if part > whole + 1 else ()) + (whole,) if not word(e)), 0)
+        if end:
+            out.append(text[i:end])
+        i = end or i + 1
+    return out
+
+
+def test_numbers_of_whole_documents(spark, tmp_path):
+    texts = ["Hb 4,2 och 3.14, 12 mg", "x5 5x ä7 _8 9_ 1,2mg 1.2.3 7, 8.", "[NAME_01] 1234567890123 [EMAIL_02]3", "inga tal", "", "5", "1-2/3 (4) 5%", "٣٤ 2024-05-06"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.QUERIES["number_tokens_all"](spark, str(tmp_path)).select("doc_id", "n", "number").collect())
+    want = [(d, n, x) for d, text in enumerate(texts) for n, x in enumerate(_numbers(text))]
+    assert got == want and (0, 0, "4,2") in got and (1, 0, "1") in got
+
+
+def test_readers_of_all_turns(spark, tmp_path):
+    texts = ["CRP <5 mg, ej feber", "inte 4,2", "jej ninte utanför", "Utan 12 mmol/l och 3/4", "nekar  smärta", "vanlig text", "7", "5 mg 5 mg inga", "åäö ÅÄÖ"]
+    turns = [(c, k, x) for c, x in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    critical = re.compile(fixed.CRITICAL.replace("(?iuU)", "(?i)"))
+    tokens = lambda x: sorted(re.sub(r"\s+", "", m.lower()) for m in critical.findall(x))
+    want = []
+    for c, k, x in turns:
+        y = (x, x + " <5 mg", x[::-1], x[: int(len(x) / 2 + 0.5)])[k]
+        differ = fixed.READERS_DIFFER_CRITICAL if tokens(x) != tokens(y) else fixed.READERS_DIFFER_WORDS if re.findall(r"\w+", x.lower()) != re.findall(r"\w+", y.lower()) else None
+        want.append((c, k, differ, len(y) < len(x) * 0.65))
+    got = queries.QUERIES["reader_disagreement_all"](spark, str(tmp_path)).select("conv_id", "turn", "warning", "short").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len({w[2] for w in want}) == 3
+
+
 def _line(text, x0, y0, x1, y1):
     return {"text": text, "box": [x0, y0, x1, y1]}
 
