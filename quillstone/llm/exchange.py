@@ -27,12 +27,12 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
-def tally(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int, answer: Callable[[np.ndarray], np.ndarray], key_type: str = "<u8", summary: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def tally(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int, answer: Callable[[np.ndarray], np.ndarray], key_type: str = "<u8", summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """ANSWER rows: for each chunk and bucket, answer(sum of counts over all chunks) of each of the chunk's keys, in their order.
 
     keys_of(chunk) gives sorted distinct keys and their counts. With key_type '<u4' only the low 32 bits travel: a bucket's keys
-    that agree in them are taken for one, which suits filters and orderings but not counts that must be exact. With `summary`, each bucket also gives summary(sums of its
-    distinct keys) in a row of chunk -1.
+    that agree in them are taken for one, which suits filters and orderings but not counts that must be exact. With `summary`, each bucket also gives summary(its distinct
+    keys, their sums) in a row of chunk -1.
     """
 
     def send(table: pa.Table) -> pa.Table:
@@ -50,14 +50,14 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
         raw = table["keys"].to_pylist()
         keys = np.frombuffer(b"".join(raw), key_type)
         counts = np.concatenate([np.frombuffer(c, f"<u{w}").astype(np.uint64) for c, w in zip(table["counts"].to_pylist(), table["width"].to_pylist(), strict=True)])
-        _, at = np.unique(keys, return_inverse=True)
+        known, at = np.unique(keys, return_inverse=True)
         total = np.zeros(int(at.max()) + 1, np.uint64)
         np.add.at(total, at, counts)
         values = answer(total)[at]
         size = np.cumsum([0, *(len(r) // np.dtype(key_type).itemsize for r in raw)])
         chunks, buckets, payloads = table["chunk"].to_pylist(), table["bucket"].to_pylist(), [values[a:b].tobytes() for a, b in zip(size, size[1:])]
         if summary:
-            chunks, buckets, payloads = [*chunks, -1], [*buckets, buckets[0]], [*payloads, summary(total).tobytes()]
+            chunks, buckets, payloads = [*chunks, -1], [*buckets, buckets[0]], [*payloads, summary(known, total).tobytes()]
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     sent = chunks.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, width int, keys binary, counts binary")

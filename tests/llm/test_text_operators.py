@@ -162,6 +162,21 @@ def test_weights_are_averaged_over_chunks():
     assert np.allclose(np.concatenate(got[0]), want, atol=2e-3) and np.allclose(np.concatenate(got[1]), want, atol=2e-3)
 
 
+def test_words_of_a_class_depend_on_the_history():
+    r = np.random.default_rng(3)
+    tokens, count = r.integers(0, 2**63, 500).astype(np.uint64), r.integers(1, 200, 500).astype(float)
+    digits, kind, size = maxent.digits_of(tokens), maxent.class_of(count), maxent.SUB**2
+    mass = np.bincount(kind * size + digits, count, maxent.CLASSES * size).reshape(-1, size)
+    rows = r.normal(size=(8, maxent.CLASSES + 2 * maxent.SUB)).astype(np.float32)
+    model = maxent.Model(int(count.sum()), 500, mass, np.zeros(maxent.CLASSES, np.float32), rows)
+    model.bias[(mass.sum(1) == 0) & (np.arange(maxent.CLASSES) > 0)] = -np.inf
+    logs = [model.token_logs(np.tile(np.array(at, np.int32), (501, 1)), np.append(count, 0), np.append(digits, 0)) for at in ((0, 1, 2, 3), (4, 5, 6, 7))]
+    assert all(np.isclose((10**x).sum(), 1, atol=1e-4) for x in logs)
+    some = np.flatnonzero(kind == kind[0])
+    change = (logs[0] - logs[1])[some]
+    assert np.ptp(change) > 0.1
+
+
 def distance(p, t):
     row, best = list(range(len(p) + 1)), len(p)
     for c in t:
