@@ -17,19 +17,25 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import bound_batches, materialise, release_memory
 
-#: Errors allowed: this share of an item's characters. Items under LEAST characters are too short to tell and match nothing.
+#: Errors allowed: this share of an item's characters. Items under LEAST characters are matched without errors, as whole words.
 ERROR_RATE, LEAST = 0.08, 32
 #: Characters of test items in one automaton; more items than that are matched in blocks, one pass over the documents each.
 BLOCK_CHARS = 2_000_000
 
 MATCHES = "doc_id long, item_id long, errors int, allowed int, end long"
 _WORD = re.compile(r"\w+")
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normal(text: str) -> str:
     return " ".join(_WORD.findall(text.lower()))
 
 
+def edge(c: str) -> str:
+    """What stands beside a word that starts or ends in c: a space, or anything for letters of scripts written without spaces."""
+    return "" if _SPACELESS.match(c) else " "
+
+
 def pieces(n: int, errors: int) -> list[tuple[int, int]]:
     """errors + 1 spans of even length that make up n characters."""
     cuts = [i * n // (errors + 1) for i in range(errors + 2)]
@@ -67,9 +73,13 @@ class Matcher:
         import ahocorasick
 
         self.items, where = [], defaultdict(list)
+        self.short: dict[str, list[int]] = {}
         for item_id, text in items:
             n = len(text)
-            if n < max(least, 1):
+            if not n:
+                continue
+            if n < least:
+                self.short.setdefault(edge(text[0]) + text + edge(text[-1]), []).append(item_id)
                 continue
             errors = int(n * error_rate)
             masks: dict[str, int] = defaultdict(int)
@@ -81,20 +91,27 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, places)
+        for text in self.short:
+            where[text].append((-1, text))
+            self.automaton.add_word(text, where[text])
         if where:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, errors, allowed, end) of the closest occurrence of each item that occurs; the first end at a tie."""
-        if not self.items:
+        if not self.items and not self.short:
             return []
-        windows = defaultdict(list)
-        for last, places in self.automaton.iter(text):
+        windows, out = defaultdict(list), {}
+        for last, places in self.automaton.iter(f" {text} "):  # a place here is one more than in text
             for item, end in places:
+                if item < 0:
+                    stop = last - 1 if end[-1] == " " else last
+                    for item_id in self.short[end]:
+                        out[item_id] = min(out.get(item_id, (0, 0, stop)), (0, 0, stop))
+                    continue
                 _, n, errors, _ = self.items[item]
-                start = last + 1 - end
+                start = last - end
                 windows[item].append((max(0, start - errors), min(len(text), start + n + errors)))
-        out: dict[int, tuple[int, int, int]] = {}
         for item, spans in windows.items():
             item_id, n, errors, masks = self.items[item]
             spans.sort()
@@ -143,7 +160,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     """MATCHES: each document and test item that occurs in it with at most `allowed` errors; `end` is the place in the normalised text.
 
     Documents are read once for each block of items; only a block, of bounded size, is sent to the executors. Items and documents with a
-    null id or text, and items shorter than `least`, match nothing. Rows that repeat an id: a document repeats its matches, an
+    null id or text, and items without a word, match nothing. Items shorter than `least` match without errors and
+    as whole words (anywhere in scripts without spaces). Rows that repeat an id: a document repeats its matches, an
     item counts by its closest row. Whole texts of any length are searched; other columns are not read.
     """
     bound_batches(docs.sparkSession)

@@ -222,6 +222,17 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_short_items_match_exactly(spark):
+    items = [(1, "Vem skrev Hamlet?"), (2, "42"), (3, "今日は天気がいいです"), (4, "?!"), (5, "kort"), (6, "vem  skrev hamlet")]
+    docs = [(1, "Fråga: vem skrev HAMLET, och när?"), (2, "vem skrev hamletar"), (3, "svaret är 42"), (4, "svaret är 142 eller 421"), (5, "彼は今日は天気がいいですと言った"), (6, "vem skriv hamlet ?!"), (7, "kort"), (8, "kort, kort"), (9, "akort kortb")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(3, 2): 12, (5, 3): 12, (7, 5): 4, (8, 5): 4}
+    want[1, 1] = want[1, 6] = decontaminate.normal(docs[0][1]).index("hamlet") + 6
+    for chars in (decontaminate.BLOCK_CHARS, 8):
+        got = decontaminate.find_leaks(d, b, block_chars=chars).collect()
+        assert {(r["doc_id"], r["item_id"]): r["end"] for r in got} == want and len(got) == len(want) and all(r["errors"] == r["allowed"] == 0 for r in got)
+
+
 def test_quality(spark):
     rows = [(i, "Some plain words in a row of text. " * (1 + i % 5) if i % 2 else "BUY!! NOW!! " * (3 + i % 7)) for i in range(240)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit(5))
