@@ -176,6 +176,18 @@ def test_codebooks_do_not_chain(spark):
     assert rows == {1: "Mölnby i Hönby, Mölnbyn", 2: "Mölnby"}
 
 
+def test_restoration_with_partial_names(spark):
+    pairs = [("1", 1, "Alma Vinterlund", "Fia Sommarlund", "PER"), ("1", 2, "Doktor Sten Berg", "Ola Ek Holm", "PER"), ("1", 3, "Berg Vård", "Annan Stor Gård", "ORG"), ("1", 4, "Eva Ask", "Fia Lind", "PER")]
+    books = spark.createDataFrame(pairs, "book_id string, ord long, real string, fake string, type string")
+    text = "Fia Sommarlund, Annan Stor Gård. Sommarlund, Fia, Ola, Holm, Lind, Linda; Fia Sommarlund."
+    rows = codebook.deanonymise(spark.createDataFrame([(1, text, text)], "text_id long, text string, summary string"), books).collect()
+    # Fia stands for two names; Ola for a title or Doktor; Holm for a word of the organisation.
+    known = {"Fia Sommarlund": "Alma Vinterlund", "Annan Stor Gård": "Berg Vård", "Sommarlund": "Vinterlund", "Lind": "Ask"} | ({} if "doktor" in fixed.TITLES else {"Ola": "Doktor"})
+    want = re.sub(r"\b(?:" + "|".join(sorted(known, key=len, reverse=True)) + r")\b", lambda m: known[m[0]], text)
+    assert {r["text"] for r in rows} == {want} and "Vinterlund, Fia" in want
+    assert {r["fake"]: (r["real"], r["count"]) for r in rows} == {f: (v, len(re.findall(r"\b" + f + r"\b", re.sub("Fia Sommarlund", "", text) if f == "Sommarlund" else text))) for f, v in known.items()}
+
+
 def _docx(body):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
