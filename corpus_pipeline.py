@@ -34,8 +34,8 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents as sequences of power-of-two lengths."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of the documents as sequences of power-of-two lengths, with their token ids."""
+    return packing.pack(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -94,6 +95,14 @@ def test_pipeline(spark):
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_carries_token_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words to pack " * 30), (2, "")], "doc_id long, text string")
+    for r in corpus_pipeline.packed(spark, docs, "").collect():
+        assert len(r["ids"]) == r["length"] and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r["ids"])) == r["ids_crc32"]
+
+
 def test_queries_return_whole_tables(spark):
     from quillstone.llm.queries import QUERIES
 
