@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on one machine, a temporary one is set in its place."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,7 +31,21 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialised tables that nothing reads any more, and lets Spark delete the shuffle files of jobs that are over."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
+            table._written_to = None
+            gc.collect()
+            jvm.System.gc()  # shuffle files go when their plan does
 
 
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -54,14 +71,20 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def grown(chunk_bytes: int, total: int, base: int = 1 << 30, most: int = 64 << 20) -> int:
+    """Bytes of a chunk: they grow with the root of the text beyond `base`, to `most`, so that a row for each chunk and bucket makes rows in proportion to the text."""
+    return max(chunk_bytes, min(most, int(chunk_bytes * math.sqrt(max(1.0, total / base)))))
+
+
 def chunk_count(docs: DataFrame, column: str, chunk_bytes: int, least: int = 2) -> int:
-    """Chunks of about chunk_bytes of text, and at least `least` times as many as shuffle partitions, for even tasks."""
-    return max(least * partitions(docs.sparkSession), math.ceil(text_bytes(docs, column) / chunk_bytes))
+    """Chunks of about grown(chunk_bytes) of text, and at least `least` times as many as shuffle partitions, for even tasks."""
+    total = text_bytes(docs, column)
+    return max(least * partitions(docs.sparkSession), math.ceil(total / grown(chunk_bytes, total)))
 
 
-def in_chunks(docs: DataFrame, n_chunks: int, id_column: str = "doc_id") -> DataFrame:
-    """docs with a column `chunk` that depends on the id alone, so that every pass over a chunk sees the same rows."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64(F.col(id_column)), F.lit(n_chunks)))
+def in_chunks(docs: DataFrame, n_chunks: int) -> DataFrame:
+    """docs with a column `chunk` that depends on id and text alone: every pass over a chunk sees the same rows, and different texts of one id spread."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
 
 
 def in_order(table: pa.Table) -> pa.Table:

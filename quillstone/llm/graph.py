@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise
+from quillstone.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(now, "edges")
     before = _state(now)
     while before[0]:
-        now = materialise(_star(_star(now, large=True), large=False), "edges")
+        last, now = now, materialise(_star(_star(now, large=True), large=False), "edges")
+        discard(last)
         after = _state(now)
         if after == before:
             break

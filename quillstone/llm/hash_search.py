@@ -1,25 +1,22 @@
 """Exact top-k search among binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments, each with an index of its own. By the pigeonhole principle, codes within distance
-segments * (r + 1) - 1 of a query agree with it in one segment up to r bits. So all indexes are probed at radius 0, 1, 2, ...;
-candidates are verified on whole codes, and a query is done once its kth verified distance lies inside what is covered.
+A 64-bit code is cut into segments of about log2(n) bits for n distinct codes, each with an index of its own, so that a segment's value has few codes
+whatever n is. A code that no index gives at radius r differs from the query by more than r bits in every segment. So all indexes are probed
+at radius 0, 1, 2, ...; candidates are verified on whole codes, and a query is done once its kth verified distance lies inside
+what is covered: segments * (r + 1) - 1. At the full width of a segment every code has been met, so each query ends by the index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import comb
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise
+from quillstone.llm.common import discard, materialise, partitions
 
-BITS, SEGMENTS = 64, 4
-_WIDE = BITS // SEGMENTS
-_SALTS, _BLOCK = 16, 4096
+BITS = 64
+_SALTS = 16
 
 
 def sign_code(vector: Column) -> Column:
@@ -38,12 +35,31 @@ def _smallest_ids(codes: DataFrame, k: int) -> DataFrame:
     return few.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= k).select("code", "id")
 
 
-def _segment(code: Column, i: int) -> Column:
-    return F.shiftrightunsigned(code, i * _WIDE).bitwiseAND(F.lit((1 << _WIDE) - 1))
+def segment_count(codes: int) -> int:
+    """Segments of about log2(codes) bits, of 4 bits at least."""
+    return max(2, min(16, round(BITS / max(4.0, math.log2(max(2, codes))))))
 
 
-def _segments(code: Column) -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("seg"), _segment(code, i).alias("value")) for i in range(SEGMENTS)))
+def _segments(code: Column, count: int) -> Column:
+    """array<struct<seg,width,value>>: the segments of a code, whose widths differ by one bit at most."""
+    cuts = [i * BITS // count for i in range(count + 1)]
+    part = lambda a, b: F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+    return F.array(*(F.struct(F.lit(i).alias("seg"), F.lit(b - a).alias("width"), part(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+
+
+def _probes(queries: DataFrame, count: int, r: int) -> DataFrame:
+    """(query, seg, value): all values that differ by r bits from a segment of a query.
+
+    Bits are flipped from the lowest to the highest, one generated row for each, leaving room for those that are still to come.
+    """
+    spread = queries.repartition(partitions(queries.sparkSession), "query")
+    rows = spread.select("query", F.inline(_segments(F.col("query"), count)), F.lit(0).alias("_from"))
+    for left in range(r, 0, -1):
+        places = F.when(F.col("_from") + left <= F.col("width"), F.sequence("_from", F.col("width") - left)).otherwise(F.array().cast("array<int>"))
+        rows = rows.select("query", "seg", "width", "value", F.explode(places).alias("_bit"))
+        flipped = F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit")))
+        rows = rows.select("query", "seg", "width", flipped.alias("value"), (F.col("_bit") + 1).alias("_from"))
+    return rows.select("query", "seg", "value")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -57,74 +73,40 @@ def _best(found: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return rows.select("query", "code", "id", "distance", "rank")
 
 
-def _scan(codes: DataFrame, queries: list[int], k: int) -> DataFrame:
-    """(query, code, distance) of the k nearest codes of each task for a block of query codes, compared with all codes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = np.array(queries, np.int64).view(np.uint64)
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in queries]
-        for batch in batches:
-            c = batch["code"].to_numpy().view(np.uint64)
-            for i, x in enumerate(q):
-                codes, dist = np.concatenate([best[i][0], c]), np.concatenate([best[i][1], np.bitwise_count(c ^ x).astype(np.int64)])
-                if len(dist) > k:  # keep all that tie with the kth
-                    keep = dist <= np.partition(dist, k - 1)[k - 1]
-                    codes, dist = codes[keep], dist[keep]
-                best[i] = codes, dist
-        for x, (codes, dist) in zip(queries, best, strict=True):
-            if len(codes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), x, np.int64)), pa.array(codes.view(np.int64)), pa.array(dist.astype(np.int32))], names=["query", "code", "distance"])
-
-    return codes.mapInArrow(run, "query long, code long, distance int")
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """query_id, rank, id, distance: for each row of queries (id, code) the k rows of vectors (id, code) at the smallest Hamming distance.
 
     Exact: ties go to smaller ids, and fewer than k rows give them all. Equal codes are searched once and hold k ids at most. Rows
-    with a null id or code are left out; a repeated id of a code counts once. Other columns are not read. When probing would touch more
-    keys than there are codes, the queries that are left are compared with all codes, in blocks.
+    with a null id or code are left out; a repeated id of a code counts once. Other columns are not read. `rounds` receives
+    (radius, distance covered, query codes still open) of each round.
     """
     rows = vectors.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL").distinct()
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).where("query_id IS NOT NULL AND query IS NOT NULL")
     ids = materialise(_smallest_ids(rows, k), "codes")
-    codes = materialise(ids.select("code").distinct(), "distinct-codes")
-    index = materialise(codes.select("code", F.inline(_segments(F.col("code")))), "segments")
-    n_codes = codes.count()
+    codes, need = ids.agg(F.count_distinct("code"), F.count("*")).first()
+    need, count = min(need, k), segment_count(codes)
+    index = materialise(ids.select("code").distinct().select("code", F.inline(_segments(F.col("code"), count))).select("seg", "value", "code"), "segments")
     left = materialise(asked.select("query").distinct(), "queries")
     found, parts = None, []
-    for r in range(_WIDE + 1):
-        if left.isEmpty():
-            break
-        if SEGMENTS * comb(_WIDE, r) > max(1, n_codes):
-            parts.extend(_scan_all(codes, ids, left, k))
+    for r in range(-(-BITS // count) + 1):
+        waiting = left.count() if need else 0
+        covered = count * (r + 1) - 1
+        if rounds is not None and waiting:
+            rounds.append((r, covered, waiting))
+        if not waiting:
             break
-        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << _WIDE) - 1).cast("long")), lambda x, r=r: F.bit_count(x) == r)
-        probes = left.select("query", F.inline(_segments(F.col("query")))).select("query", "seg", "value", F.explode(masks).alias("mask"))
-        hits = probes.select("query", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).join(index, ["seg", "value"]).select("query", "code").distinct()
+        hits = _probes(left, count, r).join(index, ["seg", "value"]).select("query", "code").distinct()
         hits = hits.withColumn("distance", _distance(F.col("query"), F.col("code")))
-        if found is not None:
-            hits = hits.unionByName(found.join(left, "query", "left_semi").select("query", "code", "distance")).distinct()
+        before = found
+        if before is not None:
+            hits = hits.unionByName(before.join(left, "query", "left_semi").select("query", "code", "distance")).distinct()
         found = materialise(_best(hits, ids, k), "found")
-        covered = SEGMENTS * (r + 1) - 1
-        done = found.where((F.col("rank") == k) & (F.col("distance") <= covered)).select("query")
-        parts.append(found.join(done, "query", "left_semi"))
-        left = materialise(left.join(done, "query", "left_anti"), "queries")
-    best = None
+        done = found.where((F.col("rank") == need) & (F.col("distance") <= covered)).select("query")
+        parts.append(materialise(found.join(done, "query", "left_semi"), "done"))
+        last, left = left, materialise(left.join(done, "query", "left_anti"), "queries")
+        discard(before, last)
+    discard(index, found)
+    best = ids.select(F.col("code").alias("query"), "id", F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     for part in parts:
-        part = part.select("query", "id", "distance", "rank")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = _best(_scan(codes, [], k), ids, k).select("query", "id", "distance", "rank")
+        best = best.unionByName(part.select("query", "id", "distance", "rank"))
     return asked.join(best, "query").select("query_id", "rank", "id", "distance")
-
-
-def _scan_all(codes: DataFrame, ids: DataFrame, left: DataFrame, k: int) -> Iterator[DataFrame]:
-    block: list[int] = []
-    for row in left.toLocalIterator():
-        block.append(row["query"])
-        if len(block) == _BLOCK:
-            yield materialise(_best(_scan(codes, block, k), ids, k), "scanned")
-            block = []
-    if block:
-        yield materialise(_best(_scan(codes, block, k), ids, k), "scanned")

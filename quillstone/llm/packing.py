@@ -33,7 +33,7 @@ class Encoder:
     lower case) doesn't look across it, so a text's ids are its words' ids one after another. It also cuts between letters and marks,
     so plain words are encoded by their letters, many in one call: each run of letters ends with a token that ends a word. The ids of
     letters and marks are kept for later texts, in tables that are emptied when they hold more than `most` entries. Words of a
-    batch are told apart by 64-bit hashes.
+    batch are made distinct by 64-bit hashes, whose equality is checked byte by byte.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -90,8 +90,12 @@ class Encoder:
         a, b = tx.word_spans(buf)
         if not len(a):
             return [np.zeros(0, "<u4")] * len(texts)
+        raw, lens = buf.tobytes(), b - a
         _, first, at = np.unique(tx.span_hashes(buf, a, b), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
+        if not (np.array_equal(lens, lens[first][at]) and tx.same_bytes(buf, a, a[first][at], lens)):
+            place: dict[bytes, int] = {}  # two words of one hash
+            at = np.array([place.setdefault(raw[i:j], len(place)) for i, j in zip(a.tolist(), b.tolist())])
+            first = np.unique(at, return_index=True)[1]
         known = self.words([raw[i:j].decode() for i, j in zip(a[first].tolist(), b[first].tolist())])
         pool = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4

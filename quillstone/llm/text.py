@@ -54,20 +54,45 @@ def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of buffer[start:end] for ascending spans that don't overlap and aren't empty."""
+    """64-bit hashes of buffer[start:end] for spans that aren't empty and whose starts ascend.
+
+    A span is cut into lanes of eight bytes; each lane is mixed with its place before the lanes are added, so that no rearrangement of a
+    span's bytes cancels out, as it does in sums of powers modulo 2**64.
+    """
     out = np.empty(len(starts), np.uint64)
+    lens = ends - starts
+    lanes = np.cumsum(-(-lens // 8))
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + slab, "right")))
+        to = max(at + 1, int(np.searchsorted(lanes, (lanes[at - 1] if at else 0) + slab // 8, "right")))
         s, e = starts[at:to], ends[at:to]
-        first, size = s[0], e[-1] - s[0]
-        lens = np.diff(np.append(s, e[-1]))
-        off = np.arange(size) - np.repeat(s - first, lens)
-        w = (buffer[first : e[-1]].astype(np.uint64) + np.uint64(1)) * powers(int(lens.max()))[off]
-        w[off >= np.repeat(e - s, lens)] = 0
-        out[at:to] = np.add.reduceat(w, s - first)
+        first, n = s[0], -(-lens[at:to] // 8)
+        local = np.append(buffer[first : e.max()], np.zeros(8, np.uint8))
+        eights = np.lib.stride_tricks.as_strided(local, (len(local) - 7, 8), (1, 1))
+        ahead = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(ahead, n)
+        lane = np.repeat(s - first, n) + 8 * place
+        w = eights[lane].view("<u8").ravel()
+        short = 8 - (np.repeat(e - first, n) - lane)
+        w <<= (8 * np.maximum(short, 0)).astype(np.uint64)  # bytes beyond the span
+        place = place.astype(np.uint64)
+        w = mix(w + (place + np.uint64(1)) * BASE)
+        if len(w) > len(s):  # the first lane's factor is one
+            w = np.add.reduceat(w * (mix(place) | np.uint64(1)), ahead)
+        out[at:to] = w
         at = to
-    return mix(out + (ends - starts).astype(np.uint64))
+    return mix(out + lens.astype(np.uint64))
+
+
+def same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray) -> bool:
+    """Whether buffer[a : a + len] and buffer[b : b + len] agree for all spans."""
+    other = a != b
+    at = np.flatnonzero(other)
+    for i in range(0, len(at), 1 << 16):
+        k = at[i : i + (1 << 16)]
+        if not np.array_equal(buffer[gather(a[k], lens[k])], buffer[gather(b[k], lens[k])]):
+            return False
+    return True
 
 
 def gather(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -82,5 +107,5 @@ def ngram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     count = max(0, len(tokens) - n + 1)
     h = np.zeros(count, np.uint64)
     for i in range(n):
-        h = h * BASE + tokens[i : i + count]
+        h = (h ^ (h >> np.uint64(29))) * BASE + tokens[i : i + count]
     return mix(h)

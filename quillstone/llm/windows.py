@@ -176,9 +176,12 @@ def mark_windows(
         if not len(start):
             return _blob_table([])
         size = count - 1 + win.width
-        ends = np.cumsum(size)
-        weights = (c.tokens[tx.gather(start, size)].astype(np.uint64) + np.uint64(1)) * tx.powers(int(size.max()))[tx.gather(np.zeros(len(size), np.int64), size)]
-        content = tx.mix(np.add.reduceat(weights, ends - size) + (size * 256 + (anchor - start)).astype(np.uint64))
+        if c.tokens.dtype == np.uint8:
+            content = tx.span_hashes(c.tokens, start, start + size)
+        else:
+            place = tx.mix(tx.gather(np.zeros(len(size), np.int64), size).astype(np.uint64))
+            content = np.add.reduceat(tx.mix(c.tokens[tx.gather(start, size)] + place) * (place | np.uint64(1)), np.cumsum(size) - size)
+        content = tx.mix(content + (size * 256 + (anchor - start)).astype(np.uint64))
         rank = c.rank[doc]
         order = np.lexsort((rank, content))
         head = np.flatnonzero(np.append(True, content[order][1:] != content[order][:-1]))

@@ -22,6 +22,9 @@ def corpus(spark):
     texts += [" ".join(make(20) + passage + make(20)) for _ in range(6)]
     texts += [" ".join(make(10) + passage[:13] + make(3)), " ".join(passage[5:40]), "\n".join(["same line of text again"] * 12), "aaaa" * 60, "a" * 300, None, "", " \t\n", "one", "one two", "ONE two", "a b c\x1cd"]
     texts += ["long " + " ".join(make(30_000)), " ".join(make(40)) + "é" * 70]
+    for n, k in ((1024, 14), (4096, 1)):  # words that sums of powers modulo 2**64 can't tell apart
+        word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        texts += [" ".join([word] * k), " ".join([word.translate(str.maketrans("ab", "ba"))] * k)]
     rows = [(i * 3 % 1009, t, "en", "s", 0) for i, t in enumerate(texts)]
     rows += [rows[5], rows[5], (-4, " ".join(passage), None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4).withColumnRenamed("source", "chunk").selectExpr("*", "1 AS bucket", "'x' AS content").cache()

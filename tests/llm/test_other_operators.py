@@ -29,6 +29,27 @@ def test_search_is_exact(spark):
     assert all(x["count"] <= 3 for x in few) and hash_search.search(table.limit(0), queries).count() == 0
 
 
+def test_every_query_ends_by_the_index(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), hash_search.sign_code(F.col("embedding")).alias("code"))
+    asked, rounds = table.where("id % 100 = 0"), []
+    got = hash_search.search(table, asked, 10, rounds)
+    codes, count = table.select("code").distinct().count(), hash_search.segment_count(table.count())
+    assert got.count() == 10 * asked.count() and rounds[-1][0] < 64 // count  # done before a segment's whole width was probed
+    assert [c for _, c, _ in rounds] == [count * (r + 1) - 1 for r in range(len(rounds))] and codes > 100
+    last = {r["query_id"]: r["distance"] for r in got.where("rank = 10").collect()}
+    for (_, before, _), (_, covered, waiting) in zip([(0, -1, 0), *rounds], rounds):
+        assert waiting >= len({q for q, d in last.items() if before < d <= covered})
+
+
+def test_probes_cover_each_value_once(spark):
+    one = spark.createDataFrame([(0x0123456789ABCDEF,)], "query long")
+    for count, r in ((7, 2), (16, 4), (16, 0), (5, 1)):
+        got = [(x["seg"], x["value"]) for x in hash_search._probes(one, count, r).collect()]
+        cuts = [i * 64 // count for i in range(count + 1)]
+        want = {(i, v) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) for v in range(1 << (b - a)) if (v ^ (0x0123456789ABCDEF >> a & ((1 << (b - a)) - 1))).bit_count() == r}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_sign_code(spark):
     rows = spark.createDataFrame([([1.0, -1.0, 0.0, None],), (None,)], "v array<float>")
     assert [r[0] for r in rows.select(hash_search.sign_code(F.col("v"))).collect()] == [0b101, None]

@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, jaccard, maxent, packing, quality, sharding, substring, suffix_dedup
+from quillstone.llm import text as tx
+from quillstone.llm.common import grown
 from quillstone.llm.queries import tokenizer_path
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -57,6 +59,30 @@ def test_substring_keeps_rows(corpus):
     assert lean.where("doc_id = -4").first()["text"] == corpus.where("doc_id = -4").first()["text"]
 
 
+def test_word_hashes_tell_words_apart():
+    words = [w for n in (8, 64, 1024, 4096) for w in ("".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n)))]
+    words += ["a" * k for k in range(1, 40)] + ["\0" * k for k in range(1, 20)] + ["abcdefgh" * 2, "abcdefghhgfedcba"]
+    buf, _ = tx.joined([w.encode() for w in words])
+    a, b = tx.word_spans(buf)
+    h = tx.span_hashes(buf, a, b)
+    assert len(set(h.tolist())) == len(set(words)) and (h == tx.span_hashes(buf, a, b, slab=64)).all()
+    assert tx.same_bytes(buf, a, a, b - a) and not tx.same_bytes(buf, a[:2], a[[1, 0]], (b - a)[:2])
+
+
+def test_words_of_one_hash(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tx, "span_hashes", lambda buf, a, b: (b - a).astype(np.uint64))
+    texts = ["one two ten", "", "six two Två"]
+    got = packing.encoder(tokenizer_path()).encode([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [Tokenizer.from_file(tokenizer_path()).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_chunks_grow_with_the_root():
+    rows = [(t / grown(4 << 20, t)) ** 2 for t in (1 << 32, 1 << 34)]  # a row for each chunk and bucket
+    assert 3.9 < rows[1] / rows[0] < 4.1 and grown(4 << 20, 1 << 50) == 64 << 20 and grown(4 << 20, 5) == 4 << 20
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (500, 5)).astype(np.uint64)
