@@ -37,15 +37,19 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Deletes materialised tables that nothing reads any more, and lets Spark delete the shuffle files of jobs that are over."""
+    """Deletes materialised tables that nothing reads any more."""
     for table in tables:
         if path := getattr(table, "_written_to", None):
             jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
             table._written_to = None
-            gc.collect()
-            jvm.System.gc()  # shuffle files go when their plan does
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when their plan does: frees the plans of jobs that are over."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:

@@ -66,11 +66,20 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _best(found: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The k nearest (query, id, distance) of each query code among found (query, code, distance); ties go to smaller ids."""
+def _met_first(query: Column, code: Column, seg: Column, count: int, r: int) -> Column:
+    """True for one meeting of a query and a code: at their smallest radius, in the first segment that has it. So no meeting need be made distinct."""
+    cuts = [i * BITS // count for i in range(count + 1)]
+    out = F.lit(True)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        bits = F.bit_count(F.shiftrightunsigned(query.bitwiseXOR(code), a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        out = out & F.when(F.lit(i) < seg, bits > r).otherwise(bits >= r)
+    return out
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query code among found (query, id, distance), with their rank; ties go to smaller ids."""
     order = Window.partitionBy("query").orderBy("distance", "id")
-    rows = found.join(ids, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return rows.select("query", "code", "id", "distance", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tuple[int, int, int]] | None = None) -> DataFrame:
@@ -82,10 +91,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tup
     """
     rows = vectors.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL").distinct()
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).where("query_id IS NOT NULL AND query IS NOT NULL")
-    ids = materialise(_smallest_ids(rows, k), "codes")
-    codes, need = ids.agg(F.count_distinct("code"), F.count("*")).first()
+    ids = _smallest_ids(rows, k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k ids at most
+    ids = materialise(ids, "codes")
+    codes, need = ids.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     need, count = min(need, k), segment_count(codes)
-    index = materialise(ids.select("code").distinct().select("code", F.inline(_segments(F.col("code"), count))).select("seg", "value", "code"), "segments")
+    index = materialise(ids.select("code", "ids", F.inline(_segments(F.col("code"), count))).select("seg", "value", "code", "ids"), "segments")
     left = materialise(asked.select("query").distinct(), "queries")
     found, parts = None, []
     for r in range(-(-BITS // count) + 1):
@@ -95,18 +105,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tup
             rounds.append((r, covered, waiting))
         if not waiting:
             break
-        hits = _probes(left, count, r).join(index, ["seg", "value"]).select("query", "code").distinct()
-        hits = hits.withColumn("distance", _distance(F.col("query"), F.col("code")))
+        met = _probes(left, count, r).join(index.hint("merge"), ["seg", "value"]).where(_met_first(F.col("query"), F.col("code"), F.col("seg"), count, r))
+        hits = met.select("query", F.explode("ids").alias("id"), _distance(F.col("query"), F.col("code")).alias("distance"))
         before = found
         if before is not None:
-            hits = hits.unionByName(before.join(left, "query", "left_semi").select("query", "code", "distance")).distinct()
-        found = materialise(_best(hits, ids, k), "found")
+            hits = hits.unionByName(before.join(left, "query", "left_semi").select("query", "id", "distance"))
+        found = materialise(_best(hits, k), "found")
         done = found.where((F.col("rank") == need) & (F.col("distance") <= covered)).select("query")
         parts.append(materialise(found.join(done, "query", "left_semi"), "done"))
         last, left = left, materialise(left.join(done, "query", "left_anti"), "queries")
         discard(before, last)
     discard(index, found)
-    best = ids.select(F.col("code").alias("query"), "id", F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    best = ids.select(F.col("code").alias("query"), F.explode("ids").alias("id"), F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     for part in parts:
         best = best.unionByName(part.select("query", "id", "distance", "rank"))
     return asked.join(best, "query").select("query_id", "rank", "id", "distance")
