@@ -2,8 +2,9 @@
 
 A 64-bit code is cut into segments of about log2(n) bits for n distinct codes, each with an index of its own, so that a segment's value has few codes
 whatever n is. A code that no index gives at radius r differs from the query by more than r bits in every segment. So all indexes are probed
-at radius 0, 1, 2, ...; candidates are verified on whole codes, and a query is done once its kth verified distance lies inside
-what is covered: segments * (r + 1) - 1. At the full width of a segment every code has been met, so each query ends by the index.
+at radius 0, 1, 2, ..., the larger ones in half of the segments at a time; candidates are verified on whole codes, and a query is done once its
+kth verified distance lies inside what is covered: segments * r, and the segments probed at r, less one. At the full width of a segment every code
+has been met, so each query ends by the index.
 """
 
 from __future__ import annotations
@@ -40,20 +41,26 @@ def segment_count(codes: int) -> int:
     return max(2, min(16, round(BITS / max(4.0, math.log2(max(2, codes))))))
 
 
-def _segments(code: Column, count: int) -> Column:
-    """array<struct<seg,width,value>>: the segments of a code, whose widths differ by one bit at most."""
+def _segments(code: Column, count: int, some: range | None = None) -> Column:
+    """array<struct<seg,width,value>>: all or some segments of a code, whose widths differ by one bit at most."""
     cuts = [i * BITS // count for i in range(count + 1)]
     part = lambda a, b: F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    return F.array(*(F.struct(F.lit(i).alias("seg"), F.lit(b - a).alias("width"), part(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    return F.array(*(F.struct(F.lit(i).alias("seg"), F.lit(cuts[i + 1] - cuts[i]).alias("width"), part(cuts[i], cuts[i + 1]).alias("value")) for i in some or range(count)))
 
 
-def _probes(queries: DataFrame, count: int, r: int) -> DataFrame:
-    """(query, seg, value): all values that differ by r bits from a segment of a query.
+def _steps(count: int) -> list[tuple[int, range]]:
+    """Radii and the segments that are probed at them, in order."""
+    half = -(-count // 2)
+    return [(r, some) for r in range(-(-BITS // count) + 1) for some in ([range(count)] if r < 2 else [range(half), range(half, count)])]
+
+
+def _probes(queries: DataFrame, count: int, r: int, some: range | None = None) -> DataFrame:
+    """(query, seg, value): all values that differ by r bits from one of the segments of a query.
 
     Bits are flipped from the lowest to the highest, one generated row for each, leaving room for those that are still to come.
     """
     spread = queries.repartition(partitions(queries.sparkSession), "query")
-    rows = spread.select("query", F.inline(_segments(F.col("query"), count)), F.lit(0).alias("_from"))
+    rows = spread.select("query", F.inline(_segments(F.col("query"), count, some)), F.lit(0).alias("_from"))
     for left in range(r, 0, -1):
         places = F.when(F.col("_from") + left <= F.col("width"), F.sequence("_from", F.col("width") - left)).otherwise(F.array().cast("array<int>"))
         rows = rows.select("query", "seg", "width", "value", F.explode(places).alias("_bit"))
@@ -98,14 +105,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tup
     index = materialise(ids.select("code", "ids", F.inline(_segments(F.col("code"), count))).select("seg", "value", "code", "ids"), "segments")
     left = materialise(asked.select("query").distinct(), "queries")
     found, parts = None, []
-    for r in range(-(-BITS // count) + 1):
+    for r, some in _steps(count):
         waiting = left.count() if need else 0
-        covered = count * (r + 1) - 1
+        covered = count * r + some.stop - 1
         if rounds is not None and waiting:
             rounds.append((r, covered, waiting))
         if not waiting:
             break
-        met = _probes(left, count, r).join(index.hint("merge"), ["seg", "value"]).where(_met_first(F.col("query"), F.col("code"), F.col("seg"), count, r))
+        met = _probes(left, count, r, some).join(index.hint("merge"), ["seg", "value"]).where(_met_first(F.col("query"), F.col("code"), F.col("seg"), count, r))
         hits = met.select("query", F.explode("ids").alias("id"), _distance(F.col("query"), F.col("code")).alias("distance"))
         before = found
         if before is not None:

@@ -25,7 +25,7 @@ def test_search_is_exact(spark):
         for q in queries.collect():
             want = sorted(((c ^ q["code"]) & (2**64 - 1)).bit_count() * 10**6 + i for i, c in known)[:k]
             assert sorted(d * 10**6 + i for d, i, _ in got[q["id"]]) == want and sorted(n for *_, n in got[q["id"]]) == list(range(1, k + 1))
-    few = hash_search.search(table.limit(3), queries, 10).groupBy("query_id").count().collect()
+    few = hash_search.search(table.where("id < 3"), queries, 10).groupBy("query_id").count().collect()
     assert all(x["count"] <= 3 for x in few) and hash_search.search(table.limit(0), queries).count() == 0
 
 
@@ -35,7 +35,7 @@ def test_every_query_ends_by_the_index(spark):
     got = hash_search.search(table, asked, 10, rounds)
     codes, count = table.select("code").distinct().count(), hash_search.segment_count(table.count())
     assert got.count() == 10 * asked.count() and rounds[-1][0] < 64 // count  # done before a segment's whole width was probed
-    assert [c for _, c, _ in rounds] == [count * (r + 1) - 1 for r in range(len(rounds))] and codes > 100
+    assert [c for _, c, _ in rounds] == [count * r + some.stop - 1 for r, some in hash_search._steps(count)[: len(rounds)]] and codes > 100
     last = {r["query_id"]: r["distance"] for r in got.where("rank = 10").collect()}
     for (_, before, _), (_, covered, waiting) in zip([(0, -1, 0), *rounds], rounds):
         assert waiting >= len({q for q, d in last.items() if before < d <= covered})
