@@ -64,6 +64,14 @@ MAX_DOCUMENTS, MAX_UPLOAD_BYTES, MAX_NAME_CHARS, MAX_IDENTIFIERS = 10, 64 * 1024
 EXTENSIONS = (".pdf", ".docx", ".txt", ".json", ".png", ".jpg", ".jpeg")
 MODES = ("balanced", "thorough", "fast")
 
+# Limits of page readings. Confidence in percent; shares of words, letters, widths and heights; lines and words.
+LOW, CRITICAL_LOW, RELIABLE, MOST_LOW, REJECT, PREFER_LAST, COVERAGE = 75, 88, 91, 0.08, 35, 70, 0.65
+LEAST_COLUMN, MOST_ACROSS, GUTTER, SHARED_HEIGHT, LABEL_WORDS, SOME_NUMBERS, MOSTLY_NUMBERS = 3, 2, 0.05, 0.5, 4, 0.25, 0.5
+
+# Limits of page images. Grey levels, shares of pixels, degrees.
+DARK_BELOW, INK_PERCENTILE, INK_STEP, BLANK_INK = 220, 90, 25, 0.00001
+LEAST_INK, MOST_INK, SKEW_GAIN, SKEW_RANGE, SKEW_STEP, SKEW_STEPS = 0.001, 0.35, 1.15, 5, 0.2, 3
+
 # Phrases that a model server uses for an input over its context.
 OVERFLOW_PHRASES = (
     "exceeds the context", "exceeds context", "exceed context", "context length exceeded",
@@ -90,3 +98,7 @@ READERS_DIFFER_COVERAGE = "OCR readers disagree substantially on page coverage.
 LOW_CONFIDENCE = "Some OCR text has low confidence. Check names, medications, numbers and units against the original."
 NO_SECOND_READER = "PaddleOCR is not installed with local models; this page could not receive a second-reader check."
 UNREADABLE_MARKERS = "The transcription contains unreadable text markers."
+REVIEW_BEFORE_SHARING = "Automatic pseudonymisation can miss identifiers. Review the document before sharing."
+DETECTOR_FAILED = "The local identifier model failed for %d of %d passages; rules were used for those passages."
+SUGGESTIONS_DISCARDED = "%d invalid identifier suggestions were discarded."
+IDENTIFIERS_REMAIN = "Possible identifiers remain in the pseudonymised text. Review is required."

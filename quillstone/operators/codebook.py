@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
 
 
-#: Pairs that are broadcast at once.
-MOST_PAIRS = 100_000
+#: Pairs that are sent to the executors at once, and patterns that a worker keeps.
+MOST_PAIRS, MOST_BOOKS = 100_000, 64
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of all mapping files (`*_mapping.json`: an object from real values to objects with `fake` and `type`) under path; a book's id is its file's name.
+
+    A file that isn't such an object has no pairs, nor has an entry that isn't an object.
+    """
+    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*_mapping.json").option("recursiveFileLookup", "true").text(path)
+    book = F.regexp_extract(F.input_file_name(), r"([^/]+)_mapping\.json$", 1)
+    rows = files.select(F.url_decode(book).alias("book_id"), F.posexplode(F.map_entries(F.from_json("value", "map<string,string>", {"allowDuplicateKeys": "true"}))).alias("ord", "e"))
+    entry = F.from_json("e.value", "fake string, type string")
+    return rows.select("book_id", F.col("ord").cast("long").alias("ord"), F.col("e.key").alias("real"), entry["fake"].alias("fake"), entry["type"].alias("type")).where("fake IS NOT NULL")
 
 
 def clean_pairs(books: DataFrame) -> DataFrame:
@@ -44,22 +58,53 @@ def distinctive(kind: Column, fake: Column) -> Column:
     return (kind == "PERSONNUMMER") | (kind.isin(*fixed.DETECT_TYPES) & (t.word_count(fake) >= 2) & (F.length(fake) >= 8))
 
 
+def _block_hits(fakes: list[tuple[str, str, int]]):
+    """Scores of texts by book: an automaton of all fakes of a block meets each text once; occurrences of a fake don't overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        by_fake = defaultdict(list)
+        for book, fake, weight in fakes:
+            by_fake[fake].append((book, weight))
+        automaton = ahocorasick.Automaton()
+        for fake, books in by_fake.items():
+            automaton.add_word(fake, (fake, books))
+        if by_fake:
+            automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for text_id, text in zip(batch["text_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                total, free = Counter(), {}
+                for last, (fake, books) in automaton.iter(text) if text and by_fake else ():
+                    if last - len(fake) >= free.get(fake, -1):
+                        free[fake] = last
+                        for book, weight in books:
+                            total[book] += weight
+                out.extend((text_id, book, n) for book, n in total.items())
+            kinds = (pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["text_id", "book_id", "score"])
+
+    return run
+
+
 def scores(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """text_id, book_id, score for books with a hit: occurrences of distinctive fakes, identity numbers weighing three times.
 
-    Fakes may start and end inside words, so pairs are compared by containment: they are broadcast after a check of their number, and
-    matched in blocks of that size beyond it.
+    Fakes may start and end inside words. They go to the executors in blocks of MOST_PAIRS, read one after another, so that what is held is
+    bounded; each block is one pass over the texts.
     """
-    good = pairs.where(distinctive(F.col("type"), F.col("fake")))
-    count = (F.length("text") - F.length(F.replace("text", F.col("fake"), F.lit("")))) / F.length("fake")
     weight = F.when(F.col("type") == "PERSONNUMMER", fixed.IDENTITY_WEIGHT).otherwise(1)
-    blocks = max(1, -(-good.count() // MOST_PAIRS))
-    met = None
-    for i in range(blocks):
-        part = good if blocks == 1 else good.where(F.pmod(F.xxhash64("book_id", "fake"), F.lit(blocks)) == i)
-        hits = texts.join(F.broadcast(part), F.contains("text", F.col("fake")))
-        met = hits if met is None else met.unionByName(hits)
-    return met.groupBy("text_id", "book_id").agg(F.sum((count * weight).cast("long")).alias("score"))
+    good = pairs.where(distinctive(F.col("type"), F.col("fake"))).select("book_id", "fake", weight.alias("weight"))
+    rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "text")
+    met, block = None, []
+    for row in itertools.chain(good.toLocalIterator(), [None]):
+        if row is not None:
+            block.append(tuple(row))
+        if len(block) == MOST_PAIRS or row is None and (block or met is None):
+            hits = rows.mapInArrow(_block_hits(block), "text_id long, book_id string, score long")
+            met, block = hits if met is None else met.unionByName(hits), []
+    return met.groupBy("text_id", "book_id").agg(F.sum("score").alias("score"))
 
 
 def detect(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -97,25 +142,35 @@ def deanonymise(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     book = whole.groupBy("book_id").agg(F.collect_list(F.struct((-F.length("fake")).alias("l"), "ord", "fake", "real")).alias("book"))
     rows = texts.select("text_id", "summary").join(found, "text_id", "left").join(book, "book_id", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                known: dict[str, str] = {}
-                for p in sorted(r.book if r.book is not None else [], key=lambda p: (p["l"], p["ord"])):
-                    known.setdefault(p["fake"], p["real"])
-                counts: dict[str, int] = {}
-
-                def put(m: re.Match, known: dict = known, counts: dict = counts) -> str:
-                    counts[m[0]] = counts.get(m[0], 0) + 1
-                    return known[m[0]]
-
-                text = re.sub(r"(?<!\w)(?:" + "|".join(map(re.escape, known)) + r")(?!\w)", put, r.summary) if known else r.summary
-                some = r.book_id if isinstance(r.book_id, str) else None
-                score = int(r.score) if some is not None else 0
-                out.extend((r.text_id, some, score, text, f, known[f], n) for f, n in counts.items())
-                if not counts:
-                    out.append((r.text_id, some, score, text, None, None, 0))
-            yield pd.DataFrame(out, columns=["text_id", "book_id", "score", "text", "fake", "real", "count"])
-
-    return rows.select("text_id", "book_id", "score", "summary", "book").mapInPandas(run, RESTORED)
+    return rows.select("text_id", "book_id", "score", "summary", "book").mapInArrow(_restore, RESTORED)
+
+
+def _pattern(book: list[dict]) -> tuple[re.Pattern | None, dict[str, str]]:
+    """A book's fakes as one pattern, the longest first, and what they stand for; of equal fakes the first counts."""
+    known: dict[str, str] = {}
+    for p in sorted(book, key=lambda p: (p["l"], p["ord"])):
+        known.setdefault(p["fake"], p["real"])
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, known)) + r")(?!\w)") if known else None, known
+
+
+def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RESTORED rows. A book's pattern is made once and kept for the texts that follow it; books are told apart by id."""
+    patterns: dict[str, tuple[re.Pattern | None, dict[str, str]]] = {}
+    schema = pa.schema([("text_id", pa.int64()), ("book_id", pa.string()), ("score", pa.int64()), ("text", pa.string()), ("fake", pa.string()), ("real", pa.string()), ("count", pa.int32())])
+    for batch in batches:
+        out, books = [], batch["book"]
+        for i, (text_id, book_id, score, text) in enumerate(zip(*(batch[c].to_pylist() for c in ("text_id", "book_id", "score", "summary")), strict=True)):
+            if book_id is not None and book_id not in patterns:
+                if len(patterns) > MOST_BOOKS:
+                    patterns.clear()
+                patterns[book_id] = _pattern(books[i].as_py() or [])
+            pattern, known = patterns.get(book_id, (None, {}))
+            counts: Counter[str] = Counter()
+            if pattern and text is not None:
+                counts.update(pattern.findall(text))
+                text = pattern.sub(lambda m, known=known: known[m[0]], text)
+            row = {"text_id": text_id, "book_id": book_id, "score": score or 0, "text": text}
+            out.extend(row | {"fake": f, "real": known[f], "count": n} for f, n in counts.items())
+            if not counts:
+                out.append(row | {"fake": None, "real": None, "count": 0})
+        yield pa.RecordBatch.from_pylist(out, schema=schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,64 @@ def find_spans(text: Column, additional: Column | None = None, detected: Column
     return _found(text, none.cast("array<string>") if additional is None else additional, none.cast(f"array<{t.SPAN}>") if detected is None else detected, F.lit(propagate))
 
 
+_TOKEN = re.compile(fixed.TOKEN)
+_STRINGS = ("surface", "canonical", "token", "kind")
+DONE = T.StructType([
+    T.StructField("text", T.StringType()), T.StructField("mapping", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in _STRINGS]))),
+    T.StructField("phi_hits", T.MapType(T.StringType(), T.IntegerType())), T.StructField("residual_flags", T.MapType(T.StringType(), T.IntegerType())),
+])
+
+
+def replaced(text: str, spans: list[Span]) -> tuple[str, list[tuple[str, str, str, str]]]:
+    """text with a token for each span, and (surface, canonical, token, kind) of each different surface in the order of first places.
+
+    Surfaces that agree in lower case share a token, of the kind of the first. A kind's numbers go up and skip those that the text already uses.
+    """
+    taken, last, tokens, known, out, at = set(_TOKEN.findall(text)), {}, {}, {}, [], 0
+    for a, b, kind in spans:
+        surface = text[a:b]
+        key = surface.lower()
+        if key not in tokens:
+            numbers = itertools.count(last.get(kind, 0) + 1)
+            last[kind] = next(n for n in numbers if f"[{fixed.KINDS[kind]}_{n:02d}]" not in taken)
+            tokens[key] = f"[{fixed.KINDS[kind]}_{last[kind]:02d}]", kind
+        known.setdefault(surface, (surface, key, *tokens[key]))
+        out += text[at:a], tokens[key][0]
+        at = b
+    return "".join([*out, text[at:]]), list(known.values())
+
+
+def _maps(counts: list[Counter]) -> pa.MapArray:
+    pairs = [x for c in counts for x in sorted(c.items())]
+    cuts = pa.array(np.append(0, np.cumsum([len(c) for c in counts])).astype(np.int32))
+    return pa.MapArray.from_arrays(cuts, pa.array([k for k, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int32()))
+
+
+@F.arrow_udf(DONE)
+def _done(text: pa.Array, additional: pa.Array, detected: pa.Array) -> pa.Array:
+    texts, mappings, hits, left = [], [], [], []
+    for raw, values, spans in zip(text.to_pylist(), additional.to_pylist(), detected.to_pylist(), strict=True):
+        raw = raw or ""
+        found = by_rules(raw) + [p for v in values or () for p in places(raw, v, "OTHER_ID")] + [(s["start"], s["end"], s["kind"]) for s in spans or ()]
+        kept = resolved(spread(raw, found))
+        new, mapping = replaced(raw, kept)
+        texts.append(new)
+        mappings.append([dict(zip(_STRINGS, m, strict=True)) for m in mapping])
+        hits.append(Counter(k for *_, k in kept))
+        left.append(Counter(k for *_, k in resolved(by_rules(new))))
+    kind = pa.list_(pa.struct([(c, pa.string()) for c in _STRINGS]))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(mappings, kind), _maps(hits), _maps(left)], names=["text", "mapping", "phi_hits", "residual_flags"])
+
+
+_done = _done.asNondeterministic()
+
+
+def pseudonymised(text: Column, additional: Column | None = None, detected: Column | None = None) -> Column:
+    """DONE of a text: spans as in find_spans with propagation, replaced, with the mapping, the hits by kind, and the rules' hits that are left."""
+    none = F.lit(None)
+    return _done(text, none.cast("array<string>") if additional is None else additional, none.cast(f"array<{t.SPAN}>") if detected is None else detected)
+
+
 @F.arrow_udf(SPANS)
 def _rules(text: pa.Array) -> pa.Array:
     return _array([by_rules(x or "") for x in text.to_pylist()])

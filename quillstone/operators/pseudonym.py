@@ -2,48 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
-from quillstone.operators import spans as sp
-from quillstone.operators.detect import all_rule_spans, find_spans
+from quillstone.operators.detect import all_rule_spans, find_spans, pseudonymised
 
 MAPPING = "batch_id, surface, canonical, token, kind"
 
 
-def detect(batches: DataFrame, detected: DataFrame | None = None, passages: bool = False) -> DataFrame:
-    """batches (batch_id, text, and `additional` if there is one) with `spans`, resolved: rules, listed and detected identifiers, propagated.
-
-    detected: (batch_id, start, end, kind) of a model's valid suggestions; they are gathered by batch, which is bounded by its text.
-    """
+def _with_detected(batches: DataFrame, detected: DataFrame | None) -> tuple[DataFrame, Column | None, Column | None]:
+    """batches with the spans of a model's valid suggestions (batch_id, start, end, kind), which are gathered by batch, and the columns of listed and detected ones."""
     listed = F.col("additional") if "additional" in batches.columns else None
     if detected is None:
-        return batches.withColumn("spans", find_spans(F.col("text"), listed, propagate=True))
+        return batches, listed, None
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
     found = detected.groupBy("batch_id").agg(F.collect_list(span).alias("_detected"))
-    joined = batches.join(found, "batch_id", "left")
-    return joined.withColumn("spans", find_spans(F.col("text"), listed, F.col("_detected"), propagate=True)).drop("_detected")
+    return batches.join(found, "batch_id", "left"), listed, F.col("_detected")
+
+
+def detect(batches: DataFrame, detected: DataFrame | None = None) -> DataFrame:
+    """batches (batch_id, text, and `additional` if there is one) with `spans`, resolved: rules, listed and detected identifiers, propagated."""
+    rows, listed, spans = _with_detected(batches, detected)
+    return rows.withColumn("spans", find_spans(F.col("text"), listed, spans, propagate=True)).drop("_detected")
 
 
-def assign_tokens(found: DataFrame) -> DataFrame:
+def assign_tokens(batches: DataFrame, detected: DataFrame | None = None) -> DataFrame:
     """One row for each canonical surface of a batch: batch_id, canonical, kind, token.
 
     Surfaces that agree in lower case share a token, of the kind of the first. Numbers count by batch and kind in the order of first places
     and skip those that the text already uses.
     """
-    rows = sp.explode_spans(found.select("batch_id", "text", "spans"), "spans", "text").withColumn("canonical", F.lower("value"))
-    firsts = rows.groupBy("batch_id", "canonical").agg(F.min_by("kind", "start").alias("kind"), F.min("start").alias("first"))
-    ranked = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("batch_id", "kind").orderBy("first")))
-    taken = found.select("batch_id", t.matches(F.col("text"), fixed.TOKEN).alias("_taken"))
-    label = sp.label(F.col("kind"))
-    used = F.transform(F.col("_taken"), lambda x: F.when(F.regexp_replace(x, r"^\[|_\d+\]$", "") == label, F.regexp_extract(x, r"_(\d+)\]$", 1)))
-    numbers = F.filter(used, lambda d: d.isNotNull() & (F.length(d) <= 9) & (d == F.format_string("%02d", d.try_cast("int"))))
-    free = F.array_except(F.sequence(F.lit(1), F.col("_n") + F.size(numbers)), F.transform(numbers, lambda d: d.cast("int")))
-    joined = ranked.join(taken, "batch_id")
-    token = F.format_string("[%s_%02d]", label, F.element_at(free, F.col("_n")))
-    return joined.select("batch_id", "canonical", "kind", token.alias("token"))
+    named = F.array_distinct(F.transform("mapping", lambda m: F.struct(m["canonical"].alias("canonical"), m["kind"].alias("kind"), m["token"].alias("token"))))
+    return pseudonymise(batches, detected, canonical=True).select("batch_id", F.inline(named))
 
 
 def replace_spans(text: Column, spans: Column, tokens: Column) -> Column:
@@ -66,21 +58,16 @@ def residual(text: Column) -> Column:
     return count_kinds(all_rule_spans(text))
 
 
-def pseudonymise(batches: DataFrame, detected: DataFrame | None = None) -> DataFrame:
-    """batch_id, text (pseudonymised), phi_hits, residual_flags, mapping (array of surface, token, kind), for each batch.
+def pseudonymise(batches: DataFrame, detected: DataFrame | None = None, canonical: bool = False) -> DataFrame:
+    """batch_id, text (pseudonymised), phi_hits, mapping (array of surface, token, kind; `canonical` too if asked for), residual_flags, for each batch.
 
-    Shuffles on batch_id alone. Work grows with a batch's text, so a batch should stay a bounded set of documents. The mapping restores the
-    original; keep it apart from what is written.
+    One Arrow call a batch finds, numbers, replaces and screens; without detected spans nothing is shuffled. Work grows with a batch's
+    text, so a batch should stay a bounded set of documents. The mapping restores the original; keep it apart from what is written.
     """
-    found = detect(batches, detected)
-    tokens = assign_tokens(found).groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "token"))).alias("_tokens"), F.map_from_entries(F.collect_list(F.struct("canonical", "kind"))).alias("_kinds"))
-    none = F.create_map().cast("map<string,string>")
-    rows = found.join(tokens, "batch_id", "left").withColumns({"_tokens": F.coalesce("_tokens", none), "_kinds": F.coalesce("_kinds", none)})
-    surface = F.array_distinct(F.transform("spans", lambda s: t.piece(F.col("text"), s["start"], s["end"])))
-    mapping = F.transform(surface, lambda v: F.struct(v.alias("surface"), F.col("_tokens")[F.lower(v)].alias("token"), F.col("_kinds")[F.lower(v)].alias("kind")))
-    mapped = rows.withColumns({"mapping": mapping, "phi_hits": count_kinds(F.col("spans"))})  # before `text` is a new column: a lambda would take that one
-    done = mapped.select("batch_id", replace_spans(F.col("text"), F.col("spans"), F.col("_tokens")).alias("text"), "phi_hits", "mapping")
-    return done.withColumn("residual_flags", residual(F.col("text")))
+    rows, listed, spans = _with_detected(batches, detected)
+    done = rows.select("batch_id", pseudonymised(F.col("text"), listed, spans).alias("_done")).select("batch_id", "_done.*")
+    fields = ("surface", *(["canonical"] if canonical else []), "token", "kind")
+    return done.withColumn("mapping", F.transform("mapping", lambda m: F.struct(*(m[c].alias(c) for c in fields))))
 
 
 def restore(text: Column, mapping: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import fixed
 from quillstone.operators import evidence, pseudonym
 from quillstone.operators import spans as sp
 from quillstone.sources.files import batch_text
@@ -49,14 +50,25 @@ def extractive(prompt: str, units: list[dict]) -> tuple[list[dict], list[str]]:
 RECORDS = "batch_id long, error string, summary string, sentences array<struct<text:string,evidence:array<string>>>, uncertainties array<string>"
 
 
+#: Of a batch: passages that a detector read, those on which it failed, and its invalid suggestions.
+COUNTS = ("passages", "fallback_passages", "discarded")
+
+
+def privacy_warnings() -> Column:
+    """What a reader of a pseudonymised batch should know, from the columns of `process`."""
+    failed = F.format_string(fixed.DETECTOR_FAILED, "fallback_passages", "passages")
+    some = F.when(F.col("fallback_passages") > 0, failed), F.when(F.col("discarded") > 0, F.format_string(fixed.SUGGESTIONS_DISCARDED, "discarded"))
+    return F.array_compact(F.array(F.lit(fixed.REVIEW_BEFORE_SHARING), *some, F.when(F.size("residual_flags") > 0, fixed.IDENTIFIERS_REMAIN)))
+
+
 def process(documents: DataFrame, generator: Generator = extractive, detector: Detector | None = None) -> DataFrame:
     """documents (batch_id, doc_index, text) to one record for each batch: pseudonymised text, summary with originals restored, counts, error.
 
     The only shuffles are by batch_id. A batch with an empty document fails; a summary that changes a placeholder fails. The mapping is not in the result.
     """
-    joined = batch_text(documents)
+    joined = batch_text(documents, fixed.MAX_DOCUMENTS)
     good = joined.where("error IS NULL").select("batch_id", "text")
-    detected = detect_passages(good, detector)[0] if detector else None
+    detected, counts = detect_passages(good, detector) if detector else (None, None)
     anon = pseudonym.pseudonymise(good, detected)
     units = evidence.evidence_units(anon.select("batch_id", "text"))
     packed = units.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "id", "document", "text"))).alias("units"))
@@ -73,12 +85,16 @@ def process(documents: DataFrame, generator: Generator = extractive, detector: D
 
     made = prompts.select("batch_id", "prompt", "units").mapInPandas(run, RECORDS)
     rows = joined.select("batch_id", "document_count", F.col("error").alias("_empty")).join(anon.withColumnRenamed("text", "pseudonymised_text"), "batch_id", "left").join(made, "batch_id", "left")
+    if counts is None:
+        rows = rows.withColumns({c: F.lit(0).cast("long") for c in COUNTS})
+    else:
+        rows = rows.join(counts, "batch_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in COUNTS})
     tokens = F.transform("mapping", lambda m: m["token"])
     generated = F.concat_ws("\n", F.col("summary"), F.array_join("uncertainties", "\n"))
     changed = F.size(pseudonym.unknown_placeholders(generated, F.col("pseudonymised_text"), tokens)) > 0
     error = F.coalesce(F.col("_empty"), F.col("error"), F.when(changed, "the model changed an identifier placeholder"))
     restored = pseudonym.restore(F.col("summary"), F.col("mapping"))
-    return rows.select("batch_id", "document_count", error.alias("error"), F.when(error.isNull(), F.col("pseudonymised_text")).alias("pseudonymised_text"), F.when(error.isNull(), restored).alias("summary"), "phi_hits", "residual_flags")
+    return rows.select("batch_id", "document_count", error.alias("error"), F.when(error.isNull(), F.col("pseudonymised_text")).alias("pseudonymised_text"), F.when(error.isNull(), restored).alias("summary"), "phi_hits", "residual_flags", *COUNTS, privacy_warnings().alias("warnings"))
 
 
 def export_text(records: DataFrame, path: str) -> None:

@@ -70,16 +70,16 @@ def email_counts(spark, sf_dir):
 
 
 @query(f"""
-    WITH e AS (SELECT lang, doc_id, lower(unnest(regexp_extract_all(text, '{_EMAIL}'))) AS v, generate_subscripts(regexp_extract_all(text, '{_EMAIL}'), 1) AS k FROM documents),
-    f AS (SELECT lang, v, min(doc_id * 100000 + k) AS first FROM e GROUP BY lang, v)
-    SELECT lang, v AS canonical, '[EMAIL_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || ']' AS token FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY first) AS n FROM f)
+    WITH e AS (SELECT doc_id // 8 AS batch_id, doc_id, lower(unnest(regexp_extract_all(text, '{_EMAIL}'))) AS v, generate_subscripts(regexp_extract_all(text, '{_EMAIL}'), 1) AS k FROM documents),
+    f AS (SELECT batch_id, v, min(doc_id * 100000 + k) AS first FROM e GROUP BY batch_id, v)
+    SELECT batch_id, v AS canonical, '[EMAIL_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || ']' AS token FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY first) AS n FROM f)
 """)
 def email_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where(F.contains("text", F.lit("@")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 8").alias("batch_id"), "text").where(F.contains("text", F.lit("@")))
     rows = sp.explode_spans(docs.withColumn("spans", sp.rule_spans(F.col("text"), ("EMAIL",))), "spans", "text")
-    firsts = rows.groupBy("lang", F.lower("value").alias("canonical")).agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("first"))
-    return firsts.select("lang", "canonical", F.format_string("[EMAIL_%02d]", n).alias("token"))
+    firsts = rows.groupBy("batch_id", F.lower("value").alias("canonical")).agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    n = F.row_number().over(Window.partitionBy("batch_id").orderBy("first"))
+    return firsts.select("batch_id", "canonical", F.format_string("[EMAIL_%02d]", n).alias("token"))
 
 
 @query(f"SELECT note_id, kind, start, start + length(value) AS stop, value FROM ({_SPANS})")
@@ -88,6 +88,13 @@ def rule_spans(spark, sf_dir):
     return sp.explode_spans(notes, "spans", "text").select("note_id", "kind", long("start").alias("start"), long("end").alias("stop"), "value")
 
 
+@query()
+def document_rule_spans(spark, sf_dir):
+    """All identifier rules over all documents. Without SQL: DuckDB has no look-around; a test holds the Arrow and the column version together on them."""
+    docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", find_spans(F.col("text")).alias("spans"))
+    return sp.explode_spans(docs, "spans", "text").select("doc_id", "kind", long("start").alias("start"), long("end").alias("stop"), "value")
+
+
 @query(f"SELECT kind, count(*) AS hits FROM ({_SPANS}) GROUP BY kind")
 def phi_hits_by_kind(spark, sf_dir):
     notes = corpus.notes(spark, sf_dir).select(F.explode(find_spans(F.col("text"))).alias("s"))
@@ -108,7 +115,7 @@ _NUMBERED = f"""
 
 @query(_NUMBERED + "SELECT * FROM k")
 def token_assignment(spark, sf_dir):
-    return pseudonym.assign_tokens(pseudonym.detect(_batches(spark, sf_dir)))
+    return pseudonym.assign_tokens(_batches(spark, sf_dir))
 
 
 @query(
@@ -151,7 +158,7 @@ def occupied_tokens(spark, sf_dir):
     taken = F.when(F.col("c_custkey") % 3 == 0, "[EMAIL_01] [EMAIL_03]").when(F.col("c_custkey") % 3 == 1, "[EMAIL_02]").otherwise("[EMAIL_1] [EMAIL_002]")
     text = F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@example.invalid, b@example.invalid, "), taken)
     batches = table(spark, sf_dir, "customer").select(long("c_custkey").alias("batch_id"), text.alias("text"))
-    tokens = pseudonym.assign_tokens(pseudonym.detect(batches))
+    tokens = pseudonym.assign_tokens(batches)
     first = F.col("canonical").startswith("a")
     return tokens.groupBy("batch_id").agg(F.max(F.when(first, F.col("token"))).alias("token_1"), F.max(F.when(~first, F.col("token"))).alias("token_2"))
 
@@ -243,9 +250,13 @@ _PAGED = "SELECT conv_id, string_agg('--- Sida ' || (turn + 1) || ' ---' || chr(
 
 
 @query(f"""
-    WITH p AS (SELECT conv_id, turn, '--- Sida ' || (turn + 1) || ' ---' || chr(10) || text || CASE WHEN turn < max(turn) OVER (PARTITION BY conv_id) THEN chr(10) ELSE '' END AS page FROM conversations),
-    s AS (SELECT conv_id, turn, page, CAST(coalesce(sum(length(page)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p)
-    SELECT conv_id, start, page AS text FROM s WHERE length(page) <= 3500
+    WITH RECURSIVE p AS (SELECT conv_id, turn, '--- Sida ' || (turn + 1) || ' ---' || chr(10) || text || CASE WHEN turn < max(turn) OVER (PARTITION BY conv_id) THEN chr(10) ELSE '' END AS page FROM conversations),
+    s AS (SELECT conv_id, page AS text, CAST(coalesce(sum(length(page)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p),
+    c(conv_id, start, text, pos, stop) AS (
+        SELECT conv_id, start, text, 0, {_chunk_sql(3500).replace("pos", "0")} FROM s
+        UNION ALL
+        SELECT conv_id, start, text, pos, {_chunk_sql(3500)} FROM (SELECT conv_id, start, text, stop AS pos FROM c WHERE stop < length(text)))
+    SELECT conv_id, CAST(start + pos AS BIGINT) AS start, substr(text, pos + 1, stop - pos) AS text FROM c
 """)
 def page_chunks(spark, sf_dir):
     part = F.concat(F.lit("--- Sida "), (F.col("turn") + 1).cast("string"), F.lit(" ---\n"), F.col("text"))
@@ -372,18 +383,8 @@ def critical_tokens(spark, sf_dir):
     return rows.select("doc_id", long(F.size("c")).alias("tokens"), F.array_join(F.array_sort("c"), "|").alias("sorted"))
 
 
-@query(r"""
-    WITH h AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(\d+(?:[.,]\d+)?)', 1) AS a FROM documents)
-    SELECT doc_id, a[1] AS first FROM h WHERE len(a) > 0 AND regexp_matches(a[1], '^\d{1,9}$') AND doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|[^\p{L}\p{N}_])\d{1,9}(?:[^\p{L}\p{N}_.,]|$)') AND NOT regexp_matches(text, '\d[\p{L}_.,]') AND NOT regexp_matches(text, '[\p{L}_]\d'))
-""")
-def number_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d") & ~F.col("text").rlike(r"(?U)\d[\p{L}_.,]") & ~F.col("text").rlike(r"(?U)[\p{L}_]\d"))
-    rows = docs.select("doc_id", F.get(t.matches(F.col("text"), fixed.NUMBER), F.lit(0)).alias("first"))
-    return rows.where(F.col("first").rlike(r"^\d{1,9}$"))
-
-
 @query()
-def number_tokens_all(spark, sf_dir):
+def number_tokens(spark, sf_dir):
     """Every number of every document. Without SQL: DuckDB has no word boundaries of all alphabets and no look-around."""
     docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", t.number_tokens(F.col("text")).alias("numbers"))
     return docs.select("doc_id", F.posexplode("numbers").alias("n", "number")).select("doc_id", long("n").alias("n"), "number")
@@ -397,23 +398,8 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return spark.sql(_PAIRS.replace("conversations", "_conversations").replace("length(a.text) / 2", "round(length(a.text) / 2 + 0.0000001)"))
 
 
-@query(
-    "WITH p AS ("
-    + _PAIRS
-    + r"), w AS (SELECT *, list_filter(regexp_split_to_array(lower(first), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(lower(second), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS wb FROM p WHERE NOT regexp_matches(first, '\d') AND NOT regexp_matches(lower(first || ' ' || reverse(first)), '(ingen|inga|inget|ej|inte|utan|nekar)'))"
-    + f" SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN '{fixed.READERS_DIFFER_CRITICAL}' WHEN wa <> wb THEN '{fixed.READERS_DIFFER_WORDS}' END AS warning, length(second) < length(first) * 0.65 AS short FROM w"
-)
-def reader_disagreement(spark, sf_dir):
-    rows = _pairs(spark, sf_dir)
-    plain = ~F.col("first").rlike(r"(?U)\d") & ~F.lower(F.concat("first", F.lit(" "), F.reverse("first"))).rlike("(ingen|inga|inget|ej|inte|utan|nekar)")
-    found = readings.disagreement(F.col("first"), F.col("second"), F.col("second"))
-    out = rows.where(plain).select("conv_id", "turn", found.alias("w"))
-    tokens = F.get(F.filter("w", lambda x: x != fixed.READERS_DIFFER_COVERAGE), F.lit(0))
-    return out.select("conv_id", "turn", tokens.alias("warning"), F.array_contains("w", fixed.READERS_DIFFER_COVERAGE).alias("short"))
-
-
 @query()
-def reader_disagreement_all(spark, sf_dir):
+def reader_disagreement(spark, sf_dir):
     """Every turn, with numbers and negations too. Without SQL: DuckDB has no look-around."""
     found = readings.disagreement(F.col("first"), F.col("second"), F.col("second"))
     out = _pairs(spark, sf_dir).select("conv_id", "turn", found.alias("w"))
@@ -498,7 +484,10 @@ def estimate_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", planning.estimate_tokens(F.col("text"), 4096).alias("tokens"))
 
 
-@query()
+@query("""
+    SELECT o_orderkey AS batch_id, CASE o_orderkey % 6 WHEN 4 THEN 'invalid JSON' WHEN 5 THEN 'the model repeatedly stopped early' END AS error, CAST(CASE o_orderkey % 6 WHEN 0 THEN 1 WHEN 5 THEN 3 ELSE 2 END AS BIGINT) AS attempts,
+           CASE o_orderkey % 6 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete|complete' WHEN 2 THEN 'invalid_format|complete' WHEN 3 THEN 'context_overflow|complete' WHEN 4 THEN 'invalid_format|invalid_format' ELSE 'incomplete|incomplete|incomplete' END AS outcomes FROM orders
+""")
 def summary_retries(spark, sf_dir):
     """Replays recorded answers of each order through the retry rules; an order's key says what its answers are."""
     import json
@@ -564,11 +553,28 @@ def route_reader(spark, sf_dir):
     return readings.route(rows).select("page_id", "engine", "need_second", "rejected", "review_required")
 
 
-@query()
+@query(f"""
+    WITH w AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, text) AS i FROM (SELECT page_id, text, x0 % 300 AS x0, 7 * (x0 // 300) + y0 AS y0, x0 % 300 + 40 AS x1, 7 * (x0 // 300) + y1 AS y1 FROM ({_WORDS}))),
+    m AS (SELECT page_id, (min(x0) + max(x1)) / 2.0 AS middle, max(x1) - min(x0) AS width FROM w GROUP BY page_id),
+    s AS (SELECT w.*, middle, width, CASE WHEN x1 < middle THEN 1 WHEN x0 > middle THEN 2 ELSE 0 END AS side FROM w JOIN m ON m.page_id = w.page_id),
+    p AS (SELECT page_id, count(*) FILTER (WHERE side = 1) >= 3 AND count(*) FILTER (WHERE side = 2) >= 3 AND count(*) FILTER (WHERE side = 0) <= 2 AND coalesce(max(y1) FILTER (WHERE side = 0) <= min(y0) FILTER (WHERE side > 0), true)
+                 AND min(x0) FILTER (WHERE side = 2) - max(x1) FILTER (WHERE side = 1) > 0.05 * any_value(width) AND count(*) FILTER (WHERE side = 2 AND regexp_matches(text, '[0-9]')) < 0.25 * count(*) FILTER (WHERE side = 2) AS prose FROM s GROUP BY page_id),
+    r AS (SELECT page_id, max(i) AS n, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'text': text}} ORDER BY i) AS l FROM w GROUP BY page_id),
+    a AS (SELECT page_id, list_reduce(list_prepend([], list_transform(l, lambda c: [[c]])), lambda rows, c: CASE
+              WHEN len(list_filter(range(1, len(rows) + 1), lambda k: list_max(list_transform(rows[k], lambda d: d.y1)) >= c[1][1].y0
+                   AND len(list_filter(rows[k], lambda d: NOT ((d.x1 <= c[1][1].x0 OR c[1][1].x1 <= d.x0) AND least(d.y1, c[1][1].y1) - greatest(d.y0, c[1][1].y0) >= 0.5 * least(d.y1 - d.y0, c[1][1].y1 - c[1][1].y0)))) = 0)) > 0
+              THEN list_transform(rows, lambda row, k: CASE WHEN k = list_max(list_filter(range(1, len(rows) + 1), lambda j: list_max(list_transform(rows[j], lambda d: d.y1)) >= c[1][1].y0
+                   AND len(list_filter(rows[j], lambda d: NOT ((d.x1 <= c[1][1].x0 OR c[1][1].x1 <= d.x0) AND least(d.y1, c[1][1].y1) - greatest(d.y0, c[1][1].y0) >= 0.5 * least(d.y1 - d.y0, c[1][1].y1 - c[1][1].y0)))) = 0)) THEN row || c[1] ELSE row END)
+              ELSE rows || c END) AS rows FROM r)
+    SELECT a.page_id, CASE WHEN prose THEN (SELECT string_agg(text, chr(10) ORDER BY side, y0, i) FROM s WHERE s.page_id = a.page_id)
+           ELSE array_to_string(list_transform(rows, lambda row: array_to_string(list_transform(list_sort(row), lambda d: d.text), chr(9))), chr(10)) END AS text FROM a JOIN p ON p.page_id = a.page_id
+""")
 def line_layout(spark, sf_dir):
-    words = _words(spark, sf_dir)
-    box = F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
-    return readings.page_layouts(words.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("text", box.alias("box")))).alias("lines")))
+    """Words as lines, folded into three columns of uneven rows."""
+    fold = F.floor(F.col("x0") / 300) * 7
+    words = _words(spark, sf_dir).select("page_id", "text", (F.col("x0") % 300).alias("x0"), (F.col("y0") + fold).alias("y0"), (F.col("x0") % 300 + 40).alias("x1"), (F.col("y1") + fold).alias("y1"))
+    line = F.struct("y0", "x0", "text", F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))).alias("box"))
+    return readings.page_layouts(words.groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("lines")))
 
 
 @query("""

@@ -4,7 +4,9 @@ import io
 import json
 import re
 import zipfile
+import zlib
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -137,7 +139,7 @@ def _numbers(text):
 def test_numbers_of_whole_documents(spark, tmp_path):
     texts = ["Hb 4,2 och 3.14, 12 mg", "x5 5x ä7 _8 9_ 1,2mg 1.2.3 7, 8.", "[NAME_01] 1234567890123 [EMAIL_02]3", "inga tal", "", "5", "1-2/3 (4) 5%", "٣٤ 2024-05-06"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(tuple(r) for r in queries.QUERIES["number_tokens_all"](spark, str(tmp_path)).select("doc_id", "n", "number").collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["number_tokens"](spark, str(tmp_path)).select("doc_id", "n", "number").collect())
     want = [(d, n, x) for d, text in enumerate(texts) for n, x in enumerate(_numbers(text))]
     assert got == want and (0, 0, "4,2") in got and (1, 0, "1") in got
 
@@ -153,7 +155,7 @@ def test_readers_of_all_turns(spark, tmp_path):
         y = (x, x + " <5 mg", x[::-1], x[: int(len(x) / 2 + 0.5)])[k]
         differ = fixed.READERS_DIFFER_CRITICAL if tokens(x) != tokens(y) else fixed.READERS_DIFFER_WORDS if re.findall(r"\w+", x.lower()) != re.findall(r"\w+", y.lower()) else None
         want.append((c, k, differ, len(y) < len(x) * 0.65))
-    got = queries.QUERIES["reader_disagreement_all"](spark, str(tmp_path)).select("conv_id", "turn", "warning", "short").collect()
+    got = queries.QUERIES["reader_disagreement"](spark, str(tmp_path)).select("conv_id", "turn", "warning", "short").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len({w[2] for w in want}) == 3
 
 
@@ -236,3 +238,68 @@ def test_stream(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     ingest.start(ingest.stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", json.dumps({"id": "a", "name": "old", "n": [1, {"x": None}]}), 1.0), ("b", "{}", 1.0)], "id string, record string, changed double")
+    records.save(rows, path)
+    assert records.save_name(spark, path, "a", ' né"w ', 2.0) and not records.save_name(spark, path, "zz", "x", 2.0) and records.save_name(spark, path, "b", " ", 2.0)
+    assert records.remove(spark, path, "b", 3.0) and not records.remove(spark, path, "b", 4.0)
+    left = {r["id"]: json.loads(r["record"]) for r in records.stored(spark, path).collect()}
+    assert left == {"a": {"id": "a", "name": 'né"w', "n": [1, {"x": None}]}}
+
+
+def test_export_files(spark):
+    from quillstone.plans import exports
+
+    rows = spark.createDataFrame([("a", "One (1)\n\nTwo åäö \\ " + "lång rad " * 400, ["q"], ["w"], True, [("E1", "Document 1", "x\x01")], "p"), ("b", "", [], [], False, [], "")], "id string, summary string, uncertainties array<string>, warnings array<string>, implemented boolean, units array<struct<id:string,document:string,text:string>>, pseudonymised_text string")
+    for form in exports.FORMATS:
+        got = {r["id"]: r for r in exports.export_files(rows, "both", form).collect()}
+        assert got["b"]["error"] and got["b"]["content"] is None and got["a"]["filename"] == "documents.zip"
+        with zipfile.ZipFile(io.BytesIO(got["a"]["content"])) as z:
+            assert len(z.namelist()) == 2
+            one_file = z.read(z.namelist()[0])
+        alone = exports.export_files(rows, "summary", form).where("id = 'a'").first()
+        assert bytes(alone["content"]) == one_file and alone["media_type"] == exports.FORMATS[form][0]
+        if form == "docx":
+            text = files.decode_docx(one_file)
+            assert text.startswith("Clinical summary\n\nOne (1)\n\nTwo åäö \\ lång rad") and text.endswith("Unresolved questions\nq\n\nTranscription review notes\nw")
+        if form == "pdf":
+            streams = [zlib.decompress(x) for x in re.findall(rb"stream\n(.*?)\nendstream", one_file, re.S)]
+            shown = b" ".join(x.replace(b"\\(", b"(").replace(b"\\)", b")").replace(b"\\\\", b"\\") for s in streams for x in re.findall(rb"\((.*)\) Tj", s)).decode("cp1252")
+            assert len(streams) > 1 and "One (1)" in shown and shown.count("lång") == 400 and one_file.startswith(b"%PDF")
+            assert all(one_file[int(p) :].startswith(b"%d 0 obj" % i) for i, p in enumerate(re.findall(rb"(\d{10}) 00000 n", one_file), 1))
+
+
+def test_images():
+    from quillstone.operators import images
+
+    page = np.full((300, 240), 250, np.uint8)
+    assert images.is_blank(page) and images.skew(page) == 0
+    page[::20, 30:210] = page[1::20, 30:210] = 10
+    assert not images.is_blank(page) and images.skew(page) == 0
+    y, x = np.mgrid[:300, :240]
+    for turn in (-3, 2):
+        tilted = np.where(np.rint((y - 150) * np.cos(np.deg2rad(turn)) + (x - 120) * np.sin(np.deg2rad(turn))) % 20 < 2, 10, 250)
+        assert abs(images.skew(tilted) - turn) <= 0.4
+
+
+def test_mapping_files(spark, tmp_path):
+    (tmp_path / "p 1_mapping.json").write_text(json.dumps({"Alma": {"fake": "Fia", "type": "PER"}, "x": 3, "Berg": {"fake": "Ek"}, " ": {"fake": "q"}}))
+    (tmp_path / "p2_mapping.json").write_text("[1]")
+    (tmp_path / "other.json").write_text("{}")
+    got = [tuple(r) for r in codebook.clean_pairs(codebook.read_books(spark, str(tmp_path))).orderBy("ord").select("book_id", "real", "fake", "type").collect()]
+    assert got == [("p 1", "Alma", "Fia", "PER"), ("p 1", "Berg", "Ek", "")]
+
+
+def test_large_batches_fail(spark):
+    docs = spark.createDataFrame([(1, i, "x") for i in range(11)] + [(2, 1, "y")], "batch_id long, doc_index int, text string")
+    got = {r["batch_id"]: (r["text"], r["document_count"], r["error"]) for r in files.batch_text(docs, 10).collect()}
+    assert got == {1: (None, 11, "more than 10 documents"), 2: ("--- Document 1 ---\ny", 1, None)}
+
+
+def test_records_count_passages(spark):
+    docs = spark.createDataFrame([(1, 1, "Alma"), (1, 2, "Berit åter.")], "batch_id long, doc_index int, text string")
+    row = process.process(docs, detector=lambda text: [("ORG", "åter"), ("ORG", "saknas")] if "åter" in text else None).first()
+    assert (row["passages"], row["fallback_passages"], row["discarded"]) == (2, 1, 1) and len(row["warnings"]) == 3
