@@ -3,18 +3,19 @@
 Equal sets are one class from the start. Shingles are ordered by how many documents have them, rare ones first, so a pair over the
 threshold shares a shingle of both prefixes; each class is listed under its prefix's shingles with its place there.
 
-* Answers from similar sets: every class is first compared with the ends of each list it is in (smallest and largest id). Classes of
-  a family of copies are then in one component, whose members needn't be compared with each other any more.
-* Skipping by position: what is left are pairs of different components. A list in one component is skipped whole; in the others
-  a pair is only formed if the sizes and the two places leave room for the overlap it needs, and if one side isn't in
-  the list's main component.
-
-All pairs that pass are verified on whole sets, so no link between different texts is lost, and the pairs inside a family are never
-written out.
+* Leaders: every class is first compared with the ends of each list it is in (smallest and largest id). Classes of a family of copies are then
+  in one component, whose members needn't be compared with each other any more, and each member knows its difference from a leader.
+* Block-skipping by position: a list's entries lie in blocks of one band of sizes and one band of places. Two blocks are skipped whole, before any pair
+  is formed, if they are of one component, if their sizes differ too much, or if their bounds of size and place leave no room for the overlap needed.
+* Derived answers: of what is left, only the leaders are intersected. The overlap of two members is that of their leaders, less at most what the
+  members lack of them and plus at most what they have beyond them. Only pairs that these bounds leave open are intersected too.
+
+No link between different texts is lost, and the pairs inside a family are never written out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,26 +118,54 @@ def _whole_sets(words: int, lower: bool):
     return run
 
 
-def _linked(percent: int):
-    def links(x: pa.Scalar, y: pa.Scalar) -> bool:
-        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
+MET = "a long, b long, both long, only_a long, only_b long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array([links(x, y) for x, y in zip(batch["x"], batch["y"], strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(keep)
-            release_memory()
 
-    return run
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MET rows: how many shingles both sets have, and each of them alone."""
+    names = [x.split()[0] for x in MET.split(", ")]
+    for batch in batches:
+        sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch[c]] for c in "xy"]
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
+        alone = [[len(v) - n for v, n in zip(side, both, strict=True)] for side in sets]
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(v, pa.int64()) for v in (both, *alone))], names=names)
+        release_memory()
 
 
-def verify(pairs: DataFrame, content: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+def overlaps(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """MET rows of the pairs (a, b), from their whole sets; an id with several sets has a row for each."""
     x = content.select(F.col("id").alias("a"), F.col("content").alias("x"))
     y = content.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, MET)
+
+
+def _links(percent: int) -> Column:
+    return F.col("both") * 100 >= (F.col("both") + F.col("only_a") + F.col("only_b")) * percent
+
+
+def derived_links(pairs: DataFrame, near: DataFrame, content: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b: ids and set sizes) that link, as (a, b).
+
+    near: MET rows of links; a class's leader is the smallest id that it links with there. Leaders are intersected first. With their overlap o,
+    that of a and b lies between o less what a and b lack of their leaders and o plus what they have beyond them.
+    """
+    once = near.groupBy("a", "b").agg(F.count("*").alias("_n"), F.max("only_a").alias("lacks"), F.max("only_b").alias("beyond")).where("_n = 1")
+    leader = once.groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct(F.col("a").alias("leader"), "lacks", "beyond"), "a").alias("l"))
+    for side in "ab":
+        of = leader.select(F.col("id").alias(side), F.col("l").alias(f"l_{side}"))
+        own = F.struct(F.col(side).alias("leader"), F.lit(0).cast("long").alias("lacks"), F.lit(0).cast("long").alias("beyond"))
+        pairs = pairs.join(of, side, "left").withColumn(f"l_{side}", F.coalesce(f"l_{side}", own))
+    low, high = F.least("l_a.leader", "l_b.leader"), F.greatest("l_a.leader", "l_b.leader")
+    pairs = materialise(pairs.withColumns({"la": low, "lb": high}), "jaccard-pairs")
+    met = overlaps(pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), content).withColumn("links", _links(percent))
+    met = met.groupBy(F.col("a").alias("la"), F.col("b").alias("lb")).agg(F.max("both").alias("o"), F.count("*").alias("rows"), F.bool_or("links").alias("links"))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
+    least, most = F.col("o") - F.col("l_a.lacks") - F.col("l_b.lacks"), F.col("o") + F.col("l_a.beyond") + F.col("l_b.beyond")
+    themselves = (F.col("la") == F.least("a", "b")) & (F.col("lb") == F.greatest("a", "b"))
+    answer = F.when(themselves, F.col("links")).when((F.col("rows") == 1) & (least >= need), True).when((F.col("rows") == 1) & (most < need), False)
+    known = materialise(pairs.join(met, ["la", "lb"]).select("a", "b", answer.alias("links")), "jaccard-derived")
+    still_open = known.where("links IS NULL").select("a", "b").distinct()
+    return known.where("links").select("a", "b").unionByName(overlaps(still_open, content).where(_links(percent)).select("a", "b")).distinct()
 
 
 def _may_link(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
@@ -159,15 +188,41 @@ def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return out.distinct()
 
 
-def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components (column comp) that share a listed shingle and may link."""
+#: Entries of a block of a list, about.
+BLOCK = 64
+
+
+def list_blocks(lists: DataFrame, percent: int) -> DataFrame:
+    """Blocks of the lists with several components (column comp): token, band, main, entries, and the bounds of their sizes, places and components.
+
+    A block holds entries of one band of sizes (linked sets lie in one band or in neighbouring ones) and one band of places, of the list's
+    largest component or of others. Crowded bands are dealt into blocks of about BLOCK entries by a hash of the id; nothing is sorted.
+    """
     counts = lists.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    mixed = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("main"))
-    entries = lists.join(mixed, "token")
-    x = entries.where("comp != main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "place", "comp")))
-    y = entries.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "place", "comp")))
-    may = (F.col("comp_x") != F.col("comp_y")) & _may_link(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y"), percent)
-    return x.join(y, "token").where(may).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    mixed = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("_main"))
+    band = F.floor(F.log("n") / F.lit(1.000001 * math.log(100 / percent))) if percent < 100 else F.col("n")
+    rows = lists.join(mixed, "token").select("token", band.cast("long").alias("band"), F.floor(F.log2(F.col("place") + 1)).alias("places"), (F.col("comp") == F.col("_main")).alias("main"), F.struct("id", "n", "place", "comp").alias("e"))
+    key = ["token", "band", "places", "main"]
+    crowded = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK)
+    dealt = rows.join(crowded, key, "left").withColumn("part", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("e.id"), F.ceil(F.col("_n") / F.lit(BLOCK)))).otherwise(0))
+    bounds = [f("e." + c).alias(f"{c}_{k}") for c in ("n", "place", "comp") for f, k in ((F.min, "lo"), (F.max, "hi"))]
+    return dealt.groupBy(*key, "part").agg(F.collect_list("e").alias("entries"), *bounds)
+
+
+def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of different components (column comp) that share a listed shingle and may link. Blocks are skipped before pairs are formed."""
+    blocks = materialise(list_blocks(lists, percent).withColumn("block", F.struct("band", "places", "main", "part")), "jaccard-blocks")
+    names = [c for c in blocks.columns if c not in ("token", "places", "main", "part")]
+    x = blocks.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("_band"), *(F.col(c).alias(f"x_{c}") for c in names))
+    y = blocks.select("token", F.col("band").alias("_band"), *(F.col(c).alias(f"y_{c}") for c in names))
+    one = (F.col("x_comp_lo") == F.col("x_comp_hi")) & (F.col("y_comp_lo") == F.col("y_comp_hi")) & (F.col("x_comp_lo") == F.col("y_comp_lo"))
+    room = F.least(F.col("x_n_hi") - F.col("x_place_lo"), F.col("y_n_hi") - F.col("y_place_lo")) * (100 + percent) >= (F.col("x_n_lo") + F.col("y_n_lo")) * percent
+    sizes = (F.col("x_n_hi") * 100 >= F.col("y_n_lo") * percent) & (F.col("y_n_hi") * 100 >= F.col("x_n_lo") * percent)
+    met = x.join(y, ["token", "_band"]).where((F.col("x_block") <= F.col("y_block")) & ~one & room & sizes).select(F.explode("x_entries").alias("x"), F.col("y_entries"))
+    met = met.select("x", F.explode("y_entries").alias("y"))
+    may = (F.col("x.comp") != F.col("y.comp")) & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
+    ends = F.when(F.col("x.id") < F.col("y.id"), F.struct("x.id", F.col("y.id").alias("b"), "x.n", F.col("y.n").alias("m"))).otherwise(F.struct("y.id", F.col("x.id").alias("b"), "y.n", F.col("x.n").alias("m")))
+    return met.where(may).select(ends.alias("p")).select(F.col("p.id").alias("a"), F.col("p.b"), F.col("p.n").alias("n_a"), F.col("p.m").alias("n_b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -191,10 +246,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower
     needed = lists.select(F.col("id").alias("_needed")).distinct()
     content = docs.join(needed, docs["doc_id"] == needed["_needed"], "left_semi").mapInArrow(_whole_sets(words, lower), "id long, content binary")
     content = materialise(content, "jaccard-content")
-    near = materialise(verify(_leader_pairs(lists, percent), content, percent), "jaccard-near")
+    near = materialise(overlaps(_leader_pairs(lists, percent), content).where(_links(percent)), "jaccard-near")
     label = components(near)
     named = lists.join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "n", "token", "place", F.coalesce("comp", "id").alias("comp"))
-    rest = materialise(verify(_cross_pairs(materialise(named, "jaccard-named"), percent), content, percent), "jaccard-rest")
+    rest = materialise(derived_links(_cross_pairs(materialise(named, "jaccard-named"), percent), near, content, percent), "jaccard-rest")
     label = components(rest.unionByName(label.where("id != comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))))
     joined = member.select("doc_id", "n", "class").join(label, F.col("class") == F.col("id"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class").alias("component_id"))

@@ -106,6 +106,35 @@ def test_jaccard(corpus, rows, n, percent):
     assert {r["doc_id"]: r["component_id"] for r in got} == comp
 
 
+def test_derived_answers_are_exact(spark):
+    r = np.random.default_rng(4)
+    sets, near = {}, []
+    for f in range(5):
+        base = r.choice(400, 60, replace=False) if f % 2 == 0 else np.append(sets[100 * (f - 1)][:57], 1000 + f)
+        sets[100 * f] = np.unique(base)
+        for k in range(1, 12):
+            sets[100 * f + k] = np.unique(np.append(r.choice(sets[100 * f], len(sets[100 * f]) - k % 5, replace=False), 2000 + 100 * f + np.arange(k % 3)))
+    meet = lambda a, b: (a, b, len(n := np.intersect1d(sets[a], sets[b])), len(sets[a]) - len(n), len(sets[b]) - len(n))
+    links = lambda m: 100 * m[2] >= 90 * sum(m[2:])
+    near = [m for a in sets for b in sets if a < b and a % 100 == 0 and a // 100 == b // 100 and links(m := meet(a, b))]
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and a // 100 != b // 100]
+    content = spark.createDataFrame([(i, v.astype(np.uint64).tobytes()) for i, v in sets.items()], "id long, content binary")
+    table = spark.createDataFrame(pairs, "a long, b long, n_a long, n_b long")
+    got = {tuple(x) for x in jaccard.derived_links(table, spark.createDataFrame(near, jaccard.MET), content, 90).collect()}
+    assert got == {p[:2] for p in pairs if links(meet(*p[:2]))} and 10 < len(got) < len(pairs) and near
+
+
+def test_blocks_lose_no_pair(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, int(n), int(r.integers(0, 3)), int(r.integers(0, max(1, n // 8))), int(i if r.random() < 0.5 else r.integers(0, 4))) for i, n in enumerate(r.integers(5, 60, 400))]
+    table = spark.createDataFrame(rows, "id long, n long, token long, place int, comp long")
+    for percent in (80, 100):
+        may = lambda x, y: 100 * min(x[1], y[1]) >= percent * max(x[1], y[1]) and (100 + percent) * min(x[1] - x[3], y[1] - y[3]) >= percent * (x[1] + y[1])
+        want = {(x[0], y[0], x[1], y[1]) for x in rows for y in rows if x[0] < y[0] and x[2] == y[2] and x[4] != y[4] and may(x, y)}
+        got = [tuple(x) for x in jaccard._cross_pairs(table, percent).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_packing(corpus, rows):
     from tokenizers import Tokenizer
 
