@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -183,38 +184,116 @@ def test_language_model_beats_its_base(spark):
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got) and sum(r["score"] > r["base_score"] for r in got) > 0.8 * len(got)
 
 
-def test_class_probabilities_sum_to_one():
-    model = maxent.Model(10, 3, np.ones(maxent.CLASSES), np.zeros(maxent.CLASSES, np.float32), np.random.default_rng(0).normal(size=(len(maxent.FEATURES) * maxent.ROWS, maxent.CLASSES)).astype(np.float32))
-    logs = model.class_logs(np.zeros((4, len(maxent.FEATURES)), np.int32))
-    assert np.allclose(np.exp(logs).sum(1), 1)
-
-
-def test_each_history_has_its_own_weights():
-    words = [[f"w{(i * k) % 9973}" for i in range(1, 9000)] for k in (1, 7)]
-    t = maxent.Text.of(pa.table({"doc_id": [1, 2], "text": [" ".join(w) for w in words]}))
-    histories = []
-    for w in words:
-        w = [None] * 3 + w + ["end"]
-        for i in range(3, len(w)):
-            histories.append([(n, *(w[i - d] for d in f)) for n, f in enumerate(maxent.FEATURES)])
-    keys, at = t.contexts()
-    number = {}
-    want = np.array([[number.setdefault(h, len(number)) for h in x] for x in histories])
-    assert len(keys) == len(number) > 4 * 8192 and at.shape == want.shape
-    assert len(set(zip(at.ravel().tolist(), want.ravel().tolist(), strict=True))) == len(number)
+def test_rows_follow_from_counts():
+    r = np.random.default_rng(2)
+    words = [[f"w{int(x)}" for x in r.zipf(1.4, 3000) % 700] for _ in range(3)]
+    t = maxent.Text.of(pa.table({"doc_id": [1, 2, 3], "text": [" ".join(w) for w in words]}))
+    count = np.bincount(t.at, minlength=len(t.keys))
+    total = int(count.sum())
+    keys, at = t.contexts(count, total)
+    by_word = collections.Counter(w for doc in words for w in [*doc, "END"]) | {"START": total}
+    own = lambda w: (w,) if by_word[w] >= maxent.own_row(total) else None
+    seen = [{}, {}, {}]
+    for row, (one, two) in zip(at.tolist(), [(h[i + 1], h[i]) for doc in words for h in (["START", "START", *doc],) for i in range(len(doc) + 1)], strict=True):
+        pair = (one, two) if min(by_word[one], by_word[two]) >= maxent.COMMON * total else "other"
+        for f, name in enumerate((own(one), own(two), pair)):
+            if name is not None:
+                assert seen[f].setdefault(name, row[f]) == row[f]
+    named = [r for s in seen for r in s.values()]
+    assert len(named) == len(set(named)) and len(named) < len(keys) and (np.diff(keys.astype(object)) > 0).all() and len(seen[2]) > 100
+    assert maxent.own_row(10**6) == maxent.OWN < maxent.own_row(10**10) and set(np.unique(at)) == set(range(len(keys)))
+
+
+def test_packed_rows():
+    rows = np.random.default_rng(1).normal(size=(50, 7)).astype(np.float32)
+    rows[3] = 0
+    back = maxent.unpack_rows(maxent.pack_rows(rows))
+    assert (np.abs(back - rows).max(1) <= np.abs(rows).max(1) / 200 + 1e-4).all() and not back[3].any()
+
+
+def test_scores_of_a_model_trained_by_hand(spark, monkeypatch):
+    """The whole training in plain loops, on a corpus of which each chunk's half is one batch."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(words[int(40 * r.random() ** 2)] for _ in range(r.randint(0, 60)))) for i in range(60)] + [(60, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(maxent, "chunk_count", lambda *_: 2)
+    got = {x["doc_id"]: x for x in maxent.score_documents(table).collect()}
+    chunk_of = {x["doc_id"]: x["chunk"] for x in maxent.in_chunks(table, 2).collect()}
+    text = {i: [*(t or "").encode().split(), None] for i, t in docs}
+    train = [i for i in text if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for i in train for w in text[i])
+    total, S = sum(count.values()), maxent.SUB
+    digit = lambda w: int(maxent.digits_of(np.array([maxent.END if w is None else tx.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]], np.uint64))[0])
+    digits, cls = {w: digit(w) for d in text.values() for w in d}, lambda c: min(c.bit_length(), 31)
+    mass, less = np.zeros((2, 32, S * S))
+    for w, c in count.items():
+        mass[cls(c), digits[w]] += c
+        less[cls(c - 1), digits[w]] += c
+    width = int(np.flatnonzero((mass + less).sum(1)).max()) + 1
+    bias = np.log(less.sum(1)[:width] + 0.5) - np.log(less.sum() + 0.5 * width)
+    known = count | {"START": total}
+
+    def features(doc, i):
+        h = ["START", "START", *doc]
+        one, two = h[i + 1], h[i]
+        row = lambda f, w: (f, w) if known.get(w, 0) >= maxent.OWN else (f, cls(known.get(w, 0)), digits[w])
+        return row(1, one), row(2, two), (3, one, two) if min(known.get(one, 0), known.get(two, 0)) >= total / 512 else (3,)
+
+    def chances(rows, fs, k, d, table):
+        z = sum(rows.get(f, np.zeros(width + 2 * S)) for f in fs)
+        parts = [bias + z[:width]]
+        tree = table[k].reshape(S, S)
+        with np.errstate(divide="ignore"):
+            for base, cut in ((tree.sum(1), slice(width, width + S)), (tree[d // S], slice(width + S, None))):
+                parts.append(z[cut] + (np.log(base / base.sum()) if k else 0))
+        return [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in parts]
+
+    rows = {}
+    for part in (0, 1):
+        sent = collections.defaultdict(list)
+        for chunk in (0, 1):
+            mine, uses, grads = sorted(i for i in text if chunk_of[i] == chunk), collections.Counter(), [collections.defaultdict(lambda: np.zeros(width + 2 * S)) for _ in range(3)]
+            for i in mine[part::2]:
+                if i in train:
+                    for n, w in enumerate(text[i]):
+                        fs, k, d = features(text[i], n), cls(count[w] - 1), digits[w]
+                        p = chances(rows, fs, k, d, less)
+                        g = np.concatenate(p)
+                        g[[k, width + d // S, width + S + d % S]] -= 1
+                        g[width:] *= k > 0
+                        for f, name in enumerate(fs):
+                            grads[f][name] += g
+                            uses[name] += 1
+            for name, g in ((name, g) for by in grads for name, g in by.items()):
+                cuts = (slice(0, width), slice(width, width + S), slice(width + S, None))
+                change = np.concatenate([-0.5 * g[c] / math.sqrt(0.2 + np.square(g[c]).mean()) for c in cuts])
+                sent[name].append((uses[name], maxent.unpack_rows(maxent.pack_rows(change[None].astype(np.float32)))[0]))
+        for name, changes in sent.items():
+            mean = sum(n * c for n, c in changes) / (sum(n for n, _ in changes) + maxent._HALF)
+            rows[name] = rows.get(name, 0) + maxent.unpack_rows(maxent.pack_rows(mean[None].astype(np.float32)))[0]
+    trained = 0
+    for i, doc in text.items():
+        want = 0
+        for n, w in enumerate(doc):
+            k, d = cls(count[w]), digits[w]
+            a, b, c = chances(rows, features(doc, n), k, d, mass)
+            want += math.log10(a[k]) + (math.log10(b[d // S] * c[d % S] * count[w] / mass[k, d]) if k else 0)
+        assert abs(got[i]["score"] - want) < 0.01 * len(doc), (i, got[i]["score"], want)
+        trained += got[i]["score"] - got[i]["base_score"]
+    assert trained > 0
 
 
 def test_weights_are_averaged_over_chunks():
     keys, r = np.arange(1, 41, dtype=np.uint64) << np.uint64(57), np.random.default_rng(1)
-    uses, rows = r.integers(0, 3, (2, 40)), r.normal(size=(2, 40, 3)).astype(np.float16)
-    sent = [maxent._send(c, keys, uses[c], rows[c], 4) for c in (0, 1)]
-    table = pa.concat_tables(sent)
+    uses, rows = r.integers(0, 3, (2, 40)), r.normal(size=(2, 40, 3)).astype(np.float32)
+    table = pa.concat_tables([maxent._send(c, keys, uses[c], rows[c], 4) for c in (0, 1)])
     got = {0: [], 1: []}
     for b in range(4):
         for x in maxent._average(3)(table.filter(pa.compute.equal(table["bucket"], b))).to_pylist():
-            got[x["chunk"]].append(np.frombuffer(x["payload"], "<f2").reshape(-1, 3))
-    want = (uses[:, :, None] * rows.astype(float)).sum(0) / (uses.sum(0) + maxent._HALF)[:, None]
-    assert np.allclose(np.concatenate(got[0]), want, atol=2e-3) and np.allclose(np.concatenate(got[1]), want, atol=2e-3)
+            got[x["chunk"]].append(maxent.unpack_rows(np.frombuffer(x["payload"], "u1").reshape(-1, 5)))
+    want = (uses[:, :, None] * rows).sum(0) / (uses.sum(0) + maxent._HALF)[:, None]
+    assert np.allclose(np.concatenate(got[0]), want, atol=2e-2) and np.allclose(np.concatenate(got[1]), want, atol=2e-2)
 
 
 def test_words_of_a_class_depend_on_the_history():
