@@ -238,7 +238,7 @@ def test_scores_of_a_model_trained_by_hand(spark, monkeypatch):
         h = ["START", "START", *doc]
         one, two = h[i + 1], h[i]
         row = lambda f, w: (f, w) if known.get(w, 0) >= maxent.OWN else (f, cls(known.get(w, 0)), digits[w])
-        return row(1, one), row(2, two), (3, one, two) if min(known.get(one, 0), known.get(two, 0)) >= total / 512 else (3,)
+        return row(1, one), row(2, two), (3, one, two) if min(known.get(one, 0), known.get(two, 0)) >= total * maxent.COMMON else (3,)
 
     def chances(rows, fs, k, d, table):
         z = sum(rows.get(f, np.zeros(width + 2 * S)) for f in fs)
@@ -267,7 +267,7 @@ def test_scores_of_a_model_trained_by_hand(spark, monkeypatch):
                             uses[name] += 1
             for name, g in ((name, g) for by in grads for name, g in by.items()):
                 cuts = (slice(0, width), slice(width, width + S), slice(width + S, None))
-                change = np.concatenate([-0.5 * g[c] / math.sqrt(0.2 + np.square(g[c]).mean()) for c in cuts])
+                change = np.concatenate([-maxent.RATE * g[c] / math.sqrt(0.2 + np.square(g[c]).mean()) for c in cuts])
                 sent[name].append((uses[name], maxent.unpack_rows(maxent.pack_rows(change[None].astype(np.float32)))[0]))
         for name, changes in sent.items():
             mean = sum(n * c for n, c in changes) / (sum(n for n, _ in changes) + maxent._HALF)
