@@ -7,6 +7,7 @@ import ctypes
 import gc
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,9 +48,11 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when their plan does: frees the plans of jobs that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Shuffle files go when their plan does: frees the plans of jobs that are over. One collection only finds them, the next lets go."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
