@@ -164,7 +164,7 @@ def _score(model: Trees) -> Callable:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts, part in in_parts(batches):
         x = statistics(texts)
-        yield pa.RecordBatch.from_arrays([part["quality"], pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+        yield pa.RecordBatch.from_arrays([part["doc_id"], part["quality"], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -175,7 +175,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **options) -> Trees:
     """Trees fitted on the labelled documents that aren't held out: all of them, or the most_rows smallest by a hash of the id.
 
-    At most most_rows ids are broadcast and as many rows of statistics reach the driver; nothing else does.
+    At most most_rows labels are broadcast and as many rows of statistics reach the driver, one for each label however often its document is
+    repeated (the smallest one of several texts); nothing else does.
     """
     bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("quality"))
@@ -183,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **opti
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
-    got = found.mapInArrow(_measure, "quality double, x array<double>").toArrow()
+    got = found.mapInArrow(_measure, "doc_id long, quality double, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(got["quality"].to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order in which rows arrive

@@ -116,6 +116,32 @@ def test_pipeline(spark):
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_catches_what_is_planted(spark):
+    import corpus_pipeline
+
+    sf, r = "/root/testdata/sf0.001", random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, near, item = prose(60), prose(200), spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    texts = {1: near, 2: near.replace(near.split()[100], "changed"), 3: f"{prose(80)} {passage} {prose(80)}", 4: f"{prose(70)} {passage} {prose(90)}", 5: f"{prose(60)} {item} {prose(60)}", 6: prose(150), 7: None, 8: "", 9: near}
+    rows = [(i + 10**9, t, "x") for i, t in texts.items()] + [(None, prose(90), "n"), (6 + 10**9, texts[6], "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk string").selectExpr("*", "1 AS rest", "'b' AS bucket")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame([tuple(x) for x in out.collect()], docs.schema)
+    kept = {x["doc_id"]: x["text"] for x in docs.collect()}
+    assert set(kept) == {i + 10**9 for i in (1, 3, 4, 6, 7, 8)} | {None}
+    assert all(kept[i + 10**9] == texts[i] for i in (1, 3, 6)) and kept[4 + 10**9] == texts[4].replace(passage + " ", "")
+    ids = {x[0] for x in corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().collect()}
+    assert ids == set(kept)
+
+
+def test_empty_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive(none).count() == 0 and warc.read_archive(warc.archive(none)).count() == 0
+
+
 def test_pipeline_carries_token_ids(spark):
     import corpus_pipeline
 

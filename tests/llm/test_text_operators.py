@@ -381,6 +381,44 @@ def test_quality(spark):
     assert quality.score_documents(docs, empty).count() == len(rows)
 
 
+def test_repeated_labels_count_once(spark, monkeypatch):
+    rows = [(i, "plain words of text " * (1 + i % 5) if i % 2 else "BUY!! " * (3 + i % 7)) for i in range(90)]
+    docs = spark.createDataFrame(rows + [rows[0]] * 500 + [(0, "BUY!! NOW " * 400_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, **_: sizes.append(len(y)) or quality.Trees(np.zeros((1, 1), int), np.zeros((1, 1)), np.zeros((1, 2)), 0.0))
+    model = quality.train(docs, labels)
+    assert sizes == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(90))] and quality.score_documents(docs, model).count() == docs.count()
+
+
+def test_trees_match_a_plain_walk():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 6))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    model = quality.fit(x, y, trees=20, depth=3)
+
+    def walk(row):
+        out = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            out += v[node - len(f)]
+        return 1 / (1 + math.exp(-out))
+
+    assert np.allclose(model.score(x), [walk(row) for row in x]) and ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+def test_empty_and_long_documents(spark):
+    item = "this is one benchmark item of some length that is looked for"
+    none, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert decontaminate.find_leaks(none, items).count() == 0 and decontaminate.drop_leaks(none, items).count() == 0
+    assert quality.score_documents(none, quality.train(none, labels)).count() == 0 and quality.keep_good(none, quality.train(none, labels)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 400_000 + item + " and more"), (2, "word " * 400_000), (3, "x" * 2_000_000)], "doc_id long, text string")
+    assert [(r["doc_id"], r["errors"]) for r in decontaminate.find_leaks(long, items).collect()] == [(1, 0)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for out in (
