@@ -219,10 +219,10 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     room = F.least(F.col("x_n_hi") - F.col("x_place_lo"), F.col("y_n_hi") - F.col("y_place_lo")) * (100 + percent) >= (F.col("x_n_lo") + F.col("y_n_lo")) * percent
     sizes = (F.col("x_n_hi") * 100 >= F.col("y_n_lo") * percent) & (F.col("y_n_hi") * 100 >= F.col("x_n_lo") * percent)
     met = x.join(y, ["token", "_band"]).where((F.col("x_block") <= F.col("y_block")) & ~one & room & sizes).select(F.explode("x_entries").alias("x"), F.col("y_entries"))
-    met = met.select("x", F.explode("y_entries").alias("y"))
-    may = (F.col("x.comp") != F.col("y.comp")) & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
+    may = lambda y: (F.col("x.comp") != y["comp"]) & _may_link(F.col("x.n"), F.col("x.place"), y["n"], y["place"], percent)
+    met = met.select("x", F.explode(F.filter("y_entries", may)).alias("y"))  # a row for each pair that may link, none for the rest of a block
     ends = F.when(F.col("x.id") < F.col("y.id"), F.struct("x.id", F.col("y.id").alias("b"), "x.n", F.col("y.n").alias("m"))).otherwise(F.struct("y.id", F.col("x.id").alias("b"), "y.n", F.col("x.n").alias("m")))
-    return met.where(may).select(ends.alias("p")).select(F.col("p.id").alias("a"), F.col("p.b"), F.col("p.n").alias("n_a"), F.col("p.m").alias("n_b")).distinct()
+    return met.select(ends.alias("p")).select(F.col("p.id").alias("a"), F.col("p.b"), F.col("p.n").alias("n_a"), F.col("p.m").alias("n_b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, chunk_bytes: int = 4 << 20) -> DataFrame:
