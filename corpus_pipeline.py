@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't train the classifier; tests compare every stage with a brute-force version.
+#: SQL can't train the classifier. Each operator has brute-force tests of its own; the pipeline's test plants cases and looks what stays.
 ORACLE_SQL = None
 
 
