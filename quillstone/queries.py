@@ -90,7 +90,7 @@ def rule_spans(spark, sf_dir):
 
 @query()
 def document_rule_spans(spark, sf_dir):
-    """All identifier rules over all documents. Without SQL: DuckDB has no look-around; a test holds the Arrow and the column version together on them."""
+    """All identifier rules over all documents. Without SQL: DuckDB has no look-around; a property test holds the Arrow and the column version together."""
     docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", find_spans(F.col("text")).alias("spans"))
     return sp.explode_spans(docs, "spans", "text").select("doc_id", "kind", long("start").alias("start"), long("end").alias("stop"), "value")
 
