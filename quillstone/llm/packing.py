@@ -127,16 +127,19 @@ def _pack(path: str, end_id: int | None, longest: int, with_ids: bool) -> Callab
     def rows(doc: int | None, raw: bytes) -> Iterator[tuple]:
         start, total = 0, len(raw) // 4
         for n in lengths(total, longest):
-            piece = raw[4 * start : 4 * (start + n)]
-            yield (doc, start, n, zlib.crc32(piece), total, *([np.frombuffer(piece, "<u4").tolist()] if with_ids else []))
+            yield doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), total
             start += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 5 + ([pa.list_(pa.int32())] if with_ids else [])
         for docs, texts, _ in in_parts(batches, 8 << 20):
-            out = [r for doc, ids in zip(docs, encoder(path).encode(texts), strict=True) for r in rows(doc, ids.tobytes() + end)]
+            raws = [ids.tobytes() + end for ids in encoder(path).encode(texts)]
+            out = [r for doc, raw in zip(docs, raws, strict=True) for r in rows(doc, raw)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                columns = [pa.array(v, pa.int64()) for v in zip(*out, strict=True)]
+                if with_ids:  # pieces lie in the order of the documents' ids
+                    cuts = np.append(0, np.cumsum([r[2] for r in out])).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
