@@ -35,7 +35,7 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
     keys, their sums) in a row of chunk -1.
     """
 
-    def send(table: pa.Table) -> pa.Table:
+    def sent(table: pa.Table) -> pa.Table:
         keys, counts = keys_of(table)
         cuts = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
@@ -46,7 +46,7 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
         same = lambda v, t: pa.array([v] * len(used), t)
         return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": same(table["chunk"][0].as_py(), pa.int64()), "width": same(kind.itemsize, pa.int32()), "keys": pa.array(part(small), pa.binary()), "counts": pa.array(part(counts), pa.binary())})
 
-    def add(table: pa.Table) -> pa.Table:
+    def added(table: pa.Table) -> pa.Table:
         raw = table["keys"].to_pylist()
         keys = np.frombuffer(b"".join(raw), key_type)
         counts = np.concatenate([np.frombuffer(c, f"<u{w}").astype(np.uint64) for c, w in zip(table["counts"].to_pylist(), table["width"].to_pylist(), strict=True)])
@@ -60,8 +60,18 @@ def tally(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
             chunks, buckets, payloads = [*chunks, -1], [*buckets, buckets[0]], [*payloads, summary(known, total).tobytes()]
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, width int, keys binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, ANSWER)
+    def send(table: pa.Table) -> pa.Table:
+        out = sent(table)
+        release_memory()
+        return out
+
+    def add(table: pa.Table) -> pa.Table:
+        out = added(table)
+        release_memory()
+        return out
+
+    rows = chunks.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, width int, keys binary, counts binary")
+    return rows.groupBy("bucket").applyInArrow(add, ANSWER)
 
 
 def values(answers: pa.Table, dtype: str) -> np.ndarray:

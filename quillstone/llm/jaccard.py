@@ -65,8 +65,7 @@ SETS = "doc_id long, n long, h1 long, h2 long, tokens array<long>, places array<
 
 
 def _prefixes(words: int, percent: int, lower: bool):
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        release_memory()  # of the chunk before
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = ordered_texts(left)
         doc, h = shingle_sets(texts, words, lower)
         n = np.bincount(doc, minlength=len(ids))
@@ -85,6 +84,11 @@ def _prefixes(words: int, percent: int, lower: bool):
             "tokens": pa.ListArray.from_arrays(cuts, pa.array(h[order][listed].view(np.int64))), "places": pa.ListArray.from_arrays(cuts, pa.array(place[listed].astype(np.int32))),
         })
 
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = rows(left, right)
+        release_memory()  # the worker is idle while the JVM does what follows
+        return out
+
     return run
 
 
