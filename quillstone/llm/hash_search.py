@@ -1,7 +1,7 @@
 """Exact top-k search among binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments of about log2(n) bits for n distinct codes, each with an index of its own, so that a segment's value has few codes
-whatever n is. A code that no index gives at radius r differs from the query by more than r bits in every segment. So all indexes are probed
+A 64-bit code is cut into segments, each with an index of its own. Their number follows from the number of distinct codes: it is the one whose
+probes and candidates would be fewest among random codes, so segments have a little less than log2(n) bits for n codes. A code that no index gives at radius r differs from the query by more than r bits in every segment. So all indexes are probed
 at radius 0, 1, 2, ..., the larger ones in half of the segments at a time; candidates are verified on whole codes, and a query is done once its
 kth verified distance lies inside what is covered: segments * r, and the segments probed at r, less one. At the full width of a segment every code
 has been met, so each query ends by the index.
@@ -36,9 +36,22 @@ def _smallest_ids(codes: DataFrame, k: int) -> DataFrame:
     return few.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= k).select("code", "id")
 
 
-def segment_count(codes: int) -> int:
-    """Segments of about log2(codes) bits, of 4 bits at least."""
-    return max(2, min(16, round(BITS / max(4.0, math.log2(max(2, codes))))))
+def segment_count(codes: int, k: int = 10) -> int:
+    """The number of segments, 2 to 16, with the fewest probes and candidates for a query among `codes` random codes, up to the radius that its kth distance needs."""
+    near, total = 0, 1
+    while near < BITS and total * codes < k << BITS:
+        near += 1
+        total += math.comb(BITS, near)
+
+    def cost(count: int) -> float:
+        widths, out = [(i + 1) * BITS // count - i * BITS // count for i in range(count)], 0.0
+        for r, some in _steps(count):
+            out += sum(math.comb(widths[i], r) * (1 + codes / 2 ** widths[i]) for i in some)
+            if count * r + some.stop - 1 >= near:
+                break
+        return out
+
+    return min(range(2, 17), key=cost)
 
 
 def _segments(code: Column, count: int, some: range | None = None) -> Column:
@@ -101,7 +114,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tup
     ids = _smallest_ids(rows, k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k ids at most
     ids = materialise(ids, "codes")
     codes, need = ids.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
-    need, count = min(need, k), segment_count(codes)
+    need, count = min(need, k), segment_count(codes, k)
     index = materialise(ids.select("code", "ids", F.inline(_segments(F.col("code"), count))).select("seg", "value", "code", "ids"), "segments")
     left = materialise(asked.select("query").distinct(), "queries")
     found, parts = None, []
