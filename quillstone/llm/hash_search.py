@@ -3,7 +3,8 @@
 A 64-bit code is cut into segments, each with an index of its own. Their number follows from the number of distinct codes: it is the one whose
 probes and candidates would be fewest among random codes, so segments have a little less than log2(n) bits for n codes. A code that no index gives at radius r differs from the query by more than r bits in every segment. So all indexes are probed
 at radius 0, 1, 2, ..., the larger ones in half of the segments at a time; candidates are verified on whole codes, and a query is done once its
-kth verified distance lies inside what is covered: segments * r, and the segments probed at r, less one. At the full width of a segment every code
+kth verified distance lies inside what is covered: segments * r, and the segments probed at r, less one. Until then candidates beyond its kth
+verified distance so far are dropped where they are met, as they can't be among the k. At the full width of a segment every code
 has been met, so each query ends by the index.
 """
 
@@ -68,18 +69,19 @@ def _steps(count: int) -> list[tuple[int, range]]:
 
 
 def _probes(queries: DataFrame, count: int, r: int, some: range | None = None) -> DataFrame:
-    """(query, seg, value): all values that differ by r bits from one of the segments of a query.
+    """(query, seg, value) and the other columns of queries: all values that differ by r bits from one of the segments of a query.
 
     Bits are flipped from the lowest to the highest, one generated row for each, leaving room for those that are still to come.
     """
     spread = queries.repartition(partitions(queries.sparkSession), "query")
-    rows = spread.select("query", F.inline(_segments(F.col("query"), count, some)), F.lit(0).alias("_from"))
+    own = queries.columns
+    rows = spread.select(*own, F.inline(_segments(F.col("query"), count, some)), F.lit(0).alias("_from"))
     for left in range(r, 0, -1):
         places = F.when(F.col("_from") + left <= F.col("width"), F.sequence("_from", F.col("width") - left)).otherwise(F.array().cast("array<int>"))
-        rows = rows.select("query", "seg", "width", "value", F.explode(places).alias("_bit"))
+        rows = rows.select(*own, "seg", "width", "value", F.explode(places).alias("_bit"))
         flipped = F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit")))
-        rows = rows.select("query", "seg", "width", flipped.alias("value"), (F.col("_bit") + 1).alias("_from"))
-    return rows.select("query", "seg", "value")
+        rows = rows.select(*own, "seg", "width", flipped.alias("value"), (F.col("_bit") + 1).alias("_from"))
+    return rows.select(*own, "seg", "value")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -116,7 +118,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tup
     codes, need = ids.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     need, count = min(need, k), segment_count(codes, k)
     index = materialise(ids.select("code", "ids", F.inline(_segments(F.col("code"), count))).select("seg", "value", "code", "ids"), "segments")
-    left = materialise(asked.select("query").distinct(), "queries")
+    left = materialise(asked.select("query").distinct().withColumn("worst", F.lit(BITS)), "queries")
     found, parts = None, []
     for r, some in _steps(count):
         waiting = left.count() if need else 0
@@ -125,15 +127,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tup
             rounds.append((r, covered, waiting))
         if not waiting:
             break
-        met = _probes(left, count, r, some).join(index.hint("merge"), ["seg", "value"]).where(_met_first(F.col("query"), F.col("code"), F.col("seg"), count, r))
-        hits = met.select("query", F.explode("ids").alias("id"), _distance(F.col("query"), F.col("code")).alias("distance"))
+        first, distance = _met_first(F.col("query"), F.col("code"), F.col("seg"), count, r), _distance(F.col("query"), F.col("code"))
+        met = _probes(left, count, r, some).join(index.hint("merge"), ["seg", "value"]).where(first & (distance <= F.col("worst")))
+        hits = met.select("query", F.explode("ids").alias("id"), distance.alias("distance"))
         before = found
         if before is not None:
             hits = hits.unionByName(before.join(left, "query", "left_semi").select("query", "id", "distance"))
         found = materialise(_best(hits, k), "found")
         done = found.where((F.col("rank") == need) & (F.col("distance") <= covered)).select("query")
         parts.append(materialise(found.join(done, "query", "left_semi"), "done"))
-        last, left = left, materialise(left.join(done, "query", "left_anti"), "queries")
+        kth = found.where(F.col("rank") == need).select("query", F.col("distance").alias("_kth"))
+        rest = left.join(done, "query", "left_anti").join(kth, "query", "left")
+        last, left = left, materialise(rest.select("query", F.coalesce("_kth", "worst").alias("worst")), "queries")
         discard(before, last)
     discard(index, found)
     best = ids.select(F.col("code").alias("query"), F.explode("ids").alias("id"), F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
