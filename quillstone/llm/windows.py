@@ -156,16 +156,15 @@ def mark_windows(
     chunks = in_chunks(docs, n_chunks)
 
     def load(table: pa.Table) -> tuple[pa.Table, list[bytes], Tokens]:
-        release_memory()  # of the chunk before
         table = in_order(table)
         texts = texts_of(table)
         return table, texts, tokens_of(table["doc_id"].to_pylist(), texts)
 
     def seeds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, _, c = load(table)
-        return _seed_counts(c, blocks_of(c, win))
+        return _seed_counts(c, blocks_of(c, win))  # the tally gives memory back
 
-    def extract(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def extracted(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _blob_table([])
         _, _, c = load(left)
@@ -200,7 +199,7 @@ def mark_windows(
             rows.append((int(bucket[n[0]]), chunk, 1, n.astype("<u4").tobytes(), ids[doc[f]].astype("<i8").tobytes(), (anchor - start)[f].astype("u1").tobytes(), count[f].astype("u1").tobytes(), pa.compress(c.tokens[tx.gather(start[f], size[f])].astype(token_type).tobytes(), "zstd", asbytes=True)))
         return _blob_table(rows)
 
-    def resolve(table: pa.Table) -> pa.Table:
+    def resolved_rows(table: pa.Table) -> pa.Table:
         if table["kind"][0].as_py() == 0:
             return table.drop_columns(["bucket"])
         col = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
@@ -218,7 +217,7 @@ def mark_windows(
                 out.append((0, chunk, 1, n[some].tobytes(), b"", b"", b"", m[some].astype("<u8").tobytes()))
         return _blob_table(out).drop_columns(["bucket"])
 
-    def cover(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def covered(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows, texts, c = load(left)
         diff = np.zeros(len(c.tokens) + 1, np.int64)
         masks = {}
@@ -244,6 +243,21 @@ def mark_windows(
                 np.add.at(diff, s + win.width, -1)
         return finish(rows, texts, c, np.cumsum(diff[:-1]) > 0)
 
+    def extract(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = extracted(key, left, right)
+        release_memory()
+        return out
+
+    def resolve(table: pa.Table) -> pa.Table:
+        out = resolved_rows(table)
+        release_memory()
+        return out
+
+    def cover(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = covered(key, left, right)
+        release_memory()
+        return out
+
     answers = tally(chunks, seeds, n_buckets, lambda total: np.minimum(total, 2).astype(np.uint8), "<u4")
     grouped = chunks.groupBy("chunk")
     blobs = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(extract, BLOB)
