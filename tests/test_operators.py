@@ -171,6 +171,18 @@ def test_layouts():
     assert readings.layout([]) == ""
 
 
+def test_lines_keep_tied_words_apart(spark):
+    """Words of equal place and text: one is first and follows the gap, the others a space, however rows are dealt."""
+    lines = {0: [(0, "Hb"), (0, "Hb")], 1: [(0, "--"), (0, "--"), (200, "--")], 2: [(0, "5"), (300, "--"), (300, "--"), (300, "--"), (345, "värde"), (345, "värde")]}
+    want = ["Hb Hb", "-- --\t--", "5\t-- -- -- värde värde"]
+    rows = [(page, n, text, 60.0 + k, x, 0, x + 40, 10) for page in range(200) for n, words in lines.items() for k, (x, text) in enumerate(words)]
+    for parts, seed in ((1, 1), (7, 2)):
+        dealt = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        words = spark.createDataFrame(dealt, "page_id long, line_num int, text string, confidence double, x0 int, y0 int, x1 int, y1 int").repartition(parts)
+        got = readings.lines_of(words, ["page_id"], ["line_num"]).collect()
+        assert len(got) == 600 and all((r["text"], r["confidence"]) == (want[r["line_num"]], 60 + (len(lines[r["line_num"]]) - 1) / 2) for r in got)
+
+
 def test_codebooks_do_not_chain(spark):
     books = spark.createDataFrame([("1", 1, "Mölnby", "Stockby Gård", "ORG"), ("1", 2, "Hönby", "Mölnby", "LOC"), ("2", 3, "Ö", "Annan Stor Gård", "ORG")], "book_id string, ord long, real string, fake string, type string")
     texts = spark.createDataFrame([(1, "Stockby Gård Stockby Gård", "Stockby Gård i Mölnby, Mölnbyn"), (2, "inget", "Mölnby")], "text_id long, text string, summary string")
