@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, hash_search, jaccard, maxent, packing, quality, sharding, substring, suffix_dedup, warc
+from quillstone.llm import chat, decontaminate, divergence, hash_search, jaccard, maxent, packing, quality, resampling, sharding, substring, suffix_dedup, warc
 from quillstone.llm.common import materialise
 
 
@@ -63,10 +63,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_hash_search": op1_hash_search, "op2_packing": op2_packing, "op3_maxent": op3_maxent, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(materialise(chat.format_log(chat.as_log(rows)), "chat"))
+
+
+QUERIES = {"op1_hash_search": op1_hash_search, "op2_packing": op2_packing, "op3_maxent": op3_maxent, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_decontamination": op5_decontamination, "op6_suffix_array": op6_suffix_array, "op7_sharding": op7_sharding, "op8_substring": op8_substring, "op9_quality": op9_quality, "op10_warc": op10_warc, "op11_resampling": op11_resampling, "op12_divergence": op12_divergence, "op13_chat": op13_chat}
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: CRC-32 of distinct strings `f`: a table of 256 steps, made from the polynomial, and one step for each byte.
+_CRC_TABLE = "SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8)), 4294967295)"
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHARE = "1 + 1000000000::HUGEINT * ({c} + 1) // ({n} + {v})"
+_CONTROL = r"(/?SYS\]|/?INST\]|ROLE=|/ROLE\]|/?s>)"
 _CHAR = "substr('" + _BASE32 + "', 1 + CAST((v >> {shift}) & 31 AS INT), 1)"
 
 ORACLES: dict[str, str] = {
@@ -117,4 +138,44 @@ ORACLES: dict[str, str] = {
                array_to_string(list_transform(list_transform(range(0, 8), lambda k: CAST('0x' || substr(x, CAST(1 + 5 * k AS INT), 5) AS INT)), lambda v: {" || ".join(_CHAR.format(shift=k) for k in (15, 10, 5, 0))}), '') AS payload_digest,
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d
     """,
+    "op11_resampling": rf"""
+        WITH t AS ({_CRC_TABLE}),
+        x AS (SELECT true AS raw, doc_id, regexp_extract_all({_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+              UNION ALL SELECT false, NULL, regexp_extract_all({_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        g AS (SELECT raw, doc_id, len(w) AS n_words, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM x),
+        b AS (SELECT f, CAST({_CRC} % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT f FROM g), t),
+        k AS (SELECT bucket, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM g JOIN b USING (f) GROUP BY bucket),
+        z AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM k),
+        v AS (SELECT bucket, CAST(floor(1000 * ln((k.t + 1)::DOUBLE * (z.s + 10000) / ((k.s + 1)::DOUBLE * (z.t + 10000)))) AS BIGINT) AS gain FROM k, z),
+        d AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM g JOIN b USING (f) JOIN v USING (bucket) WHERE raw GROUP BY doc_id),
+        e AS (SELECT x.doc_id, len(x.w) AS n_words, coalesce(d.n, 0) AS n_features, CAST(coalesce(floor(total::DOUBLE / d.n), 0) AS BIGINT) AS weight,
+                     CAST('0x' || substr(sha256('7:' || x.doc_id), 1, 8) AS BIGINT) AS h FROM x LEFT JOIN d ON d.doc_id = x.doc_id WHERE raw),
+        c AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+        r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM c)
+        SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM r
+    """,
+    "op12_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_AZ}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+        c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY 1, 2, 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+        p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS c, {_SHARE.format(c="coalesce(c.n, 0)", n="s.n", v="v.v")} AS p, {_SHARE.format(c="k.total", n="v.n", v="v.v")} AS q
+              FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM x)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+    """,
+    "op13_chat": rf"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        t AS (SELECT *, CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 16 + length(url_encode(role)) END AS marks, regexp_replace(text, '([\[<])(\\*){_CONTROL}', '\1\2\\\3', 'g') AS safe FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(marks + length(safe)) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
+    """,
 }
