@@ -172,9 +172,9 @@ def _pairs(groups: DataFrame, terms: DataFrame) -> DataFrame:
     change = lambda p, p0, q, q0: distance(p, q) - distance(p, q0) - distance(p0, q) + distance(p0, q0)
     both = a.join(b, ["lang", "term", "part"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(change(p, p0, q, q0)).alias("there"), F.sum(change(q, q0, p, p0)).alias("back"))
     whole = groups.select("lang", "source", "p0", "kinds").join(other, "lang").where("source <> item").select("lang", "source", "item", (F.col("kinds").cast("decimal(38,0)") * distance(p0, q0)).alias("v"))
-    wide = lambda c: F.col(c).cast("decimal(38,0)").alias("v")
-    for part in (alone, both):
-        whole = whole.unionByName(part.select("lang", "source", "item", wide("there"))).unionByName(part.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), wide("back")))
+    way = lambda source, item, v: F.struct(F.col(source).alias("source"), F.col(item).alias("item"), F.col(v).cast("decimal(38,0)").alias("v"))
+    for part in (alone, both):  # both ways of a pair come from one row
+        whole = whole.unionByName(part.select("lang", F.inline(F.array(way("source", "item", "there"), way("item", "source", "back")))))
     return whole.groupBy("lang", "source", "item").agg(F.sum("v").cast("long").alias("value"))
 
 
