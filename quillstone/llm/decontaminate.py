@@ -2,7 +2,8 @@
 
 With at most k errors, one of k + 1 pieces of a test item occurs unchanged. An Aho-Corasick automaton finds all piece hits in a
 document in one pass; each hit gives a window in which the item would lie, and Myers' bit-parallel algorithm finds the smallest edit
-distance of the item to any part of that window. Both sides are compared as lower-case words joined by single spaces.
+distance of the item to any part of that window. Both sides are compared as lower-case words joined by single spaces, and an item has
+the edges of its first and last word as characters of their own: one that stands inside longer words has an error at each such edge.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import bound_batches, materialise, release_memory
 
-#: Errors allowed: this share of an item's characters. Items under LEAST characters are matched without errors, as whole words.
-ERROR_RATE, LEAST = 0.08, 32
+#: Errors allowed: this share of an item's characters, rounded down.
+ERROR_RATE = 0.08
 #: Characters of test items in one automaton; more items than that are matched in blocks, one pass over the documents each.
 BLOCK_CHARS = 2_000_000
 
@@ -69,51 +70,39 @@ def myers(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
 class Matcher:
     """Finds the items of one block in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, least: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
         self.items, where = [], defaultdict(list)
-        self.short: dict[str, list[int]] = {}
         for item_id, text in items:
-            n = len(text)
-            if not n:
+            if not text:
                 continue
-            if n < least:
-                self.short.setdefault(edge(text[0]) + text + edge(text[-1]), []).append(item_id)
-                continue
-            errors = int(n * error_rate)
+            whole, errors = edge(text[0]) + text + edge(text[-1]), int(len(text) * error_rate)
             masks: dict[str, int] = defaultdict(int)
-            for i, c in enumerate(text):
+            for i, c in enumerate(whole):
                 masks[c] |= 1 << i
-            for a, b in pieces(n, errors):
-                where[text[a:b]].append((len(self.items), b))
-            self.items.append((item_id, n, errors, dict(masks)))
+            for a, b in pieces(len(whole), errors):
+                where[whole[a:b]].append((len(self.items), b))
+            self.items.append((item_id, len(whole), errors, dict(masks), len(edge(text[-1]))))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, places)
-        for text in self.short:
-            where[text].append((-1, text))
-            self.automaton.add_word(text, where[text])
         if where:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, errors, allowed, end) of the closest occurrence of each item that occurs; the first end at a tie."""
-        if not self.items and not self.short:
+        if not self.items:
             return []
         windows, out = defaultdict(list), {}
-        for last, places in self.automaton.iter(f" {text} "):  # a place here is one more than in text
+        edged = f" {text} "
+        for last, places in self.automaton.iter(edged):
             for item, end in places:
-                if item < 0:
-                    stop = last - 1 if end[-1] == " " else last
-                    for item_id in self.short[end]:
-                        out[item_id] = min(out.get(item_id, (0, 0, stop)), (0, 0, stop))
-                    continue
-                _, n, errors, _ = self.items[item]
-                start = last - end
-                windows[item].append((max(0, start - errors), min(len(text), start + n + errors)))
+                _, n, errors, *_ = self.items[item]
+                start = last + 1 - end
+                windows[item].append((max(0, start - errors), min(len(edged), start + n + errors)))
         for item, spans in windows.items():
-            item_id, n, errors, masks = self.items[item]
+            item_id, n, errors, masks, after = self.items[item]
             spans.sort()
             merged = [list(spans[0])]
             for a, b in spans[1:]:
@@ -122,15 +111,17 @@ class Matcher:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                found = myers(masks, n, text[a:b], errors)
-                if found and (item_id not in out or (found[0], a + found[1]) < (out[item_id][0], out[item_id][2])):
-                    out[item_id] = (found[0], errors, a + found[1])
+                found = myers(masks, n, edged[a:b], errors)
+                if found:
+                    place = max(0, min(len(text), a + found[1] - 1 - after))  # without the edges of the text and of the item
+                    if item_id not in out or (found[0], place) < (out[item_id][0], out[item_id][2]):
+                        out[item_id] = (found[0], errors, place)
         return [(item_id, *x) for item_id, x in sorted(out.items())]
 
 
-def _find(items: list[tuple[int, str]], error_rate: float, least: int) -> Callable:
+def _find(items: list[tuple[int, str]], error_rate: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, error_rate, least)
+        matcher = Matcher(items, error_rate)
         for batch in batches:
             found = [(d, *m) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if t for m in matcher.matches(normal(t))]
             if found:
@@ -156,12 +147,13 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
         yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """MATCHES: each document and test item that occurs in it with at most `allowed` errors; `end` is the place in the normalised text.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """MATCHES: each document and test item that occurs in it with at most `allowed` errors; `end` is the place in the normalised text where the
+    item's last word ends (one before it, where the error is that word's missing edge).
 
     Documents are read once for each block of items; only a block, of bounded size, is sent to the executors. Items and documents with a
-    null id or text, and items without a word, match nothing. Items shorter than `least` match without errors and
-    as whole words (anywhere in scripts without spaces). Rows that repeat an id: a document repeats its matches, an
+    null id or text, and items without a word, match nothing. An item of n characters may have int(n * error_rate) errors, whatever its length; the edges of
+    its first and last word count as characters, but not in scripts without spaces. Rows that repeat an id: a document repeats its matches, an
     item counts by its closest row. Whole texts of any length are searched; other columns are not read.
     """
     bound_batches(docs.sparkSession)
@@ -170,9 +162,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     for items in blocks(benchmark, block_chars):
         if last is not None:
             parts.append(materialise(last, "leaks"))
-        last = rows.mapInArrow(_find(items, error_rate, least), MATCHES)
+        last = rows.mapInArrow(_find(items, error_rate), MATCHES)
     if last is None:
-        return rows.limit(0).mapInArrow(_find([], error_rate, least), MATCHES)
+        return rows.limit(0).mapInArrow(_find([], error_rate), MATCHES)
     for part in parts:
         last = last.unionByName(part)
     if parts:  # an item id may be in two blocks

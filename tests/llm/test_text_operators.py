@@ -326,13 +326,13 @@ def test_decontamination(spark):
 
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(14))) for i in range(12)] + [(90, "kort"), (91, None), (None, "x" * 50)]
+    items = [(i, " ".join(word() for _ in range(14))) for i in range(12)] + [(20 + i, " ".join(word() for _ in range(1 + i // 2))) for i in range(12)] + [(90, "kort"), (91, None), (None, "x" * 50)]
     docs = []
     for i in range(80):
         text = " ".join(word() for _ in range(30))
         if i % 2:
-            leak = list(items[i % 12][1])
-            for _ in range(i % 11):
+            leak = list(items[i % 24][1])
+            for _ in range(i % 11 if i % 24 < 12 else i // 24 % 3):
                 leak[r.randrange(len(leak))] = r.choice("abcdeé")
             text += ", " + "".join(leak).upper() + ". " + text
         docs.append((i, text))
@@ -342,12 +342,13 @@ def test_decontamination(spark):
     want = {}
     for i, t in docs:
         for k, x in items:
-            if i is not None and k is not None and t and x and len(decontaminate.normal(x)) >= decontaminate.LEAST:
+            if i is not None and k is not None and t and x:
                 x = decontaminate.normal(x)
-                e, most = distance(x, decontaminate.normal(t)), int(len(x) * decontaminate.ERROR_RATE)
+                e, most = distance(f" {x} ", f" {decontaminate.normal(t)} "), int(len(x) * decontaminate.ERROR_RATE)
                 if e <= most:
                     want[i, k] = (e, most)
-    assert len(want) > 20
+    lengths = {k: len(x) for k, x in items if x}
+    assert len(want) > 20 and sum(e > 0 and lengths[k] < 32 for (_, k), (e, _) in want.items()) > 2
     for chars in (decontaminate.BLOCK_CHARS, 200):
         got = decontaminate.find_leaks(d, b, block_chars=chars).collect()
         assert {(r["doc_id"], r["item_id"]): (r["errors"], r["allowed"]) for r in got} == want and len(got) == len(want)
@@ -356,15 +357,17 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0
 
 
-def test_short_items_match_exactly(spark):
+def test_short_items_have_edges(spark):
     items = [(1, "Vem skrev Hamlet?"), (2, "42"), (3, "今日は天気がいいです"), (4, "?!"), (5, "kort"), (6, "vem  skrev hamlet")]
-    docs = [(1, "Fråga: vem skrev HAMLET, och när?"), (2, "vem skrev hamletar"), (3, "svaret är 42"), (4, "svaret är 142 eller 421"), (5, "彼は今日は天気がいいですと言った"), (6, "vem skriv hamlet ?!"), (7, "kort"), (8, "kort, kort"), (9, "akort kortb")]
+    docs = [(1, "Fråga: vem skrev HAMLET, och när?"), (2, "vem skrev hamletarna"), (3, "svaret är 42"), (4, "svaret är 142 eller 421"), (5, "彼は今日は天気がいいですと言った"), (6, "vem skriv hamlet ?!"), (7, "kort"), (8, "kort, kort"), (9, "akort kortb"), (10, "jvem skriv hamlet"), (11, "en vem skrev hamleta")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = {(3, 2): 12, (5, 3): 12, (7, 5): 4, (8, 5): 4}
-    want[1, 1] = want[1, 6] = decontaminate.normal(docs[0][1]).index("hamlet") + 6
+    want = {(3, 2): (0, 12), (5, 3): (0, 12), (7, 5): (0, 4), (8, 5): (0, 4), (6, 1): (1, 16), (11, 1): (1, 18)}
+    want[1, 1] = 0, decontaminate.normal(docs[0][1]).index("hamlet") + 6
+    want[2, 1] = 1, 15  # the edge is missing
+    want |= {(d, 6): v for (d, i), v in want.items() if i == 1}
     for chars in (decontaminate.BLOCK_CHARS, 8):
         got = decontaminate.find_leaks(d, b, block_chars=chars).collect()
-        assert {(r["doc_id"], r["item_id"]): r["end"] for r in got} == want and len(got) == len(want) and all(r["errors"] == r["allowed"] == 0 for r in got)
+        assert {(r["doc_id"], r["item_id"]): (r["errors"], r["end"]) for r in got} == want and len(got) == len(want)
 
 
 def test_quality(spark):
@@ -393,9 +396,9 @@ def test_repeated_labels_count_once(spark, monkeypatch):
 
 def test_trees_match_a_plain_walk():
     r = np.random.default_rng(5)
-    x = r.normal(size=(400, 6))
+    x = r.normal(size=(4000, 6))
     y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
-    model = quality.fit(x, y, trees=20, depth=3)
+    model = quality.fit(x, y, trees=120, depth=3)
 
     def walk(row):
         out = model.base
