@@ -43,12 +43,12 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame, block: Column | None = None) -> DataFrame:
     """The final messages of a log: conv_id, place, role, text.
 
-    Read from its end, an event counts unless a regeneration of its message or of one before it comes later: of all later regenerations
+    Read from its end, an event counts unless a regeneration of a message before its own comes later: of all later regenerations
     only the first place matters. That minimum is taken in blocks of the sequence (`block`, a long that never falls as seq grows; by default
     seq div 4096), then over the blocks, so that no task holds a whole conversation. What is left of a message is folded by itself.
 
     A null conv_id is a conversation of its own. Events of a null place, of another kind, or about a message that hasn't begun change nothing; a second
-    `message` begins it anew. A null text is empty; a null role is that of the event's message, or ''. Events of equal seq go by kind and text: repeated events apply twice. No events, no messages. Other columns are not read.
+    `message` begins it anew. A null text is empty; a null role is that of the message so far, or ''. Events of equal seq go by kind and text: repeated events apply twice. No events, no messages. Other columns are not read.
     """
     log = events.select("conv_id", "seq", "place", F.array_position(F.array(*map(F.lit, ("message", "regenerate", "edit", "delta"))), F.col("kind")).cast("int").alias("_kind"), "role", F.coalesce("text", F.lit("")).alias("text"), (F.expr("seq div 4096") if block is None else block).alias("_block"))
     log = log.where("place IS NOT NULL AND seq IS NOT NULL AND _kind > 0")
@@ -61,7 +61,7 @@ def fold(events: DataFrame, block: Column | None = None) -> DataFrame:
     ends = known.withColumn("_ahead", F.min("_first").over(after)).where("_ahead IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("_block").alias("_b"), "_ahead")
     log = log.withColumn("_cut", F.min(again).over(later)).join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")), "left")
     cut = F.least("_cut", "_ahead")
-    alive = log.where(cut.isNull() | (F.col("place") < cut))
+    alive = log.where(cut.isNull() | (F.col("place") <= cut))
     steps = F.array_sort(F.collect_list(F.struct("seq", "_kind", "text", "role")))
     messages = alive.groupBy("conv_id", "place").agg(steps.alias("steps"))
     return messages.select("conv_id", "place", F.inline(F.array(_folded(F.col("steps"))))).where("begun").select("conv_id", "place", "role", "text")
@@ -72,14 +72,12 @@ def _renamed(df: DataFrame, conv: str, block: str) -> DataFrame:
 
 
 def _folded(steps: Column) -> Column:
-    """begun, role and text after the steps (seq, _kind, text, role) of one message: only what follows its last new text counts."""
-    resets = F.transform(steps, lambda x, i: F.when(x["_kind"] < 4, i + 1))
-    last = F.coalesce(F.array_max(resets), F.lit(1))
-    begun = F.exists(steps, lambda x: x["_kind"] <= 2)
-    first = F.array_min(F.transform(steps, lambda x, i: F.when(x["_kind"] <= 2, i + 1)))
-    role = F.try_element_at(F.filter(F.transform(steps, lambda x: F.when(x["_kind"] <= 2, x["role"])), lambda r: r.isNotNull()), F.lit(-1))
+    """begun, role and text after the steps (seq, _kind, text, role) of one message: what follows its beginning and its last new text."""
+    places = lambda of: F.transform(steps, lambda x, i: F.when(of(x["_kind"]), i + 1))
+    first, last = F.array_min(places(lambda k: k == 1)), F.array_max(places(lambda k: k < 4))
+    roles = F.transform(F.filter(steps, lambda x: (x["_kind"] == 1) & x["role"].isNotNull()), lambda x: x["role"])
     text = F.array_join(F.transform(F.slice(steps, F.greatest(last, first), F.size(steps)), lambda x: x["text"]), "")
-    return F.struct(F.coalesce(begun, F.lit(False)).alias("begun"), F.coalesce(role, F.lit("")).alias("role"), F.when(begun, text).alias("text"))
+    return F.struct(first.isNotNull().alias("begun"), F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.when(first.isNotNull(), text).alias("text"))
 
 
 def rendered(role: Column, text: Column) -> tuple[Column, Column]:
