@@ -70,6 +70,7 @@ LEAST_COLUMN, MOST_ACROSS, GUTTER, SHARED_HEIGHT, LABEL_WORDS, SOME_NUMBERS, MOS
 
 # Limits of page images. Grey levels, shares of pixels, degrees.
 DARK_BELOW, INK_PERCENTILE, INK_STEP, BLANK_INK = 220, 90, 25, 0.00001
+SKEW_PIXELS, MOST_PIXELS, MOST_IMAGE_PIXELS, INVERT_PERCENTILE, INVERT_BELOW = 1100, 14_000_000, 80_000_000, 60, 128
 LEAST_INK, MOST_INK, SKEW_GAIN, SKEW_RANGE, SKEW_STEP, SKEW_STEPS = 0.001, 0.35, 1.15, 5, 0.2, 3
 
 # Phrases that a model server uses for an input over its context.
@@ -98,6 +99,17 @@ READERS_DIFFER_COVERAGE = "OCR readers disagree substantially on page coverage.
 LOW_CONFIDENCE = "Some OCR text has low confidence. Check names, medications, numbers and units against the original."
 NO_SECOND_READER = "PaddleOCR is not installed with local models; this page could not receive a second-reader check."
 UNREADABLE_MARKERS = "The transcription contains unreadable text markers."
+VISION_NOTHING = "The local vision reader returned no usable transcription."
+VISION_STOPPED = "The vision reader stopped before finishing the page."
+VISION_LOOPS = "The vision reader produced a repetition loop."
+REPLACE_SCAN = " Replace the scan or transcribe the page manually."
+VISION_READ = "A generative vision reader transcribed this page. Check it against the original."
+READER_FAILED = "%s failed on this page."
+PAGE_REJECTED = "This page could not be transcribed reliably. Replace the scan or paste a checked transcription."
+LAYER_VALUES_LOST = "Some values in the embedded text are absent from OCR. Review this page."
+SCAN_RESIZED = "A very large scan was resized; check small text against the original."
+IMAGE_TOO_LARGE = "This image is too large to process safely. Use a smaller scan."
+BAD_IMAGE = "This image could not be opened."
 REVIEW_BEFORE_SHARING = "Automatic pseudonymisation can miss identifiers. Review the document before sharing."
 DETECTOR_FAILED = "The local identifier model failed for %d of %d passages; rules were used for those passages."
 SUGGESTIONS_DISCARDED = "%d invalid identifier suggestions were discarded."

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-import itertools
-import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
+from quillstone.operators.detect import _is_word
+from quillstone.sources.boundary import written
 
 
-#: Pairs that are sent to the executors at once, and patterns that a worker keeps.
-MOST_PAIRS, MOST_BOOKS = 100_000, 64
+#: Books that a worker keeps.
+MOST_BOOKS = 64
+#: Characters of the runs that fakes are filed under, bits of the filter that texts' runs pass, and how often the index is dealt out.
+GRAM, FILTER_BITS, SALTS = 8, 1 << 24, 16
+
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
@@ -58,53 +64,95 @@ def distinctive(kind: Column, fake: Column) -> Column:
     return (kind == "PERSONNUMMER") | (kind.isin(*fixed.DETECT_TYPES) & (t.word_count(fake) >= 2) & (F.length(fake) >= 8))
 
 
-def _block_hits(fakes: list[tuple[str, str, int]]):
-    """Scores of texts by book: an automaton of all fakes of a block meets each text once; occurrences of a fake don't overlap."""
+def _grams(value: str, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n characters, by their code points."""
+    points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = np.zeros(max(0, len(points) - n + 1), np.uint64)
+    for i in range(n):
+        h = (h ^ h >> np.uint64(29)) * _PRIME + points[i : i + len(h)] + np.uint64(n)
+    return h ^ h >> np.uint64(32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
-        by_fake = defaultdict(list)
-        for book, fake, weight in fakes:
-            by_fake[fake].append((book, weight))
-        automaton = ahocorasick.Automaton()
-        for fake, books in by_fake.items():
-            automaton.add_word(fake, (fake, books))
-        if by_fake:
-            automaton.make_automaton()
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    cuts = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).astype(np.int64)))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _own_grams(fake: pa.Array) -> pa.Array:
+    return _lists([np.unique(_grams(x, min(GRAM, len(x)))) for x in fake.to_pylist()])
+
+
+def _bits(gram: Column) -> Column:
+    """The two bits of the filter that a gram sets."""
+    return F.array(F.pmod(gram, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(gram, 32), F.lit(FILTER_BITS)))
+
+
+def _filter(filed: DataFrame) -> np.ndarray:
+    """A bit for each bit of the grams that fakes are filed under: FILTER_BITS / 8 bytes, whatever the number of fakes."""
+    bits = filed.select(F.explode(_bits(F.col("gram"))).alias("bit")).selectExpr("bitmap_bucket_number(bit + 1) AS bucket", "bitmap_bit_position(bit + 1) AS place")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(place)").alias("bits")).collect():
+        at = (r["bucket"] - 1) * len(r["bits"])  # a bucket holds 32768 bits, buckets of positive numbers count from one
+        out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _text_grams(bits: bytes, lengths: list[int]):
+    """text_id, gram for the distinct grams of a text that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        size = np.uint64(FILTER_BITS)
         for batch in batches:
-            out = []
+            ids, grams = [], []
             for text_id, text in zip(batch["text_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                total, free = Counter(), {}
-                for last, (fake, books) in automaton.iter(text) if text and by_fake else ():
-                    if last - len(fake) >= free.get(fake, -1):
-                        free[fake] = last
-                        for book, weight in books:
-                            total[book] += weight
-                out.extend((text_id, book, n) for book, n in total.items())
-            kinds = (pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["text_id", "book_id", "score"])
+                for n in lengths if text else ():
+                    h = np.unique(_grams(text, n))
+                    h = h[known[(h.view(np.int64) % np.int64(FILTER_BITS)).astype(np.int64)] & known[((h >> np.uint64(32)) % size).astype(np.int64)]]
+                    grams.append(h.view(np.int64))
+                    ids += [text_id] * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)]))], names=["text_id", "gram"])
 
     return run
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _counts(text: pa.Array, fakes: pa.Array) -> pa.Array:
+    """How often each of some values occurs in a text, without overlaps."""
+    return pa.array([[text.count(f) for f in values] for text, values in zip(text.to_pylist(), fakes.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+
+def occurrences(texts: DataFrame, fakes: DataFrame) -> DataFrame:
+    """text_id, fake, n: how often each value of fakes (fake, distinct, not empty) occurs in a text (text_id, text), where it does.
+
+    A fake is filed under that run of GRAM characters of it (all of it, if it is shorter) which fewest others have; texts send theirs that pass a
+    filter of fixed size, and meet the fakes filed there. What meets is counted in the text. The index is dealt out SALTS times, so that
+    a run that many texts have isn't one task's. Nothing goes through the driver but the filter and the few lengths of runs.
+    """
+    grams = fakes.select("fake", F.explode(_own_grams(F.col("fake"))).alias("gram"))
+    grams = written(grams.withColumn("_n", F.least(F.length("fake"), F.lit(GRAM))), "fake-grams")
+    often = grams.groupBy("gram").agg(F.count("*").alias("_often"))
+    filed = written(grams.join(often, "gram").groupBy("fake", "_n").agg(F.min_by("gram", F.struct("_often", "gram")).alias("gram")), "filed-fakes")
+    lengths = [r["_n"] for r in filed.select("_n").distinct().collect()]  # GRAM values at most
+    rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "text")
+    asked = rows.mapInArrow(_text_grams(_filter(filed).tobytes(), lengths), "text_id long, gram long").withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int"))
+    index = filed.select("fake", "gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = asked.join(index, ["gram", "salt"]).groupBy("text_id").agg(F.collect_set("fake").alias("fakes"))
+    counted = rows.join(met, "text_id").select("text_id", "fakes", _counts(F.col("text"), F.col("fakes")).alias("counts"))
+    return counted.select("text_id", F.inline(F.arrays_zip(F.col("fakes").alias("fake"), F.col("counts").alias("n")))).where("n > 0")
+
+
 def scores(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """text_id, book_id, score for books with a hit: occurrences of distinctive fakes, identity numbers weighing three times.
 
-    Fakes may start and end inside words. They go to the executors in blocks of MOST_PAIRS, read one after another, so that what is held is
-    bounded; each block is one pass over the texts.
+    Fakes may start and end inside words. Equal fakes are looked for once, however many books have them. Texts of equal text_id count as one if
+    they are equal, else each; a null text has no hits.
     """
     weight = F.when(F.col("type") == "PERSONNUMMER", fixed.IDENTITY_WEIGHT).otherwise(1)
     good = pairs.where(distinctive(F.col("type"), F.col("fake"))).select("book_id", "fake", weight.alias("weight"))
-    rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "text")
-    met, block = None, []
-    for row in itertools.chain(good.toLocalIterator(), [None]):
-        if row is not None:
-            block.append(tuple(row))
-        if len(block) == MOST_PAIRS or row is None and (block or met is None):
-            hits = rows.mapInArrow(_block_hits(block), "text_id long, book_id string, score long")
-            met, block = hits if met is None else met.unionByName(hits), []
-    return met.groupBy("text_id", "book_id").agg(F.sum("score").alias("score"))
+    found = occurrences(texts, good.select("fake").distinct())
+    return found.join(good, "fake").groupBy("text_id", "book_id").agg(F.sum((F.col("n") * F.col("weight")).cast("long")).alias("score"))
 
 
 def detect(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,38 +187,59 @@ def deanonymise(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     found = detect(texts.select("text_id", "text"), pairs)
     partial = partial_names(pairs).select("book_id", (F.col("ord") + F.lit(1 << 30) + F.col("edge")).alias("ord"), "real", "fake")
     whole = pairs.select("book_id", "ord", "real", "fake").unionByName(partial)
-    book = whole.groupBy("book_id").agg(F.collect_list(F.struct((-F.length("fake")).alias("l"), "ord", "fake", "real")).alias("book"))
+    book = whole.groupBy("book_id").agg(F.collect_list(F.struct("ord", "fake", "real")).alias("book"))
     rows = texts.select("text_id", "summary").join(found, "text_id", "left").join(book, "book_id", "left")
 
     return rows.select("text_id", "book_id", "score", "summary", "book").mapInArrow(_restore, RESTORED)
 
 
-def _pattern(book: list[dict]) -> tuple[re.Pattern | None, dict[str, str]]:
-    """A book's fakes as one pattern, the longest first, and what they stand for; of equal fakes the first counts."""
-    known: dict[str, str] = {}
-    for p in sorted(book, key=lambda p: (p["l"], p["ord"])):
-        known.setdefault(p["fake"], p["real"])
-    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, known)) + r")(?!\w)") if known else None, known
+class _Book:
+    """Finds the fakes of a book as whole words: of those that start at one place the longest, from left to right, without overlaps."""
+
+    def __init__(self, book: list[dict]) -> None:
+        import ahocorasick
+
+        self.real = {p["fake"]: p["real"] for p in sorted(book, key=lambda p: p["ord"], reverse=True)}  # of equal fakes the first counts
+        self.automaton = ahocorasick.Automaton()
+        for fake in self.real:
+            self.automaton.add_word(fake, len(fake))
+        if self.real:
+            self.automaton.make_automaton()
+
+    def restore(self, text: str) -> tuple[str, Counter[str]]:
+        if not self.real:
+            return text, Counter()
+        longest: dict[int, int] = {}
+        for last, n in self.automaton.iter(text):
+            a, b = last + 1 - n, last + 1
+            if not (a and _is_word(text[a - 1])) and not (b < len(text) and _is_word(text[b])):
+                longest[a] = max(b, longest.get(a, b))
+        out, at, counts = [], 0, Counter()
+        for a in sorted(longest):
+            if a >= at:
+                fake = text[a : longest[a]]
+                out += [text[at:a], self.real[fake]]
+                counts[fake] += 1
+                at = longest[a]
+        return "".join([*out, text[at:]]), counts
 
 
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """RESTORED rows. A book's pattern is made once and kept for the texts that follow it; books are told apart by id."""
-    patterns: dict[str, tuple[re.Pattern | None, dict[str, str]]] = {}
+    """RESTORED rows. A book is made once and kept for the texts that follow it; books are told apart by id."""
+    known: dict[str, _Book] = {}
     schema = pa.schema([("text_id", pa.int64()), ("book_id", pa.string()), ("score", pa.int64()), ("text", pa.string()), ("fake", pa.string()), ("real", pa.string()), ("count", pa.int32())])
     for batch in batches:
-        out, books = [], batch["book"]
+        out, pairs = [], batch["book"]
         for i, (text_id, book_id, score, text) in enumerate(zip(*(batch[c].to_pylist() for c in ("text_id", "book_id", "score", "summary")), strict=True)):
-            if book_id is not None and book_id not in patterns:
-                if len(patterns) > MOST_BOOKS:
-                    patterns.clear()
-                patterns[book_id] = _pattern(books[i].as_py() or [])
-            pattern, known = patterns.get(book_id, (None, {}))
+            if book_id is not None and book_id not in known:
+                if len(known) > MOST_BOOKS:
+                    known.clear()
+                known[book_id] = _Book(pairs[i].as_py() or [])
             counts: Counter[str] = Counter()
-            if pattern and text is not None:
-                counts.update(pattern.findall(text))
-                text = pattern.sub(lambda m, known=known: known[m[0]], text)
+            if book_id is not None and text is not None:
+                text, counts = known[book_id].restore(text)
             row = {"text_id": text_id, "book_id": book_id, "score": score or 0, "text": text}
-            out.extend(row | {"fake": f, "real": known[f], "count": n} for f, n in counts.items())
+            out.extend(row | {"fake": f, "real": known[book_id].real[f], "count": n} for f, n in counts.items())
             if not counts:
                 out.append(row | {"fake": None, "real": None, "count": 0})
         yield pa.RecordBatch.from_pylist(out, schema=schema)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +32,61 @@ def by_rules(text: str) -> list[Span]:
     return [(*m.span(group), kind) for kind, rule, group in _RULES for m in rule.finditer(text)]
 
 
-def places(text: str, value: str, kind: str) -> list[Span]:
-    """Where a value stands as a word, in any case."""
-    return [(*m.span(), kind) for m in re.finditer(rf"(?<!\w){re.escape(value)}(?!\w)", text, re.IGNORECASE)]
+class _Coarse(dict):
+    """Characters by code point, each as one that all its case variants share."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "i" if c in "ıİ" else c.casefold()[0]
+        return self[code]
+
+
+_coarse = _Coarse()
+
+
+def coarse(text: str) -> str:
+    """text in a form of equal length that is the same for all texts that differ in case alone (and for a few more)."""
+    return text.lower() if text.isascii() else text.translate(_coarse)
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _same(a: str, b: str) -> bool:
+    """Whether texts of equal coarse form differ in case alone."""
+    return a == b or a.isascii() and b.isascii() or re.fullmatch(re.escape(a), b, re.IGNORECASE) is not None
+
+
+def occurrences(text: str, surfaces: Iterable[tuple[str, str]]) -> list[Span]:
+    """Where surfaces (value, kind) stand as words, in any case: one automaton meets the text once. Places of one value don't overlap."""
+    import ahocorasick
+
+    wanted: dict[str, dict[str, list[str]]] = {}
+    for value, kind in surfaces:
+        if value:
+            wanted.setdefault(coarse(value), {}).setdefault(value, []).append(kind)
+    if not wanted or not text:
+        return []
+    automaton = ahocorasick.Automaton()
+    for form, values in wanted.items():
+        automaton.add_word(form, (len(form), values))
+    automaton.make_automaton()
+    out, free = [], {}
+    for last, (n, values) in automaton.iter(coarse(text)):
+        a, b = last + 1 - n, last + 1
+        if a and _is_word(text[a - 1]) or b < len(text) and _is_word(text[b]):
+            continue
+        for value, kinds in values.items():
+            if a >= free.get(value, 0) and _same(value, text[a:b]):
+                free[value] = b
+                out += [(a, b, kind) for kind in kinds]
+    return out
 
 
 def spread(text: str, spans: list[Span]) -> list[Span]:
-    """spans and all other places of their surfaces. A surface whose literal places are all found needs no search."""
-    low, out = text.lower(), set(spans)
-    known: dict[tuple[str, str], int] = {}
-    for a, b, kind in out:
-        key = (low[a:b] if len(low) == len(text) else text[a:b].lower(), kind)
-        known[key] = known.get(key, 0) + 1
-    for (value, kind), n in known.items():
-        if value and low.count(value) > n:
-            out.update(places(text, value, kind))
-    return list(out)
+    """spans and all other places of their surfaces, with their kinds."""
+    return list({*spans, *occurrences(text, {(text[a:b], kind) for a, b, kind in spans})})
 
 
 def resolved(spans: list[Span]) -> list[Span]:
@@ -73,8 +111,7 @@ def _found(text: pa.Array, additional: pa.Array, detected: pa.Array, batchwide:
     rows = []
     for text, values, spans, wide in zip(text.to_pylist(), additional.to_pylist(), detected.to_pylist(), batchwide.to_pylist(), strict=True):
         found = by_rules(text or "")
-        for value in values or ():
-            found += places(text or "", value, "OTHER_ID")
+        found += occurrences(text or "", {(value, "OTHER_ID") for value in values or ()})
         found += [(s["start"], s["end"], s["kind"]) for s in spans or ()]
         rows.append(resolved(spread(text or "", found) if wide else found))
     return _array(rows)
@@ -93,64 +130,6 @@ def find_spans(text: Column, additional: Column | None = None, detected: Column
     return _found(text, none.cast("array<string>") if additional is None else additional, none.cast(f"array<{t.SPAN}>") if detected is None else detected, F.lit(propagate))
 
 
-_TOKEN = re.compile(fixed.TOKEN)
-_STRINGS = ("surface", "canonical", "token", "kind")
-DONE = T.StructType([
-    T.StructField("text", T.StringType()), T.StructField("mapping", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in _STRINGS]))),
-    T.StructField("phi_hits", T.MapType(T.StringType(), T.IntegerType())), T.StructField("residual_flags", T.MapType(T.StringType(), T.IntegerType())),
-])
-
-
-def replaced(text: str, spans: list[Span]) -> tuple[str, list[tuple[str, str, str, str]]]:
-    """text with a token for each span, and (surface, canonical, token, kind) of each different surface in the order of first places.
-
-    Surfaces that agree in lower case share a token, of the kind of the first. A kind's numbers go up and skip those that the text already uses.
-    """
-    taken, last, tokens, known, out, at = set(_TOKEN.findall(text)), {}, {}, {}, [], 0
-    for a, b, kind in spans:
-        surface = text[a:b]
-        key = surface.lower()
-        if key not in tokens:
-            numbers = itertools.count(last.get(kind, 0) + 1)
-            last[kind] = next(n for n in numbers if f"[{fixed.KINDS[kind]}_{n:02d}]" not in taken)
-            tokens[key] = f"[{fixed.KINDS[kind]}_{last[kind]:02d}]", kind
-        known.setdefault(surface, (surface, key, *tokens[key]))
-        out += text[at:a], tokens[key][0]
-        at = b
-    return "".join([*out, text[at:]]), list(known.values())
-
-
-def _maps(counts: list[Counter]) -> pa.MapArray:
-    pairs = [x for c in counts for x in sorted(c.items())]
-    cuts = pa.array(np.append(0, np.cumsum([len(c) for c in counts])).astype(np.int32))
-    return pa.MapArray.from_arrays(cuts, pa.array([k for k, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int32()))
-
-
-@F.arrow_udf(DONE)
-def _done(text: pa.Array, additional: pa.Array, detected: pa.Array) -> pa.Array:
-    texts, mappings, hits, left = [], [], [], []
-    for raw, values, spans in zip(text.to_pylist(), additional.to_pylist(), detected.to_pylist(), strict=True):
-        raw = raw or ""
-        found = by_rules(raw) + [p for v in values or () for p in places(raw, v, "OTHER_ID")] + [(s["start"], s["end"], s["kind"]) for s in spans or ()]
-        kept = resolved(spread(raw, found))
-        new, mapping = replaced(raw, kept)
-        texts.append(new)
-        mappings.append([dict(zip(_STRINGS, m, strict=True)) for m in mapping])
-        hits.append(Counter(k for *_, k in kept))
-        left.append(Counter(k for *_, k in resolved(by_rules(new))))
-    kind = pa.list_(pa.struct([(c, pa.string()) for c in _STRINGS]))
-    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(mappings, kind), _maps(hits), _maps(left)], names=["text", "mapping", "phi_hits", "residual_flags"])
-
-
-_done = _done.asNondeterministic()
-
-
-def pseudonymised(text: Column, additional: Column | None = None, detected: Column | None = None) -> Column:
-    """DONE of a text: spans as in find_spans with propagation, replaced, with the mapping, the hits by kind, and the rules' hits that are left."""
-    none = F.lit(None)
-    return _done(text, none.cast("array<string>") if additional is None else additional, none.cast(f"array<{t.SPAN}>") if detected is None else detected)
-
-
 @F.arrow_udf(SPANS)
 def _rules(text: pa.Array) -> pa.Array:
     return _array([by_rules(x or "") for x in text.to_pylist()])

@@ -1,51 +1,136 @@
-"""Page images as arrays of grey levels: blank pages and small rotations. Reading text from them is up to a reader that is plugged in."""
+"""Page images as rows of grey bytes: size, inversion, blank pages and small rotations, before a reader sees them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 
+#: Columns whose ink counts as one strip, whose rows shift together when a page is turned a little.
+STRIP = 4
+PREPARED = "page_id long, width int, height int, grey binary, blank boolean, inverted boolean, turned double, warnings array<string>, error string"
+
 
-def ink_fraction(grey: np.ndarray) -> float:
+def ink_share(grey: np.ndarray) -> float:
     """Share of pixels clearly darker than the page's light ones."""
     light = np.percentile(grey, fixed.INK_PERCENTILE)
     return float(np.mean(grey < min(fixed.DARK_BELOW, light - fixed.INK_STEP)))
 
 
-def is_blank(grey: np.ndarray) -> bool:
-    """Almost uniform light pages need no reader."""
-    return ink_fraction(grey) < fixed.BLANK_INK
+def _threshold(levels: np.ndarray) -> int:
+    """The grey level that parts dark from light with the largest variance between them, from the number of pixels of each level."""
+    weight, total = np.cumsum(levels), np.cumsum(levels * np.arange(256))
+    both = weight * (weight[-1] - weight)
+    between = np.divide((total[-1] * weight / weight[-1] - total) ** 2, both, out=np.full(256, -1.0), where=both > 0)
+    return int(between.argmax())
 
 
-def _threshold(grey: np.ndarray) -> int:
-    """The grey level that parts dark from light with the largest variance between them."""
-    count = np.bincount(grey.ravel().astype(np.int64), minlength=256).astype(float)
-    weight, total = np.cumsum(count), np.cumsum(count * np.arange(256))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = (total[-1] * weight / weight[-1] - total) ** 2 / (weight * (weight[-1] - weight))
-    return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
+def shrunk(grey: np.ndarray, most: int) -> np.ndarray:
+    """A page of at most `most` pixels a side: means of square blocks, smaller ones at its ends."""
+    k = -(-max(grey.shape) // most)
+    if k <= 1:
+        return grey
+    ys, xs = (np.arange(0, n, k) for n in grey.shape)
+    count = np.outer(*(np.diff(np.append(at, n)) for at, n in zip((ys, xs), grey.shape)))
+    rows = np.add.reduceat(grey, ys, axis=0, dtype=np.int64)
+    return (np.add.reduceat(rows, xs, axis=1) // count).astype(np.uint8)
 
 
-def alignment(y: np.ndarray, x: np.ndarray, high: int, degrees: float) -> float:
-    """How sharply rows of ink stand apart once the page is turned: the squared steps between neighbouring rows' ink."""
-    a = np.deg2rad(degrees)
-    row = np.rint(y * np.cos(a) + x * np.sin(a)).astype(np.int64) + high
-    return float(np.square(np.diff(np.bincount(row, minlength=3 * high))).sum())
+def profiles(ink: np.ndarray, degrees: np.ndarray) -> np.ndarray:
+    """Ink by row after each turn. One histogram of (row, strip of columns) serves all turns: a small one shifts each strip's rows by its distance from the middle."""
+    h, w = ink.shape
+    strips = -(-w // STRIP)
+    wide = np.zeros((h, strips * STRIP), bool)
+    wide[:, :w] = ink
+    sums = wide.reshape(h, strips, STRIP).sum(axis=2)
+    middle = STRIP * np.arange(strips) + (STRIP - 1) / 2 - w / 2
+    room = int(np.ceil(np.tan(np.deg2rad(np.abs(degrees).max(initial=0))) * w / 2)) + 1
+    shift = np.rint(np.tan(np.deg2rad(degrees))[:, None] * middle).astype(np.int64) + room
+    out = np.zeros((len(degrees), h + 2 * room), np.int64)
+    row, strip = np.nonzero(sums)
+    count = sums[row, strip]
+    for i, s in enumerate(shift):
+        out[i] = np.bincount(row + s[strip], count, h + 2 * room)
+    return out
 
 
 def skew(grey: np.ndarray) -> float:
     """Degrees by which a page should be turned so that its rows align; 0 without ink, with too much, or without a clear gain.
 
-    The best whole degree is taken if it beats none by a clear factor, then the best fine step around it.
+    All turns on the grid of fine steps are scored at once, by the squared steps between neighbouring rows. The best whole degree counts if it beats no turn
+    by a clear factor; the answer is the best fine step around it.
     """
-    ink = grey <= _threshold(grey)
+    small = shrunk(grey, fixed.SKEW_PIXELS)
+    ink = small <= _threshold(np.bincount(small.ravel(), minlength=256))
     if not fixed.LEAST_INK <= ink.mean() <= fixed.MOST_INK:
         return 0.0
-    y, x = np.nonzero(ink)
-    y, x, high = y - ink.shape[0] / 2, x - ink.shape[1] / 2, sum(ink.shape)
-    score = lambda d: alignment(y, x, high, d)
-    best = max(range(-fixed.SKEW_RANGE, fixed.SKEW_RANGE + 1), key=lambda d: (score(d), -abs(d)))
-    if best == 0 or score(best) < fixed.SKEW_GAIN * score(0):
+    fine = round(1 / fixed.SKEW_STEP)
+    grid = np.arange(-fixed.SKEW_RANGE * fine - fixed.SKEW_STEPS, fixed.SKEW_RANGE * fine + fixed.SKEW_STEPS + 1)
+    score = np.square(np.diff(profiles(ink, grid / fine), axis=1)).sum(axis=1)
+    whole = np.flatnonzero((grid % fine == 0) & (np.abs(grid) <= fixed.SKEW_RANGE * fine))
+    none = int(np.flatnonzero(grid == 0)[0])
+    best = whole[np.lexsort((np.abs(grid[whole]), -score[whole]))[0]]
+    if best == none or score[best] < fixed.SKEW_GAIN * score[none]:
         return 0.0
-    return round(max((best + i * fixed.SKEW_STEP for i in range(-fixed.SKEW_STEPS, fixed.SKEW_STEPS + 1)), key=score), 1)
+    around = slice(best - fixed.SKEW_STEPS, best + fixed.SKEW_STEPS + 1)
+    return round(float(grid[around][score[around].argmax()]) / fine, 1)
+
+
+def turned(grey: np.ndarray, degrees: float) -> np.ndarray:
+    """A page turned about its middle onto a page that holds all of it; what was outside is white, pixels are the nearest ones."""
+    a, (h, w) = np.deg2rad(degrees), grey.shape
+    high, wide = (int(np.ceil(x - 1e-9)) for x in (h * np.cos(a) + w * abs(np.sin(a)), w * np.cos(a) + h * abs(np.sin(a))))
+    out = np.full((high, wide), 255, np.uint8)
+    x = np.arange(wide) - (wide - 1) / 2
+    for i in range(high):
+        y = i - (high - 1) / 2
+        at_y, at_x = np.rint(y * np.cos(a) - x * np.sin(a) + (h - 1) / 2).astype(int), np.rint(y * np.sin(a) + x * np.cos(a) + (w - 1) / 2).astype(int)
+        inside = (at_y >= 0) & (at_y < h) & (at_x >= 0) & (at_x < w)
+        out[i, inside] = grey[at_y[inside], at_x[inside]]
+    return out
+
+
+def prepared(grey: np.ndarray) -> tuple[np.ndarray, bool, bool, float, list[str]]:
+    """A page made ready: (grey, blank, inverted, turned, warnings)."""
+    notes = []
+    if grey.size > fixed.MOST_PIXELS:
+        small = shrunk(grey, int(np.sqrt(fixed.MOST_PIXELS * max(grey.shape) / min(grey.shape))))
+        grey, notes = small, [fixed.SCAN_RESIZED]
+    inverted = bool(np.percentile(grey, fixed.INVERT_PERCENTILE) < fixed.INVERT_BELOW)
+    grey = 255 - grey if inverted else grey
+    if ink_share(grey) < fixed.BLANK_INK:
+        return grey, True, inverted, 0.0, notes
+    angle = skew(grey)
+    return (turned(grey, angle) if angle else grey), False, inverted, angle, notes
+
+
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.string()), pa.string())
+    names = ("page_id", "width", "height", "grey", "blank", "inverted", "turned", "warnings", "error")
+    for batch in batches:
+        for page, width, height, raw in zip(*(batch[c].to_pylist() for c in ("page_id", "width", "height", "grey")), strict=True):
+            size = None if width is None or height is None else width * height
+            if size is None or size <= 0 or raw is None or len(raw) != size:
+                row = page, width, height, None, None, None, None, [], fixed.BAD_IMAGE
+            elif size > fixed.MOST_IMAGE_PIXELS:
+                row = page, width, height, None, None, None, None, [], fixed.IMAGE_TOO_LARGE
+            else:
+                grey, blank, inverted, angle, notes = prepared(np.frombuffer(raw, np.uint8).reshape(height, width))
+                row = page, grey.shape[1], grey.shape[0], grey.tobytes(), blank, inverted, angle, notes, None
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=list(names))
+
+
+def prepare(pages: DataFrame) -> DataFrame:
+    """PREPARED rows of page images (page_id, width, height, grey: a byte for each pixel, row by row), one at a time.
+
+    Over MOST_PIXELS a page is reduced, with a warning; a dark page is inverted; an almost uniform light one is blank and goes no further; a slightly turned one
+    is set straight. A page without pixels, with a null field or another number of bytes, or over MOST_IMAGE_PIXELS has an error and no image.
+    Rows of equal page_id are pages of their own. Other columns are not read.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "grey")
+    return rows.mapInArrow(_prepare, PREPARED)

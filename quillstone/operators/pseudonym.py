@@ -7,67 +7,35 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
-from quillstone.operators.detect import all_rule_spans, find_spans, pseudonymised
+from quillstone.operators import batches
+from quillstone.operators.detect import all_rule_spans
 
-MAPPING = "batch_id, surface, canonical, token, kind"
 
+def _documents(frame: DataFrame) -> DataFrame:
+    """Batches (batch_id, text) as documents of operators/batches.py: one each."""
+    return frame.select("batch_id", F.lit(0).alias("doc_index"), "text")
 
-def _with_detected(batches: DataFrame, detected: DataFrame | None) -> tuple[DataFrame, Column | None, Column | None]:
-    """batches with the spans of a model's valid suggestions (batch_id, start, end, kind), which are gathered by batch, and the columns of listed and detected ones."""
-    listed = F.col("additional") if "additional" in batches.columns else None
-    if detected is None:
-        return batches, listed, None
-    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
-    found = detected.groupBy("batch_id").agg(F.collect_list(span).alias("_detected"))
-    return batches.join(found, "batch_id", "left"), listed, F.col("_detected")
 
+def pseudonymise(frame: DataFrame, detected: DataFrame | None = None, canonical: bool = False) -> DataFrame:
+    """batch_id, text (pseudonymised), phi_hits, mapping (array of surface, token, kind; `canonical` too if asked for), residual_flags, for each batch (batch_id, text, and `additional` if there is one).
 
-def detect(batches: DataFrame, detected: DataFrame | None = None) -> DataFrame:
-    """batches (batch_id, text, and `additional` if there is one) with `spans`, resolved: rules, listed and detected identifiers, propagated."""
-    rows, listed, spans = _with_detected(batches, detected)
-    return rows.withColumn("spans", find_spans(F.col("text"), listed, spans, propagate=True)).drop("_detected")
-
-
-def assign_tokens(batches: DataFrame, detected: DataFrame | None = None) -> DataFrame:
-    """One row for each canonical surface of a batch: batch_id, canonical, kind, token.
-
-    Surfaces that agree in lower case share a token, of the kind of the first. Numbers count by batch and kind in the order of first places
-    and skip those that the text already uses.
+    For batches that are one text each, such as those of a job of few documents; operators/batches.py does the same where documents stay rows.
+    detected: (batch_id, start, end, kind). The mapping is in the order of first places. It restores the original; keep it apart from what is written.
     """
-    named = F.array_distinct(F.transform("mapping", lambda m: F.struct(m["canonical"].alias("canonical"), m["kind"].alias("kind"), m["token"].alias("token"))))
-    return pseudonymise(batches, detected, canonical=True).select("batch_id", F.inline(named))
-
-
-def replace_spans(text: Column, spans: Column, tokens: Column) -> Column:
-    """text with each span replaced by tokens[lower-case surface]."""
-    step = lambda s, x: F.struct(
-        F.concat(s["out"], t.piece(text, s["at"], x["start"]), tokens[F.lower(t.piece(text, x["start"], x["end"]))]).alias("out"), x["end"].alias("at")
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], t.piece(text, s["at"], F.length(text))))
-
-
-def count_kinds(spans: Column) -> Column:
-    """map<kind, count> of the kinds that occur."""
-    tally = lambda kinds: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    return t.let(F.transform(spans, lambda s: s["kind"]), tally)
+    listed = frame.select("batch_id", F.explode("additional").alias("value")) if "additional" in frame.columns else None
+    found = None if detected is None else detected.select("batch_id", F.lit(0).alias("doc_index"), "start", "end", "kind")
+    done = batches.pseudonymise(_documents(frame), found, listed)
+    fields = ("surface", *(["canonical"] if canonical else []), "token", "kind")
+    rows = F.array_sort(F.collect_list(F.struct("doc_index", "start", *fields)))
+    mapping = done.mapping.groupBy(F.struct("batch_id").alias("_b")).agg(F.transform(rows, lambda m: F.struct(*(m[c].alias(c) for c in fields))).alias("mapping"))
+    none = F.array().cast(mapping.schema["mapping"].dataType)
+    joined = done.documents.withColumn("_b", F.struct("batch_id")).join(mapping, "_b", "left")
+    return joined.select("batch_id", "text", "phi_hits", F.coalesce("mapping", none).alias("mapping"), "residual_flags")
 
 
 def residual(text: Column) -> Column:
     """map<kind, count> of rule matches in a text that should have none."""
-    return count_kinds(all_rule_spans(text))
-
-
-def pseudonymise(batches: DataFrame, detected: DataFrame | None = None, canonical: bool = False) -> DataFrame:
-    """batch_id, text (pseudonymised), phi_hits, mapping (array of surface, token, kind; `canonical` too if asked for), residual_flags, for each batch.
-
-    One Arrow call a batch finds, numbers, replaces and screens; without detected spans nothing is shuffled. Work grows with a batch's
-    text, so a batch should stay a bounded set of documents. The mapping restores the original; keep it apart from what is written.
-    """
-    rows, listed, spans = _with_detected(batches, detected)
-    done = rows.select("batch_id", pseudonymised(F.col("text"), listed, spans).alias("_done")).select("batch_id", "_done.*")
-    fields = ("surface", *(["canonical"] if canonical else []), "token", "kind")
-    return done.withColumn("mapping", F.transform("mapping", lambda m: F.struct(*(m[c].alias(c) for c in fields))))
+    return batches._counts(F.transform(all_rule_spans(text), lambda s: s["kind"]))
 
 
 def restore(text: Column, mapping: Column) -> Column:

@@ -2,52 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
-from quillstone.operators import evidence, pseudonym
+from quillstone.operators import batches, calls, evidence, pseudonym
 from quillstone.operators import spans as sp
-from quillstone.sources.files import batch_text
+from quillstone.sources import files
+from quillstone.sources.boundary import written
 
-#: A detector: a passage's text -> (kind, text) suggestions, or None where it fails.
+#: A detector: a passage's text -> (kind, text) suggestions, or None where it fails. It may raise one of calls.FAILURES too.
 Detector = Callable[[str], list[tuple[str, str]] | None]
 #: A generator: (prompt, units) -> (sentences, uncertainties).
 Generator = Callable[[str, list[dict]], tuple[list[dict], list[str]]]
 
-SUGGESTED = "batch_id long, offset int, failed boolean, kind string, value string, passage string"
 
+def detect_passages(parts: DataFrame, detector: Detector, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (batch_id, doc_index, start, end, kind) that a detector finds in the passages of documents, and counts by batch: passages, fallback_passages (failed ones), discarded (invalid suggestions).
 
-def detect_passages(batches: DataFrame, detector: Detector) -> tuple[DataFrame, DataFrame]:
-    """Spans that a detector finds in the passages of each batch, and counts: passages, fallback (failed ones) and discarded suggestions.
-
-    A passage on which the detector fails keeps its rules; its batch counts it. Suggestions count only if they are valid.
+    Each passage is asked for once; both results read the written answers. One on which the detector fails keeps its rules; its batch counts it.
     """
-    passages = batches.select("batch_id", F.inline(sp.page_chunks(F.col("text"))))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for r in part.itertuples():
-                found = detector(r.text)
-                out.extend((r.batch_id, r.start, found is None, k, v, r.text) for k, v in (found or [(None, None)]))
-            yield pd.DataFrame(out, columns=["batch_id", "offset", "failed", "kind", "value", "passage"])
-
-    rows = passages.mapInPandas(run, SUGGESTED).withColumn("valid", sp.entity_valid(F.col("kind"), F.col("value"), F.col("passage")))
-    counts = rows.groupBy("batch_id").agg(F.countDistinct("offset").alias("passages"), F.countDistinct(F.when(F.col("failed"), F.col("offset"))).alias("fallback_passages"), F.count_if(F.col("kind").isNotNull() & ~F.col("valid")).alias("discarded"))
-    places = rows.where("valid").select("batch_id", "offset", F.explode(sp.t.occurrences(F.col("passage"), F.col("value"), F.col("kind"))).alias("s"))
-    return places.select("batch_id", (F.col("offset") + F.col("s.start")).alias("start"), (F.col("offset") + F.col("s.end")).alias("end"), F.col("s.kind").alias("kind")), counts
+    passages = parts.select("batch_id", "doc_index", F.inline(sp.page_chunks(F.col("text"))))
 
+    def call(row: dict) -> list[dict]:
+        found = detector(row["text"])
+        if found is None:
+            raise ValueError("the detector failed")
+        return [{"kind": k, "value": v} for k, v in found]
 
-def extractive(prompt: str, units: list[dict]) -> tuple[list[dict], list[str]]:
-    """A stand-in generator for tests and dry runs: the first words of the first units, each citing its unit."""
-    return [{"text": " ".join(u["text"].split()[:12]), "evidence": [u["id"]]} for u in units[:8]], []
-
-
-RECORDS = "batch_id long, error string, summary string, sentences array<struct<text:string,evidence:array<string>>>, uncertainties array<string>"
+    told = calls.ask(passages, call, "array<struct<kind:string,value:string>>", name="suggestions", **limits)
+    good = lambda x: sp.entity_valid(x["kind"], x["value"], F.col("text"))
+    valid = F.filter("answer", good)
+    count = lambda c: F.sum(c).cast("long")
+    counts = told.groupBy("batch_id").agg(F.count("*").alias("passages"), F.count_if(F.col("error").isNotNull()).alias("fallback_passages"), F.coalesce(count(F.size(F.coalesce("answer", F.array())) - F.size(F.coalesce(valid, F.array()))), F.lit(0)).alias("discarded"))
+    places = told.select("batch_id", "doc_index", "start", "text", F.explode(valid).alias("v"))
+    places = places.select("batch_id", "doc_index", "start", F.explode(sp.t.occurrences(F.col("text"), F.col("v.value"), F.col("v.kind"))).alias("s"))
+    return places.select("batch_id", "doc_index", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"), F.col("s.kind").alias("kind")), counts
 
 
 #: Of a batch: passages that a detector read, those on which it failed, and its invalid suggestions.
@@ -61,34 +53,47 @@ def privacy_warnings() -> Column:
     return F.array_compact(F.array(F.lit(fixed.REVIEW_BEFORE_SHARING), *some, F.when(F.size("residual_flags") > 0, fixed.IDENTIFIERS_REMAIN)))
 
 
-def process(documents: DataFrame, generator: Generator = extractive, detector: Detector | None = None) -> DataFrame:
+_MADE = "struct<sentences:array<struct<text:string,evidence:array<string>>>,uncertainties:array<string>>"
+
+
+def _by_kind(documents: DataFrame, column: str) -> DataFrame:
+    """batch_id and the sums of a map of counts over the batch's documents, as a map."""
+    return batches.by_batch(documents, column).groupBy("batch_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "hits")))).alias(column))
+
+
+def process(documents: DataFrame, generator: Generator, detector: Detector | None = None, **limits: int) -> DataFrame:
     """documents (batch_id, doc_index, text) to one record for each batch: pseudonymised text, summary with originals restored, counts, error.
 
-    The only shuffles are by batch_id. A batch with an empty document fails; a summary that changes a placeholder fails. The mapping is not in the result.
+    A batch with an empty document or more than MAX_DOCUMENTS fails; so does one whose summary changes a placeholder, or whose generator raises one of
+    calls.FAILURES; others aren't affected. Detector and generator are asked once for each passage and batch; `limits` (in_flight, tasks) bounds the
+    calls under way. Documents stay rows until a batch's prompt is made. The mapping is not in the result.
     """
-    joined = batch_text(documents, fixed.MAX_DOCUMENTS)
-    good = joined.where("error IS NULL").select("batch_id", "text")
-    detected, counts = detect_passages(good, detector) if detector else (None, None)
-    anon = pseudonym.pseudonymise(good, detected)
-    units = evidence.evidence_units(anon.select("batch_id", "text"))
+    joined = written(files.batch_text(documents, fixed.MAX_DOCUMENTS).select("batch_id", "document_count", F.col("error").alias("_empty")), "batches")
+    parts = files.document_parts(documents.join(joined.where("_empty IS NULL").select("batch_id"), "batch_id", "left_semi"))
+    detected, counts = detect_passages(parts, detector, **limits) if detector else (None, None)
+    anon = batches.pseudonymise(parts, detected)
+    done = written(anon.documents, "pseudonymised")
+    texts = files.joined_parts(done)
+    units = written(evidence.evidence_units(texts), "units")
     packed = units.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "id", "document", "text"))).alias("units"))
-    prompts = evidence.user_prompts(units).join(packed, "batch_id")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for r in part.itertuples():
-                known = [dict(u) if isinstance(u, dict) else u.asDict() for u in r.units]
-                sentences, notes = generator(r.prompt, known)
-                out.append((r.batch_id, None, "\n\n".join(f"{s['text']} [{', '.join(s['evidence'])}]" for s in sentences), sentences, notes))
-            yield pd.DataFrame(out, columns=["batch_id", "error", "summary", "sentences", "uncertainties"])
-
-    made = prompts.select("batch_id", "prompt", "units").mapInPandas(run, RECORDS)
-    rows = joined.select("batch_id", "document_count", F.col("error").alias("_empty")).join(anon.withColumnRenamed("text", "pseudonymised_text"), "batch_id", "left").join(made, "batch_id", "left")
+
+    def call(row: dict) -> dict:
+        sentences, notes = generator(row["prompt"], row["units"])
+        return {"sentences": sentences, "uncertainties": notes}
+
+    made = calls.ask(evidence.user_prompts(units).join(packed, "batch_id"), call, _MADE, name="summaries", **limits)
+    made = made.select("batch_id", "error", evidence.render_summary(F.col("answer.sentences")).alias("summary"), F.col("answer.uncertainties").alias("uncertainties"))
+    order = F.array_sort(F.collect_list(F.struct("doc_index", "start", "surface", "token")))
+    mapping = anon.mapping.groupBy("batch_id").agg(F.transform(order, lambda m: F.struct(m["surface"].alias("surface"), m["token"].alias("token"))).alias("mapping"))
+    rows = joined.join(texts.withColumnRenamed("text", "pseudonymised_text"), "batch_id", "left").join(made, "batch_id", "left").join(mapping, "batch_id", "left")
+    for column in ("phi_hits", "residual_flags"):
+        none = F.when(F.col("_empty").isNull(), F.create_map().cast("map<string,bigint>"))
+        rows = rows.join(_by_kind(done, column), "batch_id", "left").withColumn(column, F.coalesce(column, none))
     if counts is None:
         rows = rows.withColumns({c: F.lit(0).cast("long") for c in COUNTS})
     else:
         rows = rows.join(counts, "batch_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in COUNTS})
+    rows = rows.withColumn("mapping", F.coalesce("mapping", F.array().cast("array<struct<surface:string,token:string>>")))
     tokens = F.transform("mapping", lambda m: m["token"])
     generated = F.concat_ws("\n", F.col("summary"), F.array_join("uncertainties", "\n"))
     changed = F.size(pseudonym.unknown_placeholders(generated, F.col("pseudonymised_text"), tokens)) > 0
@@ -100,5 +105,3 @@ def process(documents: DataFrame, generator: Generator = extractive, detector: D
 def export_text(records: DataFrame, path: str) -> None:
     """Writes rendered documents (id, document) as text files under path, a folder for each id."""
     records.select("id", F.col("document").alias("value")).write.partitionBy("id").text(path)
-
-

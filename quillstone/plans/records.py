@@ -1,10 +1,8 @@
-"""Run records: names, lists, changes, exports. Records are rows, at rest one Parquet table partitioned by nothing but its files."""
+"""Run records as rows: names, lists, changes, exports. store.py keeps them."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as t
@@ -36,42 +34,6 @@ def history_list(records: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("created_at"))
 
 
-#: A store is a Parquet table that is only ever added to: a row for each change, the latest of an id counts.
-STORE = "id string, record string, changed double, deleted boolean"
-
-
-def save(changes: DataFrame, path: str) -> None:
-    """Adds rows (id, record as JSON, changed: seconds; `deleted` if there is one) to a store. Writers never touch each other's files."""
-    gone = F.col("deleted") if "deleted" in changes.columns else F.lit(False)
-    changes.select("id", "record", F.col("changed").cast("double").alias("changed"), gone.alias("deleted")).write.mode("append").parquet(path)
-
-
-def stored(spark: SparkSession, path: str) -> DataFrame:
-    """id, record: the latest of each id in a store, without deleted ones."""
-    latest = spark.read.schema(STORE).parquet(path).groupBy("id").agg(F.max_by(F.struct("record", "deleted"), F.struct("changed", "deleted")).alias("l"))
-    return latest.where("NOT l.deleted").select("id", "l.record")
-
-
-def save_name(spark: SparkSession, path: str, record_id: str, name: str, changed: float) -> bool:
-    """Renames a stored record; whether there was one. A blank name changes nothing. A deletion that comes later stays one."""
-    now = stored(spark, path).where(F.col("id") == record_id)
-    if not name.strip() or now.isEmpty():
-        return not now.isEmpty()
-    whole, value = F.parse_json("record").cast("map<string,variant>"), F.parse_json(F.lit(json.dumps(name.strip())))
-    renamed = F.to_json(F.map_concat(F.map_filter(whole, lambda k, _: k != "name"), F.create_map(F.lit("name"), value)))
-    save(now.select("id", renamed.alias("record"), F.lit(changed).alias("changed")), path)
-    return True
-
-
-def remove(spark: SparkSession, path: str, record_id: str, changed: float) -> bool:
-    """Deletes a stored record; whether there was one."""
-    now = stored(spark, path).where(F.col("id") == record_id)
-    if now.isEmpty():
-        return False
-    save(now.select("id", F.lit(None).cast("string").alias("record"), F.lit(changed).alias("changed"), F.lit(True).alias("deleted")), path)
-    return True
-
-
 def get_record(records: DataFrame, record_id: str) -> DataFrame:
     return records.where(F.col("id") == record_id)
 

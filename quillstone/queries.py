@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
-from quillstone.operators import codebook, evidence, planning, pseudonym, readings
+from quillstone.operators import batches, codebook, evidence, planning, pseudonym, readings
 from quillstone.operators import spans as sp
 from quillstone.operators.detect import find_spans
 from quillstone.plans import records
@@ -101,8 +101,8 @@ def phi_hits_by_kind(spark, sf_dir):
     return notes.groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("hits"))
 
 
-def _batches(spark, sf_dir) -> DataFrame:
-    return files.batch_text(corpus.notes(spark, sf_dir)).select("batch_id", "text")
+def _parts(spark, sf_dir) -> DataFrame:
+    return files.document_parts(corpus.notes(spark, sf_dir))
 
 
 _NUMBERED = f"""
@@ -115,7 +115,7 @@ _NUMBERED = f"""
 
 @query(_NUMBERED + "SELECT * FROM k")
 def token_assignment(spark, sf_dir):
-    return pseudonym.assign_tokens(_batches(spark, sf_dir))
+    return batches.mapping_of(batches.spans_of(_parts(spark, sf_dir))).select("batch_id", "canonical", "kind", "token").distinct()
 
 
 @query(
@@ -126,18 +126,18 @@ def token_assignment(spark, sf_dir):
     + " AS part FROM orders o) SELECT o_custkey AS batch_id, string_agg('--- Document ' || i || ' ---' || chr(10) || part, chr(10) || chr(10) ORDER BY i) AS text FROM p GROUP BY o_custkey"
 )
 def pseudonymised_text(spark, sf_dir):
-    return pseudonym.pseudonymise(_batches(spark, sf_dir)).select("batch_id", "text")
+    return files.joined_parts(batches.pseudonymise(_parts(spark, sf_dir)).documents)
 
 
 @query(f"SELECT batch_id, kind, count(*) AS hits FROM ({_SPANS}) GROUP BY batch_id, kind")
 def phi_hits(spark, sf_dir):
-    return pseudonym.pseudonymise(_batches(spark, sf_dir)).select("batch_id", F.explode("phi_hits").alias("kind", "hits")).withColumn("hits", long("hits"))
+    return batches.by_batch(batches.pseudonymise(_parts(spark, sf_dir)).documents, "phi_hits")
 
 
 @query("SELECT o_custkey AS batch_id, CAST(0 AS BIGINT) AS residual FROM orders GROUP BY o_custkey")
 def residual_screen(spark, sf_dir):
     left = F.aggregate(F.map_values("residual_flags"), F.lit(0), lambda a, b: a + b)
-    return pseudonym.pseudonymise(_batches(spark, sf_dir)).select("batch_id", long(left).alias("residual"))
+    return batches.pseudonymise(_parts(spark, sf_dir)).documents.groupBy("batch_id").agg(long(F.sum(left)).alias("residual"))
 
 
 _BATCH_SQL = f"""
@@ -148,7 +148,8 @@ _BATCH_SQL = f"""
 
 @query(_BATCH_SQL)
 def restore_roundtrip(spark, sf_dir):
-    return pseudonym.pseudonymise(_batches(spark, sf_dir)).select("batch_id", pseudonym.restore(F.col("text"), F.col("mapping")).alias("text"))
+    done = batches.pseudonymise(_parts(spark, sf_dir))
+    return files.joined_parts(batches.restore(done.documents, done.mapping))
 
 
 @query(
@@ -157,8 +158,8 @@ def restore_roundtrip(spark, sf_dir):
 def occupied_tokens(spark, sf_dir):
     taken = F.when(F.col("c_custkey") % 3 == 0, "[EMAIL_01] [EMAIL_03]").when(F.col("c_custkey") % 3 == 1, "[EMAIL_02]").otherwise("[EMAIL_1] [EMAIL_002]")
     text = F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@example.invalid, b@example.invalid, "), taken)
-    batches = table(spark, sf_dir, "customer").select(long("c_custkey").alias("batch_id"), text.alias("text"))
-    tokens = pseudonym.assign_tokens(batches)
+    docs = table(spark, sf_dir, "customer").select(long("c_custkey").alias("batch_id"), F.lit(1).alias("doc_index"), text.alias("text"))
+    tokens = batches.mapping_of(batches.spans_of(docs))
     first = F.col("canonical").startswith("a")
     return tokens.groupBy("batch_id").agg(F.max(F.when(first, F.col("token"))).alias("token_1"), F.max(F.when(~first, F.col("token"))).alias("token_2"))
 
@@ -506,7 +507,7 @@ def summary_retries(spark, sf_dir):
 # --- Readings -----------------------------------------------------------------------------------------------------------
 
 _WORDS = """
-    SELECT CAST(l_orderkey AS BIGINT) AS page_id, CAST(l_linenumber % 2 AS INT) AS line_num, CASE l_partkey % 4 WHEN 0 THEN 'Hb' WHEN 1 THEN CAST(l_suppkey AS STRING) WHEN 2 THEN '--' ELSE 'värde' END AS text,
+    SELECT CAST(l_orderkey AS BIGINT) AS page_id, CAST(l_suppkey AS INT) AS word_num, CAST(l_linenumber % 2 AS INT) AS line_num, CASE l_partkey % 4 WHEN 0 THEN 'Hb' WHEN 1 THEN CAST(l_suppkey AS STRING) WHEN 2 THEN '--' ELSE 'värde' END AS text,
            CAST(60 + (l_partkey * 13 + l_linenumber) % 40 AS DOUBLE) AS confidence, CAST(l_linenumber * 100 + l_partkey % 60 AS INT) AS x0, CAST(l_suppkey % 5 AS INT) AS y0,
            CAST(l_linenumber * 100 + l_partkey % 60 + 40 AS INT) AS x1, CAST(10 + l_suppkey % 5 AS INT) AS y1 FROM lineitem
 """
@@ -518,9 +519,9 @@ def _words(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-    WITH w AS ({_WORDS}), l AS (SELECT *, lag(x1) OVER o AS px1, lag(x0) OVER o AS px0, lag(length(text)) OVER o AS pl FROM w WINDOW o AS (PARTITION BY page_id, line_num ORDER BY x0, x1, text)),
+    WITH w AS ({_WORDS}), l AS (SELECT *, lag(x1) OVER o AS px1, lag(x0) OVER o AS px0, lag(length(text)) OVER o AS pl, row_number() OVER o AS place FROM w WINDOW o AS (PARTITION BY page_id, line_num ORDER BY x0, word_num, x1, text)),
     p AS (SELECT *, CASE WHEN px1 IS NULL THEN '' WHEN x0 - px1 > 3 * greatest(3.0, (px1 - px0) / greatest(1, pl)) THEN chr(9) ELSE ' ' END || text AS part FROM l)
-    SELECT page_id, CAST(line_num AS BIGINT) AS line_num, string_agg(part, '' ORDER BY x0, x1, text) AS text, CAST(min(x0) AS BIGINT) AS x0, CAST(max(x1) AS BIGINT) AS x1, CAST(min(y0) AS BIGINT) AS y0, CAST(max(y1) AS BIGINT) AS y1, round(avg(confidence), 6) AS confidence FROM p GROUP BY page_id, line_num
+    SELECT page_id, CAST(line_num AS BIGINT) AS line_num, string_agg(part, '' ORDER BY place) AS text, CAST(min(x0) AS BIGINT) AS x0, CAST(max(x1) AS BIGINT) AS x1, CAST(min(y0) AS BIGINT) AS y0, CAST(max(y1) AS BIGINT) AS y1, round(avg(confidence), 6) AS confidence FROM p GROUP BY page_id, line_num
 """)
 def line_group(spark, sf_dir):
     lines = readings.lines_of(_words(spark, sf_dir), ["page_id"], ["line_num"])

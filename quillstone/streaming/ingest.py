@@ -1,15 +1,11 @@
-"""Arriving documents as a stream: each micro-batch goes through the batch operators; a job's state follows its events."""
+"""Arriving documents as a stream: each micro-batch goes through the batch operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from quillstone.plans.process import process
 
 DOCUMENTS = "batch_id long, doc_index int, text string"
 
@@ -19,8 +15,8 @@ def stream_documents(spark: SparkSession, path: str, schema: str = DOCUMENTS, ma
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def start(documents: DataFrame, out: str, checkpoint: str, operator: Callable[[DataFrame], DataFrame] = process, **trigger) -> StreamingQuery:
-    """Runs `operator` on each micro-batch and writes its result under out, a folder for each epoch, so that a repeated epoch overwrites itself.
+def start(documents: DataFrame, out: str, checkpoint: str, operator: Callable[[DataFrame], DataFrame], **trigger) -> StreamingQuery:
+    """Runs `operator`, such as plans.process.process with a generator, on each micro-batch and writes its result under out, a folder for each epoch, so that a repeated epoch overwrites itself.
 
     Documents of one batch must arrive in one file.
     """
@@ -29,23 +25,3 @@ def start(documents: DataFrame, out: str, checkpoint: str, operator: Callable[[D
         operator(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-STATE = "status string, seconds double"
-EVENTS = {("pending", "start"): "active", ("pending", "finish"): "done", ("active", "finish"): "done", ("pending", "skip"): "skipped", ("pending", "fail"): "error", ("active", "fail"): "error"}
-
-
-def job_states(events: DataFrame) -> DataFrame:
-    """events (job_id, at double, event) of a stream to (job_id, status, seconds) after each micro-batch; events that make no sense are ignored."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, seconds = state.get if state.exists else ("pending", 0.0)
-        rows = pd.concat(list(parts)).sort_values("at")
-        for at, event in zip(rows["at"], rows["event"], strict=True):
-            new = EVENTS.get((status, event), status)
-            seconds = at if new == "active" and status != "active" else round(at - seconds, 1) if status == "active" and new != "active" else seconds
-            status = new
-        state.update((status, seconds))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "seconds": [seconds]})
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, seconds double", STATE, "update", GroupStateTimeout.NoTimeout)

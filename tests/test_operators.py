@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillstone import queries
 from quillstone.functions import fixed
 from quillstone.functions import text as t
-from quillstone.operators import codebook, evidence, planning, pseudonym, readings
+from quillstone.operators import codebook, evidence, images, planning, pseudonym, readings
 from quillstone.operators import spans as sp
 from quillstone.operators.detect import find_spans
 from quillstone.plans import process, records
@@ -175,14 +175,20 @@ def test_lines_keep_tied_words_apart(spark):
     """Words of equal place and text: one is first and follows the gap, the others a space, however rows are dealt."""
     lines = {0: [(0, "Hb"), (0, "Hb")], 1: [(0, "--"), (0, "--"), (200, "--")], 2: [(0, "5"), (300, "--"), (300, "--"), (300, "--"), (345, "värde"), (345, "värde")]}
     want = ["Hb Hb", "-- --\t--", "5\t-- -- -- värde värde"]
-    rows = [(page, n, text, 60.0 + k, x, 0, x + 40, 10) for page in range(200) for n, words in lines.items() for k, (x, text) in enumerate(words)]
+    rows = [(page, n, 1 - k // 9, text, 60.0 + k, x, 0, x + 40, 10) for page in range(200) for n, words in lines.items() for k, (x, text) in enumerate(words)]
     for parts, seed in ((1, 1), (7, 2)):
         dealt = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
-        words = spark.createDataFrame(dealt, "page_id long, line_num int, text string, confidence double, x0 int, y0 int, x1 int, y1 int").repartition(parts)
+        words = spark.createDataFrame(dealt, "page_id long, line_num int, word_num int, text string, confidence double, x0 int, y0 int, x1 int, y1 int").repartition(parts)
         got = readings.lines_of(words, ["page_id"], ["line_num"]).collect()
         assert len(got) == 600 and all((r["text"], r["confidence"]) == (want[r["line_num"]], 60 + (len(lines[r["line_num"]]) - 1) / 2) for r in got)
 
 
+def test_words_of_one_place_keep_the_readers_order(spark):
+    words = [(1, 0, 3, "a", 1.0, 5, 0, 9, 1), (1, 0, 1, "z", 1.0, 5, 0, 9, 1), (1, 0, 2, "m", 1.0, 5, 0, 9, 1), (1, 0, 0, "last", 1.0, 6, 0, 9, 1)]
+    rows = spark.createDataFrame(words, "page_id long, line_num int, word_num int, text string, confidence double, x0 int, y0 int, x1 int, y1 int")
+    assert readings.lines_of(rows, ["page_id"], ["line_num"]).first()["text"] == "z m a last"
+
+
 def test_codebooks_do_not_chain(spark):
     books = spark.createDataFrame([("1", 1, "Mölnby", "Stockby Gård", "ORG"), ("1", 2, "Hönby", "Mölnby", "LOC"), ("2", 3, "Ö", "Annan Stor Gård", "ORG")], "book_id string, ord long, real string, fake string, type string")
     texts = spark.createDataFrame([(1, "Stockby Gård Stockby Gård", "Stockby Gård i Mölnby, Mölnbyn"), (2, "inget", "Mölnby")], "text_id long, text string, summary string")
@@ -224,9 +230,14 @@ def test_files(spark, tmp_path):
     assert files.decode_json((tmp_path / "d.json").read_bytes()) == "--- Sida 1 ---\n\nx\n\n--- Sida 3 ---\n\nz"
 
 
+def first_words():
+    """A generator that quotes the beginnings of units; made here, so that workers get it by value."""
+    return lambda prompt, units: ([{"text": " ".join(u["text"].split()[:12]), "evidence": [u["id"]]} for u in units[:8]], [])
+
+
 def test_whole_job(spark):
     docs = spark.createDataFrame([(1, 1, "Patient: Alma Vinterlund, a@example.invalid"), (1, 2, "Alma Vinterlund åter."), (2, 1, " ")], "batch_id long, doc_index int, text string")
-    rows = {r["batch_id"]: r for r in process.process(docs, detector=lambda text: [("ORG", "åter")] if "åter" in text else None).collect()}
+    rows = {r["batch_id"]: r for r in process.process(docs, first_words(), detector=lambda text: [("ORG", "åter")] if "åter" in text else None).collect()}
     assert rows[2]["error"] and "Alma" in rows[1]["summary"] and "Alma" not in rows[1]["pseudonymised_text"] and "[ORGANISATION_01]" in rows[1]["pseudonymised_text"]
     changed = process.process(docs.where("batch_id = 1"), generator=lambda prompt, units: ([{"text": "[NAME_09]", "evidence": ["E0001"]}], [])).first()
     assert "placeholder" in changed["error"] and changed["summary"] is None
@@ -248,20 +259,10 @@ def test_stream(spark, tmp_path):
 
     docs = spark.createDataFrame([(1, 1, "Patient: Alma Vinterlund")], ingest.DOCUMENTS)
     docs.write.parquet(str(tmp_path / "in"))
-    ingest.start(ingest.stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    ingest.start(ingest.stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), lambda rows: process.process(rows, first_words())).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
-def test_store(spark, tmp_path):
-    path = str(tmp_path / "store")
-    rows = spark.createDataFrame([("a", json.dumps({"id": "a", "name": "old", "n": [1, {"x": None}]}), 1.0), ("b", "{}", 1.0)], "id string, record string, changed double")
-    records.save(rows, path)
-    assert records.save_name(spark, path, "a", ' né"w ', 2.0) and not records.save_name(spark, path, "zz", "x", 2.0) and records.save_name(spark, path, "b", " ", 2.0)
-    assert records.remove(spark, path, "b", 3.0) and not records.remove(spark, path, "b", 4.0)
-    left = {r["id"]: json.loads(r["record"]) for r in records.stored(spark, path).collect()}
-    assert left == {"a": {"id": "a", "name": 'né"w', "n": [1, {"x": None}]}}
-
-
 def test_export_files(spark):
     from quillstone.plans import exports
 
@@ -284,17 +285,50 @@ def test_export_files(spark):
             assert all(one_file[int(p) :].startswith(b"%d 0 obj" % i) for i, p in enumerate(re.findall(rb"(\d{10}) 00000 n", one_file), 1))
 
 
-def test_images():
-    from quillstone.operators import images
+def lined(turn, h=300, w=240):
+    y, x = np.mgrid[:h, :w]
+    a = np.deg2rad(turn)
+    return np.where((np.rint((y - h / 2) * np.cos(a) + (x - w / 2) * np.sin(a)) % 20 < 2) & (np.abs(y - h / 2) < h * 0.45), 10, 250).astype(np.uint8)
+
+
+def turns_one_by_one(grey):
+    """The skew by turning each point of ink, for each turn alone."""
+    small = images.shrunk(grey, fixed.SKEW_PIXELS)
+    y, x = np.nonzero(small < 128)
+    y, x = y - small.shape[0] / 2, x - small.shape[1] / 2
+
+    def score(degrees):
+        row = np.rint(y * np.cos(np.deg2rad(degrees)) + x * np.sin(np.deg2rad(degrees))).astype(int)
+        return float(np.square(np.diff(np.bincount(row + 3 * sum(small.shape)))).sum())
+
+    return max((d / 5 for d in range(-28, 29)), key=score)
+
 
+def test_skew_and_blank_pages():
     page = np.full((300, 240), 250, np.uint8)
-    assert images.is_blank(page) and images.skew(page) == 0
-    page[::20, 30:210] = page[1::20, 30:210] = 10
-    assert not images.is_blank(page) and images.skew(page) == 0
-    y, x = np.mgrid[:300, :240]
-    for turn in (-3, 2):
-        tilted = np.where(np.rint((y - 150) * np.cos(np.deg2rad(turn)) + (x - 120) * np.sin(np.deg2rad(turn))) % 20 < 2, 10, 250)
-        assert abs(images.skew(tilted) - turn) <= 0.4
+    assert images.prepared(page)[1:4] == (True, False, 0.0)
+    for turn in (-4.6, -3, -0.6, 0, 2, 4.8):
+        got = images.skew(lined(turn))
+        assert abs(got - turn) <= 0.4 and (abs(turn) < 1 or abs(got - turns_one_by_one(lined(turn))) <= 0.4)
+        straight, *_ = images.prepared(lined(turn))
+        assert abs(images.skew(straight)) <= 0.6
+    assert images.skew(np.zeros((50, 50), np.uint8)) == 0
+
+
+def test_pages_are_prepared(spark):
+    wide = np.full((40, 5000), 250, np.uint8)
+    wide[::10] = 5
+    pages = {1: lined(0), 2: 255 - lined(0), 3: lined(3), 4: np.full((9, 7), 255, np.uint8), 5: np.full((9, 7), 3, np.uint8), 6: wide, 7: np.full((1, 1), 9, np.uint8)}
+    rows = [(i, p.shape[1], p.shape[0], p.tobytes(), "x") for i, p in pages.items()]
+    rows += [(8, 0, 0, b"", "x"), (9, 3, 3, b"12", "x"), (10, None, 3, b"123", "x"), (11, 3, 1, None, "x"), (12, 100_000, 100_000, b"", "x"), (1, 1, 1, b"z", "x")]
+    df = spark.createDataFrame(rows, "page_id long, width int, height int, grey binary, blank string").repartition(3)
+    out = images.prepare(df).collect()
+    got = {r["page_id"]: r for r in out if r["page_id"] != 1 or r["width"] > 1}
+    assert len(out) == len(rows)
+    assert {i: (r["blank"], r["inverted"]) for i, r in got.items() if i < 8} == {1: (False, False), 2: (False, True), 3: (False, False), 4: (True, False), 5: (True, True), 6: (False, False), 7: (True, True)}
+    assert got[1]["grey"] == got[2]["grey"] == pages[1].tobytes() and abs(got[3]["turned"] - 3) <= 0.4 and len(got[3]["grey"]) == got[3]["width"] * got[3]["height"] > pages[3].size
+    assert {got[i]["error"] for i in (8, 9, 10, 11, 12)} == {fixed.BAD_IMAGE} and got[6]["grey"] == wide.tobytes()
+    assert images.shrunk(wide, 1000).shape == (8, 1000) and images.prepare(df.limit(0)).count() == 0
 
 
 def test_mapping_files(spark, tmp_path):
@@ -313,5 +347,5 @@ def test_large_batches_fail(spark):
 
 def test_records_count_passages(spark):
     docs = spark.createDataFrame([(1, 1, "Alma"), (1, 2, "Berit åter.")], "batch_id long, doc_index int, text string")
-    row = process.process(docs, detector=lambda text: [("ORG", "åter"), ("ORG", "saknas")] if "åter" in text else None).first()
+    row = process.process(docs, first_words(), detector=lambda text: [("ORG", "åter"), ("ORG", "saknas")] if "åter" in text else None).first()
     assert (row["passages"], row["fallback_passages"], row["discarded"]) == (2, 1, 1) and len(row["warnings"]) == 3
