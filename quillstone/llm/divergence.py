@@ -141,8 +141,9 @@ def term_counts(docs: DataFrame, least: int = 3, width: int = 1 << 22, depth: in
 def share(count: Column, total: Column, kinds: Column) -> Column:
     """1 + floor(10**9 * (count + 1) / (total + kinds)), exactly, and 1 where both are 0."""
     wide = F.lit(1_000_000_000).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    below = (total + kinds).cast("decimal(20,0)")
-    return F.when(total + kinds > 0, 1 + F.call_function("div", wide, below)).otherwise(F.lit(1)).cast("long")
+    below = total + kinds
+    short = F.when(count < 9_000_000_000, 1 + F.call_function("div", F.lit(1_000_000_000).cast("long") * (count + 1), below))  # fits 64 bits, unlike larger counts
+    return F.when(below > 0, short.otherwise(1 + F.call_function("div", wide, below.cast("decimal(20,0)")))).otherwise(F.lit(1)).cast("long")
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -199,9 +200,10 @@ def audit(docs: DataFrame, least: int = 3, ranks: int = 200, width: int = 1 << 2
     groups = rows.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["size", "kinds", "all"])
     groups = groups.withColumns({"p0": share(F.lit(0), F.col("size"), F.col("kinds")), "sources": F.count("*").over(Window.partitionBy("lang"))})
     groups = materialise(groups, "source-groups")
-    terms = counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("size"), F.col("kinds")))
-    q = share(F.col("total"), F.col("all"), F.col("kinds"))
-    over = terms.select("lang", "source", F.col("term").alias("item"), "p", q.alias("q")).where("p > q").select("lang", "source", "item", distance(F.col("p"), F.col("q")).alias("value"))
+    shares = share(F.col("n"), F.col("size"), F.col("kinds")).alias("p"), share(F.col("total"), F.col("all"), F.col("kinds")).alias("q")
+    terms = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", *shares, "p0", "sources")
+    terms = materialise(terms, "term-shares")  # each is read four times
+    over = terms.where("p > q").select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     best = over.withColumn("rank", place).where(F.col("rank") <= ranks)
     pairs = _pairs(groups, terms).withColumn("rank", place)
