@@ -131,7 +131,7 @@ def _pack(path: str, end_id: int | None, longest: int, with_ids: bool) -> Callab
             start += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, texts, _ in in_parts(batches, 8 << 20):
+        for docs, texts, _ in in_parts(batches, 4 << 20):
             raws = [ids.tobytes() + end for ids in encoder(path).encode(texts)]
             out = [r for doc, raw in zip(docs, raws, strict=True) for r in rows(doc, raw)]
             if out:
