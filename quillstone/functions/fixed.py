@@ -59,6 +59,8 @@ MAX_SENTENCES, MAX_WORDS, MAX_SENTENCE_CHARS, MAX_EVIDENCE, MAX_NOTES, MAX_NOTE_
 CONTEXT_SIZES = (8192, 16384, 24576, 32768, 49152, 65536, 98304, 131072, 196608, 262144)
 DEFAULT_CONTEXT, LEAST_CONTEXT, MOST_CONTEXT, RESERVE_TOKENS = 131072, 4096, 262144, 768
 OUTPUT_BUDGETS = (4096, 8192, 16384)
+DOES_NOT_FIT, STOPPED_EARLY = "the record does not fit the context", "the model repeatedly stopped early"
+RUNTIME_TOO_OLD, NO_CONTEXT = "the runtime is too old", "the model did not report a usable context capacity"
 LEAST_RUNTIME = (0, 32, 1)
 MAX_DOCUMENTS, MAX_UPLOAD_BYTES, MAX_NAME_CHARS, MAX_IDENTIFIERS = 10, 64 * 1024 * 1024, 180, 50
 EXTENSIONS = (".pdf", ".docx", ".txt", ".json", ".png", ".jpg", ".jpeg")

@@ -8,10 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillstone.sources.boundary import written
+from quillstone.sources.boundary import Progress, written
 
 #: Calls that one task has under way at most.
 IN_FLIGHT = 5
@@ -61,13 +62,13 @@ def _task(call: Callable[[dict], object], in_flight: int, schema: pa.Schema, kee
     return run
 
 
-def ask(rows: DataFrame, call: Callable[[dict], object], answer: str | T.DataType, in_flight: int = IN_FLIGHT, tasks: int | None = None, name: str = "answers", keep: list[str] | None = None) -> DataFrame:
+def ask(rows: DataFrame, call: Callable[[dict], object], answer: str | T.DataType, in_flight: int = IN_FLIGHT, tasks: int | None = None, name: str = "answers", keep: list[str] | None = None, progress: Progress | None = None) -> DataFrame:
     """rows with `answer` (of the given type) and `error`, written once: what reads them asks nobody again.
 
     call gets a row as a dict and returns what the type of `answer` takes; of the row, the columns `keep` (by default all) are written. A task has `in_flight` calls under way and keeps the order of its rows; with
     `tasks` the rows are dealt into so many tasks, and in_flight * tasks bounds the calls under way at once. A call that raises one of FAILURES
     gives a null answer and its reason in `error`; the others go on. A task that is lost asks for its own rows again, as nothing of it was written.
-    Rows that repeat are asked for each. No rows, no calls.
+    Rows that repeat are asked for each. No rows, no calls. `progress` hears how many were asked for, and how many failed.
     """
     if in_flight < 1:
         raise ValueError("at least one call must be under way")
@@ -75,4 +76,4 @@ def ask(rows: DataFrame, call: Callable[[dict], object], answer: str | T.DataTyp
     keep = rows.columns if keep is None else keep
     out = T.StructType([*(rows.schema[c] for c in keep), T.StructField("answer", kind), T.StructField("error", T.StringType())])
     dealt = rows.repartition(tasks) if tasks else rows
-    return written(dealt.mapInArrow(_task(call, in_flight, to_arrow_schema(out), keep), out), name)
+    return written(dealt.mapInArrow(_task(call, in_flight, to_arrow_schema(out), keep), out), name, progress, asked=F.count(F.lit(1)), failed=F.count("error"))

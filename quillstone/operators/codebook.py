@@ -30,7 +30,7 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
     A file that isn't such an object has no pairs, nor has an entry that isn't an object.
     """
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*_mapping.json").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("pathGlobFilter", "*_mapping.json").option("recursiveFileLookup", "true").text(path, wholetext=True)
     book = F.regexp_extract(F.input_file_name(), r"([^/]+)_mapping\.json$", 1)
     rows = files.select(F.url_decode(book).alias("book_id"), F.posexplode(F.map_entries(F.from_json("value", "map<string,string>", {"allowDuplicateKeys": "true"}))).alias("ord", "e"))
     entry = F.from_json("e.value", "fake string, type string")

@@ -25,13 +25,6 @@ def _python(pattern: str) -> str:
     return re.sub(r"^\(\?(\w+)\)", lambda m: "(?i)" if "i" in m[1] else "", pattern).replace("(?iu:", "(?i:")
 
 
-_RULES = [(kind, re.compile(_python(pattern)), group) for kind, pattern, group in fixed.RULES]
-
-
-def by_rules(text: str) -> list[Span]:
-    return [(*m.span(group), kind) for kind, rule, group in _RULES for m in rule.finditer(text)]
-
-
 class _Coarse(dict):
     """Characters by code point, each as one that all its case variants share."""
 
@@ -49,6 +42,24 @@ def coarse(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_coarse)
 
 
+#: What a text must have for a rule, of fixed.RULES in order, to find anything: one of some words, in coarse form, or a match of a plain pattern.
+_ANCHORS = (
+    re.compile(r"\d{6}"), ("@",), re.compile(r"\d{4}[-/.]"), ("januari", "februari", "mars", "april", "maj", "juni", "juli", "augusti", "september", "oktober", "november", "december"),
+    re.compile(r"0[1-9]|\+46"), ("journal", "patient", "ärende", "reservnummer"), ("postn", "postadress"), re.compile(r"\d{3} \d{2}"),
+    ("patient", "namn", "läkare", "doktor", "dr", "sjuksköterska", "kontaktperson"), ("gatan", "vägen", "gränden", "stigen", "allén", "torget"), ("år",),
+)
+_RULES = [(kind, re.compile(_python(pattern)), group, anchor) for (kind, pattern, group), anchor in zip(fixed.RULES, _ANCHORS, strict=True)]
+
+
+def by_rules(text: str) -> list[Span]:
+    """Spans of all rules, rule after rule. A rule only runs on a text that has what it can't do without."""
+    low, out = coarse(text), []
+    for kind, rule, group, anchor in _RULES:
+        if any(word in low for word in anchor) if isinstance(anchor, tuple) else anchor.search(text):
+            out += [(*m.span(group), kind) for m in rule.finditer(text)]
+    return out
+
+
 def _is_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 

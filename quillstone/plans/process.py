@@ -11,7 +11,7 @@ from quillstone.functions import fixed
 from quillstone.operators import batches, calls, evidence, pseudonym
 from quillstone.operators import spans as sp
 from quillstone.sources import files
-from quillstone.sources.boundary import written
+from quillstone.sources.boundary import Progress, written
 
 #: A detector: a passage's text -> (kind, text) suggestions, or None where it fails. It may raise one of calls.FAILURES too.
 Detector = Callable[[str], list[tuple[str, str]] | None]
@@ -19,7 +19,7 @@ Detector = Callable[[str], list[tuple[str, str]] | None]
 Generator = Callable[[str, list[dict]], tuple[list[dict], list[str]]]
 
 
-def detect_passages(parts: DataFrame, detector: Detector, **limits: int) -> tuple[DataFrame, DataFrame]:
+def detect_passages(parts: DataFrame, detector: Detector, **options) -> tuple[DataFrame, DataFrame]:
     """Spans (batch_id, doc_index, start, end, kind) that a detector finds in the passages of documents, and counts by batch: passages, fallback_passages (failed ones), discarded (invalid suggestions).
 
     Each passage is asked for once; both results read the written answers. One on which the detector fails keeps its rules; its batch counts it.
@@ -32,7 +32,7 @@ def detect_passages(parts: DataFrame, detector: Detector, **limits: int) -> tupl
             raise ValueError("the detector failed")
         return [{"kind": k, "value": v} for k, v in found]
 
-    told = calls.ask(passages, call, "array<struct<kind:string,value:string>>", name="suggestions", **limits)
+    told = calls.ask(passages, call, "array<struct<kind:string,value:string>>", name="suggestions", **options)
     good = lambda x: sp.entity_valid(x["kind"], x["value"], F.col("text"))
     valid = F.filter("answer", good)
     count = lambda c: F.sum(c).cast("long")
@@ -61,18 +61,18 @@ def _by_kind(documents: DataFrame, column: str) -> DataFrame:
     return batches.by_batch(documents, column).groupBy("batch_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "hits")))).alias(column))
 
 
-def process(documents: DataFrame, generator: Generator, detector: Detector | None = None, **limits: int) -> DataFrame:
+def process(documents: DataFrame, generator: Generator, detector: Detector | None = None, progress: Progress | None = None, **limits: int) -> DataFrame:
     """documents (batch_id, doc_index, text) to one record for each batch: pseudonymised text, summary with originals restored, counts, error.
 
     A batch with an empty document or more than MAX_DOCUMENTS fails; so does one whose summary changes a placeholder, or whose generator raises one of
     calls.FAILURES; others aren't affected. Detector and generator are asked once for each passage and batch; `limits` (in_flight, tasks) bounds the
-    calls under way. Documents stay rows until a batch's prompt is made. The mapping is not in the result.
+    calls under way; `progress` hears of each stage that is done and of its counts. Documents stay rows until a batch's prompt is made. The mapping is not in the result.
     """
-    joined = written(files.batch_text(documents, fixed.MAX_DOCUMENTS).select("batch_id", "document_count", F.col("error").alias("_empty")), "batches")
+    joined = written(files.batch_text(documents, fixed.MAX_DOCUMENTS).select("batch_id", "document_count", F.col("error").alias("_empty")), "batches", progress, batches=F.count(F.lit(1)), documents=F.sum("document_count"), failed=F.count("_empty"))
     parts = files.document_parts(documents.join(joined.where("_empty IS NULL").select("batch_id"), "batch_id", "left_semi"))
-    detected, counts = detect_passages(parts, detector, **limits) if detector else (None, None)
+    detected, counts = detect_passages(parts, detector, progress=progress, **limits) if detector else (None, None)
     anon = batches.pseudonymise(parts, detected)
-    done = written(anon.documents, "pseudonymised")
+    done = written(anon.documents, "pseudonymised", progress, documents=F.count(F.lit(1)), hits=F.sum(F.aggregate(F.map_values("phi_hits"), F.lit(0), lambda a, b: a + b)))
     texts = files.joined_parts(done)
     units = written(evidence.evidence_units(texts), "units")
     packed = units.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "id", "document", "text"))).alias("units"))
@@ -81,7 +81,7 @@ def process(documents: DataFrame, generator: Generator, detector: Detector | Non
         sentences, notes = generator(row["prompt"], row["units"])
         return {"sentences": sentences, "uncertainties": notes}
 
-    made = calls.ask(evidence.user_prompts(units).join(packed, "batch_id"), call, _MADE, name="summaries", **limits)
+    made = calls.ask(evidence.user_prompts(units).join(packed, "batch_id"), call, _MADE, name="summaries", progress=progress, **limits)
     made = made.select("batch_id", "error", evidence.render_summary(F.col("answer.sentences")).alias("summary"), F.col("answer.uncertainties").alias("uncertainties"))
     order = F.array_sort(F.collect_list(F.struct("doc_index", "start", "surface", "token")))
     mapping = anon.mapping.groupBy("batch_id").agg(F.transform(order, lambda m: F.struct(m["surface"].alias("surface"), m["token"].alias("token"))).alias("mapping"))

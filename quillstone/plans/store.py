@@ -20,14 +20,15 @@ def bucket_of(record_id: Column) -> Column:
     return F.pmod(F.crc32(record_id.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
-def _add(changes: DataFrame, path: str) -> None:
+def change(changes: DataFrame, path: str) -> None:
+    """Adds changes (id, kind: save, rename or delete; value: the record or name; changed: seconds). A row without an id or time is left out."""
     rows = changes.where("id IS NOT NULL AND changed IS NOT NULL").withColumns({"writer": F.lit(uuid.uuid4().hex), "bucket": bucket_of(F.col("id"))})
     rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def save(records: DataFrame, path: str) -> None:
-    """Adds records (id, record as JSON, changed: seconds). A row without an id or time is left out."""
-    _add(records.select("id", F.lit("save").alias("kind"), F.col("record").alias("value"), F.col("changed").cast("double").alias("changed")), path)
+    """Adds records (id, record as JSON, changed: seconds)."""
+    change(records.select("id", F.lit("save").alias("kind"), F.col("record").alias("value"), F.col("changed").cast("double").alias("changed")), path)
 
 
 def _now(changes: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def get_record(spark: SparkSession, path: str, record_id: str) -> str | None:
 def _change(spark: SparkSession, path: str, record_id: str, kind: str, value: str | None, changed: float) -> bool:
     if get_record(spark, path, record_id) is None:
         return False
-    _add(spark.createDataFrame([(record_id, kind, value, float(changed))], "id string, kind string, value string, changed double"), path)
+    change(spark.createDataFrame([(record_id, kind, value, float(changed))], "id string, kind string, value string, changed double"), path)
     return True
 
 

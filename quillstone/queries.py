@@ -5,16 +5,22 @@ Batches of documents are made by `source`; batches of notes (see sources/corpus.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
-from quillstone.operators import batches, codebook, evidence, planning, pseudonym, readings
+from quillstone.operators import batches, codebook, evidence, images, planning, pseudonym, readings
 from quillstone.operators import spans as sp
 from quillstone.operators.detect import find_spans
-from quillstone.plans import records
-from quillstone.sources import corpus, files, payload
+from quillstone.plans import reading, records, store, summarise
+from quillstone.sources import boundary, corpus, files, payload, sink
+from quillstone.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -490,18 +496,21 @@ def estimate_tokens(spark, sf_dir):
            CASE o_orderkey % 6 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete|complete' WHEN 2 THEN 'invalid_format|complete' WHEN 3 THEN 'context_overflow|complete' WHEN 4 THEN 'invalid_format|invalid_format' ELSE 'incomplete|incomplete|incomplete' END AS outcomes FROM orders
 """)
 def summary_retries(spark, sf_dir):
-    """Replays recorded answers of each order through the retry rules; an order's key says what its answers are."""
+    """A summary of each order by a model whose answers depend on the order's key and on the attempt, through the rounds of retries."""
     import json
 
     good = json.dumps({"sentences": [{"text": "Dos 5 mg", "evidence": ["E0001"]}], "uncertainties": []})
-    scripts = [[{"response": good}], [{"done_reason": "length"}, {"response": good}], [{"response": "{"}, {"response": good}], [{"overflow": True}, {"response": good}], [{"response": "{"}, {"response": "{"}], [{"done": False}] * 3]
+    answers = [[{"response": good}], [{"done_reason": "length"}, {"response": good}], [{"response": "{"}, {"response": good}], ["The input EXCEEDS the context", {"response": good}], [{"response": "{"}, {"response": "{"}], [{"done": False}] * 3]
 
-    def run(batches):
-        for batch in batches:
-            got = [planning.summarise("p" * 3000, "", "", {"E0001"}, [8192, 16384, 24576, 32768], planning.replay(scripts[k % 6])) for k in batch["batch_id"]]
-            yield batch.assign(error=[o.error for o in got], attempts=[len(o.attempts) for o in got], outcomes=["|".join(a.outcome for a in o.attempts) for o in got])
+    def model(request: dict) -> dict:
+        answer = answers[request["batch_id"] % 6][request["attempt"]]
+        if isinstance(answer, str):
+            raise RuntimeError(answer)
+        return answer
 
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id")).mapInPandas(run, "batch_id long, error string, attempts long, outcomes string")
+    prompts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.lit("p" * 3000).alias("prompt"), F.array(F.lit("E0001")).alias("known"))
+    out = summarise.summaries(corpus.spread(prompts, "batch_id"), model, F.array(*map(F.lit, (8192, 16384, 24576, 32768))))
+    return out.select("batch_id", "error", long(F.size("attempts")).alias("attempts"), F.array_join(F.transform("attempts", lambda a: a["outcome"]), "|").alias("outcomes"))
 
 
 # --- Readings -----------------------------------------------------------------------------------------------------------
@@ -803,3 +812,127 @@ def review_notes(spark, sf_dir):
 def upload_dedupe(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), F.length("props").alias("size"), F.lit(0).alias("mtime"))
     return payload.drop_repeated(rows, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("files"))
+
+
+# --- Pages, jobs, stores and files ----------------------------------------------------------------------------------------
+
+_IMAGE = "CASE WHEN page_id % 2 = 0 THEN html ELSE 'scan ' || CAST(octet_length(encode(html)) % 11 AS VARCHAR) END"
+
+
+def _first_reader(image: bytes) -> dict:
+    """Stands for a text reader: what it says, and how sure it is, depends on the image's bytes."""
+    return {"text": f"Hb {len(image)} mg", "confidence": 30 + len(image) % 70}
+
+
+def _second_reader(image: bytes) -> dict:
+    return {"text": f"Hb {len(image) + (len(image) % 3 == 0)} mg", "confidence": 50 + len(image) % 50}
+
+
+_CASCADE = f"""
+    i AS (SELECT DISTINCT coalesce(image, '') AS image, CAST(octet_length(encode(image)) AS BIGINT) AS n FROM (SELECT {_IMAGE} AS image FROM pages)),
+    a AS (SELECT *, 30 + n % 70 AS ca, 50 + n % 50 AS cb, n + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS m FROM i),
+    b AS (SELECT *, ca < 91 AS need, ca < 91 AND cb >= 70 AS second FROM a),
+    c AS (SELECT image, CASE WHEN second THEN 'second' ELSE 'first' END AS engine, need, CASE WHEN second THEN cb ELSE ca END < 35 AS rejected, 'Hb ' || CASE WHEN second THEN m ELSE n END || ' mg' AS text,
+                 CASE WHEN need AND n <> m THEN 1 ELSE 0 END + CASE WHEN CASE WHEN second THEN cb ELSE ca END < 91 THEN 1 ELSE 0 END AS notes FROM b)
+"""
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    image = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.concat(F.lit("scan "), (F.octet_length("html") % 11).cast("string"))).cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", "url", image.alias("image"))
+
+
+@query(f"WITH {_CASCADE} SELECT sha256(image) AS digest, engine, need AS need_second, rejected, CASE WHEN NOT rejected THEN text END AS text, CAST(notes AS BIGINT) AS notes FROM c")
+def reader_cascade(spark, sf_dir):
+    images = _images(spark, sf_dir).select(F.unhex(F.sha2("image", 256)).alias("digest"), "image").groupBy("digest").agg(F.first("image").alias("image"))
+    out = reading.cascade(images, reading.Readers(_first_reader, _second_reader))
+    return out.select(F.lower(F.hex("digest")).alias("digest"), "engine", "need_second", "rejected", "text", long(F.size("warnings")).alias("notes"))
+
+
+@query(f"""
+    WITH {_CASCADE}, p AS (SELECT page_id, page_id // 8 AS doc_id, page_id % 8 AS page_num, CASE WHEN page_id % 5 = 0 THEN url ELSE '' END AS native, coalesce({_IMAGE}, '') AS image FROM pages),
+    l AS (SELECT *, regexp_matches(native, '\\w') AS layer FROM p),
+    f AS (SELECT doc_id, image, min(page_num) AS first FROM l WHERE NOT layer GROUP BY ALL)
+    SELECT l.doc_id, l.page_num, CASE WHEN layer THEN native WHEN NOT rejected THEN text END AS text, CASE WHEN layer THEN 'native' ELSE engine END AS method, NOT layer AND l.page_num > first AS cached, NOT layer AND rejected AS failed
+    FROM l JOIN c ON c.image = l.image LEFT JOIN f ON f.doc_id = l.doc_id AND f.image = l.image
+""".replace("\\\\", "\\"))
+def pages_read_once(spark, sf_dir):
+    pages = _images(spark, sf_dir).select(
+        F.expr("page_id div 8").alias("doc_id"), (F.col("page_id") % 8).alias("page_num"), F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise("").alias("native"), F.lit(0).alias("uncovered"), "image"
+    )
+    out = reading.read_pages(pages, reading.Readers(_first_reader, _second_reader))
+    return out.select("doc_id", "page_num", "text", "method", "cached", F.col("error").isNotNull().alias("failed"))
+
+
+_EVENT = "CASE event_id % 5 WHEN 2 THEN 'finish' WHEN 3 THEN 'skip' WHEN 4 THEN 'fail' ELSE 'start' END"
+
+
+@query(f"""
+    WITH e AS (SELECT user_id AS job_id, event_type AS stage, list({{'at': ts, 'event': {_EVENT}}} ORDER BY event_id) AS e FROM events GROUP BY ALL),
+    s AS (SELECT job_id, stage, list_reduce(list_prepend({{'status': 'pending', 'since': NULL::TIMESTAMP, 'until': NULL::TIMESTAMP}}, list_transform(e, lambda x: {{'status': x.event, 'since': x.at, 'until': NULL::TIMESTAMP}})),
+            lambda s, x: CASE WHEN s.status = 'pending' AND x.status = 'start' THEN {{'status': 'active', 'since': x.since, 'until': NULL::TIMESTAMP}}
+                              WHEN s.status = 'pending' THEN {{'status': CASE x.status WHEN 'finish' THEN 'done' WHEN 'skip' THEN 'skipped' ELSE 'error' END, 'since': NULL::TIMESTAMP, 'until': NULL::TIMESTAMP}}
+                              WHEN s.status = 'active' AND x.status IN ('finish', 'fail') THEN {{'status': CASE x.status WHEN 'finish' THEN 'done' ELSE 'error' END, 'since': s.since, 'until': x.since}} ELSE s END) AS s FROM e)
+    SELECT job_id, stage, s.status AS status, CAST(round((epoch_us(s.until) - epoch_us(s.since)) / 1e6) AS BIGINT) AS seconds FROM s
+""")
+def job_stages(spark, sf_dir):
+    event = F.expr(_EVENT)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), event.alias("event"))
+    return jobs.stages(events, digits=0).select("job_id", "stage", "status", long("seconds").alias("seconds"))
+
+
+@query("""
+    SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'Ny ' || o_orderkey ELSE 'Order' END AS name, CAST(o_custkey AS BIGINT) AS customer FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 2 = 0
+""")
+def stored_records(spark, sf_dir):
+    """Every order is saved; some are named, deleted, and, of these, saved anew or named after their end."""
+    path = f"{boundary.shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), "o_orderkey", F.to_json(F.struct(F.lit("Order").alias("name"), F.col("o_custkey").alias("customer"))).alias("record"))
+    name = F.concat(F.lit("Ny "), F.col("o_orderkey").cast("string"))
+    store.save(orders.withColumn("changed", F.lit(1.0)), path)
+    changes = orders.where("o_orderkey % 7 = 0").select("id", F.lit("delete").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(2.0).alias("changed"))
+    store.change(changes.unionByName(orders.where("o_orderkey % 5 = 0").select("id", F.lit("rename").alias("kind"), name.alias("value"), F.lit(4.0).alias("changed"))), path)
+    store.save(orders.where("o_orderkey % 14 = 0").withColumn("changed", F.lit(3.0)), path)
+    got = F.from_json("record", "name string, customer long")
+    return store.stored(spark, path).select("id", got["name"].alias("name"), got["customer"].alias("customer"))
+
+
+@query("SELECT 's' || s_suppkey || '.txt' AS name, s_name || chr(10) || chr(10) || 'Saldo ' || CAST(s_nationkey AS VARCHAR) || chr(10) AS content FROM supplier")
+def exported_files(spark, sf_dir):
+    """A file for each supplier, written by the sink and read back."""
+    sink.register(spark)
+    path = f"{boundary.shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    body = F.concat(F.lit("Saldo "), F.col("s_nationkey").cast("string"))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name"), records.render(F.col("s_name"), body, "txt").alias("content"))
+    rows.write.format(sink.FORMAT).mode("append").save(path)
+    files_ = spark.read.text(path, wholetext=True)
+    return files_.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("content"))
+
+
+def page_image(text: str | None, number: int) -> bytes:
+    """A page of 128 x 96 grey pixels made from a document: each word is a run of ink as long as it is, lines lie four degrees aslant at most, every third page is dark."""
+    rows, columns = np.mgrid[:96, :128]
+    slope = np.tan(np.deg2rad(number % 9 - 4))
+    line = np.rint(rows - 12 + (columns - 64) * slope).astype(int)
+    ink, lines = np.zeros((96, 128), bool), (text or "").split("\n")[:9]
+    for i, words in enumerate(lines):
+        at = 8 + np.cumsum([0, *(len(w) + 2 for w in words.split())])
+        inside = np.zeros(128, bool)
+        for a, w in zip(at, words.split()):
+            inside[a : min(a + len(w), 120)] = True
+        ink |= (line // 2 == 4 * i) & inside[columns]
+    grey = np.where(ink, 20, 240).astype(np.uint8)
+    return (255 - grey if number % 3 == 0 else grey).tobytes()
+
+
+@F.arrow_udf(T.BinaryType())
+def _page_images(text: pa.Array, number: pa.Array) -> pa.Array:
+    return pa.array([page_image(*x) for x in zip(text.to_pylist(), number.to_pylist(), strict=True)], pa.binary())
+
+
+@query()
+def prepared_pages(spark, sf_dir):
+    """A page image of each document, made ready for a reader. Without SQL: a test holds it against all turns one by one."""
+    docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", _page_images(F.col("text"), F.col("doc_id")).alias("grey"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit(128).alias("width"), F.lit(96).alias("height"), "grey")
+    return images.prepare(pages).select("page_id", "blank", "inverted", "turned", long("width").alias("width"), long("height").alias("height"), F.md5("grey").alias("digest"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,8 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: what is dear or has effects runs once, and lost executors don't bring it back."""
+#: Hears of a stage and of what was counted as its rows were written.
+Progress = Callable[[str, dict[str, int]], None]
+
+
+def written(df: DataFrame, name: str, progress: Progress | None = None, **counts: Column) -> DataFrame:
+    """df as a Parquet table in the shared folder: what is dear or has effects runs once, and lost executors don't bring it back.
+
+    With `progress`, aggregates over df's columns are observed by the write itself and reported after it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if progress and counts else None
+    (df.observe(seen, *(c.alias(k) for k, c in counts.items())) if seen else df).write.parquet(path)
+    if seen:
+        progress(name, seen.get)
     return df.sparkSession.read.schema(df.schema).parquet(path)

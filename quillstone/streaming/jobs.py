@@ -21,23 +21,19 @@ SILENT = "The job stopped reporting."
 STAGES = "job_id long, stage string, status string, seconds double, detail string"
 
 
-def _seconds(later: Column, earlier: Column) -> Column:
-    return F.round(later.cast("double") - earlier.cast("double"), 1)
-
-
-def stages(events: DataFrame, silence: float | None = None, now: Column | None = None) -> DataFrame:
-    """STAGES of a table of events. With `silence` (seconds), stages active in jobs whose last event is further back from `now` are errors.
+def stages(events: DataFrame, silence: float | None = None, now: Column | None = None, digits: int = 1) -> DataFrame:
+    """STAGES of a table of events, seconds with so many digits. With `silence` (seconds), stages active in jobs whose last event is further back from `now` are errors.
 
     A stage's state depends on its first event, and on its first finish or fail where that was a start, so that two minima tell it: a job of any
     number of events is combined before it is shuffled. Events of equal seq count in the order of at and event. Events with a null field are left out.
     """
-    good = events.where(F.col("event").isin(*KNOWN)).dropna(subset=["job_id", "stage", "seq", "at"])
+    good = events.where(F.col("event").isin(*KNOWN)).dropna(subset=["job_id", "stage", "seq", "at"]).withColumn("at", F.col("at").cast("timestamp"))
     event = F.struct("seq", "at", "event")
     rows = good.groupBy("job_id", "stage").agg(F.min(event).alias("a"), F.min(F.when(F.col("event").isin("finish", "fail"), event)).alias("b"), F.max("at").alias("_last"))
     ended = F.create_map(*(F.lit(x) for pair in ENDS.items() for x in pair))
     started = F.col("a.event") == "start"
     status = F.when(~started, ended[F.col("a.event")]).when(F.col("b").isNull(), "active").otherwise(ended[F.col("b.event")])
-    rows = rows.select("job_id", "stage", status.alias("status"), F.when(started & F.col("b").isNotNull(), _seconds(F.col("b.at"), F.col("a.at"))).alias("seconds"), "_last")
+    rows = rows.select("job_id", "stage", status.alias("status"), F.when(started & F.col("b").isNotNull(), F.round((F.unix_micros("b.at") - F.unix_micros("a.at")) / 1e6, digits)).alias("seconds"), "_last")
     detail = F.lit(None).cast("string")
     if silence is not None:
         last = rows.groupBy("job_id").agg(F.max("_last").alias("_job_last"))

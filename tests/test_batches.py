@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from quillstone.functions import fixed
 from quillstone.operators import batches, calls, detect
-from quillstone.plans import process
+from quillstone.plans import process, progress
 from quillstone.sources import files
 
 DOC = "batch_id long, doc_index int, text string"
@@ -27,6 +27,13 @@ def test_occurrences_are_those_of_a_search(text, values):
     assert all(batches.surface_key(v) in known for v in values if re.search(rf"(?<!\w){re.escape(v)}(?!\w)", text, re.IGNORECASE))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["19500101", "-1234", "a@b", ".se", "2024-", "05-06", "3", " MAJ ", "oKtober", "2021", "070", "+46", " 123", " 45", "67", "Journal-ID", "ÄRENDE", "-id ", "AB12", "Postnr", "Dr", "läkare", " Alma", " Berg", "Stora", "gatan", "VÄGEN", " 5", "45", "Årig", " år", " gammal", "s ålder", " ", "\n", "ſ"]), max_size=14).map("".join))
+def test_anchors_lose_nothing(text):
+    want = [(*m.span(group), kind) for kind, pattern, group in fixed.RULES for m in re.finditer(detect._python(pattern), text)]
+    assert detect.by_rules(text) == want
+
+
 def expected(docs, detected=(), listed=()):
     """For small data: everything of a batch held against everything."""
     texts, mapping = {}, {}
@@ -182,7 +189,8 @@ def test_one_call_for_each_passage_and_batch(spark, tmp_path):
         return [{"text": "[NAME_PATIENT_MALE_01]: Metformin 500 mg.", "evidence": [units[0]["id"]]}], []
 
     docs = [(1, i, f"Erik Exempelsson. Metformin 500 mg. Note {i}") for i in range(5)] + [(2, 1, "trasig"), (3, 1, "Erik Exempelsson vägrar")]
-    out = process.process(spark.createDataFrame(docs, DOC), generator, detector, in_flight=3, tasks=2)
+    table = progress.ProgressTable(spark, str(tmp_path / "progress"), "job 1")
+    out = process.process(spark.createDataFrame(docs, DOC), generator, detector, table, in_flight=3, tasks=2)
     rows = {r["batch_id"]: r for r in out.collect()}
     assert {r["batch_id"]: r for r in out.collect()} == rows  # a second action asks nobody again
     assert passages() == sorted(f"--- Document {i} ---\n{x}" for _, i, x in docs) and len(prompts()) == 3
@@ -190,5 +198,96 @@ def test_one_call_for_each_passage_and_batch(spark, tmp_path):
     assert one["summary"] == "Erik Exempelsson: Metformin 500 mg. [E0001]" and "Erik" not in one["pseudonymised_text"] and one["pseudonymised_text"].count("[NAME_PATIENT_MALE_01]") == 5
     assert (one["passages"], one["fallback_passages"], one["discarded"], one["phi_hits"]) == (5, 0, 10, {"PATIENT_MALE": 5})
     assert (rows[2]["passages"], rows[2]["fallback_passages"], rows[2]["discarded"]) == (1, 1, 0) and "placeholder" in rows[2]["error"]
+    seen = {r["stage"]: r["counts"] for r in table.read().where("job = 'job 1'").collect()}
+    total = lambda c: sum(r[c] for r in rows.values())
+    assert seen == {
+        "batches": {"batches": 3, "documents": 7, "failed": 0}, "suggestions": {"asked": total("passages"), "failed": total("fallback_passages")},
+        "pseudonymised": {"documents": 7, "hits": sum(sum(r["phi_hits"].values()) for r in rows.values())}, "summaries": {"asked": 3, "failed": 1},
+    }
     assert rows[3]["error"] == "RuntimeError: overloaded" and rows[3]["summary"] is None
     assert files.joined_parts(files.document_parts(spark.createDataFrame(docs, DOC))).where("batch_id = 1").first()["text"].count("--- Document") == 5
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    """Counts are there while the query runs: each micro-batch waits until those before it can be read."""
+    from pyspark.sql import functions as F
+
+    for i in range(3):
+        spark.createDataFrame([(i, k, "x" * i) for k in range(4 + i)], DOC).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = progress.ProgressTable(spark, str(tmp_path / "progress"), "stream")
+    listener, read = progress.StreamProgress(table, "documents"), []
+    spark.streams.addListener(listener)
+    try:
+        rows = spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).observe("read", F.count(F.lit(1)).alias("documents"))
+
+        def see(batch, epoch):
+            batch.count()
+            until = time.time() + 60
+            while epoch and time.time() < until and (done := table.read().where("stage = 'read'")).count() < epoch:
+                time.sleep(0.2)
+            read.append([] if not epoch else sorted(r["counts"]["batch"] for r in done.collect()))
+
+        query = rows.writeStream.queryName("documents").foreachBatch(see).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert query.awaitTermination(240)
+        until = time.time() + 60
+        while table.read().where("stage = 'read'").count() < 3 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert read == [[], [0], [0, 1]]
+    assert sum(r["counts"]["documents"] for r in table.read().where("stage = 'read'").collect()) in (15, 30) and table.read().where("stage = 'started'").count() == 1
+
+
+def test_summaries_in_rounds(spark, tmp_path):
+    """Each batch is asked for until it is done and no more, with the context and output budget that its outcomes call for."""
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import summarise
+
+    note, seen = counted(tmp_path, "requests")
+    good = '{"sentences": [{"text": "Dos 5 mg", "evidence": ["E0001"]}], "uncertainties": []}'
+
+    def model(r):
+        note(f"{r['batch_id']} {r['attempt']} {r['num_ctx']} {r['num_predict']} {r['prompt'][-2:]}")
+        if r["batch_id"] == 1:
+            return {"response": good}
+        if r["batch_id"] == 2:
+            return {"response": good, "done_reason": "length", "prompt_eval_count": 9000} if r["num_predict"] < 8192 else {"response": good}
+        if r["batch_id"] == 3:
+            return {"response": "{", "prompt_eval_count": True}
+        if r["batch_id"] == 4:
+            raise RuntimeError("the prompt exceeds the context" if r["attempt"] < 5 else "never")
+        if r["batch_id"] == 5:
+            raise OSError("down")
+        return {"response": good.replace("E0001", "E0009")} if not r["attempt"] else {"response": good}
+
+    prompts = spark.createDataFrame([(i, "p" * (50_000 if i == 6 else 9)) for i in range(1, 7)], "batch_id long, prompt string").withColumn("known", F.array(F.lit("E0001")))
+    out = summarise.summaries(prompts, model, F.array(*map(F.lit, (8192, 16384, 24576, 32768))), shorter=" s", repair=" r")
+    rows = {r["batch_id"]: r for r in out.collect()}
+    tried = {b: [(a["num_ctx"], a["num_predict"], a["outcome"]) for a in r["attempts"]] for b, r in rows.items()}
+    assert tried == {
+        1: [(8192, 4096, "complete")], 2: [(8192, 4096, "incomplete"), (24576, 8192, "complete")], 3: [(8192, 4096, "invalid_format")] * 2,
+        4: [(c, 4096, "context_overflow") for c in (8192, 16384, 24576, 32768)], 5: [(8192, 4096, "failed")], 6: [(24576, 4096, "invalid_format"), (24576, 4096, "complete")],
+    }
+    assert {b: r["error"] for b, r in rows.items()} == {1: None, 2: None, 3: "invalid JSON", 4: fixed.DOES_NOT_FIT, 5: "OSError: down", 6: None}
+    assert rows[1]["words"] == 3 and rows[6]["sentences"][0]["evidence"] == ["E0001"] and rows[3]["sentences"] is None
+    asked = seen()
+    assert len(asked) == sum(map(len, tried.values())) and "2 1 24576 8192  s" in asked and "3 1 8192 4096  r" in asked and "6 1 24576 4096  r" in asked
+    assert summarise.summaries(prompts.limit(0), model, F.array(F.lit(8192))).count() == 0 and seen() == asked
+
+
+def test_runtimes_are_probed_once(spark, tmp_path):
+    from quillstone.plans import summarise
+
+    note, seen = counted(tmp_path, "probes")
+
+    def probe(model):
+        note(model)
+        if model == "down":
+            raise TimeoutError("late")
+        return {"good": {"version": "0.32.1", "context": 8192}, "old": {"version": "0.31.9", "context": 8192}, "odd": {"version": "1.0.0", "context": True}, "small": {"version": "1.0.0", "context": 4095}}[model]
+
+    models = spark.createDataFrame([(m,) for m in ("good", "good", "old", "odd", "small", "down", None)], "model string")
+    got = {r["model"]: (r["model_context"], r["error"]) for r in summarise.check_runtimes(models, probe).collect()}
+    assert got == {"good": (8192, None), "old": (8192, fixed.RUNTIME_TOO_OLD), "odd": (None, fixed.NO_CONTEXT), "small": (None, fixed.NO_CONTEXT), "down": (None, "TimeoutError: late")}
+    assert seen() == ["down", "good", "odd", "old", "small"]

@@ -332,7 +332,7 @@ def test_pages_are_prepared(spark):
 
 
 def test_mapping_files(spark, tmp_path):
-    (tmp_path / "p 1_mapping.json").write_text(json.dumps({"Alma": {"fake": "Fia", "type": "PER"}, "x": 3, "Berg": {"fake": "Ek"}, " ": {"fake": "q"}}))
+    (tmp_path / "p 1_mapping.json").write_text(json.dumps(indent=1, obj={"Alma": {"fake": "Fia", "type": "PER"}, "x": 3, "Berg": {"fake": "Ek"}, " ": {"fake": "q"}}))
     (tmp_path / "p2_mapping.json").write_text("[1]")
     (tmp_path / "other.json").write_text("{}")
     got = [tuple(r) for r in codebook.clean_pairs(codebook.read_books(spark, str(tmp_path))).orderBy("ord").select("book_id", "real", "fake", "type").collect()]
