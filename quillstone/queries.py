@@ -873,12 +873,12 @@ _EVENT = "CASE event_id % 5 WHEN 2 THEN 'finish' WHEN 3 THEN 'skip' WHEN 4 THEN
             lambda s, x: CASE WHEN s.status = 'pending' AND x.status = 'start' THEN {{'status': 'active', 'since': x.since, 'until': NULL::TIMESTAMP}}
                               WHEN s.status = 'pending' THEN {{'status': CASE x.status WHEN 'finish' THEN 'done' WHEN 'skip' THEN 'skipped' ELSE 'error' END, 'since': NULL::TIMESTAMP, 'until': NULL::TIMESTAMP}}
                               WHEN s.status = 'active' AND x.status IN ('finish', 'fail') THEN {{'status': CASE x.status WHEN 'finish' THEN 'done' ELSE 'error' END, 'since': s.since, 'until': x.since}} ELSE s END) AS s FROM e)
-    SELECT job_id, stage, s.status AS status, CAST(round((epoch_us(s.until) - epoch_us(s.since)) / 1e6) AS BIGINT) AS seconds FROM s
+    SELECT job_id, stage, s.status AS status, CAST(coalesce(round((epoch_us(s.until) - epoch_us(s.since)) / 1e6), -1) AS BIGINT) AS seconds FROM s
 """)
 def job_stages(spark, sf_dir):
     event = F.expr(_EVENT)
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), event.alias("event"))
-    return jobs.stages(events, digits=0).select("job_id", "stage", "status", long("seconds").alias("seconds"))
+    return jobs.stages(events, digits=0).select("job_id", "stage", "status", F.coalesce(long("seconds"), F.lit(-1)).cast("long").alias("seconds"))
 
 
 @query("""
