@@ -73,6 +73,7 @@ LEAST_COLUMN, MOST_ACROSS, GUTTER, SHARED_HEIGHT, LABEL_WORDS, SOME_NUMBERS, MOS
 # Limits of page images. Grey levels, shares of pixels, degrees.
 DARK_BELOW, INK_PERCENTILE, INK_STEP, BLANK_INK = 220, 90, 25, 0.00001
 SKEW_PIXELS, MOST_PIXELS, MOST_IMAGE_PIXELS, INVERT_PERCENTILE, INVERT_BELOW = 1100, 14_000_000, 80_000_000, 60, 128
+MAX_PAGES, LARGE_IMAGE, COVERED_IMAGE, SURE_OF_ORIENTATION = 500, 0.04, 0.55, 4
 LEAST_INK, MOST_INK, SKEW_GAIN, SKEW_RANGE, SKEW_STEP, SKEW_STEPS = 0.001, 0.35, 1.15, 5, 0.2, 3
 
 # Phrases that a model server uses for an input over its context.
@@ -112,6 +113,7 @@ LAYER_VALUES_LOST = "Some values in the embedded text are absent from OCR. Revie
 SCAN_RESIZED = "A very large scan was resized; check small text against the original."
 IMAGE_TOO_LARGE = "This image is too large to process safely. Use a smaller scan."
 BAD_IMAGE = "This image could not be opened."
+TOO_MANY_PAGES = "This PDF has more than %d pages. Split it into smaller documents."
 REVIEW_BEFORE_SHARING = "Automatic pseudonymisation can miss identifiers. Review the document before sharing."
 DETECTOR_FAILED = "The local identifier model failed for %d of %d passages; rules were used for those passages."
 SUGGESTIONS_DISCARDED = "%d invalid identifier suggestions were discarded."

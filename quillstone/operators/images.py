@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +95,12 @@ def turned(grey: np.ndarray, degrees: float) -> np.ndarray:
     return out
 
 
-def prepared(grey: np.ndarray) -> tuple[np.ndarray, bool, bool, float, list[str]]:
-    """A page made ready: (grey, blank, inverted, turned, warnings)."""
+#: Tells how far a page is rotated clockwise, and how sure it is: grey levels -> (90, 180, 270 or 0; confidence).
+Orientation = Callable[[np.ndarray], tuple[int, float]]
+
+
+def prepared(grey: np.ndarray, orientation: Orientation | None = None) -> tuple[np.ndarray, bool, bool, float, list[str]]:
+    """A page made ready: (grey, blank, inverted, turned, warnings). A rotation counts if its teller is SURE_OF_ORIENTATION of it; it may raise ValueError or OSError."""
     notes = []
     if grey.size > fixed.MOST_PIXELS:
         small = shrunk(grey, int(np.sqrt(fixed.MOST_PIXELS * max(grey.shape) / min(grey.shape))))
@@ -105,11 +109,18 @@ def prepared(grey: np.ndarray) -> tuple[np.ndarray, bool, bool, float, list[str]
     grey = 255 - grey if inverted else grey
     if ink_share(grey) < fixed.BLANK_INK:
         return grey, True, inverted, 0.0, notes
+    if orientation:
+        try:
+            quarter, sure = orientation(grey)
+        except (ValueError, OSError):
+            quarter, sure = 0, 0.0
+        if sure >= fixed.SURE_OF_ORIENTATION:
+            grey = np.ascontiguousarray(np.rot90(grey, quarter // 90 % 4))
     angle = skew(grey)
     return (turned(grey, angle) if angle else grey), False, inverted, angle, notes
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prepare(batches: Iterator[pa.RecordBatch], orientation: Orientation | None) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.string()), pa.string())
     names = ("page_id", "width", "height", "grey", "blank", "inverted", "turned", "warnings", "error")
     for batch in batches:
@@ -120,17 +131,17 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif size > fixed.MOST_IMAGE_PIXELS:
                 row = page, width, height, None, None, None, None, [], fixed.IMAGE_TOO_LARGE
             else:
-                grey, blank, inverted, angle, notes = prepared(np.frombuffer(raw, np.uint8).reshape(height, width))
+                grey, blank, inverted, angle, notes = prepared(np.frombuffer(raw, np.uint8).reshape(height, width), orientation)
                 row = page, grey.shape[1], grey.shape[0], grey.tobytes(), blank, inverted, angle, notes, None
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=list(names))
 
 
-def prepare(pages: DataFrame) -> DataFrame:
+def prepare(pages: DataFrame, orientation: Orientation | None = None) -> DataFrame:
     """PREPARED rows of page images (page_id, width, height, grey: a byte for each pixel, row by row), one at a time.
 
-    Over MOST_PIXELS a page is reduced, with a warning; a dark page is inverted; an almost uniform light one is blank and goes no further; a slightly turned one
-    is set straight. A page without pixels, with a null field or another number of bytes, or over MOST_IMAGE_PIXELS has an error and no image.
+    Over MOST_PIXELS a page is reduced, with a warning; a dark page is inverted; an almost uniform light one is blank and goes no further; one that
+    lies on its side is set upright, if `orientation` is given, and a slightly turned one straight. A page without pixels, with a null field or another number of bytes, or over MOST_IMAGE_PIXELS has an error and no image.
     Rows of equal page_id are pages of their own. Other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "grey")
-    return rows.mapInArrow(_prepare, PREPARED)
+    return rows.mapInArrow(lambda batches: _prepare(batches, orientation), PREPARED)

@@ -125,15 +125,19 @@ def known_readings(spark: SparkSession, cache: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(value).alias("v")).select("digest", "v.*")
 
 
-def read_pages(pages: DataFrame, readers: Readers, mode: str = "balanced", cache: str | None = None, **limits: int) -> DataFrame:
+def read_pages(pages: DataFrame, readers: Readers, mode: str = "balanced", cache: str | None = None, most_pages: int = fixed.MAX_PAGES, **limits: int) -> DataFrame:
     """pages (doc_id, page_num, native, uncovered, image) to doc_id, page_num, text, method, cached, warnings, error: each different image is read once.
 
     A page whose text layer is reliable (readings.native_reliable) keeps it. Of the others, the distinct images that `cache`, a table of READ rows, lacks go
     through the cascade and, if they could be read, are added to it; readings come back to all pages by digest. `cached` marks pages of a
     document whose image an earlier page of it has. Values of a text layer that the reading lacks are a warning. A page that couldn't be read has an error; the
-    others aren't affected. A null image is an empty one, a null text layer none. Rows of equal doc_id and page_num are pages of their own; the first counts as read.
+    others aren't affected. Of a document of more than most_pages pages none is read. A null image is an empty one, a null text layer none. Rows of equal doc_id and page_num are pages of their own; the first counts as read.
     """
     rows = pages.select("doc_id", "page_num", F.coalesce("native", F.lit("")).alias("native"), readings.native_reliable(F.coalesce("native", F.lit("")), F.coalesce("uncovered", F.lit(0))).alias("_layer"), F.coalesce("image", F.lit(b"")).alias("image"))
+    long = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most_pages).select(F.struct("doc_id").alias("_k"), F.lit(True).alias("_long"))
+    rows = rows.withColumn("_k", F.struct("doc_id")).join(long, "_k", "left").drop("_k")
+    refused = rows.where("_long").select("doc_id", "page_num", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("method"), F.lit(False).alias("cached"), F.array().cast("array<string>").alias("warnings"), F.lit(fixed.TOO_MANY_PAGES % most_pages).alias("error"))
+    rows = rows.where("_long IS NULL")
     scans = rows.where("NOT _layer").withColumn("digest", F.unhex(F.sha2("image", 256)))
     images = scans.groupBy("digest").agg(F.first("image").alias("image"))
     known = None
@@ -151,7 +155,7 @@ def read_pages(pages: DataFrame, readers: Readers, mode: str = "balanced", cache
     notes = F.concat("warnings", F.when(F.coalesce(lost, F.lit(False)), F.array(F.lit(fixed.LAYER_VALUES_LOST))).otherwise(F.array().cast("array<string>")))
     scanned = placed.select("doc_id", "page_num", "text", "method", (F.col("page_num") > F.col("_first")).alias("cached"), notes.alias("warnings"), "error")
     own = rows.where("_layer").select("doc_id", "page_num", F.col("native").alias("text"), F.lit("native").alias("method"), F.lit(False).alias("cached"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("error"))
-    return own.unionByName(scanned)
+    return own.unionByName(scanned).unionByName(refused)
 
 
 def transcriptions(read: DataFrame) -> DataFrame:
@@ -162,3 +166,16 @@ def transcriptions(read: DataFrame) -> DataFrame:
     error = F.get(F.array_compact(F.transform("p", lambda x: x["error"])), F.lit(0))
     text = F.array_join(F.array_compact(F.transform("p", lambda x: x["text"])), "\n\n")
     return docs.select("doc_id", F.when(error.isNull(), text).alias("text"), F.flatten(F.transform("p", lambda x: x["notes"])).alias("warnings"), error.alias("error"))
+
+
+def symbols_first(images: DataFrame, symbols: DataFrame, readers: Readers, mode: str = "balanced", **limits: int) -> DataFrame:
+    """READ of images of a document (digest, width, height, pixels, image; digests are distinct): a known symbol's description, and a reading of the others.
+
+    symbols: (symbol_id, width, height, digest, description), found by exact size and pixels (readings.lookup_symbols). No reader is asked about a symbol.
+    """
+    known = readings.lookup_symbols(images.withColumnRenamed("digest", "_id"), symbols)
+    found = known.where("symbol_id IS NOT NULL").groupBy(F.col("_id").alias("digest")).agg(F.min_by("description", "symbol_id").alias("text"))
+    found = written(found, "symbols")
+    rest = cascade(images.join(found.select("digest"), "digest", "left_anti").select("digest", "image"), readers, mode, **limits)
+    plain = found.select("digest", "text", F.lit("symbol").alias("engine"), F.lit(False).alias("need_second"), F.lit(False).alias("rejected"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("error"))
+    return plain.unionByName(rest)

@@ -611,11 +611,22 @@ def symbol_lookup(spark, sf_dir):
     return readings.lookup_symbols(docs, known).select("doc_id", "symbol_id")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '<5mg' END AS lost FROM orders")
+_CRITICAL_SQL = r"""list_concat(list_transform(regexp_extract_all({text}, '(?i)(?:[<>≤≥]\s*)?[-−]?\d+(?:[.,:/+−-]\d+)*(?:\s*(?:mg|µg|ug|mcg|g/l|mmol/l|ml|mmhg|%))?'), lambda x: regexp_replace(lower(x), '\s+', '', 'g')),
+        list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w IN ('ingen', 'inga', 'inget', 'ej', 'inte', 'utan', 'nekar')))"""
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN replace(text, '1', '7') WHEN doc_id % 3 = 1 THEN substr(text, 1, CAST(doc_id % 500 AS INT)) ELSE text END AS read FROM documents),
+    t AS (SELECT doc_id, {_CRITICAL_SQL.format(text="text")} AS a, {_CRITICAL_SQL.format(text="read")} AS b FROM d),
+    l AS (SELECT doc_id, list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS lost FROM t)
+    SELECT doc_id, CAST(len(lost) AS BIGINT) AS n, array_to_string(lost, '|') AS lost FROM l WHERE len(lost) > 0
+""")
 def native_ocr_check(spark, sf_dir):
-    read = F.when(F.col("o_orderkey") % 2 == 0, "Hb >5 mg").otherwise("Hb < 5 mg")
-    lost = readings.lost_tokens(F.lit("Hb <5 mg"), read)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.get(lost, F.lit(0)).alias("lost"))
+    """Every document as a text layer, held against readings that have it with other digits, cut off, or whole."""
+    docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id")
+    read = F.expr("CASE WHEN doc_id % 3 = 0 THEN replace(text, '1', '7') WHEN doc_id % 3 = 1 THEN substr(text, 1, CAST(doc_id % 500 AS INT)) ELSE text END")
+    rows = docs.select("doc_id", readings.lost_tokens(F.col("text"), read).alias("lost")).where("size(lost) > 0")
+    return rows.select("doc_id", long(F.size("lost")).alias("n"), F.array_join(F.array_sort("lost"), "|").alias("lost"))
 
 
 # --- Codebooks ----------------------------------------------------------------------------------------------------------
@@ -749,12 +760,15 @@ def export_units(spark, sf_dir):
 
 
 @query("""
-    WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
-    SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS notes FROM e GROUP BY user_id
+    WITH e AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL)
+    SELECT user_id, string_agg('Document ' || user_id || ': ' || event_type, '|' ORDER BY first) AS notes FROM e GROUP BY user_id
 """)
 def batch_warnings(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("w"))
-    return rows.select("user_id", long(F.size(records.batch_warnings("Document", F.col("user_id"), F.col("w")))).alias("notes"))
+    """Each user's events as warnings of a document, each once, in their order."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    rows = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("w"))
+    twice = F.concat("w", F.slice("w", F.lit(1), F.lit(2)))  # repeats don't count
+    return rows.select("user_id", F.array_join(records.batch_warnings("Document", F.col("user_id"), F.transform(twice, lambda x: x["event_type"])), "|").alias("notes"))
 
 
 @query("""
@@ -936,3 +950,21 @@ def prepared_pages(spark, sf_dir):
     docs = corpus.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", _page_images(F.col("text"), F.col("doc_id")).alias("grey"))
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit(128).alias("width"), F.lit(96).alias("height"), "grey")
     return images.prepare(pages).select("page_id", "blank", "inverted", "turned", long("width").alias("width"), long("height").alias("height"), F.md5("grey").alias("digest"))
+
+
+_PICTURE = "CAST(o_custkey * 7 % 400 AS INT) AS x0, 0 AS y0, CAST(o_custkey * 7 % 400 + 40 + o_orderkey % 260 AS INT) AS x1, 16 AS y1"
+
+
+@query(f"""
+    WITH w AS ({_WORDS}), i AS (SELECT CAST(o_orderkey AS BIGINT) AS page_id, {_PICTURE} FROM orders),
+    l AS (SELECT *, (x1 - x0) * 16 AS area FROM i WHERE (x1 - x0) * 16 > 0.04 * 800 * 60),
+    e AS (SELECT l.page_id, any_value(l.area) AS area, max(w.x1) - min(w.x0) AS ew, max(w.y1) - min(w.y0) AS eh FROM l JOIN w ON w.page_id = l.page_id AND w.x0 < l.x1 AND l.x0 < w.x1 AND w.y0 < l.y1 AND l.y0 < w.y1 GROUP BY l.page_id)
+    SELECT i.page_id, CASE WHEN l.page_id IS NULL THEN 0 ELSE 1 END::BIGINT AS large, CASE WHEN l.page_id IS NOT NULL AND coalesce(ew * eh < 0.55 * e.area, true) THEN 1 ELSE 0 END::BIGINT AS uncovered
+    FROM i LEFT JOIN l ON l.page_id = i.page_id LEFT JOIN e ON e.page_id = i.page_id
+""")
+def native_coverage(spark, sf_dir):
+    """Pages with a picture each: is there text of the text layer on it."""
+    orders = table(spark, sf_dir, "orders")
+    pages = orders.select(long("o_orderkey").alias("page_id"), F.lit(800).alias("width"), F.lit(60).alias("height"))
+    pictures = orders.selectExpr("CAST(o_orderkey AS BIGINT) AS page_id", *_PICTURE.split(", "))
+    return readings.uncovered_images(pages, _words(spark, sf_dir), pictures).select("page_id", "large", "uncovered")

@@ -313,6 +313,9 @@ def test_skew_and_blank_pages():
         straight, *_ = images.prepared(lined(turn))
         assert abs(images.skew(straight)) <= 0.6
     assert images.skew(np.zeros((50, 50), np.uint8)) == 0
+    side = np.rot90(lined(0), -1)  # a quarter clockwise
+    assert np.array_equal(images.prepared(side, lambda grey: (90, 4.0))[0], lined(0)) and images.prepared(side, lambda grey: (90, 3.9))[0].shape == side.shape
+    assert images.prepared(side, lambda grey: int("none"))[0].shape == side.shape
 
 
 def test_pages_are_prepared(spark):

@@ -99,6 +99,61 @@ def test_a_reader_only_sees_what_needs_it(spark, tmp_path):
         reading.cascade(df, reading.Readers(first), "odd")
 
 
+def test_long_documents_are_refused(spark, tmp_path):
+    note, seen = counted(tmp_path / "r")
+
+    def first(image):
+        note(image)
+        return {"text": "Hb", "confidence": 95}
+
+    pages = spark.createDataFrame([(1, i, "", 0, b"a%d" % i) for i in range(4)] + [(2, 0, "", 0, b"b"), (None, 0, "", 0, b"c")], PAGE)
+    rows = reading.read_pages(pages, reading.Readers(first), most_pages=3).collect()
+    assert seen() == [b"b", b"c"] and {(r["doc_id"], r["error"]) for r in rows} == {(1, fixed.TOO_MANY_PAGES % 3), (2, None), (None, None)} and len(rows) == 6
+
+
+def test_symbols_are_not_read(spark, tmp_path):
+    import hashlib
+
+    note, seen = counted(tmp_path / "r")
+
+    def first(image):
+        note(image)
+        return {"text": "Hb", "confidence": 95}
+
+    sha = lambda b: hashlib.sha256(b).digest()
+    symbols = spark.createDataFrame([(1, 1, 1, hashlib.sha256(b"1x1:abc").hexdigest(), "man"), (2, 1, 2, hashlib.sha256(b"1x1:xyz").hexdigest(), "size differs")], "symbol_id int, width int, height int, digest string, description string")
+    images = spark.createDataFrame([(sha(b"p"), 1, 1, b"abc", b"p"), (sha(b"q"), 1, 1, b"xyz", b"q"), (sha(b"r"), 2, 2, b"abc", b"r")], "digest binary, width int, height int, pixels binary, image binary")
+    rows = {bytes(r["digest"]): (r["text"], r["engine"]) for r in reading.symbols_first(images, symbols, reading.Readers(first)).collect()}
+    assert rows == {sha(b"p"): ("man", "symbol"), sha(b"q"): ("Hb", "first"), sha(b"r"): ("Hb", "first")} and seen() == [b"q", b"r"]
+
+
+def test_uncovered_images(spark):
+    from quillstone.operators import readings
+
+    r = random.Random(6)
+    box = lambda: (x := r.randrange(-20, 90), y := r.randrange(-20, 90), x + r.randrange(0, 70), y + r.randrange(0, 70))
+    pages = [(i, 100, 100) for i in range(40)] + [(90, 0, 0), (91, 50, 50)]
+    words = [(r.randrange(40), *box()) for _ in range(150)] + [(0, None, 1, 2, 3), (91, 0, 0, 10, 10)]
+    pictures = [(r.randrange(40), *box()) for _ in range(120)] + [(1, 0, 0, None, 9), (91, 0, 0, 50, 50), (777, 0, 0, 9, 9)]
+    want = {}
+    for page, w, h in pages:
+        large = uncovered = 0
+        for i, *b in pictures:
+            if i != page or None in b:
+                continue
+            x0, y0, x1, y1 = max(0, b[0]), max(0, b[1]), min(w, b[2]), min(h, b[3])
+            if x1 <= x0 or y1 <= y0 or (x1 - x0) * (y1 - y0) <= 0.04 * max(1, w * h):
+                continue
+            large += 1
+            on = [o for j, *o in words if j == page and None not in o and o[0] < x1 and x0 < o[2] and o[1] < y1 and y0 < o[3]]
+            around = (max(o[2] for o in on) - min(o[0] for o in on)) * (max(o[3] for o in on) - min(o[1] for o in on)) if on else 0
+            uncovered += not on or around / max(1, (x1 - x0) * (y1 - y0)) < 0.55
+        want[page] = (large, uncovered)
+    ends = "page_id long, x0 int, y0 int, x1 int, y1 int"
+    got = readings.uncovered_images(spark.createDataFrame(pages, "page_id long, width int, height int"), spark.createDataFrame(words, ends), spark.createDataFrame(pictures, ends))
+    assert {x["page_id"]: (x["large"], x["uncovered"]) for x in got.collect()} == want and any(b for _, b in want.values())
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("abåß", min_size=1, max_size=12), min_size=1, max_size=8), st.lists(st.text("abåß ", max_size=40), max_size=5))
 def test_the_index_finds_every_fake(spark, fakes, texts):
