@@ -108,7 +108,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rounds: list[tup
     """query_id, rank, id, distance: for each row of queries (id, code) the k rows of vectors (id, code) at the smallest Hamming distance.
 
     Exact: ties go to smaller ids, and fewer than k rows give them all. Equal codes are searched once and hold k ids at most. Rows
-    with a null id or code are left out; a repeated id of a code counts once. Other columns are not read. `rounds` receives
+    with a null id or code are left out; a repeated id of a code counts once. No vectors or no queries give no rows. Other columns are not read. `rounds` receives
     (radius, distance covered, query codes still open) of each round.
     """
     rows = vectors.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL").distinct()

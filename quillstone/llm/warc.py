@@ -184,7 +184,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archive(table: DataFrame) -> DataFrame:
-    """RECORDS of an archive table; only records of more than one chunk are shuffled, to meet their chunks. Fails on a damaged one: a chunk that lacks, a digest or a length that differs."""
+    """RECORDS of an archive table, one for each record; only records of more than one chunk are shuffled, to meet their chunks.
+
+    Fails on a damaged one: a chunk that lacks, a digest or a length that differs. A null page_id comes
+    back as null, an empty payload as one of no bytes; a payload of any size passes chunk by chunk. An empty table gives no records. Other columns are not read.
+    """
     bound_batches(table.sparkSession)
     whole = table.where("chunks = 1")
     long = table.where("chunks > 1").repartition("record_no").sortWithinPartitions("record_no", "chunk_no")

@@ -91,6 +91,17 @@ def test_warc_round_trip(spark):
     assert size == len(out.getvalue()) and out.getvalue().count(b"WARC/1.1\r\n") == len(pages)
 
 
+def test_warc_payloads_of_several_megabytes(spark):
+    """The production chunk: payloads just around it, and some of many chunks."""
+    r = random.Random(8)
+    sizes = [(1 << 18) - 600, 1 << 18, (1 << 18) + 1, 3_000_000, 7_500_001, 0, 1]
+    pages = [(i, f"http://x/{i}", "".join(r.choices("abcdé\n", k=1000)) * (n // 1000) + "z" * (n % 1000)) for i, n in enumerate(sizes)]
+    stored = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    assert stored.groupBy("record_no").count().where("count > 20").count() == 1
+    got = {x["page_id"]: (x["payload_bytes"], x["payload_digest"]) for x in warc.read_archive(stored).collect()}
+    assert got == {i: (len(t.encode()), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()) for i, _, t in pages}
+
+
 def test_damage_is_found(spark):
     stored = warc.archive(spark.createDataFrame([(1, "u", "hello " * 200)], "page_id long, url string, html string"), 0, 256)
     damaged = stored.withColumn("data", F.when(F.col("chunk_no") == 3, F.unhex(F.regexp_replace(F.hex("data"), "68656C", "68656D"))).otherwise(F.col("data")))
