@@ -51,6 +51,34 @@ def evidence_units(batches: DataFrame) -> DataFrame:
     return parts.select("batch_id", no.alias("unit_no"), F.format_string("E%04d", no).alias("id"), "document", "text")
 
 
+#: Documents whose units are counted together.
+DOCUMENTS = 1024
+
+
+def document_units(parts: DataFrame) -> DataFrame:
+    """The same for batches whose documents stay rows: parts (batch_id, doc_index, text), each under its marker, in the order of doc_index.
+
+    A document's units are made inside its row. Their numbers follow from the sizes of the documents before it, added up in blocks of DOCUMENTS documents and over
+    the blocks, so that no task holds a batch. A null text is empty; a null doc_index comes first. Documents of equal doc_index follow each other in the order of their texts.
+    """
+    blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"(?U)\n\s*\n", -1), t.strip), lambda b: F.length(b) > 0)
+    rows = parts.select(F.struct("batch_id").alias("_b"), F.coalesce(F.col("doc_index").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("text").alias("_h"), blocks.alias("_blocks"))
+    marks = F.transform("_blocks", lambda b: F.regexp_extract(b, fixed.DOCUMENT_MARKER, 1))
+    named = lambda no: F.when(no != "", F.concat(F.lit("Document "), no))
+    so_far = lambda marks, i: F.try_element_at(F.filter(F.slice(marks, F.lit(1), i + 1), lambda m: m != ""), F.lit(-1))
+    rows = rows.withColumn("_marks", marks).withColumn("_inner", F.exists(F.slice("_marks", F.lit(2), F.size("_marks")), lambda m: m != ""))
+    of = lambda i: named(F.when(F.col("_inner"), so_far(F.col("_marks"), i)).otherwise(F.get("_marks", F.lit(0))))
+    unit = lambda b, i: F.transform(_pieces(b), lambda p: F.struct(F.coalesce(of(i), F.lit("Document 1")).alias("document"), p.alias("text")))
+    rows = rows.select("_b", "_d", "_h", F.floor(F.col("_d") / DOCUMENTS).alias("_block"), F.flatten(F.transform("_blocks", unit)).alias("_units")).withColumn("_n", F.size("_units").cast("long"))
+    within = Window.partitionBy("_b", "_block").orderBy("_d", "_h").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("_b").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_b", "_block").agg(F.sum("_n").alias("_sum")).select("_b", "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_ahead"))
+    placed = rows.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(sums, ["_b", "_block"])
+    units = placed.select("_b.batch_id", (F.col("_ahead") + F.col("_before")).alias("_before"), F.posexplode("_units").alias("_i", "_u"))
+    no = (F.col("_before") + F.col("_i") + 1).cast("int")
+    return units.select("batch_id", no.alias("unit_no"), F.format_string("E%04d", no).alias("id"), "_u.document", "_u.text")
+
+
 def user_prompts(units: DataFrame) -> DataFrame:
     """batch_id, prompt: a batch's units with their ids, in order."""
     return units.groupBy("batch_id").agg(F.expr("listagg(concat('[', id, ']\\n', text), '\\n\\n') WITHIN GROUP (ORDER BY unit_no)").alias("prompt"))

@@ -74,7 +74,7 @@ def process(documents: DataFrame, generator: Generator, detector: Detector | Non
     anon = batches.pseudonymise(parts, detected)
     done = written(anon.documents, "pseudonymised", progress, documents=F.count(F.lit(1)), hits=F.sum(F.aggregate(F.map_values("phi_hits"), F.lit(0), lambda a, b: a + b)))
     texts = files.joined_parts(done)
-    units = written(evidence.evidence_units(texts), "units")
+    units = written(evidence.document_units(done), "units")
     packed = units.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "id", "document", "text"))).alias("units"))
 
     def call(row: dict) -> dict:

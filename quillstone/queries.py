@@ -272,9 +272,13 @@ def page_chunks(spark, sf_dir):
     return rows.select("conv_id", long("c.start").alias("start"), F.col("c.text").alias("text"))
 
 
-def _source_batches(spark, sf_dir) -> DataFrame:
+def _sources(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("batch_id", (F.col("doc_id") / 8).cast("long"))
-    return files.batch_text(docs.select("batch_id", (F.col("doc_id") % 8 + 1).cast("int").alias("doc_index"), "text")).select("batch_id", "text")
+    return docs.select("batch_id", (F.col("doc_id") % 8 + 1).cast("int").alias("doc_index"), "text")
+
+
+def _source_batches(spark, sf_dir) -> DataFrame:
+    return files.batch_text(_sources(spark, sf_dir)).select("batch_id", "text")
 
 
 _UNITS = r"""
@@ -294,7 +298,7 @@ _UNITS = r"""
 
 @query(_UNITS)
 def evidence_units(spark, sf_dir):
-    return evidence.evidence_units(_source_batches(spark, sf_dir)).select("batch_id", long("unit_no").alias("unit_no"), "document", "text")
+    return evidence.document_units(files.document_parts(corpus.spread(_sources(spark, sf_dir), "batch_id"))).select("batch_id", long("unit_no").alias("unit_no"), "document", "text")
 
 
 @query(f"SELECT batch_id, string_agg('[E' || lpad(unit_no::VARCHAR, 4, '0') || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY unit_no) AS prompt FROM ({_UNITS}) GROUP BY batch_id")

@@ -84,6 +84,19 @@ def test_units_carry_their_document(spark):
     assert [(r["id"], r["document"]) for r in rows] == [("E0001", "Document 1"), ("E0002", "Document 2"), ("E0003", "Document 2")]
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["ord och ord. ", "x" * 700, "\n\n", "\n \n", "--- Document 7 ---\n", "\n\n--- Document 3 ---\nrad", " ", "slut.\n"]), max_size=9).map("".join), min_size=1, max_size=7))
+def test_units_of_documents_are_those_of_the_batch(spark, texts):
+    docs = spark.createDataFrame([(b, i, x) for b in (1, None) for i, x in enumerate(texts)] + [(5, 0, None)], "batch_id long, doc_index int, text string")
+    parts, size = files.document_parts(docs), evidence.DOCUMENTS
+    evidence.DOCUMENTS = 2
+    try:
+        got = sorted(map(str, evidence.document_units(parts).collect()))
+    finally:
+        evidence.DOCUMENTS = size
+    assert got == sorted(map(str, evidence.evidence_units(files.joined_parts(parts)).collect()))
+
+
 def test_pseudonymise_is_consistent_and_reversible(spark):
     text = "Patient: Alma Vinterlund. alma vinterlund mår bra. ALMA@example.invalid och alma@example.invalid, [EMAIL_01], Almaq."
     row = pseudonym.pseudonymise(spark.createDataFrame([(7, text)], "batch_id long, text string")).first()
