@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **opti
     """Trees fitted on the labelled documents that aren't held out: all of them, or the most_rows smallest by a hash of the id.
 
     At most most_rows labels are broadcast and as many rows of statistics reach the driver, one for each label however often its document is
-    repeated (the smallest one of several texts); nothing else does.
+    repeated (the smallest one of several texts); nothing else does. Labels with a null id or quality are left out, a null text counts as empty; an id
+    that is labelled twice is learned with each different label. Without labelled documents, or with labels of one kind, the score is a constant.
     """
     bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("quality"))
@@ -204,7 +205,11 @@ def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't reject."""
+    """The rows of docs, with all their columns, that the model doesn't reject: a score of 0.5 or more.
+
+    A null text counts as empty and goes by the score of zero statistics. Ids aren't looked at, so rows with a null one, and repeated rows, are kept or rejected
+    each by its text. An empty table stays empty.
+    """
     bound_batches(docs.sparkSession)
     kind = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
 
