@@ -13,28 +13,28 @@ SHINGLE_WORDS, SIMILARITY_PERCENT, PASSAGE_WORDS = 5, 80, 50
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labelled ones among them, doesn't reject."""
+    """Documents that the quality classifier, trained on the labelled ones among them, doesn't reject. Null and empty texts go by their score; rows with a null id and repeated rows by their texts."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies. Rows with a null id, without words, and repeated rows of an id that stays are kept."""
     return jaccard.keep_first(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that a document with a smaller id has too."""
+    """Documents without passages that a document with a smaller id has too. Rows with a null id are kept as they are; null and empty texts have no passages."""
     return substring.remove_repeats(docs, PASSAGE_WORDS)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no test item occurs."""
+    """Documents in which no test item occurs. Rows with a null id or text are kept; an empty benchmark keeps all."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents as sequences of power-of-two lengths, with their token ids."""
+    """Pieces of the documents as sequences of power-of-two lengths, with their token ids. Null and empty texts are their end token; a null id stays null; no documents give no pieces."""
     return packing.pack(docs, tokenizer_path(), with_ids=True)
 
 
