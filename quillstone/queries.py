@@ -961,9 +961,9 @@ _PICTURE = "CAST(o_custkey * 7 % 400 AS INT) AS x0, 0 AS y0, CAST(o_custkey * 7
 
 @query(f"""
     WITH w AS ({_WORDS}), i AS (SELECT CAST(o_orderkey AS BIGINT) AS page_id, {_PICTURE} FROM orders),
-    l AS (SELECT *, (x1 - x0) * 16 AS area FROM i WHERE (x1 - x0) * 16 > 0.04 * 800 * 60),
+    l AS (SELECT *, (x1 - x0) * 16 AS area FROM i WHERE ((x1 - x0) * 16)::DOUBLE / (800 * 60) > 0.04::DOUBLE),
     e AS (SELECT l.page_id, any_value(l.area) AS area, max(w.x1) - min(w.x0) AS ew, max(w.y1) - min(w.y0) AS eh FROM l JOIN w ON w.page_id = l.page_id AND w.x0 < l.x1 AND l.x0 < w.x1 AND w.y0 < l.y1 AND l.y0 < w.y1 GROUP BY l.page_id)
-    SELECT i.page_id, CASE WHEN l.page_id IS NULL THEN 0 ELSE 1 END::BIGINT AS large, CASE WHEN l.page_id IS NOT NULL AND coalesce(ew * eh < 0.55 * e.area, true) THEN 1 ELSE 0 END::BIGINT AS uncovered
+    SELECT i.page_id, CASE WHEN l.page_id IS NULL THEN 0 ELSE 1 END::BIGINT AS large, CASE WHEN l.page_id IS NOT NULL AND coalesce((ew * eh)::DOUBLE / e.area < 0.55::DOUBLE, true) THEN 1 ELSE 0 END::BIGINT AS uncovered
     FROM i LEFT JOIN l ON l.page_id = i.page_id LEFT JOIN e ON e.page_id = i.page_id
 """)
 def native_coverage(spark, sf_dir):
