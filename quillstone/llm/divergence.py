@@ -22,7 +22,7 @@ from quillstone.llm.terms import LETTERS, encoded, term_spans, text_parts
 #: Counters of a sketch's row that travel as one binary value.
 _SLICE = 1 << 16
 #: Bytes of text whose terms are counted at once.
-_PART = 8 << 20
+_PART = 4 << 20
 #: Sources of a language that one task holds against a hot term's others.
 _SOURCES = 1024
 
@@ -32,7 +32,8 @@ class _Terms:
 
     def __init__(self, texts: list[bytes], part: pa.RecordBatch) -> None:
         buffer, doc, starts, ends = term_spans(texts, LETTERS)
-        number, self.terms = encoded(buffer, starts, ends)
+        number, self.terms = encoded(buffer, starts, ends, LETTERS)
+        del buffer, starts, ends
         self.n_terms = max(1, len(self.terms))
         pairs, self.count = np.unique(doc * self.n_terms + number, return_counts=True)
         self.doc, self.term = pairs // self.n_terms, pairs % self.n_terms

@@ -66,11 +66,11 @@ def crc_step(states: np.ndarray, byte: int) -> np.ndarray:
     return _crc_table[(states ^ np.uint32(byte)) & np.uint32(255)] ^ (states >> np.uint32(8))
 
 
-def encoded(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Each span's number among the distinct ones, told apart by their bytes, and these."""
+def encoded(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each term's number among the distinct ones, told apart by their bytes, and these. The terms are all of term_spans."""
     cuts = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=cuts[1:])
-    inner = pa.py_buffer(buffer[tx.gather(starts, ends - starts)].tobytes())
+    inner = pa.py_buffer(buffer[inside[buffer]].tobytes())
     spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts.tobytes()), inner]).dictionary_encode()
     return spans.indices.to_numpy().astype(np.int64), spans.dictionary
 
