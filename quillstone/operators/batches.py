@@ -277,7 +277,7 @@ def restore(docs: DataFrame, mapping: DataFrame) -> DataFrame:
 
     Tokens, not texts, meet the mapping. A null text stays null. Tokens that the mapping lacks stay.
     """
-    rows = docs.select("batch_id", "doc_index", "text", F.xxhash64("batch_id", "doc_index", "text").alias("_row"))
+    rows = docs.select("batch_id", "doc_index", "text", F.struct("batch_id", "doc_index", F.xxhash64("text").alias("h")).alias("_row"))
     known = mapping.groupBy(F.col("batch_id").alias("_b"), F.col("token").alias("_t")).agg(F.max_by("surface", F.struct("doc_index", "start")).alias("surface"))
     asked = rows.select("_row", "batch_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(fixed.TOKEN), F.lit(0)))).alias("token")).distinct()
     met = asked.join(known, F.col("batch_id").eqNullSafe(F.col("_b")) & (F.col("token") == F.col("_t")))
