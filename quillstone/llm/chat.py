@@ -186,5 +186,5 @@ TURNS = 64
 
 
 def format_log(log: DataFrame, turns: int = TURNS) -> DataFrame:
-    """render(fold(log)) for logs of as_log, in blocks and parts of `turns` turns."""
+    """render(fold(log)) for logs of as_log, in blocks and parts of `turns` turns; rows that repeat a turn of a conversation share its part."""
     return render(fold(log, F.floor(F.col("place.turn") / turns)), F.floor(F.col("place.turn") / turns))
