@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from quillstone.functions import fixed
 from quillstone.functions import text as t
 from quillstone.operators import detect
+from quillstone.operators.codebook import FILTER_BITS, _filter
 from quillstone.sources.boundary import written
 
 #: Words of a surface that its key covers at most, and documents whose surfaces are ranked together.
@@ -81,11 +82,20 @@ def _plain(value: str) -> str:
     return value.lower() if value.isascii() else value
 
 
-@F.arrow_udf(T.ArrayType(_LONG))
-def _text_keys(text: pa.Array) -> pa.Array:
-    rows = [text_keys(x or "") for x in text.to_pylist()]
-    cuts = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
+def _asked(bits: bytes):
+    """The keys of a text in its batch (key XOR the batch's hash) that a filter of the dictionary's lets through."""
+
+    @F.arrow_udf(T.ArrayType(_LONG))
+    def keys(text: pa.Array, batch: pa.Array) -> pa.Array:
+        known, size = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool), np.int64(FILTER_BITS)
+        rows = []
+        for x, of in zip(text.to_pylist(), batch.to_pylist(), strict=True):
+            h = text_keys(x or "") ^ np.int64(of)
+            rows.append(h[known[h % size] & known[(h.view(np.uint64) >> np.uint64(32)).astype(np.int64) % size]])
+        cuts = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
+
+    return keys
 
 
 @F.arrow_udf(_LONG)
@@ -162,7 +172,7 @@ def spans_of(docs: DataFrame, detected: DataFrame | None = None, listed: DataFra
 
     detected: (batch_id, doc_index, start, end, kind); listed: (batch_id, value), which count as OTHER_ID. A span's surface spreads to all places
     where it stands as a word in the batch, in any case; where spans overlap the strongest kind wins, then the longer, then the earlier one.
-    No row holds more than a document: a surface meets the documents that have its first KEY_WORDS words. A null text is empty. A null
+    No row holds more than a document: a surface meets the documents that have its first KEY_WORDS words; texts send what a filter of 2 MB, made of the dictionary, lets through. A null text is empty. A null
     batch_id is a batch of its own. Rows of equal batch_id and doc_index are documents of their own. Other columns are not read.
     """
     rows = docs.select("batch_id", "doc_index", F.coalesce("text", F.lit("")).alias("text"))
@@ -177,8 +187,10 @@ def spans_of(docs: DataFrame, detected: DataFrame | None = None, listed: DataFra
     if listed is not None:
         values = listed.where(F.length("value") > 0).select("batch_id", "value", F.lit("OTHER_ID").alias("kind"), _surface_key(F.col("value")).alias("key"))
         names = names.unionByName(values)
-    names = names.distinct().select(F.col("batch_id").alias("_b"), "value", "kind", "key")
-    asked = found.select("_row", "batch_id", F.explode(_text_keys(F.col("text"))).alias("_key"))
+    own = F.xxhash64("batch_id")
+    names = names.distinct().select(F.col("batch_id").alias("_b"), "value", "kind", F.col("key").bitwiseXOR(own).alias("key"))
+    keys = _asked(_filter(names.select(F.col("key").alias("gram"))).tobytes())
+    asked = found.select("_row", "batch_id", F.explode(keys(F.col("text"), own)).alias("_key"))
     met = asked.join(names, F.col("batch_id").eqNullSafe(F.col("_b")) & (F.col("_key") == F.col("key"))).groupBy("_row").agg(F.collect_list(F.struct("value", "kind")).alias("_names"))
     done = _dealt(found).join(met, "_row", "left").select("_row", "batch_id", "doc_index", "text", _resolved(F.col("text"), F.col("spans"), F.col("_names")).alias("spans"))
     return written(done, "batch-spans")
