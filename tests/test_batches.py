@@ -291,3 +291,36 @@ def test_runtimes_are_probed_once(spark, tmp_path):
     got = {r["model"]: (r["model_context"], r["error"]) for r in summarise.check_runtimes(models, probe).collect()}
     assert got == {"good": (8192, None), "old": (8192, fixed.RUNTIME_TOO_OLD), "odd": (None, fixed.NO_CONTEXT), "small": (None, fixed.NO_CONTEXT), "down": (None, "TimeoutError: late")}
     assert seen() == ["down", "good", "odd", "old", "small"]
+
+
+_FRAGMENTS = ["Patient", "PATIENT", "namn", " ", "  ", "\t", "\n", "-", ":", "#", "1", "19", "20", "0", "12", "2001", "01", "/", ".", "Lind", "gatan", "vägen", "VÄGEN", "A", "Åsa", "anna", "Bo", "ÅR", "årig", "år gammal", "års ålder", "@", "a.b", ".se", "+46", "(0)",
+    "1234567", "6", "123 45", "Stad", "postnummer", "postnr", "Journal-id", "ÄRENDEID", "ß", "µ", "ſ", "İ", "\u212a", "maj", "januari", "\u0663", "x", "_", "é", "dr", "torget", "500101-0000", "J0001", "+"]
+
+
+def test_rules_run_where_their_anchors_stand_find_what_rules_find():
+    import random
+    import re
+
+    from quillstone.functions import fixed
+    from quillstone.operators import detect
+
+    r, rules = random.Random(7), [(kind, re.compile(detect._python(pattern)), group) for kind, pattern, group in fixed.RULES]
+    for _ in range(20_000):
+        text = "".join(r.choice(_FRAGMENTS) for _ in range(r.randrange(1, 14)))
+        assert detect.by_rules(text) == [(*m.span(group), kind) for kind, rule, group in rules for m in rule.finditer(text)], text
+        assert detect.coarse(text) == text.translate(detect._coarse), text
+
+
+def test_rules_are_tried_at_their_anchors_alone():
+    """A street's rule took every character of a text that has one street; now only the stretch before it is read."""
+    from quillstone.operators import detect
+
+    find, tried = dict((kind, f) for kind, f, _ in detect._FINDERS)["ADDRESS"], []
+
+    class Rule:
+        def search(self, text, at):
+            tried.append(at)
+
+    assert len(list(find("ord, " * 1000 + "Lindgatan 1", ""))) == 1
+    list(detect._around_words(Rule(), ("gatan",))("ord, " * 1000 + "Lindgatan", ""))
+    assert tried == [4999]
