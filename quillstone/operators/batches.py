@@ -1,6 +1,6 @@
 """Pseudonymisation of batches whose documents stay rows.
 
-A document sends the surfaces of its spans to its batch's dictionary once. They come back to the documents that have their first words, as rows of a
+Batches of few documents and characters meet in one shuffle and are done one after another as a task's rows pass. Of larger batches, a document sends the surfaces of its spans to its batch's dictionary once. They come back to the documents that have their first words, as rows of a
 join, and one automaton finds their places there. Spans are resolved by document; numbers follow from the first place of a surface in the batch.
 """
 
@@ -9,13 +9,18 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
@@ -25,6 +30,10 @@ from quillstone.sources.boundary import written
 
 #: Words of a surface that its key covers at most, and documents whose surfaces are ranked together.
 KEY_WORDS, DOCUMENTS = 3, 1024
+#: Rows and characters of a batch that a task holds at once; larger ones, of any size, are spread over tasks.
+HELD_ROWS, HELD_CHARS = 1024, 1 << 20
+#: Rows that a task hands on at a time.
+_OUT = 4096
 
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -167,6 +176,16 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_row")
 
 
+def _with_detected(docs: DataFrame, detected: DataFrame | None) -> DataFrame:
+    """batch_id, doc_index, text (null: empty) of documents, with the spans of a detector as `_detected` if there is one."""
+    rows = docs.select("batch_id", "doc_index", F.coalesce("text", F.lit("")).alias("text"))
+    if detected is None:
+        return rows
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
+    known = detected.groupBy(F.col("batch_id").alias("_b"), F.col("doc_index").alias("_d")).agg(F.collect_list(span).alias("_detected"))
+    return rows.join(known, F.col("batch_id").eqNullSafe(F.col("_b")) & F.col("doc_index").eqNullSafe(F.col("_d")), "left").drop("_b", "_d")
+
+
 def spans_of(docs: DataFrame, detected: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
     """Written table (_row, batch_id, doc_index, text, spans) of documents (batch_id, doc_index, text): spans of rules, detector and listed values of the whole batch.
 
@@ -175,12 +194,8 @@ def spans_of(docs: DataFrame, detected: DataFrame | None = None, listed: DataFra
     No row holds more than a document: a surface meets the documents that have its first KEY_WORDS words; texts send what a filter of 2 MB, made of the dictionary, lets through. A null text is empty. A null
     batch_id is a batch of its own. Rows of equal batch_id and doc_index are documents of their own. Other columns are not read.
     """
-    rows = docs.select("batch_id", "doc_index", F.coalesce("text", F.lit("")).alias("text"))
     none = F.lit(None).cast(f"array<{t.SPAN}>")
-    if detected is not None:
-        span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
-        known = detected.groupBy(F.col("batch_id").alias("_b"), F.col("doc_index").alias("_d")).agg(F.collect_list(span).alias("_detected"))
-        rows = rows.join(known, F.col("batch_id").eqNullSafe(F.col("_b")) & F.col("doc_index").eqNullSafe(F.col("_d")), "left").drop("_b", "_d")
+    rows = _with_detected(docs, detected)
     rows = rows.withColumn("_found", _found(F.col("text"), none if detected is None else F.col("_detected")))
     found = written(rows.select(F.monotonically_increasing_id().alias("_row"), "batch_id", "doc_index", "text", "_found.*"), "found-spans")
     names = found.select("batch_id", F.inline("surfaces"))
@@ -271,11 +286,163 @@ def _counts(kinds: Column) -> Column:
     return t.let(kinds, tally)
 
 
+_ENTRY = _struct(surface=_STRING, canonical=_STRING, token=_STRING, kind=_STRING, start=_INT)
+_TOKEN = re.compile(fixed.TOKEN, re.ASCII)
+
+
+def _in_use(texts: list[str]) -> dict[str, set[int]]:
+    """By kind, the numbers of tokens that texts already have, as _numbers_in_use."""
+    used: dict[str, set[int]] = {}
+    for token in {m for x in texts if "[" in x for m in _TOKEN.findall(x)}:
+        label, _, digits = token[1:-1].rpartition("_")
+        n = int(digits)
+        if n > 0 and token == f"[{label}_{n:02d}]":
+            used.setdefault(_LABELS[label], set()).add(n)
+    return used
+
+
+def _numbers(firsts: dict[str, tuple], used: dict[str, set[int]]) -> dict[str, tuple[str, str]]:
+    """kind and token of each case-folded surface by its first place (doc_index, start, kind): as _numbered."""
+    tokens, last = {}, {}
+    for fold, (_, _, kind) in sorted(firsts.items(), key=lambda x: (x[1], x[0])):
+        n, taken = last.get(kind, 0) + 1, used.get(kind, ())
+        while n in taken:
+            n += 1
+        last[kind] = n
+        tokens[fold] = kind, f"[{fixed.KINDS[kind]}_{n:02d}]"
+    return tokens
+
+
+def _one_batch(rows: list[tuple], replace: bool) -> Iterator[tuple]:
+    """(batch_id, doc_index, text, kinds by count, entries of the mapping whose first place is here) of a batch's rows (batch_id, doc_index, text, whether it is a listed value, detected spans)."""
+    found, names = [], set()
+    for _, _, text, listed, detected in rows:
+        if listed:
+            names.add((text, "OTHER_ID"))
+        else:
+            spans = {*detect.by_rules(text), *((s["start"], s["end"], s["kind"]) for s in detected or () if 0 <= s["start"] < s["end"] <= len(text))}
+            names.update((_plain(text[a:b]), kind) for a, b, kind in spans)
+            found.append(spans)
+    docs, find = [(d, text) for _, d, text, listed, _ in rows if not listed], detect.finder(names)
+    kept = [detect.resolved([*spans, *find(text)]) for spans, (_, text) in zip(found, docs)]
+    places: dict[str, tuple] = {}
+    for i, ((d, text), spans) in enumerate(zip(docs, kept)):
+        d = -(1 << 70) if d is None else d
+        for a, b, kind in spans:
+            place, surface = (d, a, kind, i), text[a:b]
+            if surface not in places or place < places[surface]:
+                places[surface] = place
+    folds, firsts, entries = {x: x.casefold() for x in places}, {}, [[] for _ in docs]
+    for surface, place in places.items():
+        fold = folds[surface]
+        firsts[fold] = min(firsts.get(fold, place[:3]), place[:3])
+    tokens = _numbers(firsts, _in_use([text for _, text in docs]))
+    for surface, (_, start, _, i) in places.items():
+        kind, token = tokens[folds[surface]]
+        entries[i].append((surface, folds[surface], token, kind, start))
+    for (d, text), spans, own in zip(docs, kept, entries):
+        out, at = [], 0
+        for a, b, _ in spans if replace else ():
+            out += text[at:a], tokens[folds[text[a:b]]][1]
+            at = b
+        yield rows[0][0], d, "".join([*out, text[at:]]) if replace else None, sorted(Counter(kind for *_, kind in spans).items()) if replace else [], own
+
+
+def _held(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows (batch_id, text) of the batches that a task may hold, and of all others; None if there are none."""
+    sizes = rows.groupBy(F.struct("batch_id").alias("_batch")).agg(F.count("*").alias("_n"), F.sum(F.length("text")).alias("_chars"))
+    large = written(sizes.where((F.col("_n") > HELD_ROWS) | (F.col("_chars") > HELD_CHARS)).select("_batch"), "large-batches")
+    if large.isEmpty():
+        return rows, None
+    keyed = rows.withColumn("_batch", F.struct("batch_id"))
+    return keyed.join(large, "_batch", "left_anti").drop("_batch"), keyed.join(large, "_batch", "left_semi").drop("_batch")
+
+
+def _gathered(rows: DataFrame, *then: str) -> DataFrame:
+    """rows with those of a batch one after another, in the order of `then`, over all shuffle partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id").sortWithinPartitions("batch_id", *then)
+
+
+def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each batch, whose id is their first column."""
+    rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+    return (list(g) for _, g in groupby(rows, itemgetter(0)))
+
+
+def _done(docs: DataFrame, detected: DataFrame | None, listed: DataFrame | None, replace: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """batch_id, doc_index, text, phi_hits, entries of the documents of batches that tasks hold; documents and listed values of all others. Without `replace`, text and phi_hits are empty."""
+    rows = written(_with_detected(docs, detected), "documents")
+    spans = F.lit(None).cast(f"array<{t.SPAN}>") if detected is None else F.col("_detected")
+    rows = rows.select("batch_id", "doc_index", "text", F.lit(False).alias("_listed"), spans.alias("_detected"))
+    if listed is not None:
+        values = listed.where(F.length("value") > 0).select("batch_id", F.col("value").alias("text"), F.lit(True).alias("_listed"))
+        rows = rows.unionByName(values, allowMissingColumns=True)
+    held, large = _held(rows)
+    out = T.StructType([rows.schema["batch_id"], rows.schema["doc_index"], *_struct(text=_STRING, phi_hits=T.MapType(_STRING, _INT), entries=T.ArrayType(_ENTRY))])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            ids, docs, texts, hits, entries = (list(c) for c in zip(*ready))
+            flat, cuts = [e for x in entries for e in x], np.append(0, np.cumsum([len(x) for x in hits])).astype(np.int32)
+            pairs = [h for x in hits for h in x]
+            counts = pa.MapArray.from_arrays(pa.array(cuts), pa.array([k for k, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int32()))
+            named = _structs([len(x) for x in entries], {f.name: ([e[i] for e in flat], schema.field("entries").type.value_type.field(i).type) for i, f in enumerate(_ENTRY)})
+            columns = [pa.array(ids, schema.field(0).type), pa.array(docs, schema.field(1).type), pa.array(texts, pa.string()), counts, named]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in _by_batch(batches):
+            ready += _one_batch(batch, replace)
+            if len(ready) >= _OUT:
+                yield made()
+                ready.clear()
+        if ready:
+            yield made()
+
+    return _gathered(held).mapInArrow(run, out), large and large.where("NOT _listed"), large and large.where("_listed")
+
+
+def _entries(done: DataFrame) -> DataFrame:
+    """The mapping of what _done gives."""
+    return done.select("batch_id", "doc_index", F.inline("entries")).select("batch_id", "surface", "canonical", "token", "kind", "doc_index", "start")
+
+
+def _spread_spans(large: DataFrame, listed: DataFrame) -> DataFrame:
+    """spans_of for the documents that _done leaves."""
+    span = large.select("batch_id", "doc_index", F.inline("_detected"))
+    return spans_of(large, span.distinct(), listed.select("batch_id", F.col("text").alias("value")))
+
+
+def mapping(docs: DataFrame, detected: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """The mapping of pseudonymise alone."""
+    done, large, values = _done(docs, detected, listed, replace=False)
+    return _entries(done) if large is None else _entries(done).unionByName(mapping_of(_spread_spans(large, values)))
+
+
+@F.arrow_udf(T.ArrayType(_STRING))
+def _residual(text: pa.Array) -> pa.Array:
+    """The kinds of what rules find in a text."""
+    return pa.array([[k for *_, k in detect.resolved(detect.by_rules(x))] for x in text.to_pylist()], pa.list_(pa.string()))
+
+
+_residual = _residual.asNondeterministic()
+
+
 def pseudonymise(docs: DataFrame, detected: DataFrame | None = None, listed: DataFrame | None = None) -> Pseudonymised:
-    """Documents (batch_id, doc_index, text) with tokens for what spans_of finds, and the mapping by which they are restored; keep it apart."""
-    spans = spans_of(docs, detected, listed)
-    mapping = written(mapping_of(spans), "mapping")
-    return Pseudonymised(replace_spans(spans, mapping), mapping)
+    """Documents (batch_id, doc_index, text) with tokens for what spans_of finds, and the mapping by which they are restored; keep it apart.
+
+    Batches of HELD_ROWS documents and listed values and HELD_CHARS characters at most are done as a whole, in the task where a shuffle brings them together; the others by spans_of, mapping_of and replace_spans.
+    """
+    done, large, values = _done(docs, detected, listed, replace=True)
+    done = written(done, "pseudonymised")
+    documents = done.select("batch_id", "doc_index", "text", "phi_hits", _counts(_residual(F.col("text"))).alias("residual_flags"))
+    if large is None:
+        return Pseudonymised(documents, _entries(done))
+    spans = _spread_spans(large, values)
+    rest = written(mapping_of(spans), "mapping")
+    return Pseudonymised(documents.unionByName(replace_spans(spans, rest)), _entries(done).unionByName(rest))
 
 
 @F.arrow_udf(_STRING)
@@ -287,8 +454,42 @@ def _restored(text: pa.Array, known: pa.Array) -> pa.Array:
 def restore(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     """docs (batch_id, doc_index, text) with the surfaces of a mapping for their tokens; of case variants, the one whose first place is the last counts.
 
-    Tokens, not texts, meet the mapping. A null text stays null. Tokens that the mapping lacks stay.
+    A batch of HELD_ROWS documents and HELD_CHARS characters at most, mapping included, is restored where a shuffle brings it together. Of the others
+    tokens, not texts, meet the mapping. A null text stays null. Tokens that the mapping lacks stay.
     """
+    given = docs.select("batch_id", "doc_index", "text", F.lit(True).alias("_doc"), F.lit(None).cast("string").alias("token"), F.lit(0).alias("start"))
+    known = mapping.select("batch_id", "doc_index", F.col("surface").alias("text"), F.lit(False).alias("_doc"), "token", "start")
+    held, large = _held(given.unionByName(known))
+    out = T.StructType([docs.schema["batch_id"], docs.schema["doc_index"], T.StructField("text", _STRING)])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, ready = re.compile(fixed.TOKEN), []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready), schema)], names=schema.names)
+        for batch in _by_batch(batches):
+            last: dict[str, tuple] = {}
+            for _, d, surface, is_doc, of, start in batch:
+                if not is_doc:
+                    place = (d is not None, d or 0, start)
+                    if of not in last or place > last[of][0]:
+                        last[of] = place, surface
+            put = lambda m, last=last: last[m[0]][1] if m[0] in last else m[0]
+            ready += [(i, d, x and token.sub(put, x)) for i, d, x, is_doc, _, _ in batch if is_doc]
+            if len(ready) >= _OUT:
+                yield made()
+                ready.clear()
+        if ready:
+            yield made()
+
+    done = _gathered(held).mapInArrow(run, out)
+    if large is None:
+        return done
+    entries = large.where("NOT _doc").select("batch_id", "doc_index", F.col("text").alias("surface"), "token", "start")
+    return done.unionByName(_restored_apart(large.where("_doc"), entries))
+
+
+def _restored_apart(docs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """restore for batches of any size."""
     rows = docs.select("batch_id", "doc_index", "text", F.struct("batch_id", "doc_index", F.xxhash64("text").alias("h")).alias("_row"))
     known = mapping.groupBy(F.col("batch_id").alias("_b"), F.col("token").alias("_t")).agg(F.max_by("surface", F.struct("doc_index", "start")).alias("surface"))
     asked = rows.select("_row", "batch_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(fixed.TOKEN), F.lit(0)))).alias("token")).distinct()

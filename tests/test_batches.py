@@ -324,3 +324,25 @@ def test_rules_are_tried_at_their_anchors_alone():
     assert len(list(find("ord, " * 1000 + "Lindgatan 1", ""))) == 1
     list(detect._around_words(Rule(), ("gatan",))("ord, " * 1000 + "Lindgatan", ""))
     assert tried == [4999]
+
+
+def test_batches_held_by_a_task_and_spread_ones_agree(spark, monkeypatch):
+    """The same batches both ways, some with tokens in use, null ids, null texts, repeated and empty documents, detected and listed values."""
+    note = "Patient: Alma Vinterlund, c{0}@example.invalid, 0{0}0-1234567, ALMA VINTERLUND {1} ål"
+    docs = [(b, d, note.format(b, "[EMAIL_01] [EMAIL_001] [NAME_02]" if d == 2 else "")) for b in range(1, 7) for d in range(1, 5)]
+    docs += [(None, 1, "x@example.invalid"), (None, None, "X@example.invalid y@example.invalid"), (7, 1, None), (7, 2, ""), (8, 1, "a@b.se")]
+    table = spark.createDataFrame(docs, DOC)
+    detected = spark.createDataFrame([(1, 1, 0, 7, "ORG"), (1, 2, 5, 900, "ORG"), (None, 1, 0, 1, "PERSON")], "batch_id long, doc_index int, start int, end int, kind string")
+    listed = spark.createDataFrame([(2, "Ål"), (7, "nothing"), (3, "")], "batch_id long, value string")
+
+    def run():
+        done = batches.pseudonymise(table, detected, listed)
+        rows = lambda df: sorted(map(repr, df.collect()))
+        return rows(done.documents), rows(done.mapping), rows(batches.mapping(table, detected, listed)), rows(batches.restore(done.documents, done.mapping)), done
+
+    *held, done = run()
+    assert "Exchange" not in done.documents._jdf.queryExecution().executedPlan().toString()
+    for rows, chars in ((0, 1 << 20), (1024, 60)):
+        monkeypatch.setattr(batches, "HELD_ROWS", rows)
+        monkeypatch.setattr(batches, "HELD_CHARS", chars)
+        assert run()[:4] == tuple(held)
