@@ -176,6 +176,17 @@ def _line(text, x0, y0, x1, y1):
     return {"text": text, "box": [x0, y0, x1, y1]}
 
 
+def test_layouts_of_a_table_of_pages_make_no_arrays(spark):
+    """Pages of a table as one by one, without pages too; a page of a few lines took a dozen arrays."""
+    import numpy as np
+
+    box = lambda x, y: [float(x), float(y), x + 40.0, y + 10.0]
+    pages = [(1, [("b", box(90, 2)), ("a", box(0, 0)), ("c", box(0, 30))]), (2, []), (3, [("x", box(5, 5))]), (4, [(str(i), box(i % 2 * 200, i // 2 * 20)) for i in range(8)])]
+    got = readings.page_layouts(spark.createDataFrame(pages, "page_id long, lines array<struct<text:string,box:array<double>>>"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {1: "a\tb\nc", 2: "", 3: "x", 4: "0\t1\n2\t3\n4\t5\n6\t7"}
+    assert not any(isinstance(x, np.ndarray) for x in readings._columns([(0.0, 0.0, 1.0, 1.0)])) and "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layouts():
     prose = [_line("vwx"[i], 0, 10 * i, 40, 10 * i + 8) for i in range(3)] + [_line("hij"[i], 60, 10 * i, 100, 10 * i + 8) for i in range(3)]
     assert readings.layout(prose) == "v\nw\nx\nh\ni\nj"
