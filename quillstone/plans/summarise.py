@@ -45,6 +45,13 @@ def _planned(rows: DataFrame, fixed_bytes: int, shorter: str, repair: str) -> Da
 
 
 _STATE = ("context", "output", "repairs", "counted")
+#: Characters of prompts, in bytes, that a partition of their join has on average.
+PART_BYTES = 64 << 20
+
+
+def _with_prompts(state: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Open batches with their prompts, joined in `parts` partitions: prompts that compress well would be gathered into few by their compressed size, and sorted at their full size."""
+    return state.repartition(parts, "batch_id").join(texts.repartition(parts, "batch_id").hint("merge"), "batch_id")
 
 
 def summaries(prompts: DataFrame, model: Model, contexts: Column, system: str = "", schema: str = "", shorter: str = "", repair: str = "", **options) -> DataFrame:
@@ -56,7 +63,8 @@ def summaries(prompts: DataFrame, model: Model, contexts: Column, system: str =
     any other failure of the model ends its batch alone. `options` are those of calls.ask. batch_ids are distinct; no prompts, no calls.
     """
     texts = written(prompts.select("batch_id", "prompt", "known", contexts.cast("array<int>").alias("contexts")), "prompts", options.get("progress"), prompts=F.count(F.lit(1)))
-    most = (texts.agg(F.max(F.size("contexts"))).first()[0] or 1) - 1 + len(fixed.OUTPUT_BUDGETS) - 1 + 1
+    sizes = texts.agg(F.max(F.size("contexts")), F.sum(F.octet_length("prompt")).cast("long")).first()
+    most, parts = (sizes[0] or 1) - 1 + len(fixed.OUTPUT_BUDGETS) - 1 + 1, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes[1] or 0) // PART_BYTES))
 
     def call(row: dict) -> dict:
         try:
@@ -67,10 +75,11 @@ def summaries(prompts: DataFrame, model: Model, contexts: Column, system: str =
             return {"outcome": "context_overflow", "error": None, "sentences": None, "uncertainties": None, "words": None, "counted": 0}
 
     attempt = "array<struct<num_ctx:int,num_predict:int,outcome:string>>"
-    state = texts.select("batch_id", *(F.lit(0).cast("long" if c == "counted" else "int").alias(c) for c in _STATE), F.array().cast(attempt).alias("attempts"))
-    done = None
+    start = ("batch_id", *(F.lit(0).cast("long" if c == "counted" else "int").alias(c) for c in _STATE), F.array().cast(attempt).alias("attempts"))
+    state = done = None
     for turn in range(1 + most):
-        rows = _planned(state.join(texts, "batch_id"), len((system + schema).encode()), shorter, repair).withColumn("attempt", F.lit(turn))
+        asked = texts.where("batch_id IS NOT NULL").repartition(parts, "batch_id").select(*start, "prompt", "known", "contexts") if state is None else _with_prompts(state, texts, parts)
+        rows = _planned(asked, len((system + schema).encode()), shorter, repair).withColumn("attempt", F.lit(turn))
         told = calls.ask(rows, call, _ANSWER, name=f"summaries-{turn}", keep=["batch_id", *_STATE, "attempts", "num_ctx", "num_predict", "contexts"], **options)
         outcome = F.coalesce("answer.outcome", F.lit("failed"))
         told = told.withColumn("attempts", F.concat("attempts", F.array(F.struct("num_ctx", "num_predict", outcome.alias("outcome"))))).withColumn("_outcome", outcome)

@@ -346,3 +346,23 @@ def test_batches_held_by_a_task_and_spread_ones_agree(spark, monkeypatch):
         monkeypatch.setattr(batches, "HELD_ROWS", rows)
         monkeypatch.setattr(batches, "HELD_CHARS", chars)
         assert run()[:4] == tuple(held)
+
+
+def test_prompts_that_compress_well_are_joined_in_parts_of_their_full_size(spark, monkeypatch):
+    """An adaptive plan gathers partitions by compressed size."""
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import summarise
+
+    joined, join = [], summarise._with_prompts
+    monkeypatch.setattr(summarise, "PART_BYTES", 30_000)
+
+    def spy(state, texts, parts):
+        out = join(state, texts, parts)
+        joined.append((parts, out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(summarise, "_with_prompts", spy)
+    prompts = spark.createDataFrame([(i, "p" * 3000, ["E0001"]) for i in range(100)], "batch_id long, prompt string, known array<string>")
+    out = summarise.summaries(prompts, lambda request: {"response": "{" if request["attempt"] == 0 else "["}, F.array(F.lit(8192)))
+    assert out.count() == 100 and joined == [(10, 10)]
