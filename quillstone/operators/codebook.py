@@ -17,8 +17,6 @@ from quillstone.operators.detect import _is_word
 from quillstone.sources.boundary import written
 
 
-#: Books that a worker keeps.
-MOST_BOOKS = 64
 #: Characters of the runs that fakes are filed under, bits of the filter that texts' runs pass, and how often the index is dealt out.
 GRAM, FILTER_BITS, SALTS = 8, 1 << 24, 16
 
@@ -136,6 +134,8 @@ def occurrences(texts: DataFrame, fakes: DataFrame) -> DataFrame:
     filed = written(grams.join(often, "gram").groupBy("fake", "_n").agg(F.min_by("gram", F.struct("_often", "gram")).alias("gram")), "filed-fakes")
     lengths = [r["_n"] for r in filed.select("_n").distinct().collect()]  # GRAM values at most
     rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "text")
+    if not lengths:
+        return texts.sparkSession.createDataFrame([], "text_id long, fake string, n int")
     asked = rows.mapInArrow(_text_grams(_filter(filed).tobytes(), lengths), "text_id long, gram long").withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int"))
     index = filed.select("fake", "gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = asked.join(index, ["gram", "salt"]).groupBy("text_id").agg(F.collect_set("fake").alias("fakes"))
@@ -152,7 +152,9 @@ def scores(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     weight = F.when(F.col("type") == "PERSONNUMMER", fixed.IDENTITY_WEIGHT).otherwise(1)
     good = pairs.where(distinctive(F.col("type"), F.col("fake"))).select("book_id", "fake", weight.alias("weight"))
     found = occurrences(texts, good.select("fake").distinct())
-    return found.join(good, "fake").groupBy("text_id", "book_id").agg(F.sum((F.col("n") * F.col("weight")).cast("long")).alias("score"))
+    salt = F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int")  # a fake of many texts isn't one task's
+    dealt = good.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return found.withColumn("salt", salt).join(dealt, ["fake", "salt"]).groupBy("text_id", "book_id").agg(F.sum((F.col("n") * F.col("weight")).cast("long")).alias("score"))
 
 
 def detect(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,20 +179,30 @@ def partial_names(pairs: DataFrame) -> DataFrame:
 
 
 RESTORED = "text_id long, book_id string, score long, text string, fake string, real string, count int"
+#: Parts that texts with a book are dealt into at most, besides one for each book; texts of a part at least.
+MOST_PARTS, PART_TEXTS = 4096, 4096
 
 
 def deanonymise(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """texts (text_id, text, summary) restored: text_id, book_id, score, text, and one row for each fake that was replaced.
 
     The longest fake goes first, whole words, in one pass, so what is put in is never replaced again. Texts without a book pass through.
+
+    A book is sent once to each part of its texts, ahead of them. Books of many texts have several parts; they are fewer than MOST_PARTS, so that their numbers of parts are broadcast.
     """
-    found = detect(texts.select("text_id", "text"), pairs)
+    found = written(detect(texts.select("text_id", "text"), pairs), "found-books")
+    most = max(PART_TEXTS, found.count() // MOST_PARTS + 1)
+    sizes = found.groupBy("book_id").agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = found.join(F.broadcast(sizes.where("parts > 1")), "book_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("text_id"), "parts"), F.lit(0)))
     partial = partial_names(pairs).select("book_id", (F.col("ord") + F.lit(1 << 30) + F.col("edge")).alias("ord"), "real", "fake")
     whole = pairs.select("book_id", "ord", "real", "fake").unionByName(partial)
     book = whole.groupBy("book_id").agg(F.collect_list(F.struct("ord", "fake", "real")).alias("book"))
-    rows = texts.select("text_id", "summary").join(found, "text_id", "left").join(book, "book_id", "left")
-
-    return rows.select("text_id", "book_id", "score", "summary", "book").mapInArrow(_restore, RESTORED)
+    ahead = book.join(sizes, "book_id").select("book_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "book")
+    rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "summary").join(dealt, "text_id", "left")
+    met = rows.where("book_id IS NOT NULL").select("book_id", "part", "text_id", "score", "summary").unionByName(ahead, allowMissingColumns=True)
+    restored = met.repartition("book_id", "part").sortWithinPartitions("book_id", "part", F.col("book").isNull()).mapInArrow(_restore, RESTORED)
+    none = {"score": F.lit(0).cast("long"), "fake": F.lit(None).cast("string"), "real": F.lit(None).cast("string"), "count": F.lit(0)}
+    return restored.unionByName(rows.where("book_id IS NULL").withColumns(none).select("text_id", "book_id", "score", F.col("summary").alias("text"), "fake", "real", "count"))
 
 
 class _Book:
@@ -225,21 +237,21 @@ class _Book:
 
 
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """RESTORED rows. A book is made once and kept for the texts that follow it; books are told apart by id."""
-    known: dict[str, _Book] = {}
+    """RESTORED rows of texts, each book (a row with `book`) ahead of its own; one book is kept at a time."""
+    book_id, book = None, _Book([])
     schema = pa.schema([("text_id", pa.int64()), ("book_id", pa.string()), ("score", pa.int64()), ("text", pa.string()), ("fake", pa.string()), ("real", pa.string()), ("count", pa.int32())])
     for batch in batches:
-        out, pairs = [], batch["book"]
-        for i, (text_id, book_id, score, text) in enumerate(zip(*(batch[c].to_pylist() for c in ("text_id", "book_id", "score", "summary")), strict=True)):
-            if book_id is not None and book_id not in known:
-                if len(known) > MOST_BOOKS:
-                    known.clear()
-                known[book_id] = _Book(pairs[i].as_py() or [])
+        out = []
+        for key, text_id, score, text, pairs in zip(*(batch[c].to_pylist() for c in ("book_id", "text_id", "score", "summary", "book")), strict=True):
+            if pairs is not None:
+                if key != book_id:
+                    book_id, book = key, _Book(pairs)
+                continue
             counts: Counter[str] = Counter()
-            if book_id is not None and text is not None:
-                text, counts = known[book_id].restore(text)
-            row = {"text_id": text_id, "book_id": book_id, "score": score or 0, "text": text}
-            out.extend(row | {"fake": f, "real": known[book_id].real[f], "count": n} for f, n in counts.items())
+            if text is not None:
+                text, counts = book.restore(text)
+            row = {"text_id": text_id, "book_id": key, "score": score, "text": text}
+            out.extend(row | {"fake": f, "real": book.real[f], "count": n} for f, n in counts.items())
             if not counts:
                 out.append(row | {"fake": None, "real": None, "count": 0})
         yield pa.RecordBatch.from_pylist(out, schema=schema)

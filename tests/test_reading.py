@@ -189,6 +189,22 @@ def test_codebooks_of_many_texts(spark):
     assert codebook.scores(spark.createDataFrame(texts, "text_id long, text string"), none).count() == 0
 
 
+def test_texts_of_one_book_are_restored_in_parts(spark):
+    """A book of many texts has several parts; texts without a book go through no join by their null book."""
+    pairs = [("a", 1, "Eva Ask", "Anna Gemensam", "PER"), ("b", 1, "Bo Ek", "Per Annan Stor", "ORG"), ("c", 1, "Ida", "Ingen Har Denna", "ORG")]
+    n, text = 3 * codebook.PART_TEXTS, "CASE WHEN id % 100 = 1 THEN 'Per Annan Stor, Per Annan Stor' WHEN id % 100 = 2 THEN 'inget' WHEN id % 100 > 3 THEN 'Anna Gemensam och Anna Gemensam' END AS text"
+    texts = spark.range(n).selectExpr("id AS text_id", text).withColumn("summary", F.col("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = codebook.deanonymise(texts, spark.createDataFrame(pairs, "book_id string, ord long, real string, fake string, type string")).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    some = {1: ("b", 2, "Bo Ek, Bo Ek", "Per Annan Stor", "Bo Ek", 2), 2: (None, 0, "inget", None, None, 0), **dict.fromkeys((0, 3), (None, 0, None, None, None, 0))}
+    want = {i: some.get(i % 100, ("a", 2, "Eva Ask och Eva Ask", "Anna Gemensam", "Eva Ask", 2)) for i in range(n)}
+    assert len(out) == n and {r["text_id"]: tuple(r)[1:7] for r in out} == want
+    assert all(len({r["at"] for r in out if r["book_id"] == book}) > 1 for book in ("a", None))
+
+
 EVENT = "job_id long, stage string, seq long, at timestamp, event string"
 
 
