@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -358,6 +359,26 @@ def test_pages_are_prepared(spark):
     assert images.shrunk(wide, 1000).shape == (8, 1000) and images.prepare(df.limit(0)).count() == 0
 
 
+def test_pages_go_on_together_as_they_would_alone():
+    """Small pages share an Arrow batch; levels and turns are those of numpy's percentiles and of a walk over the pixels."""
+    r = np.random.default_rng(5)
+    pages = [lined(2, 90, 70), *(r.integers(0, top, size=(h, w), dtype=np.uint8) for top, h, w in ((256, 1, 1), (256, 7, 5), (3, 40, 90), (250, 31, 2)))]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(pages))), "width": [p.shape[1] for p in pages], "height": [p.shape[0] for p in pages], "grey": [p.tobytes() for p in pages]})
+    (out,) = images._prepare(iter([batch, batch]), None)
+    assert out.num_rows == 2 * len(pages) and out["grey"].to_pylist()[: len(pages)] == [images.prepared(p)[0].tobytes() for p in pages]
+    for p in pages:
+        assert all(images._percentile(images._levels(p), q) == np.percentile(p, q) for q in (0, 33, 60, 90, 100))
+        light = np.percentile(p, fixed.INK_PERCENTILE)
+        assert images.ink_share(p) == np.mean(p < min(fixed.DARK_BELOW, light - fixed.INK_STEP))
+        for degrees in (-4.2, 3.0):
+            a, got = np.deg2rad(degrees), images.turned(p, degrees)
+            (high, wide), (h, w) = got.shape, p.shape
+            for i, j in np.ndindex(high, wide):
+                y, x = i - (high - 1) / 2, j - (wide - 1) / 2
+                k, m = int(np.rint(y * np.cos(a) - x * np.sin(a) + (h - 1) / 2)), int(np.rint(y * np.sin(a) + x * np.cos(a) + (w - 1) / 2))
+                assert got[i, j] == (p[k, m] if 0 <= k < h and 0 <= m < w else 255)
+
+
 def test_mapping_files(spark, tmp_path):
     (tmp_path / "p 1_mapping.json").write_text(json.dumps(indent=1, obj={"Alma": {"fake": "Fia", "type": "PER"}, "x": 3, "Berg": {"fake": "Ek"}, " ": {"fake": "q"}}))
     (tmp_path / "p2_mapping.json").write_text("[1]")
