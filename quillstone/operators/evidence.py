@@ -9,46 +9,55 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions import fixed
 from quillstone.functions import text as t
 
 
-def _pieces(block: Column) -> Column:
-    """A stripped block in pieces of at most UNIT_CHARS: each ends after its last line feed or full stop with a space past UNIT_LEAST."""
-    most, least = fixed.UNIT_CHARS, fixed.UNIT_LEAST
+_WHITE = re.escape(t.WHITE)
+_BLANK_LINES, _LEADING = re.compile(rf"\n[{_WHITE}]*\n"), re.compile(f"[{_WHITE}]*")
+_MARKER = re.compile(fixed.DOCUMENT_MARKER, re.ASCII)
 
-    def step(state: Column, _: Column) -> Column:
-        rest = state["rest"]
-        size = F.length(rest)
-        tail = t.piece(rest, F.lit(least), F.lit(most))
-        split = F.greatest(t.last_index(tail, "\n"), t.last_index(tail, ". "))
-        end = F.when(size <= most, size).when(split >= 0, split + least + 1).otherwise(most)
-        piece = t.strip(t.piece(rest, F.lit(0), end))
-        out = F.when(F.length(piece) > 0, F.concat(state["out"], F.array(piece))).otherwise(state["out"])
-        return F.when(size > 0, F.struct(t.strip(t.piece(rest, end, size)).alias("rest"), out.alias("out"))).otherwise(state)
 
-    start = F.struct(block.alias("rest"), F.array().cast("array<string>").alias("out"))
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(block) / F.lit(least)).cast("int")))
-    return F.when(F.length(block) <= most, F.array(block)).otherwise(F.aggregate(steps, start, step, lambda s: s["out"]))
+def _pieces(block: str) -> Iterator[str]:
+    """A stripped block in pieces of at most UNIT_CHARS: each ends after its last line feed or full stop with a space past UNIT_LEAST."""
+    at, most, least = 0, fixed.UNIT_CHARS, fixed.UNIT_LEAST
+    while len(block) - at > most:
+        split = max(block.rfind(end, at + least, at + most) for end in ("\n", ". "))
+        cut = split + 1 if split >= 0 else at + most
+        if piece := block[at:cut].strip(t.WHITE):
+            yield piece
+        at = _LEADING.match(block, cut).end()
+    yield block[at:]
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in ("document", "text")])))
+def _passages(text: pa.Array) -> pa.Array:
+    """The passages of each text in order, with the document that the last marker before them names. A text is walked once, by offsets."""
+    cuts, documents, pieces = [0], [], []
+    for value in text:
+        document = "Document 1"
+        for block in _BLANK_LINES.split(value.as_py() or ""):
+            if block := block.strip(t.WHITE):
+                if found := _MARKER.match(block):
+                    document = f"Document {found[1]}"
+                pieces += _pieces(block)
+                documents += [document] * (len(pieces) - len(documents))
+        cuts.append(len(pieces))
+    rows = pa.StructArray.from_arrays([pa.array(documents, pa.string()), pa.array(pieces, pa.string())], names=["document", "text"])
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)
 
 
 def evidence_units(batches: DataFrame) -> DataFrame:
     """batch_id, unit_no, id, document, text of the passages of each batch (batch_id, text), in order, losing nothing but white space.
 
     Blocks between blank lines are cut into pieces; a block that starts with a document marker names the document of itself and of what follows.
+    A batch is one row and its units are numbered there, without a shuffle.
     """
-    blocks = F.filter(F.transform(F.split("text", r"(?U)\n\s*\n", -1), t.strip), lambda b: F.length(b) > 0)
-    rows = batches.select("batch_id", F.posexplode(blocks).alias("block_no", "block"))
-    number = F.regexp_extract("block", fixed.DOCUMENT_MARKER, 1)
-    order = Window.partitionBy("batch_id").orderBy("block_no")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("document", F.coalesce(F.last(F.when(number != "", F.concat(F.lit("Document "), number)), ignorenulls=True).over(so_far), F.lit("Document 1")))
-    rows = rows.withColumn("pieces", _pieces(F.col("block")))
-    before = F.coalesce(F.sum(F.size("pieces")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = rows.withColumn("before", before).select("batch_id", "document", "before", F.posexplode("pieces").alias("piece_no", "text"))
-    no = (F.col("before") + F.col("piece_no") + 1).cast("int")
-    return parts.select("batch_id", no.alias("unit_no"), F.format_string("E%04d", no).alias("id"), "document", "text")
+    units = batches.select("batch_id", F.posexplode(_passages(F.col("text"))).alias("_i", "_u"))
+    no = F.col("_i") + 1
+    return units.select("batch_id", no.alias("unit_no"), F.format_string("E%04d", no).alias("id"), "_u.document", "_u.text")
 
 
 #: Documents whose units are counted together.
@@ -61,15 +70,8 @@ def document_units(parts: DataFrame) -> DataFrame:
     A document's units are made inside its row. Their numbers follow from the sizes of the documents before it, added up in blocks of DOCUMENTS documents and over
     the blocks, so that no task holds a batch. A null text is empty; a null doc_index comes first. Documents of equal doc_index follow each other in the order of their texts.
     """
-    blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"(?U)\n\s*\n", -1), t.strip), lambda b: F.length(b) > 0)
-    rows = parts.select(F.struct("batch_id").alias("_b"), F.coalesce(F.col("doc_index").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("text").alias("_h"), blocks.alias("_blocks"))
-    marks = F.transform("_blocks", lambda b: F.regexp_extract(b, fixed.DOCUMENT_MARKER, 1))
-    named = lambda no: F.when(no != "", F.concat(F.lit("Document "), no))
-    so_far = lambda marks, i: F.try_element_at(F.filter(F.slice(marks, F.lit(1), i + 1), lambda m: m != ""), F.lit(-1))
-    rows = rows.withColumn("_marks", marks).withColumn("_inner", F.exists(F.slice("_marks", F.lit(2), F.size("_marks")), lambda m: m != ""))
-    of = lambda i: named(F.when(F.col("_inner"), so_far(F.col("_marks"), i)).otherwise(F.get("_marks", F.lit(0))))
-    unit = lambda b, i: F.transform(_pieces(b), lambda p: F.struct(F.coalesce(of(i), F.lit("Document 1")).alias("document"), p.alias("text")))
-    rows = rows.select("_b", "_d", "_h", F.floor(F.col("_d") / DOCUMENTS).alias("_block"), F.flatten(F.transform("_blocks", unit)).alias("_units")).withColumn("_n", F.size("_units").cast("long"))
+    rows = parts.select(F.struct("batch_id").alias("_b"), F.coalesce(F.col("doc_index").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("text").alias("_h"), _passages(F.col("text")).alias("_units"))
+    rows = rows.select("_b", "_d", "_h", F.floor(F.col("_d") / DOCUMENTS).alias("_block"), "_units", F.size("_units").cast("long").alias("_n"))
     within = Window.partitionBy("_b", "_block").orderBy("_d", "_h").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("_b").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_b", "_block").agg(F.sum("_n").alias("_sum")).select("_b", "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_ahead"))

@@ -85,6 +85,18 @@ def test_units_carry_their_document(spark):
     assert [(r["id"], r["document"]) for r in rows] == [("E0001", "Document 1"), ("E0002", "Document 2"), ("E0003", "Document 2")]
 
 
+def test_a_batch_is_cut_in_one_walk_in_its_row(spark):
+    """No shuffle, no window and no copy of the rest for each piece, which took a time that grew with the square of a block's length."""
+    text = "--- Document 3 ---\n" + "ord och ord. " * 150_000 + "\n \u2003\n" + "å" * 4000 + "\n" + " " * 2000 + "\n\u3000slut"
+    got = evidence.evidence_units(spark.createDataFrame([(1, text), (2, None), (3, " \n\n\x0b "), (None, "x")], "batch_id long, text string"))
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Window"))
+    rows = got.collect()
+    units = [r["text"] for r in sorted((r for r in rows if r["batch_id"] == 1), key=lambda r: r["unit_no"])]
+    assert units[-4:] == ["å" * 1800, "å" * 1800, "å" * 400, "slut"] and "".join("".join(units).split()) == "".join(text.split())
+    assert all(u.endswith("ord.") and 1786 < len(u) <= 1800 for u in units[:100]) and {r["document"] for r in rows if r["batch_id"] == 1} == {"Document 3"}
+    assert [tuple(r) for r in rows if r["batch_id"] != 1] == [(None, 1, "E0001", "Document 1", "x")]
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(["ord och ord. ", "x" * 700, "\n\n", "\n \n", "--- Document 7 ---\n", "\n\n--- Document 3 ---\nrad", " ", "slut.\n"]), max_size=9).map("".join), min_size=1, max_size=7))
 def test_units_of_documents_are_those_of_the_batch(spark, texts):
