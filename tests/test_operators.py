@@ -3,6 +3,7 @@
 import io
 import json
 import re
+import time
 import zipfile
 import zlib
 
@@ -85,6 +86,20 @@ def test_units_carry_their_document(spark):
     assert [(r["id"], r["document"]) for r in rows] == [("E0001", "Document 1"), ("E0002", "Document 2"), ("E0003", "Document 2")]
 
 
+def test_strip_takes_white_space_of_any_alphabet_at_the_ends_alone(spark):
+    """In a time that grows with the text: the search for a run of white space at the end went over each run once for each of its characters."""
+    inner, began = "a" + " " * 200_000 + "b", time.monotonic()
+    odd = "\x00\x1c\u180e\u200b\ufeff"  # no white space to Java
+    texts = ["", " ", t.WHITE, f"{t.WHITE}å{t.WHITE}", odd, f" {odd}\n", inner, f"\u3000{inner}\x85"]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, text string").select("i", t.strip(F.col("text")).alias("got")).collect()
+    assert [r["got"] for r in sorted(rows)] == ["", "", "", "å", odd, odd, inner, inner, None] and time.monotonic() - began < 20
+
+
+def test_exports_need_no_window(spark):
+    plan = queries.QUERIES["export_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "aggregate(" not in plan
+
+
 def test_a_batch_is_cut_in_one_walk_in_its_row(spark):
     """No shuffle, no window and no copy of the rest for each piece, which took a time that grew with the square of a block's length."""
     text = "--- Document 3 ---\n" + "ord och ord. " * 150_000 + "\n \u2003\n" + "å" * 4000 + "\n" + " " * 2000 + "\n\u3000slut"
