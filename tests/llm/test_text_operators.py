@@ -204,6 +204,15 @@ def test_rows_follow_from_counts():
     assert maxent.own_row(10**5) == maxent.OWN < maxent.own_row(10**10) and set(np.unique(at)) == set(range(len(keys)))
 
 
+@pytest.mark.parametrize("n, many", [(1, 1), (7, 1), (5, 2), (300, 300), (4096, 100), (4096, 3000)])
+def test_gradients_are_summed_by_row(n, many):
+    r = np.random.default_rng(n + many)
+    at, values, want = r.integers(0, many, n).astype(np.int32), r.normal(size=(n, 50)).astype(np.float32), np.zeros((many, 50))
+    np.add.at(want, at, values)
+    rows, sums = maxent._sums_by_row(values, at)
+    assert sorted(rows) == sorted(set(at.tolist())) and np.allclose(want[rows], sums, atol=1e-4)
+
+
 def test_packed_rows():
     rows = np.random.default_rng(1).normal(size=(50, 7)).astype(np.float32)
     rows[3] = 0
