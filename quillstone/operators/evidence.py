@@ -60,6 +60,16 @@ def evidence_units(batches: DataFrame) -> DataFrame:
     return units.select("batch_id", no.alias("unit_no"), F.format_string("E%04d", no).alias("id"), "_u.document", "_u.text")
 
 
+def batch_units(batches: DataFrame) -> DataFrame:
+    """batch_id, units (unit_no, id, document, text): the same as one row for each batch that has any, for what needs a batch's units together again.
+
+    Blank texts are left out ahead of the passages: a condition on the units would be put below them and cut each text twice.
+    """
+    number = lambda u, i: F.struct((i + 1).alias("unit_no"), F.format_string("E%04d", i + 1).alias("id"), u["document"].alias("document"), u["text"].alias("text"))
+    full = batches.where(F.length(t.strip(F.col("text"))) > 0)
+    return full.select("batch_id", F.transform(_passages(F.col("text")), number).alias("units"))
+
+
 #: Documents whose units are counted together.
 DOCUMENTS = 1024
 

@@ -100,6 +100,20 @@ def test_exports_need_no_window(spark):
     assert "Window" not in plan and "aggregate(" not in plan
 
 
+def test_exported_units_stay_in_their_batch(spark):
+    """The texts meet in one shuffle and are cut once; units were made rows and shuffled again to meet in the batch that they came from."""
+    plan = queries.QUERIES["export_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange hashpartitioning"), plan.count("ArrowEvalPython"), plan.count("Generate")) == (1, 1, 0)
+    long = "ord. " * 900
+    texts = [None, "", t.WHITE, "\x1c", "\x00", f"{t.WHITE}å", "--- Document 4 ---", f"{long}\n\n--- Document 12 ---\n{long}\n \u2003\nslut", "å" * 5401, "a\n\n" * 10_001]
+    batches = spark.createDataFrame([*enumerate(texts), (None, "x\n\ny")], "batch_id long, text string")
+    want, got = {}, evidence.batch_units(batches).collect()
+    for r in evidence.evidence_units(batches).orderBy("unit_no").collect():
+        want.setdefault(r["batch_id"], []).append(tuple(r)[1:])
+    assert {r["batch_id"]: list(map(tuple, r["units"])) for r in got} == want and len(got) == len(want) == 8
+    assert want[9][-1] == (10_001, "E10001", "Document 1", "a") and {u[2] for u in want[7]} == {"Document 1", "Document 12"}
+
+
 def test_a_batch_is_cut_in_one_walk_in_its_row(spark):
     """No shuffle, no window and no copy of the rest for each piece, which took a time that grew with the square of a block's length."""
     text = "--- Document 3 ---\n" + "ord och ord. " * 150_000 + "\n \u2003\n" + "å" * 4000 + "\n" + " " * 2000 + "\n\u3000slut"
