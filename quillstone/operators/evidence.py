@@ -96,6 +96,11 @@ def user_prompts(units: DataFrame) -> DataFrame:
     return units.groupBy("batch_id").agg(F.expr("listagg(concat('[', id, ']\\n', text), '\\n\\n') WITHIN GROUP (ORDER BY unit_no)").alias("prompt"))
 
 
+def batch_prompts(batches: DataFrame) -> DataFrame:
+    """user_prompts of batch_units, without a shuffle."""
+    return batch_units(batches).select("batch_id", F.array_join(F.transform("units", lambda u: F.concat(F.lit("["), u["id"], F.lit("]\n"), u["text"])), "\n\n").alias("prompt"))
+
+
 _WORD = re.compile(r"\b\w+\b")
 
 

@@ -114,6 +114,14 @@ def test_exported_units_stay_in_their_batch(spark):
     assert want[9][-1] == (10_001, "E10001", "Document 1", "a") and {u[2] for u in want[7]} == {"Document 1", "Document 12"}
 
 
+def test_prompts_of_batches_stay_in_their_row(spark):
+    plan = queries.QUERIES["user_prompts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange hashpartitioning"), plan.count("ArrowEvalPython"), plan.count("Generate")) == (1, 1, 0)
+    batches = spark.createDataFrame([(1, "a\n\n" * 10_001), (2, None), (3, t.WHITE), (4, "--- Document 2 ---\n" + "å. " * 3000), (None, "x")], "batch_id long, text string")
+    got = sorted(map(str, evidence.batch_prompts(batches).collect()))
+    assert got == sorted(map(str, evidence.user_prompts(evidence.evidence_units(batches)).collect())) and len(got) == 3
+
+
 def test_a_batch_is_cut_in_one_walk_in_its_row(spark):
     """No shuffle, no window and no copy of the rest for each piece, which took a time that grew with the square of a block's length."""
     text = "--- Document 3 ---\n" + "ord och ord. " * 150_000 + "\n \u2003\n" + "å" * 4000 + "\n" + " " * 2000 + "\n\u3000slut"
