@@ -7,6 +7,7 @@ import time
 import zipfile
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -446,3 +447,28 @@ def test_records_count_passages(spark):
     docs = spark.createDataFrame([(1, 1, "Alma"), (1, 2, "Berit åter.")], "batch_id long, doc_index int, text string")
     row = process.process(docs, first_words(), detector=lambda text: [("ORG", "åter"), ("ORG", "saknas")] if "åter" in text else None).first()
     assert (row["passages"], row["fallback_passages"], row["discarded"]) == (2, 1, 1) and len(row["warnings"]) == 3
+
+
+#: (doc_id, text): an empty document, a blank one and a null one among others, a batch of null ones, an id past 2^53, a row without an id.
+ODD = [(0, "a. b"), (1, ""), (2, "c\r\n"), (3, None), (4, " \n\t "), (8, ""), (16, None), (17, None), (2**53 + 7, "past"), (2**53 + 8, "next"), (None, "x")]
+
+
+def as_its_sql(spark, path, name, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    want = duck.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = [tuple(r) for r in queries.QUERIES[name](spark, str(path)).select(*columns).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall()))
+    return got
+
+
+def test_a_batch_with_an_empty_document_is_joined_whole(spark, tmp_path):
+    """Its text was null, while its SQL joins all documents but null ones."""
+    got = dict(as_its_sql(spark, tmp_path, "batch_concat", [*ODD, (24, "\xa0x ")]))
+    assert got[0] == "--- Document 1 ---\na. b\n\n--- Document 2 ---\n\n\n--- Document 3 ---\nc\n\n--- Document 5 ---\n" and got[2] is got[None] is None and len(got) == 7
+    docs = spark.createDataFrame([(1, 1, "x"), (1, 2, "\xa0"), (2, 1, None)], "batch_id long, doc_index int, text string")
+    assert {r["batch_id"]: (r["text"], r["error"]) for r in files.batch_text(docs).collect()} == {
+        1: ("--- Document 1 ---\nx\n\n--- Document 2 ---\n", "no text could be extracted"), 2: (None, "no text could be extracted"),
+    }
