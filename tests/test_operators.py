@@ -472,3 +472,9 @@ def test_a_batch_with_an_empty_document_is_joined_whole(spark, tmp_path):
     assert {r["batch_id"]: (r["text"], r["error"]) for r in files.batch_text(docs).collect()} == {
         1: ("--- Document 1 ---\nx\n\n--- Document 2 ---\n", "no text could be extracted"), 2: (None, "no text could be extracted"),
     }
+
+
+def test_a_batch_with_an_empty_document_is_exported(spark, tmp_path):
+    """It was left out of the result."""
+    got = dict(as_its_sql(spark, tmp_path, "export_units", ODD))
+    assert got[1] == "[E0001] Document 1\n--- Document 1 ---" and got[0].count("[E") == 4 and 2 not in got and None not in got
