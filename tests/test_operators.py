@@ -478,3 +478,9 @@ def test_a_batch_with_an_empty_document_is_exported(spark, tmp_path):
     """It was left out of the result."""
     got = dict(as_its_sql(spark, tmp_path, "export_units", ODD))
     assert got[1] == "[E0001] Document 1\n--- Document 1 ---" and got[0].count("[E") == 4 and 2 not in got and None not in got
+
+
+def test_a_batch_with_an_empty_document_has_a_prompt(spark, tmp_path):
+    """It was left out of the result."""
+    got = dict(as_its_sql(spark, tmp_path, "user_prompts", ODD))
+    assert got[1] == "[E0001]\n--- Document 1 ---" and got[0].count("[E") == 4 and 2 not in got and None not in got
