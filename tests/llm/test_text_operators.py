@@ -445,3 +445,13 @@ def test_null_ids(spark):
     assert jaccard.keep_first(rows).count() == 3 and substring.remove_repeats(rows, 3).count() == 3
     assert {r["doc_id"] for r in jaccard.jaccard_components(rows).collect()} == {1, 2}
     assert packing.pack(rows, tokenizer_path()).select("doc_id").distinct().count() == 3 and sharding.shard_documents(rows).count() == 3
+
+
+def test_op3_words_keep_their_own_rows_in_a_large_input():
+    """A word needed more training tokens the larger the input was, and shared its rows below that."""
+    t = maxent.Text.of(pa.table({"doc_id": [1], "text": ["aa bb cc dd"]}))
+    count = np.full(len(t.keys), maxent.OWN, np.int64)
+    small, large = (t.contexts(count, n) for n in (10**5, 10**10))
+    assert np.array_equal(small[0], large[0]) and np.array_equal(small[1], large[1])
+    shared = t.contexts(count - 1, 10**5)[0]
+    assert len(np.intersect1d(shared, large[0])) < len(large[0]) - len(t.keys)
